@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii
+from . import decontaminate, packing, pii, tokenfile
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE))
@@ -22,6 +33,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *map(count, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -30,4 +45,4 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_pii": op2_pii, "op5_decontaminate": op5_decontaminate}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op5_decontaminate": op5_decontaminate}
