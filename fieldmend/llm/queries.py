@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, tokenfile
+from . import decontaminate, linededup, packing, pii, tokenfile, warc
 from .common import table
 
 
@@ -37,6 +37,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.write_index(warc.write_archives(pages))
+    return warc.read_pages(pages, index)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -45,4 +51,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op5_decontaminate": op5_decontaminate}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("fm_lines").alias("n_lines"), F.col("fm_removed").alias("n_removed"), "text")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup}
