@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, packing, pii, tokenfile, warc
+from . import decontaminate, linededup, packing, pii, quality, tokenfile, warc
 from .common import table
 
 
@@ -56,4 +56,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("fm_lines").alias("n_lines"), F.col("fm_removed").alias("n_removed"), "text")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup}
+def predicted(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality}
