@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, packing, pii, quality, tokenfile, toxicity, warc
+from . import decontaminate, fingerprint, jaccard, linededup, packing, pii, quality, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -73,4 +73,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(scored).select("doc_id", "held_out", "score", "predicted", "exact", "fuzzy", "quoted", "distinct_terms")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_fingerprint": op10_fingerprint}
