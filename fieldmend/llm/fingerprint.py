@@ -32,6 +32,7 @@ from .common import stored, text_batches
 from .shingles import mix
 
 PERIOD, CLASSES, SLOTS, GRAM, BAND = 2039, 64, 128, 6, 8
+NEVER = np.iinfo(np.int64).max
 
 
 class Walk:
@@ -54,12 +55,16 @@ class Walk:
                 self.states[j][c] = self.states[(j + int(advance[j, c])) % PERIOD]
         self.number = operator.itemgetter(CLASSES)
 
-    def steps(self, classes: bytes) -> np.ndarray:
-        """The step at which each character is reached, and last the step at which the walk ends."""
-        at = np.fromiter(map(self.number, accumulate(classes, operator.getitem, initial=self.states[0])), np.int32, len(classes) + 1)
-        moved = np.diff(at) % PERIOD
-        moved[moved == 0] = PERIOD
-        return np.concatenate(([0], np.cumsum(moved, dtype=np.int64)))
+    def steps(self, classes: bytes, start: int = 0) -> np.ndarray:
+        """The step at which each character is reached, and last the step at which the walk ends, from a step on."""
+        at = np.fromiter(map(self.number, accumulate(classes, operator.getitem, initial=self.states[start % PERIOD])), np.int32, len(classes) + 1)
+        moved = np.diff(at)
+        moved[moved <= 0] += PERIOD
+        out = np.empty(len(at), np.int64)
+        out[0] = start
+        np.cumsum(moved, out=out[1:])
+        out[1:] += start
+        return out
 
 
 class Sampler:
@@ -67,7 +72,9 @@ class Sampler:
 
     def __init__(self, slots: int):
         self.salts = mix(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
-        self.at = [np.zeros(0, np.int64)] * slots
+        self.every = np.arange(slots)
+        # A row per slot, filled up with a step beyond all.
+        self.at = np.full((slots, 1), NEVER)
         self.least = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
         self.n = 0
 
@@ -76,16 +83,19 @@ class Sampler:
         while self.n < n:
             stop = max(1 << 15, 2 * self.n)
             steps = np.arange(self.n, stop, dtype=np.uint64)
+            rows = []
             for k, salt in enumerate(self.salts):
-                h = mix(steps ^ salt)
-                low = np.minimum.accumulate(np.concatenate(([self.least[k]], h)))
-                self.at[k] = np.concatenate((self.at[k], steps[low[1:] < low[:-1]].astype(np.int64)))
+                low = np.minimum.accumulate(np.concatenate((self.least[k : k + 1], mix(steps ^ salt))))
+                rows.append(np.concatenate((self.at[k][self.at[k] < NEVER], steps[low[1:] < low[:-1]].astype(np.int64))))
                 self.least[k] = low[-1]
+            self.at = np.full((len(rows), max(map(len, rows))), NEVER)
+            for k, row in enumerate(rows):
+                self.at[k, : len(row)] = row
             self.n = stop
 
     def __call__(self, n: int) -> np.ndarray:
         self.grow(n)
-        return np.array([a[np.searchsorted(a, n) - 1] for a in self.at])
+        return self.at[self.every, (self.at < n).sum(axis=1) - 1]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -99,18 +109,30 @@ class Fingerprinter:
         self.salt = np.arange(slots, dtype=np.uint64)
         self.empty = "".join("0123456789abcdef"[k % 16] for k in range(slots))
 
+    def walked(self, points: np.ndarray, start: int = 0) -> np.ndarray:
+        return self.walk.steps(((points * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint8).tobytes(), start)
+
     def __call__(self, text: str) -> str:
-        if not text:
-            return self.empty
         points = code_points(text)
-        steps = self.walk.steps(((points * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint8).tobytes())
+        return self.of(points, self.walked(points))
+
+    def of(self, points: np.ndarray, steps: np.ndarray) -> str:
+        """The fingerprint of a text and its walk."""
+        if not len(points):
+            return self.empty
         chars = np.searchsorted(steps, self.sample(int(steps[-1])), side="right") - 1
         grams = np.zeros(self.slots, np.uint64)
         last = len(points) - 1
         for k in range(GRAM):
             at = chars + k
             grams = mix(grams + np.where(at <= last, points[np.minimum(at, last)], 0xFFFFFFFF).astype(np.uint64))
-        return (mix(grams ^ (self.salt << np.uint64(40))) & np.uint64(15)).astype(np.uint8).tobytes().translate(b"0123456789abcdef" + bytes(240)).decode()
+        return (mix(grams ^ (self.salt << np.uint64(40))) & np.uint64(15)).astype(np.uint8).tobytes().translate(HEX).decode()
+
+    def of_edited(self, points: np.ndarray, steps: np.ndarray, kept: int) -> str:
+        """The fingerprint of a text whose first `kept` characters begin another text, of which `steps` is the walk;
+        only what comes after them is walked anew."""
+        rest = self.walked(points[kept:], int(steps[kept]))
+        return self.of(points, np.concatenate((steps[:kept], rest)))
 
 
 def likeness(a: str, b: str) -> float:
@@ -119,6 +141,10 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (equal - 1 / 16) / (15 / 16))
 
 
+#: Numbers below 16 as hex digits.
+HEX = b"0123456789abcdef" + bytes(240)
+
+
 def edited(text: str, following: str) -> str:
     """The last third of a text replaced by as many characters from the start of the following one."""
     n = len(text) // 3
@@ -163,11 +189,19 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
         out, held = [], None
         for slice_, tail, doc, text in rows():
-            now = (slice_, doc, text, make(text) if not tail or held is None or text != held[2] else held[3])
+            points = code_points(text)
+            if held is not None and text == held[2]:
+                steps, print_ = held[4:]
+            else:
+                steps = make.walked(points)
+                print_ = make.of(points, steps)
+            now = (slice_, doc, text, points, steps, print_)
             if held is not None and held[0] == slice_:
-                other = edited(held[2], text)
-                f = held[3] if other == held[2] else make(other)
-                out.append((held[1], len(held[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), held[3], f, likeness(held[3], f), likeness(held[3], now[3])))
+                _, before, old, old_points, old_steps, old_print = held
+                other, n = edited(old, text), len(old) // 3
+                kept = len(old) - n
+                f = old_print if other == old else make.of_edited(np.concatenate((old_points[:kept], points[:n])), old_steps, kept)
+                out.append((before, len(old), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), old_print, f, likeness(old_print, f), likeness(old_print, print_)))
             held = None if tail else now
             if len(out) >= 2000:
                 yield _batch(out)
