@@ -90,8 +90,10 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     large = pages.where(F.octet_length("payload") >= least).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = stored(groups, "payloads")
-    revisits = large.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "refers_to").distinct()
-    return pages.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").drop("of", "of_digest")
+    of = F.coalesce(F.col("page_id"), F.lit(-1)).alias("of")
+    revisits = large.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(of, "digest", "refers_to").distinct()
+    # The one shuffle of payloads, if any: archives are written from the partitions of this join.
+    return pages.withColumn("of", of).join(revisits, ["of", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
@@ -100,8 +102,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     text_batches(spark)
     folder = folder or new_folder(spark, "warc")
     rows = with_revisits(pages, least).select("page_id", "url", "payload", "digest", "refers_to")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest")
+    rows = rows.sortWithinPartitions("page_id", "digest")
 
     def write(batches):
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
