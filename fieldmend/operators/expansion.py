@@ -1,0 +1,123 @@
+"""Potts energy minimisation by alpha expansion, a specimen (or a tile of one) at a time.
+
+A minimum cut has no relational form, so each group runs a small augmenting-path search in Python; Spark deals the
+groups. Groups should hold some thousands of points: cut larger specimens into tiles first (operators.tiles).
+"""
+
+from __future__ import annotations
+
+from collections import deque
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def reachable(n: int, source: list[float], sink: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes the source still reaches in the residual graph of a maximum flow. source and sink are the terminal
+    capacities of each node, links are (u, v, capacity both ways)."""
+    s, t = n, n + 1
+    head: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def add(u: int, v: int, there: float, back: float) -> None:
+        head[u].append(len(to))
+        head[v].append(len(to) + 1)
+        to.extend((v, u))
+        room.extend((there, back))
+
+    for i in range(n):
+        if source[i] > 0:
+            add(s, i, source[i], 0.0)
+        if sink[i] > 0:
+            add(i, t, sink[i], 0.0)
+    for u, v, c in links:
+        add(u, v, c, c)
+    tiny = 1e-10
+    while True:
+        level = [-1] * (n + 2)
+        level[s] = 0
+        queue = deque([s])
+        while queue:
+            u = queue.popleft()
+            for e in head[u]:
+                if room[e] > tiny and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [x >= 0 for x in level[:n]]
+        at = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
+            if u == t:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                k = next(i for i, e in enumerate(path) if room[e] <= tiny)
+                u = to[path[k] ^ 1]
+                del path[k:]
+            while at[u] < len(head[u]):
+                e = head[u][at[u]]
+                if room[e] > tiny and level[to[e]] == level[u] + 1:
+                    break
+                at[u] += 1
+            if at[u] < len(head[u]):
+                path.append(head[u][at[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                at[u] += 1
+            else:
+                break
+
+
+def energy(observed: list[int], labels: list[int], pairs: list[tuple[int, int]], unary: float) -> float:
+    return unary * sum(a != b for a, b in zip(observed, labels, strict=True)) + sum(labels[u] != labels[v] for u, v in pairs)
+
+
+def expand(observed: list[int], pairs: list[tuple[int, int]], unary: float, cycles: int) -> list[int]:
+    """Labels after expansion moves over the observed classes, ascending, until a cycle changes nothing."""
+    labels, n = list(observed), len(observed)
+    never = 1e12
+    for _ in range(cycles):
+        before = list(labels)
+        for alpha in sorted(set(observed)):
+            keep = [never if c == alpha else unary * (c != o) for c, o in zip(labels, observed, strict=True)]
+            move = [0.0 if c == alpha else unary * (alpha != o) for c, o in zip(labels, observed, strict=True)]
+            links = []
+            for u, v in pairs:
+                both, left, right = float(labels[u] != labels[v]), float(labels[u] != alpha), float(labels[v] != alpha)
+                c = max(0.0, (left + right - both) / 2)
+                move[u] += right - both - c
+                move[v] += left - both - c
+                if c > 1e-12:
+                    links.append((u, v, c))
+            base = [min(a, b) for a, b in zip(keep, move, strict=True)]
+            # A node that stays with the source keeps its label; its cost of keeping is cut from the sink's side.
+            stays = reachable(n, [m - b for m, b in zip(move, base, strict=True)], [k - b for k, b in zip(keep, base, strict=True)], links)
+            new = [c if s else alpha for c, s in zip(labels, stays, strict=True)]
+            if energy(observed, new, pairs, unary) <= energy(observed, labels, pairs, unary) + 1e-8:
+                labels = new
+        if labels == before:
+            break
+    return labels
+
+
+def alpha_expansion(points: DataFrame, pairs: DataFrame, unary: float = 5.0, cycles: int = 2) -> DataFrame:
+    """sample, id, code, refined of each point; pairs (sample, a, b) is the undirected graph."""
+    rows = points.select("sample", "id", "code", F.lit(None).cast("long").alias("other")).unionByName(
+        pairs.select("sample", F.col("a").alias("id"), F.lit(None).cast("int").alias("code"), F.col("b").alias("other"))
+    )
+
+    def solve(pdf):
+        nodes = pdf[pdf["other"].isna()].sort_values("id")
+        links = pdf[pdf["other"].notna()].sort_values(["id", "other"])
+        place = {int(i): k for k, i in enumerate(nodes["id"])}
+        observed = [int(c) for c in nodes["code"]]
+        edges = [(place[int(a)], place[int(b)]) for a, b in zip(links["id"], links["other"], strict=True)]
+        refined = expand(observed, edges, unary, cycles) if len(observed) > 1 else observed
+        return nodes[["sample", "id"]].assign(code=observed, refined=refined)
+
+    return rows.groupBy("sample").applyInPandas(solve, "sample string, id long, code int, refined int")

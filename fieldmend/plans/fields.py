@@ -51,17 +51,6 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Orders with the two classes "F" (1) and others (2); keys divisible by 7, so that SQL can hold all pairs.
-BIN = """SELECT 'all' AS sample, o_orderkey AS id,
-CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, o_totalprice AS y,
-CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS code FROM orders"""
-
-
-def binary_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One specimen, two classes."""
-    return orders(spark, sf_dir).select(F.lit("all").alias("sample"), "id", "x", "y", F.when(F.col("code") == 1, 1).otherwise(2).alias("code"))
-
-
 PART = """SELECT 'all' AS sample, p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part"""
 
 

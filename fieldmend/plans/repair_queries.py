@@ -242,7 +242,7 @@ def q_repair_binary(spark, d):
 
 
 GATES = f"""SELECT sample, id, 1.0::DOUBLE AS x, 1.0::DOUBLE AS y, code FROM (SELECT 'flat' AS sample, id, code FROM ({fields.CUST}))
-UNION ALL SELECT 'few', id, x, y, code FROM ({fields.CUST}) WHERE id < 19
+UNION ALL SELECT 'few' || (id // 10), id, x, y, code FROM ({fields.CUST})
 UNION ALL SELECT 'one', id, x, y, 3 FROM ({fields.CUST})"""
 
 
@@ -254,6 +254,6 @@ def q_repair_gates(spark, d):
     """Specimens without extent, of fewer than 20 points, and of one class stay as they are."""
     base = fields.customers(spark, d)
     flat = base.select(F.lit("flat").alias("sample"), "id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), "code")
-    few = base.where("id < 19").withColumn("sample", F.lit("few"))
+    few = base.withColumn("sample", F.concat(F.lit("few"), F.floor(F.col("id") / 10).cast("string")))
     one = base.withColumns({"sample": F.lit("one"), "code": F.lit(3)})
     return finished(R.repair(flat.unionByName(few).unionByName(one), 2, 5))
