@@ -144,13 +144,19 @@ def merge_lists(lists: list[list[int]], times: int) -> list[int]:
 
 
 def occurrences(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share SHORT short lists. postings: s, doc_id, n, comp."""
+    """Pairs (a, b), a < b, of different components that share SHORT short lists. postings: s, at (the place of s among
+    the document's shingles in the global order), doc_id, n, comp.
+
+    A pair of n and m shingles links only if it shares need = ceil(percent (n + m) / (100 + percent)) of them, so the
+    first SHORT that it shares lie among the first n - need + SHORT of one and m - need + SHORT of the other. Near copies
+    with edits of their own hold these first, as their rarest shingles, and mostly do not meet at all."""
     spread = postings.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     spread = stored(spread, "lists")
     few = spread.count() <= BROADCAST_IDS
     open_ = stored(postings.join(F.broadcast(spread) if few else spread, "s", "left_semi"), "postings")
-    other = open_.select("s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    close = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    other = open_.select("s", F.col("at").alias("at_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+    need = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
+    close = (F.col("at") < F.col("n") - need + SHORT) & (F.col("at_b") < F.col("m") - need + SHORT)
     met = open_.withColumnRenamed("doc_id", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & close)
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = met.select("a", "s", "b").repartition(n, "a").sortWithinPartitions("a", "s", "b")
@@ -216,7 +222,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     first = stored(components(verified(docs, near, k, percent)), "first")
 
     placed = rooted(lists.select("doc_id", "n", "lists"), "doc_id", first, "comp")
-    postings = placed.select("doc_id", "n", "comp", F.explode("lists").alias("s"))
+    postings = placed.select("doc_id", "n", "comp", F.posexplode("lists").alias("at", "s"))
     links = verified(docs, occurrences(postings, percent), k, percent)
     ends = rooted(rooted(links, "a", first, "a_root"), "b", first, "b_root")
     second = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
