@@ -1,0 +1,444 @@
+"""Synthetic point fields as tables: coordinates from a counter-based random source, classes from shapes, labels from
+corruption that keeps a correct point of each class. Every field has sample, id, x, y (z), truth, region, label,
+boundary_proximity, boundary (the lowest fifth), sparse (the first of the smallest regions) and corrupted."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmend.functions.rng import normal, pick, uniform
+from fieldmend.operators.corruption import contaminate, corrupt_field
+from fieldmend.operators.sampling import stratified_sample
+
+PI = math.pi
+EPS = 2.220446049250313e-16
+#: Bounds of the class weights of each density profile, spread evenly in their logarithms (fixed values).
+DENSITIES = {"uniform": None, "moderate": (0.55, 1.8), "strong": (0.25, 4.0), "extreme": (0.08, 8.0), "hotspot": (0.40, 2.5)}
+#: Centres and half-widths of the compartments of disconnected volumes (fixed values).
+VOLUME_CENTRES = [(-0.58, -0.35, -0.35), (0.50, 0.42, 0.35), (-0.48, 0.42, 0.30), (0.55, -0.38, -0.25), (0.00, 0.00, 0.58), (0.08, -0.02, -0.58), (-0.62, 0.02, -0.05), (0.62, 0.02, 0.08), (-0.08, 0.62, -0.10), (0.02, -0.62, 0.12)]
+VOLUME_SCALES = [(0.22, 0.30, 0.24), (0.28, 0.20, 0.26), (0.24, 0.27, 0.20), (0.21, 0.29, 0.25), (0.30, 0.24, 0.18), (0.27, 0.22, 0.20), (0.20, 0.28, 0.27), (0.22, 0.25, 0.29), (0.28, 0.19, 0.26), (0.25, 0.23, 0.22)]
+MOSAIC_CENTRES = [(-0.55, -0.35), (0.48, -0.46), (0.08, 0.02), (-0.42, 0.51), (0.54, 0.43)]
+PLANES, PLANE_SHARES = [-0.90, -0.72, -0.49, -0.23, 0.04, 0.31, 0.59, 0.86], [0.06, 0.13, 0.18, 0.08, 0.21, 0.15, 0.12, 0.07]
+
+
+def spread(low: float, high: float, n: int) -> list[float]:
+    return [low] if n == 1 else [low + (high - low) * i / (n - 1) for i in range(n)]
+
+
+def circle(n: int, rx: float, ry: float, start: float = -PI, turn: float = 0.0) -> list[tuple[float, float]]:
+    """n centres around an ellipse."""
+    return [(rx * math.cos(a), ry * math.sin(a)) for a in (start + 2 * PI * i / n + turn for i in range(n))]
+
+
+def by_score(df: DataFrame, score: Column, k: int, half_open: bool = False, keys: list[str] | None = None, method: int = 7) -> DataFrame:
+    """Classes as k quantile bins of a score: (a, b] with the first closed, or [a, b). The proximity is the distance to
+    the nearest inner cut, and for (a, b] in units of a k-th of the range, at most a half. method 8 is the
+    median-unbiased quantile."""
+    keys = keys or []
+    scored = df.withColumn("score", score)
+    steps = [i / k for i in range(1, k)]
+    if method == 7:
+        cuts = F.percentile("score", F.array(*map(F.lit, steps)))
+        made = scored.groupBy(*keys).agg(cuts.alias("cuts"), (F.max("score") - F.min("score")).alias("range"))
+    else:
+        made = quantiles8(scored, "score", steps, keys)
+    joined = scored.join(F.broadcast(made), keys) if keys else scored.crossJoin(F.broadcast(made))  # a row per group
+    over = (lambda c: F.col("score") >= c) if half_open else (lambda c: F.col("score") > c)
+    code = F.size(F.filter("cuts", over)) + 1
+    distance = F.array_min(F.transform("cuts", lambda c: F.abs(F.col("score") - c)))
+    near = distance if half_open else F.least(F.lit(0.5), distance / F.greatest(F.col("range") / k, F.lit(EPS)))
+    return joined.withColumns({"code": code.cast("int"), "boundary_proximity": near}).drop("cuts", "range")
+
+
+def quantiles8(df: DataFrame, value: str, probabilities: list[float], keys: list[str] | None = None) -> DataFrame:
+    """Quantiles at (n + 1/3) p + 1/3, between the sorted values, as cuts per group; only the rows at these places are
+    gathered."""
+    from fieldmend.operators.sampling import ranked
+    from pyspark.sql import Window
+
+    keys = keys or []
+    placed = ranked(df, *(F.col(c) for c in keys), F.col(value), F.col("id"), out="place").select(*keys, value, "place")
+    if keys:
+        placed = placed.withColumn("place", F.col("place") - F.min("place").over(Window.partitionBy(*keys)) + 1)
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(value) - F.min(value)).alias("range"))
+    wanted = sizes.withColumn("p", F.explode(F.array(*map(F.lit, probabilities)))).withColumn("h", (F.col("n") + 1 / 3) * F.col("p") + 1 / 3)
+    wanted = wanted.withColumn("lo", F.least(F.greatest(F.floor(F.col("h") + 4 * EPS), F.lit(1)), F.col("n"))).withColumn("hi", F.least(F.col("lo") + 1, F.col("n"))).withColumn("f", F.col("h") - F.col("lo"))
+    at = placed.join(F.broadcast(wanted), keys) if keys else placed.crossJoin(F.broadcast(wanted))  # a row per probability
+    met = at.where((F.col("place") == F.col("lo")) | (F.col("place") == F.col("hi")))
+    low, high = F.max(F.when(F.col("place") == F.col("lo"), F.col(value))), F.max(F.when(F.col("place") == F.col("hi"), F.col(value)))
+    one = met.groupBy(*keys, "p", "f", "range").agg(low.alias("low"), high.alias("high")).withColumn("q", F.col("low") + F.greatest(F.col("f"), F.lit(0.0)) * (F.col("high") - F.col("low")))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda v: v["q"]).alias("cuts"), F.max("range").alias("range"))
+
+
+def by_nearest(df: DataFrame, distances: list[Column]) -> DataFrame:
+    """near (the place of the least distance, from 1; the first of equals), d1 and d2, the two least distances."""
+    sorted_ = F.array_sort(F.array(*(F.struct(d.alias("d"), F.lit(i + 1).alias("i")) for i, d in enumerate(distances))))
+    return df.withColumn("o", sorted_).withColumns({"near": F.col("o")[0]["i"], "d1": F.col("o")[0]["d"], "d2": F.col("o")[1]["d"]}).drop("o")
+
+
+def scaled_margin(df: DataFrame) -> DataFrame:
+    """The proximity of nearest-centre classes: their margin, in units of twice its 80th percentile."""
+    wide = df.withColumn("margin", F.col("d2") - F.col("d1"))
+    cut = wide.agg(F.percentile("margin", 0.8).alias("m80"))
+    return wide.crossJoin(F.broadcast(cut)).withColumn("boundary_proximity", F.least(F.lit(0.5), F.col("margin") / F.greatest("m80", F.lit(EPS)) / 2)).drop("margin", "m80")  # one row
+
+
+def wedge(phase: Column, k: int, df: DataFrame) -> DataFrame:
+    part = (F.col("phase") * k) % 1
+    return df.withColumn("phase", phase).withColumns({"code": F.least(F.lit(k), F.floor(F.col("phase") * k) + 1).cast("int"), "boundary_proximity": F.least(part, 1 - part)})
+
+
+def squared(df_columns: tuple[str, ...], centre: tuple[float, ...]) -> Column:
+    return reduce(lambda s, t: s + t, [(F.col(c) - v) * (F.col(c) - v) for c, v in zip(df_columns, centre, strict=True)])
+
+
+# The tissue patterns: functions of (df with x, y, theta, radius; k; scale) to df with code and boundary_proximity.
+def _lobes(df, k, scale):
+    bent = df.withColumns({"wx": F.col("x") + 0.13 * F.sin(4 * F.col("y")), "wy": F.col("y") + 0.10 * F.sin(3 * F.col("x"))})
+    return scaled_margin(by_nearest(bent, [squared(("wx", "wy"), c) for c in circle(k, 0.58, 0.48)])).withColumn("code", F.col("near"))
+
+
+def _islands(df, k, scale):
+    angles = [a + 0.3 for a in spread(-PI, PI, k)[: k - 1]]
+    radii = [scale * (0.13 + 0.015 * (i + 1)) for i in range(k - 1)]
+    away = [F.sqrt(squared(("x", "y"), (0.62 * math.cos(a), 0.48 * math.sin(a)))) for a in angles]
+    code = F.lit(1)
+    for i, (d, r) in enumerate(zip(away, radii, strict=True)):
+        code = F.when(d < r, i + 2).otherwise(code)  # the last disc over a point wins
+    near = F.array_min(F.array(*(F.abs(d - r) / max(r, EPS) for d, r in zip(away, radii, strict=True))))
+    return df.withColumns({"code": code, "boundary_proximity": F.least(F.lit(0.5), near)})
+
+
+def _disconnected(df, k, scale):
+    done = scaled_margin(by_nearest(df, [squared(("x", "y"), c) for c in circle(2 * k, 0.62, 0.50)]))
+    return done.withColumn("code", (F.col("near") - 1) % k + 1)
+
+
+def bands(df: DataFrame, distances: list[Column], width: float) -> DataFrame:
+    """Class i + 1 within `width` of the nearest thing i, else class 1."""
+    return by_nearest(df, distances).withColumn("code", F.when(F.col("d1") < width, F.col("near") + 1).otherwise(1))
+
+
+def _thin(df, k, scale):
+    width = scale * 0.035
+    done = bands(df, [F.abs(F.col("y") - c - 0.08 * F.sin(3 * PI * F.col("x"))) for c in spread(-0.55, 0.55, k - 1)], width)
+    return done.withColumn("boundary_proximity", F.least(F.lit(0.5), F.abs(F.col("d1") - width) / max(width, EPS)))
+
+
+def _intermixed(df, k, scale):
+    box = df.agg(*(f(a).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    wide = df.crossJoin(F.broadcast(box))  # one row
+    unit = {a: (F.col(a) - F.col(f"lo{a}")) / (F.col(f"hi{a}") - F.col(f"lo{a}")) * 18 for a in "xy"}
+    code = (F.floor(unit["x"]) + 2 * F.floor(unit["y"])) % k + 1
+    off = F.greatest(*(F.abs(unit[a] % 1 - 0.5) for a in "xy"))
+    return wide.withColumns({"code": code.cast("int"), "boundary_proximity": F.least(F.lit(0.5), 0.5 - off)}).drop("lox", "hix", "loy", "hiy")
+
+
+def turn(angle: Column) -> Column:
+    """An angle as a share of the full circle."""
+    return F.pmod(angle, F.lit(2 * PI)) / (2 * PI)
+
+
+PATTERNS: dict[str, Callable] = {
+    "jagged_stripes": lambda df, k, s: by_score(df, F.col("x") + 0.23 * F.sin(6 * PI * F.col("y")) + 0.10 * F.sin(13 * PI * F.col("y")), k),
+    "wavy_layers": lambda df, k, s: by_score(df, F.col("y") + 0.30 * F.sin(2.4 * PI * F.col("x")) - 0.10 * F.cos(7 * PI * F.col("x")), k),
+    "rings": lambda df, k, s: by_score(df, F.col("radius") + 0.055 * F.sin(9 * F.col("theta")), k),
+    "spiral": lambda df, k, s: wedge(turn(F.col("theta") + 3.8 * F.col("radius") + PI), k, df),
+    "branching": lambda df, k, s: wedge(turn(F.col("theta") + PI + 0.75 * F.col("radius") * F.sin(3 * F.col("theta"))), k, df),
+    "lobes": _lobes,
+    "islands": _islands,
+    "disconnected": _disconnected,
+    "thin_layers": _thin,
+    "intermixed": _intermixed,
+    "layers3d": lambda df, k, s: by_score(df, F.col("z") + 0.22 * F.sin(2.5 * PI * F.col("x")) - 0.17 * F.cos(2 * PI * F.col("y")), k),
+}
+
+
+def finish(points: DataFrame, prefix: str, names: list[str]) -> DataFrame:
+    """Adds region (the truth unless there), boundary and sparse. names are all regions in order; the smallest comes
+    first among equals, those without points included."""
+    if "region" not in points.columns:
+        points = points.withColumn("region", F.col("truth"))
+    cut = points.agg(F.percentile("boundary_proximity", 0.2).alias("cut"))
+    spark = points.sparkSession
+    levels = spark.createDataFrame(list(enumerate(names)), "place int, region string")
+    counts = levels.join(points.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region", "left")
+    rare = counts.agg(F.min_by("region", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place")).alias("rare"))
+    one = cut.crossJoin(rare)  # one row each
+    return points.crossJoin(F.broadcast(one)).withColumns({"boundary": F.col("boundary_proximity") <= F.col("cut"), "sparse": F.col("region") == F.col("rare")}).drop("cut", "rare")
+
+
+def class_weights(profile: str | list[float], k: int, seed: int) -> list[float] | None:
+    """A weight per class, shuffled by the seed; None for uniform density."""
+    if not isinstance(profile, str):
+        if len(profile) != k or any(not (w > 0 and math.isfinite(w)) for w in profile):
+            raise ValueError("Numeric `density_profile` must contain one positive finite weight per region.")
+        return None if len(set(profile)) == 1 else list(profile)
+    if profile not in DENSITIES:
+        raise ValueError(f"Unknown density profile `{profile}`")
+    if DENSITIES[profile] is None:
+        return None
+    import random
+
+    low, high = DENSITIES[profile]
+    weights = [math.exp(v) for v in spread(math.log(low), math.log(high), k)]
+    random.Random(seed).shuffle(weights)
+    return weights
+
+
+def thinned(pool: DataFrame, n: int, k: int, weights: list[float] | None, hotspot: bool, seed: int, dims: int) -> DataFrame:
+    """n points of a pool, by class weight, at least some of each class."""
+    if weights is None:
+        return pool
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("code"))
+    if hotspot:
+        axes_ = ("x", "y", "z")[:dims]
+        centre = pool.groupBy("code").agg(F.min_by(F.struct(*axes_), uniform(seed, "hotspot", "id")).alias("c"))
+        pool = pool.join(F.broadcast(centre), "code").withColumn("d2", reduce(lambda s, t: s + t, [(F.col(a) - F.col("c")[a]) * (F.col(a) - F.col("c")[a]) for a in axes_]))  # a row per class
+        scale = pool.groupBy("code").agg(F.greatest(F.percentile("d2", 0.35), F.lit(EPS)).alias("s"))
+        pool = pool.join(F.broadcast(scale), "code")
+        weight = weight * (0.08 + F.exp(-F.col("d2") / (2 * F.col("s"))))
+    least = min(max(4, int(0.002 * n)), n // k)
+    return stratified_sample(pool, n, least, ["code"], weight, seed)
+
+
+def numbered(df: DataFrame, samples: int) -> DataFrame:
+    return df.withColumn("s", (F.col("id") % samples).cast("int")).withColumn("sample", F.concat(F.lit("sample"), (F.col("s") + 1).cast("string")))
+
+
+def named(df: DataFrame, prefix: str, column: str = "code", out: str = "truth") -> DataFrame:
+    return df.withColumn(out, F.concat(F.lit(prefix), F.col(column).cast("string")))
+
+
+def check_arguments(n: int, k: int, samples: int, noise: float) -> None:
+    if n < 100 or k < 2 or samples < 1 or not 0 <= noise < 1:
+        raise ValueError("Use `n >= 100`, `k >= 2`, `samples >= 1`, and `0 <= noise < 1`.")
+
+
+def spatial_domains(spark: SparkSession, n: int = 50_000, pattern: str = "jagged_stripes", k: int = 5, noise: float = 0.2, dims: int = 2, samples: int = 1, noise_type: str = "random", scale: float = 1.0, density: str | list[float] = "uniform", seed: int = 1) -> DataFrame:
+    """A tissue-like outline with one of the PATTERNS."""
+    check_arguments(n, k, samples, noise)
+    if pattern not in PATTERNS:
+        raise ValueError(f"Unknown pattern `{pattern}`")
+    dims = 3 if pattern == "layers3d" else dims
+    weights = class_weights(density, k, seed)
+    pool = spark.range(n if weights is None else max(n + 1000, 6 * n))
+    t = (uniform(seed, "theta", "id") * 2 - 1) * PI
+    df = pool.withColumn("theta", t).withColumn("radius", F.sqrt(uniform(seed, "radius", "id")) * (1 + 0.14 * F.sin(3 * F.col("theta")) + 0.07 * F.cos(5 * F.col("theta"))))
+    df = df.withColumns({"x": F.col("radius") * F.cos("theta"), "y": 0.82 * F.col("radius") * F.sin("theta")})
+    if dims == 3:
+        top = F.sqrt(F.greatest(F.lit(0.04), 1 - F.pow(F.least("radius", F.lit(0.98)), 2)))
+        df = df.withColumn("z", (uniform(seed, "z", "id") * 2 - 1) * top)
+    coords = ["x", "y", "z"][:dims]
+    made = thinned(PATTERNS[pattern](df, k, scale), n, k, weights, density == "hotspot", seed, dims)
+    made = named(numbered(made, samples), "domain")
+    moved = made.withColumns({a: F.col(a) + (uniform(seed, f"shift.{a}", "s") * 0.16 - 0.08) for a in coords})
+    names = [f"domain{i + 1}" for i in range(k)]
+    done = corrupt_field(moved.select("sample", "id", *coords, "truth", "boundary_proximity"), noise_type, noise, names, dims, seed)
+    return finish(done, "domain", names)
+
+
+def spatial_clusters(spark: SparkSession, n: int = 50_000, dims: int = 2, k: int = 5, samples: int = 1, noise: float = 0.08, seed: int = 1) -> DataFrame:
+    """Gaussian clusters around a circle; the proximity is how much nearer the nearest centre is than the next."""
+    check_arguments(n, k, samples, noise)
+    centres = [(4.5 * math.cos(a), 4.5 * math.sin(a), h) for a, h in zip((2 * PI * i / k for i in range(k)), spread(-3, 3, k), strict=True)]
+    coords = ["x", "y", "z"][:dims]
+    base = numbered(spark.range(n), samples).withColumn("code", pick(seed, "class", k, "id") + 1)
+    for j, a in enumerate(coords):
+        base = base.withColumn(f"l{a}", F.element_at(F.array(*(F.lit(c[j]) for c in centres)), F.col("code")) + 0.45 * normal(seed, f"at.{a}", "id"))
+    near = by_nearest(base, [F.sqrt(squared(tuple(f"l{a}" for a in coords), c[:dims])) for c in centres]).withColumn("boundary_proximity", F.col("d2") - F.col("d1"))
+    placed = named(near, "cluster").withColumns({a: F.col(f"l{a}") + (uniform(seed, f"shift.{a}", "s") * 2 - 1) for a in coords})
+    names = [f"cluster{i + 1}" for i in range(k)]
+    return finish(corrupt_field(placed.select("sample", "id", *coords, "truth", "boundary_proximity"), "random", noise, names, dims, seed), "cluster", names)
+
+
+AREA_CLASS, MINORITY = {1: "A", 2: "B", 3: "B", 4: "C"}, {"1": "B", "2": "A", "3": "C", "4": "B"}
+
+
+def gradient_regions(spark: SparkSession, n: int = 50_000, minority: float = 0.05, dims: int = 2, samples: int = 1, seed: int = 1, curvature: float = 0.04, density: str | list[float] = "uniform") -> DataFrame:
+    """Four ordered curved areas of three classes, each with an exact share of its minority class."""
+    check_arguments(n, 4, samples, minority)
+    weights = class_weights(density, 4, seed)
+    pool = numbered(spark.range(n if weights is None else 6 * n), samples).withColumns({"u": uniform(seed, "x", "id"), "y": uniform(seed, "y", "id")})
+    score = F.col("y") + curvature * F.sin(2 * PI * F.col("u") + 2 * PI * uniform(seed, "phase", "s"))
+    made = thinned(by_score(pool, score, 4, half_open=True, keys=["sample"]).withColumn("x", F.col("u") + 1.25 * F.col("s")), n, 4, weights, False, seed, 2)
+    coords = ["x", "y", "z"][:dims]
+    if dims == 3:
+        made = made.withColumn("z", uniform(seed, "z", "id") + 0.08 * F.sin(2 * PI * F.col("u")))
+    truth = F.element_at(F.create_map(*(F.lit(v) for kv in AREA_CLASS.items() for v in kv)), F.col("code"))
+    points = made.withColumns({"truth": truth, "area": F.col("code").cast("string"), "region": F.concat(F.lit("area"), F.col("code").cast("string"))})
+    done = contaminate(points.select("sample", "id", *coords, "truth", "area", "region", "boundary_proximity"), minority, MINORITY, "area", seed)
+    return finish(done.withColumn("corrupted", F.col("label") != F.col("truth")).drop("area"), "area", [f"area{i}" for i in range(1, 5)])
+
+
+def _tubes(df: DataFrame, k: int) -> DataFrame:
+    if k != 5:
+        raise ValueError("`tubular_network` currently requires `k = 5`.")
+    a, b = F.col("x"), F.col("y")
+    return bands(df, [F.abs(b - 0.38 * F.sin(2.5 * PI * a)), F.abs(b + 0.42 * F.sin(2.1 * PI * a + 0.7)), F.abs(a - 0.34 * F.sin(2.8 * PI * b + 1.1)), F.abs(a + 0.48 * F.sin(1.8 * PI * b - 0.4))], 0.075)
+
+
+def _braids(df: DataFrame, k: int) -> DataFrame:
+    a, b = F.col("x"), F.col("y")
+    strand = F.floor((b + 0.28 * F.sin(2.2 * PI * a) + 1.35) / 2.7 * k)
+    crossing = F.floor((b - 0.25 * F.sin(8 * PI * a) + 1.2) / 2.4 * k)
+    return df.withColumn("code", F.greatest(F.lit(1), F.least(F.lit(k), F.when(F.abs(a) < 0.20, crossing).otherwise(strand) + 1)).cast("int"))
+
+
+def _sectors(df: DataFrame, k: int) -> DataFrame:
+    a = F.atan2("y", "x")
+    phase = turn(a + 0.75 * F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) + 0.18 * F.sin(4 * a) + PI)
+    return df.withColumn("code", (F.floor(phase * k) % k + 1).cast("int"))
+
+
+SHAPES: dict[str, Callable] = {
+    "voronoi_mosaic": lambda df, k: by_nearest(df, [squared(("x", "y"), c) for c in (MOSAIC_CENTRES if k == 5 else circle(k, 0.58, 0.50, 0.0))]).withColumn("code", F.col("near")),
+    "radial_sectors": _sectors,
+    "checkerboard_junctions": lambda df, k: df.withColumn("code", ((F.least(F.lit(5), F.floor((F.col("x") + 1) * 3)) + 2 * F.least(F.lit(5), F.floor((F.col("y") + 1) * 3))) % k + 1).cast("int")),
+    "tubular_network": _tubes,
+    "braided_channels": _braids,
+    "shells_3d": lambda df, k: by_score(df, F.sqrt(squared(("x", "y", "z"), (0.0, 0.0, 0.0))) + 0.10 * F.sin(3 * F.atan2("y", "x")), k),
+}
+SHAPE_NAMES = {"Voronoi mosaic": "voronoi_mosaic", "Radial sectors": "radial_sectors", "Checkerboard junctions": "checkerboard_junctions", "Tubular network": "tubular_network", "Braided channels": "braided_channels", "3D shells": "shells_3d"}
+
+
+def complex_domains(spark: SparkSession, n: int = 50_000, shape: str = "voronoi_mosaic", density: str = "uniform", noise_type: str = "random", noise: float = 0.25, samples: int = 1, k: int = 5, seed: int = 1) -> DataFrame:
+    """One of the SHAPES in an ellipse (or a ball). The proximity is the confidence of one vote of the nearest
+    neighbours on the truth."""
+    from fieldmend.operators.graph import VoteSettings, iterated_vote
+    from fieldmend.operators.knn import automatic_k, nearest
+
+    check_arguments(n, k, samples, noise)
+    shape = SHAPE_NAMES.get(shape, shape)
+    if shape not in SHAPES:
+        raise ValueError(f"Unknown shape `{shape}`")
+    weights = class_weights(density, k, seed)
+    size = n if weights is None else 6 * n
+    if shape == "shells_3d":
+        dims = 3
+        g = spark.range(size).withColumns({f"n{a}": normal(seed, a, "id") for a in "xyz"}).withColumn("len", F.greatest(F.sqrt(squared(("nx", "ny", "nz"), (0.0, 0.0, 0.0))), F.lit(EPS)))
+        pool = g.withColumn("r", 0.12 + 0.88 * uniform(seed, "r", "id")).withColumns({a: F.col(f"n{a}") / F.col("len") * F.col("r") for a in "xyz"})
+    else:
+        dims = 2
+        r, t = F.sqrt(uniform(seed, "r", "id")), 2 * PI * uniform(seed, "t", "id")
+        pool = spark.range(size).withColumns({"x": r * F.cos(t), "y": 0.88 * r * F.sin(t)})
+    coords = ["x", "y", "z"][:dims]
+    made = named(numbered(thinned(SHAPES[shape](pool, k), n, k, weights, False, seed, dims), samples), "domain").select("sample", "id", *coords, "truth", "code", "s")
+    moved = made.withColumn("x", F.col("x") + 2.35 * F.col("s"))
+    edges = nearest(moved, dims, automatic_k(max(1, n // samples), k))
+    probe, _ = iterated_vote(moved.select("sample", "id", "code"), edges, k, VoteSettings(1, 0.999, 2.0, 0.999, True, 1.0))
+    near = moved.join(probe.select("sample", "id", F.col("confidence").alias("boundary_proximity")), ["sample", "id"])
+    names = [f"domain{i + 1}" for i in range(k)]
+    return finish(corrupt_field(near.select("sample", "id", *coords, "truth", "boundary_proximity"), noise_type, noise, names, dims, seed), "domain", names)
+
+
+def ordered_adjacency(k: int) -> dict[int, list[int]]:
+    return {c: [d for d in (c - 1, c + 1) if 1 <= d <= k] for c in range(1, k + 1)}
+
+
+def background_adjacency(k: int) -> dict[int, list[int]]:
+    """Class 1 touches all others; each of these touches it and its neighbours in order."""
+    return {1: list(range(2, k + 1))} | {c: [1, *([c - 1] if c > 2 else []), *([c + 1] if c < k else [])] for c in range(2, k + 1)}
+
+
+def complete_adjacency(k: int) -> dict[int, list[int]]:
+    return {c: [d for d in range(1, k + 1) if d != c] for c in range(1, k + 1)}
+
+
+def _tube_distances(k: int, centre: Callable[[float], tuple[Column, Column]]) -> list[Column]:
+    out = []
+    for phase in spread(0, 2 * PI, k)[: k - 1]:
+        cx, cy = centre(phase)
+        out.append(F.sqrt((cx - F.col("x")) * (cx - F.col("x")) + (cy - F.col("y")) * (cy - F.col("y"))))
+    return out
+
+
+def _branch(phase: float) -> tuple[Column, Column]:
+    progress = (F.col("z") + 1) / 2
+    return 0.54 * progress * math.cos(phase) + 0.07 * F.sin(2 * PI * F.col("z") + phase), 0.54 * progress * math.sin(phase) + 0.07 * F.cos(1.5 * PI * F.col("z") + phase)
+
+
+def _helix(phase: float) -> tuple[Column, Column]:
+    size = 0.44 * (0.85 - 0.10 * F.col("z") * F.col("z"))
+    return size * F.cos(2.4 * PI * F.col("z") + phase), size * F.sin(2.4 * PI * F.col("z") + phase)
+
+
+def _edge(df: DataFrame, width: float) -> DataFrame:
+    return df.withColumn("boundary_proximity", F.abs(F.col("d1") - width))
+
+
+def _volume(name: str, df: DataFrame, k: int) -> tuple[DataFrame, dict[int, list[int]]]:
+    a, b, c = F.col("x"), F.col("y"), F.col("z")
+    angle = F.atan2("y", "x")
+    scores = {
+        "concentric_shells": lambda: (r := F.sqrt(a * a + (b / 0.94) * (b / 0.94) + (c / 0.88) * (c / 0.88))) + 0.055 * F.sin(4 * angle) * (1 - F.least(r, F.lit(1.0))),
+        "warped_ellipsoids": lambda: F.sqrt(F.pow((a - 0.16 * F.sin(PI * c) + 0.05 * b * c) / 0.62, 2) + F.pow((b + 0.12 * F.cos(PI * a) - 0.04 * a * c) / 0.82, 2) + F.pow((c - 0.10 * F.sin(PI * b)) / 0.50, 2)),
+        "toroidal_compartments": lambda: F.sqrt(F.pow(F.sqrt(a * a + b * b) - 0.52 - 0.05 * F.sin(3 * angle), 2) + F.pow(c - 0.07 * F.cos(2 * angle), 2)),
+        "folded_layers": lambda: c - 0.27 * F.sin(PI * a) * F.cos(PI * b) - 0.10 * a * b + 0.04 * F.sin(3 * PI * b),
+    }
+    if name in scores:
+        return by_score(df, scores[name](), k, half_open=True, method=8), ordered_adjacency(k)
+    if name == "thin_folded_sheets":
+        folded = c - 0.20 * F.sin(PI * a) * F.cos(PI * b) - 0.06 * a * b
+        return _edge(bands(df, [F.abs(folded - v) for v in spread(-0.50, 0.50, k - 1)], 0.055), 0.055), background_adjacency(k)
+    if name == "branching_tubes":
+        return _edge(bands(df, _tube_distances(k, _branch), 0.145), 0.145), background_adjacency(k)
+    if name == "helical_channels":
+        return _edge(bands(df, _tube_distances(k, _helix), 0.125), 0.125), background_adjacency(k)
+    away = [reduce(lambda s, t: s + t, [F.pow((F.col(n) - v) / w, 2) for n, v, w in zip("xyz", m, q, strict=True)]) for m, q in zip(VOLUME_CENTRES, VOLUME_SCALES, strict=True)]
+    done = by_nearest(df, away).withColumns({"code": (F.col("near") - 1) % k + 1, "boundary_proximity": F.col("d2") - F.col("d1")})
+    return done, complete_adjacency(k)
+
+
+VOLUMES = {"Concentric shells": "concentric_shells", "Warped ellipsoids": "warped_ellipsoids", "Toroidal compartments": "toroidal_compartments", "Folded layers": "folded_layers", "Thin folded sheets": "thin_folded_sheets", "Branching tubes": "branching_tubes", "Disconnected volumes": "disconnected_volumes", "Helical channels": "helical_channels"}
+ACQUISITIONS = ("uniform", "class_imbalanced", "irregular_z")
+
+
+def ball(spark: SparkSession, n: int, acquisition: str, seed: int) -> DataFrame:
+    """The first n of enough points of a cube that lie in an ellipsoid, ids 0 to n - 1; irregular_z: near eight planes."""
+    draws = spark.range(int(2.8 * n) + 4000).withColumns({"x": uniform(seed, "x", "id") * 2 - 1, "y": uniform(seed, "y", "id") * 2 - 1})
+    if acquisition == "irregular_z":
+        u = uniform(seed, "plane", "id")
+        edges = [sum(PLANE_SHARES[: i + 1]) for i in range(len(PLANES) - 1)]
+        plane = F.element_at(F.array(*map(F.lit, PLANES)), reduce(lambda s, t: s + t, [(u >= e).cast("int") for e in edges]) + 1)
+        draws = draws.withColumn("z", plane + 0.012 * normal(seed, "z", "id"))
+    else:
+        draws = draws.withColumn("z", uniform(seed, "z", "id") * 2 - 1)
+    inside = draws.where(F.pow("x", F.lit(2)) + F.pow(F.col("y") / 0.96, F.lit(2)) + F.pow(F.col("z") / 0.92, F.lit(2)) <= 1)
+    from fieldmend.operators.sampling import ranked
+
+    return ranked(inside, F.col("id"), out="place").where(F.col("place") <= n).withColumn("id", F.col("place") - 1).drop("place")
+
+
+def volumetric_domains(spark: SparkSession, n: int = 50_000, shape: str = "concentric_shells", acquisition: str = "uniform", noise_type: str = "random", noise: float = 0.25, k: int = 5, samples: int = 1, seed: int = 1) -> DataFrame:
+    """One of eight volumes; replacement labels come from classes that touch. Each specimen is turned and set apart."""
+    check_arguments(n, k, samples, noise)
+    shape = VOLUMES.get(shape, shape)
+    if shape not in VOLUMES.values() or acquisition not in ACQUISITIONS:
+        raise ValueError(f"Unknown volumetric shape or acquisition: {shape}, {acquisition}")
+    weights = class_weights("strong", k, seed) if acquisition == "class_imbalanced" else None
+    df, adjacency = _volume(shape, ball(spark, n if weights is None else 6 * n, acquisition, seed), k)
+    made = named(numbered(thinned(df, n, k, weights, False, seed, 3), samples), "domain").select("sample", "s", "id", "x", "y", "z", "truth", "boundary_proximity")
+    tz, ty = uniform(seed, "turn.z", "s") * PI / 3 - PI / 6, uniform(seed, "turn.y", "s") * PI / 3 - PI / 6
+    made = made.withColumns({"cz": F.cos(tz), "sz": F.sin(tz), "cy": F.cos(ty), "sy": F.sin(ty)})
+    tx = F.col("x") * F.col("cz") + F.col("y") * F.col("sz")
+    turned = made.withColumns({"bx": tx, "by": F.col("y") * F.col("cz") - F.col("x") * F.col("sz")})
+    moved = turned.select("sample", "id", (F.col("bx") * F.col("cy") - F.col("z") * F.col("sy") + 2.35 * F.col("s")).alias("x"), F.col("by").alias("y"), (F.col("bx") * F.col("sy") + F.col("z") * F.col("cy")).alias("z"), "truth", "boundary_proximity")
+    names = [f"domain{i + 1}" for i in range(k)]
+    near = {f"domain{c}": [f"domain{d}" for d in ds] for c, ds in adjacency.items()}
+    done = corrupt_field(moved, noise_type, noise, names, 3, seed)
+    choices = F.element_at(F.create_map(*(v for c, ds in near.items() for v in (F.lit(c), F.array(*map(F.lit, ds))))), F.col("truth"))
+    label = F.when(F.col("corrupted"), F.element_at(choices, pick(seed, "near", F.size(choices), "id") + 1)).otherwise(F.col("truth"))
+    return finish(done.withColumn("label", label), "domain", names)
+
+
+def self_check(field: DataFrame, noise: float, k: int) -> None:
+    """Raises where coordinates are not finite, a class is missing, or the share of wrong labels is not the noise."""
+    found = field.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("truth").alias("k"), F.avg((F.col("label") != F.col("truth")).cast("double")).alias("rate"), F.count_if(F.isnan("x") | F.isnan("y")).alias("bad")).first()
+    if found.bad or found.k != k or abs(found.rate - noise) > 1 / found.n + 1e-12:
+        raise ValueError("simulated field fails its own checks")

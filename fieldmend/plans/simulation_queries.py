@@ -1,0 +1,305 @@
+"""Queries of random draws, sampling, corruption, simulators and paired statistics, with SQL."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from fieldmend.operators import corruption, masks, metrics, sampling, simulate, statistics
+from fieldmend.operators.knn import nearest
+from fieldmend.plans import fields
+from fieldmend.plans.graph_queries import FACES, edges_sql, triple, TRIPLE, u_sql
+from fieldmend.plans.registry import query, rounded, table
+
+PI = repr(math.pi)
+MASK = f"m AS ({fields.CELLS}), {FACES}"
+CELL_ID = "(r - 1) + (c - 1) * 50 + 1"
+COUNT = "least((SELECT count(*) FROM k) - 1, greatest(1, round_even(0.15 * (SELECT count(*) FROM k), 0)))"
+
+
+def n_sql(seed: int, stream: str, id_: str) -> str:
+    return f"(sqrt(-2.0 * ln(1.0 - {u_sql(seed, stream + '.r', id_)})) * cos({2 * math.pi!r} * {u_sql(seed, stream + '.a', id_)}))"
+
+
+CORRUPT = f"""WITH {MASK}, cls AS (SELECT list(DISTINCT value ORDER BY value) AS all_ FROM m WHERE value IS NOT NULL),
+edge AS (SELECT r, c, bool_or(coalesce(there AND other <> value, false)) AS b FROM n GROUP BY ALL),
+near AS (SELECT r, c, list(other ORDER BY t) AS near FROM (SELECT r, c, other, min(turn) AS t FROM n WHERE other IS NOT NULL AND other <> value GROUP BY ALL) GROUP BY ALL),
+k AS (SELECT mask_id, r, c, {CELL_ID} AS id, value, b, coalesce(near, []) AS near, list_filter(all_, lambda v: v <> value) AS others FROM m JOIN edge USING (r, c) LEFT JOIN near USING (r, c), cls WHERE value IS NOT NULL)"""
+OTHER = f"others[CAST(least(floor({u_sql(1, 'other', 'id')} * len(others)), len(others) - 1) AS INTEGER) + 1]"
+NEAR = f"CASE WHEN len(near) > 0 THEN near[CAST(least(floor({u_sql(1, 'near', 'id')} * len(near)), len(near) - 1) AS INTEGER) + 1] ELSE {OTHER} END"
+#: No class of this mask is small enough to be selected as a whole, so the first rows are the selection.
+PICK = "SELECT m.mask_id, m.r, m.c, m.value, coalesce(CASE WHEN rk <= {count} THEN new END, m.value) AS corrupted FROM m LEFT JOIN s USING (r, c)"
+
+
+@query("q_corrupt_impulse", f"{CORRUPT}, s AS (SELECT r, c, {OTHER} AS new, row_number() OVER (ORDER BY {u_sql(1, 'order', 'id')}, id) AS rk FROM k) {PICK.format(count=COUNT)}")
+def q_corrupt_impulse(spark, d):
+    return corruption.corrupt_mask(fields.mask(spark, d), "impulse")
+
+
+@query("q_corrupt_boundary", f"{CORRUPT}, s AS (SELECT r, c, {NEAR} AS new, row_number() OVER (ORDER BY b DESC, {u_sql(1, 'order', 'id')}, id) AS rk FROM k) {PICK.format(count=COUNT)}")
+def q_corrupt_boundary(spark, d):
+    return corruption.corrupt_mask(fields.mask(spark, d), "boundary")
+
+
+@query(
+    "q_corrupt_patch",
+    f"""{CORRUPT}, ctr AS (SELECT r AS cr, c AS cc, coalesce(near[1], (SELECT min(value) FROM m)) AS target FROM k ORDER BY {u_sql(1, 'order', 'id')}, id LIMIT 1),
+s AS (SELECT r, c, target AS new, row_number() OVER (ORDER BY (r - cr) * (r - cr) + (c - cc) * (c - cc), {u_sql(1, 'order', 'id')}, id) AS rk FROM k, ctr WHERE value <> target) {PICK.format(count=COUNT)}""",
+)
+def q_corrupt_patch(spark, d):
+    return corruption.corrupt_mask(fields.mask(spark, d), "patch")
+
+
+@query("q_anchors", f"WITH p AS ({fields.ORD}) SELECT sample, code AS truth, id FROM p QUALIFY row_number() OVER (PARTITION BY sample, code ORDER BY y DESC, id) = 1")
+def q_anchors(spark, d):
+    points = fields.orders(spark, d).withColumnRenamed("code", "truth")
+    return corruption.anchors(points, "y").where("anchor").select("sample", "truth", "id")
+
+
+@query("q_anchor_check", f"WITH t AS ({TRIPLE}) SELECT sample, truth, bool_or(refined = truth) AS held FROM t GROUP BY ALL")
+def q_anchor_check(spark, d):
+    return corruption.check_anchors(triple(spark, d), "refined")
+
+
+@query(
+    "q_select_preserving",
+    f"""WITH p AS (SELECT 'all' AS sample, c_custkey AS id, c_nationkey AS truth FROM customer), cut AS (SELECT CAST(floor(0.97 * count(*)) AS BIGINT) AS m FROM p),
+a AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY id) = 1 AS anchor, row_number() OVER (ORDER BY {u_sql(5, 'order', 'id')}, id) AS rk FROM p),
+g AS (SELECT a.*, rk <= m AS first, count(*) FILTER (rk <= m) OVER (PARTITION BY truth) AS n_in, count(*) OVER (PARTITION BY truth) AS n_all FROM a, cut),
+h AS (SELECT *, anchor AND first AND n_in = n_all AS back, NOT first AND row_number() OVER (PARTITION BY truth, first ORDER BY rk) <= n_all - n_in - 1 AS spare FROM g),
+t AS (SELECT *, row_number() OVER (PARTITION BY spare ORDER BY rk) AS k FROM h)
+SELECT id, truth, anchor, (first AND NOT back) OR (spare AND k <= (SELECT count(*) FROM h WHERE back)) AS selected FROM t""",
+)
+def q_select_preserving(spark, d):
+    from fieldmend.functions.rng import uniform
+
+    points = table(spark, d, "customer").select(F.lit("all").alias("sample"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("truth"))
+    count = int(0.97 * points.count())
+    return corruption.select_preserving(points, count, [uniform(5, "order", "id"), F.col("id")]).select("id", "truth", "anchor", "selected")
+
+
+@query("q_global_rank", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rank FROM orders")
+def q_global_rank(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    return sampling.ranked(orders, F.col("o_totalprice"), F.col("id")).select("id", "rank")
+
+
+WKEY = "round(-ln(1.0 - {u}) / w, 12)"
+
+
+@query("q_sample_uniform", f"SELECT c_custkey AS id FROM customer ORDER BY {u_sql(2, 'sample', 'c_custkey')}, c_custkey LIMIT 100")
+def q_sample_uniform(spark, d):
+    return sampling.uniform_sample(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 100, 2)
+
+
+@query("q_sample_weighted", f"SELECT id FROM (SELECT o_orderkey AS id, o_totalprice AS w FROM orders) ORDER BY {WKEY.format(u=u_sql(2, 'weighted', 'id'))}, id LIMIT 500")
+def q_sample_weighted(spark, d):
+    return sampling.weighted_sample(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), 500, F.col("o_totalprice"), 2).select("id")
+
+
+@query(
+    "q_sample_stratified",
+    f"""WITH p AS (SELECT *, y AS w FROM ({fields.ORD})), k AS (SELECT id, code, {WKEY.format(u=u_sql(2, 'weighted', 'id'))} AS key, row_number() OVER (PARTITION BY code ORDER BY {u_sql(2, 'minimum', 'id')}, id) <= 40 AS first FROM p)
+SELECT id, code FROM k ORDER BY first DESC, key, id LIMIT 400""",
+)
+def q_sample_stratified(spark, d):
+    return sampling.stratified_sample(fields.orders(spark, d), 400, 40, ["code"], F.col("y"), 2).select("id", "code")
+
+
+# Scores of "methods" over "conditions": mean prices by status over months.
+SCORES = "SELECT date_diff('month', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS id, o_orderstatus AS method, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL"
+
+
+def scores(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    month = ((F.year(day) - 1992) * 12 + F.month(day) - 1).cast("long")
+    return table(spark, d, "orders").groupBy(month.alias("id"), F.col("o_orderstatus").alias("method")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+
+
+def full_scores(spark, d):
+    """The conditions in which all three methods have a score."""
+    s = scores(spark, d)
+    whole = s.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("id")
+    return s.join(whole, "id", "left_semi")
+
+
+FULL = f"s0 AS ({SCORES}), s AS (SELECT * FROM s0 WHERE id IN (SELECT id FROM s0 GROUP BY id HAVING count(*) = 3))"
+
+
+@query("q_rank_average", f"WITH {FULL} SELECT id, method, value, rank() OVER (PARTITION BY id ORDER BY value DESC) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0 AS rank FROM s")
+def q_rank_average(spark, d):
+    return metrics.average_rank(full_scores(spark, d), ["id"], "value")
+
+
+@query("q_pivot_methods", f"WITH {FULL} SELECT id, max(CASE WHEN method = 'F' THEN value END) AS F, max(CASE WHEN method = 'O' THEN value END) AS O, max(CASE WHEN method = 'P' THEN value END) AS P FROM s GROUP BY id")
+def q_pivot_methods(spark, d):
+    return statistics.wide(full_scores(spark, d), "id", ["F", "O", "P"])
+
+
+@query(
+    "q_win_rates",
+    f"WITH {FULL} SELECT b.method, count(*) AS n, round(avg((a.value > b.value)::INT), 6) AS win, round(avg((a.value = b.value)::INT), 6) AS tie, round(avg((a.value < b.value)::INT), 6) AS loss, round(avg(a.value - b.value), 4) AS mean_difference FROM s a JOIN s b USING (id) WHERE a.method = 'F' AND b.method <> 'F' GROUP BY b.method",
+)
+def q_win_rates(spark, d):
+    return rounded(rounded(statistics.win_rates(full_scores(spark, d), "id", "F"), "win", "tie", "loss"), "mean_difference", digits=4)
+
+
+@query(
+    "q_friedman",
+    f"""WITH {FULL}, r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY value DESC) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0 AS rk FROM s),
+t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM r GROUP BY id, value)), m AS (SELECT method, sum(rk) AS rs, count(*) AS n FROM r GROUP BY method),
+q AS (SELECT 12 * sum((rs - n * 2.0) ^ 2) / (max(n) * 12 - (SELECT ties FROM t) / 2.0) AS x FROM m)
+SELECT round(x, 6) AS statistic, 2 AS df, round(exp(-x / 2), 6) AS p_value FROM q""",
+)
+def q_friedman(spark, d):
+    return rounded(statistics.friedman(full_scores(spark, d), "id"), "statistic", "p_value")
+
+
+@query(
+    "q_signed_ranks",
+    f"""WITH {FULL}, d AS (SELECT a.method AS a, b.method AS b, round(a.value - b.value, 12) AS d FROM s a JOIN s b USING (id) WHERE a.method < b.method AND round(a.value - b.value, 12) <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS rk FROM d)
+SELECT a, b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS DOUBLE) AS v FROM r GROUP BY ALL""",
+)
+def q_signed_ranks(spark, d):
+    return statistics.wilcoxon_holm(full_scores(spark, d), "id").select("a", "b", "n", "v")
+
+
+@query("q_holm")
+def q_holm(spark, d):
+    return rounded(statistics.wilcoxon_holm(full_scores(spark, d), "id"), "p_value", "p_holm")
+
+
+BOOT = f"""WITH x AS (SELECT id, value, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS size FROM ({SCORES}) WHERE method = 'F'),
+dr AS (SELECT rep, CAST(least(floor({u_sql(4, 'boot', "CAST(rep AS VARCHAR) || '-' || CAST(id AS VARCHAR)")} * size), size - 1) AS BIGINT) AS place FROM x, range(1, 201) t(rep)),
+b AS (SELECT rep, avg(value) AS mean FROM dr JOIN x USING (place) GROUP BY rep)"""
+
+
+@query("q_bootstrap_ci", f"{BOOT} SELECT round(quantile_cont(mean, 0.025), 4) AS lower, round(quantile_cont(mean, 0.975), 4) AS upper FROM b")
+def q_bootstrap_ci(spark, d):
+    means = sampling.bootstrap(scores(spark, d).where("method = 'F'"), "value", 200, 4)
+    return rounded(sampling.percentile_interval(means), "lower", "upper", digits=4)
+
+
+EV = "SELECT CAST(user_id % 4 AS VARCHAR) AS sample, event_id AS id, CAST(epoch(ts) AS DOUBLE) AS x, value AS y, event_type AS label FROM events"
+
+
+def event_points(spark, d):
+    return table(spark, d, "events").select((F.col("user_id") % 4).cast("string").alias("sample"), F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("x"), F.col("value").cast("double").alias("y"), F.col("event_type").alias("label"))
+
+
+@query(
+    "q_grid_windows",
+    f"""WITH p AS ({EV.replace('CAST(epoch(ts) AS DOUBLE)', 'CAST(floor(epoch(ts)) AS DOUBLE)')}), b AS (SELECT sample, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p GROUP BY sample),
+g AS (SELECT sample, CAST(least(floor((x - lx) / greatest(hx - lx, 1e-12) * 8), 7) AS INTEGER) AS gx, CAST(least(floor((y - ly) / greatest(hy - ly, 1e-12) * 6), 5) AS INTEGER) AS gy, label, count(*) AS c FROM p JOIN b USING (sample) GROUP BY ALL)
+SELECT sample, gx, gy, CAST(sum(c) AS BIGINT) AS n, round(-sum(greatest(c / n, 1e-12) * ln(greatest(c / n, 1e-12))), 6) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY sample, gx, gy) AS n FROM g) WHERE n >= 20 GROUP BY ALL""",
+)
+def q_grid_windows(spark, d):
+    return rounded(statistics.grid_windows(event_points(spark, d), least=20), "entropy")
+
+
+@query(
+    "q_adjacent_label",
+    f"""WITH {edges_sql(fields.EMB, 3, 8)}, v AS (SELECT e.sample, src AS id, rank, q.code AS vote, p.code FROM e JOIN pts q ON q.sample = e.sample AND q.id = e.dst JOIN pts p ON p.sample = e.sample AND p.id = e.src)
+SELECT sample, id, bool_or(vote <> code) AS boundary, CAST(arg_min(vote, rank) FILTER (vote <> code) AS INTEGER) AS adjacent FROM v GROUP BY ALL""",
+)
+def q_adjacent_label(spark, d):
+    points = fields.embeddings(spark, d)
+    return statistics.adjacent_labels(nearest(points, 3, 8), points)
+
+
+@query("q_duplicates", f"SELECT sample, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT sample, x, y, count(*) AS n FROM ({fields.PART}) GROUP BY ALL) GROUP BY sample")
+def q_duplicates(spark, d):
+    from fieldmend.sources.points import clean_points
+
+    return clean_points(fields.parts(spark, d).withColumn("label", F.lit("a")), 2)[1]
+
+
+# Simulators: 2,000 points each.
+N = 2000
+ID = "CAST(id AS BIGINT) AS id"
+TISSUE = f"""p0 AS (SELECT range AS id, ({u_sql(1, 'theta', 'range')} * 2 - 1) * {PI} AS theta FROM range({N})),
+p1 AS (SELECT *, sqrt({u_sql(1, 'radius', 'id')}) * (1 + 0.14 * sin(3 * theta) + 0.07 * cos(5 * theta)) AS radius FROM p0),
+p AS (SELECT *, radius * cos(theta) AS x, 0.82 * radius * sin(theta) AS y FROM p1)"""
+SHIFT = ", ".join(f"round({a} + ({u_sql(1, 'shift.' + a, '0')} * 0.16 - 0.08), 6) AS {a}" for a in "xy")
+
+
+def _tissue(name: str, pattern: str, score: str | None = None, phase: str | None = None):
+    if score:
+        made = f"""q AS (SELECT *, {score} AS score FROM p), c AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS cuts, max(score) - min(score) AS range_ FROM q),
+t AS (SELECT q.*, 1 + len(list_filter(cuts, lambda v: v < score)) AS code, least(0.5, list_min([abs(score - v) for v in cuts]) / (range_ / 5)) AS near FROM q, c)"""
+    else:
+        made = f"q AS (SELECT *, ((({phase}) % {2 * math.pi!r}) + {2 * math.pi!r}) % {2 * math.pi!r} / {2 * math.pi!r} AS ph FROM p), t AS (SELECT *, least(5, CAST(floor(ph * 5) AS INTEGER) + 1) AS code, least((ph * 5) % 1, 1 - (ph * 5) % 1) AS near FROM q)"
+
+    @query(name, f"WITH {TISSUE}, {made} SELECT 'sample1' AS sample, {ID}, {SHIFT}, 'domain' || CAST(code AS INTEGER) AS truth, near <= quantile_cont(near, 0.2) OVER () AS boundary FROM t")
+    def run(spark, d):
+        return rounded(simulate.spatial_domains(spark, N, pattern, noise=0.0), "x", "y").select("sample", "id", "x", "y", "truth", "boundary")
+
+
+_tissue("q_sim_stripes", "jagged_stripes", score=f"x + 0.23 * sin({6 * math.pi!r} * y) + 0.10 * sin({13 * math.pi!r} * y)")
+_tissue("q_sim_wavy", "wavy_layers", score=f"y + 0.30 * sin({2.4 * math.pi!r} * x) - 0.10 * cos({7 * math.pi!r} * x)")
+_tissue("q_sim_rings", "rings", score="radius + 0.055 * sin(9 * theta)")
+_tissue("q_sim_spiral", "spiral", phase=f"theta + 3.8 * radius + {PI}")
+_tissue("q_sim_branching", "branching", phase=f"theta + {PI} + 0.75 * radius * sin(3 * theta)")
+
+CX, CY = (", ".join(repr(4.5 * f(2 * math.pi * i / 5)) for i in range(5)) for f in (math.cos, math.sin))
+
+
+@query(
+    "q_sim_clusters",
+    f"""WITH p AS (SELECT range AS id, CAST(least(floor({u_sql(1, 'class', 'range')} * 5), 4) AS INTEGER) + 1 AS code FROM range({N})),
+q AS (SELECT *, [{CX}][code] + 0.45 * {n_sql(1, 'at.x', 'id')} AS lx, [{CY}][code] + 0.45 * {n_sql(1, 'at.y', 'id')} AS ly FROM p),
+t AS (SELECT *, list_sort([sqrt((lx - [{CX}][k]) ^ 2 + (ly - [{CY}][k]) ^ 2) for k in range(1, 6)]) AS d FROM q)
+SELECT 'sample1' AS sample, {ID}, round(lx + {u_sql(1, 'shift.x', '0')} * 2 - 1, 6) AS x, round(ly + {u_sql(1, 'shift.y', '0')} * 2 - 1, 6) AS y, 'cluster' || code AS truth, round(d[2] - d[1], 6) AS boundary_proximity FROM t""",
+)
+def q_sim_clusters(spark, d):
+    return rounded(simulate.spatial_clusters(spark, N, noise=0.0), "x", "y", "boundary_proximity").select("sample", "id", "x", "y", "truth", "boundary_proximity")
+
+
+@query(
+    "q_sim_gradient",
+    f"""WITH p AS (SELECT range AS id, {u_sql(1, 'x', 'range')} AS x, {u_sql(1, 'y', 'range')} AS y FROM range({N})),
+q AS (SELECT *, y + 0.04 * sin({2 * math.pi!r} * x + {2 * math.pi!r} * {u_sql(1, 'phase', '0')}) AS score FROM p), c AS (SELECT quantile_cont(score, [0.25, 0.5, 0.75]) AS cuts FROM q),
+t AS (SELECT *, 1 + len(list_filter(cuts, lambda v: v <= score)) AS area FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY {u_sql(1, 'minority', 'id')}, id) <= round_even(0.05 * count(*) OVER (PARTITION BY area), 0) AS hit FROM t)
+SELECT 'sample1' AS sample, {ID}, round(x, 6) AS x, round(y, 6) AS y, ['A', 'B', 'B', 'C'][area] AS truth, 'area' || area AS region, CASE WHEN hit THEN ['B', 'A', 'C', 'B'][area] ELSE ['A', 'B', 'B', 'C'][area] END AS label, hit AS corrupted FROM r""",
+)
+def q_sim_gradient(spark, d):
+    return rounded(simulate.gradient_regions(spark, N), "x", "y").select("sample", "id", "x", "y", "truth", "region", "label", "corrupted")
+
+
+VX, VY = ([c[i] for c in simulate.MOSAIC_CENTRES] for i in (0, 1))
+
+
+@query(
+    "q_sim_voronoi",
+    f"""WITH p AS (SELECT range AS id, sqrt({u_sql(1, 'r', 'range')}) * cos({2 * math.pi!r} * {u_sql(1, 't', 'range')}) AS x, 0.88 * sqrt({u_sql(1, 'r', 'range')}) * sin({2 * math.pi!r} * {u_sql(1, 't', 'range')}) AS y FROM range({N})),
+q AS (SELECT *, [(x - {VX}[k]) ^ 2 + (y - {VY}[k]) ^ 2 for k in range(1, 6)] AS d FROM p) SELECT 'sample1' AS sample, {ID}, round(x, 6) AS x, round(y, 6) AS y, 'domain' || list_position(d, list_min(d)) AS truth FROM q""",
+)
+def q_sim_voronoi(spark, d):
+    return rounded(simulate.complex_domains(spark, N, "voronoi_mosaic", noise=0.0), "x", "y").select("sample", "id", "x", "y", "truth")
+
+
+@query("q_sim_shells3d")
+def q_sim_shells3d(spark, d):
+    return simulate.complex_domains(spark, N, "shells_3d", noise=0.2)
+
+
+BALL = f"""b0 AS (SELECT range AS i, {u_sql(1, 'x', 'range')} * 2 - 1 AS x, {u_sql(1, 'y', 'range')} * 2 - 1 AS y, {u_sql(1, 'z', 'range')} * 2 - 1 AS z FROM range({int(2.8 * N) + 4000})),
+p AS (SELECT row_number() OVER (ORDER BY i) - 1 AS id, x, y, z FROM b0 WHERE x ^ 2 + (y / 0.96) ^ 2 + (z / 0.92) ^ 2 <= 1 QUALIFY row_number() OVER (ORDER BY i) <= {N})"""
+PHASES = [2 * math.pi * i / 4 for i in range(4)]
+
+
+@query(
+    "q_sim_helical",
+    f"""WITH {BALL}, q AS (SELECT *, [sqrt((0.44 * (0.85 - 0.10 * z * z) * cos({2.4 * math.pi!r} * z + ph) - x) ^ 2 + (0.44 * (0.85 - 0.10 * z * z) * sin({2.4 * math.pi!r} * z + ph) - y) ^ 2) for ph in {PHASES}] AS d FROM p)
+SELECT 'sample1' AS sample, {ID}, 'domain' || CASE WHEN list_min(d) < 0.125 THEN list_position(d, list_min(d)) + 1 ELSE 1 END AS truth, round(abs(list_min(d) - 0.125), 6) AS boundary_proximity FROM q""",
+)
+def q_sim_helical(spark, d):
+    return rounded(simulate.volumetric_domains(spark, N, "helical_channels", noise=0.0), "boundary_proximity").select("sample", "id", "truth", "boundary_proximity")
+
+
+@query("q_sim_shells_volume")
+def q_sim_shells_volume(spark, d):
+    return simulate.volumetric_domains(spark, N, "Concentric shells", "irregular_z", "boundary", 0.2, samples=2)
