@@ -150,8 +150,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each personal-data span of the text replaced by its kind in brackets; of overlapping spans the
     one that starts first. All columns stay."""
-    spans = F.coalesce(F.col("fm_spans"), F.array().cast("array<struct<start:int,end:int,kind:string>>"))
-    text = docs.columns
+    spans = F.col("fm_spans")
+    columns = docs.columns
     for k, kind in enumerate(KINDS):
         docs = docs.withColumn(f"fm_{kind}", F.when(F.col("text").isNotNull(), scored(F.col("text"), kind, k)))
     added = [F.filter(f"fm_{kind}", lambda x: x["score"] >= THRESHOLD) for kind in KINDS[4:]]
@@ -166,4 +166,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     whole = F.concat(done["out"], F.substr(F.col("text"), done["at"] + 1, F.length("text")))
-    return docs.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))).select(*text)
+    return docs.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))).select(*columns)
