@@ -12,6 +12,9 @@ from fieldmend.session import cut
 
 
 def _votes(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """Edges with the label of dst, which they may have brought along (knn.nearest with carry)."""
+    if "vote" in edges.columns:
+        return edges
     return edges.join(points.select("sample", F.col("id").alias("dst"), F.col("code").alias("vote")), ["sample", "dst"])
 
 

@@ -2,77 +2,130 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmend.functions.geometry import axes
+from fieldmend.session import cut
 
 EDGE = ["sample", "src", "dst", "d2", "rank"]
-#: Below so many points a specimen is joined with itself.
-SMALL = 600
-
-
-def _d2(dims: int) -> Column:
-    return reduce(lambda s, x: s + x, [(F.col(a) - F.col(f"b{a}")) * (F.col(a) - F.col(f"b{a}")) for a in axes(dims)])
-
-
-def _ranked(pairs: DataFrame, dims: int, k: Column | int) -> DataFrame:
-    order = Window.partitionBy("sample", "src").orderBy("d2", "dst")
-    return pairs.withColumn("d2", _d2(dims)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def nearest(points: DataFrame, dims: int, k: int) -> DataFrame:
+#: Points of a cell, on average; distances held at once by a task.
+CELL, MATRIX = 256, 2_000_000
+
+
+def k_nearest(src: np.ndarray, ids: np.ndarray, at: np.ndarray, dst: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and squared distance of each row's k nearest columns, by (distance, id) and but itself. dst ascend."""
+    rows, cols, dist = [], [], []
+    step = max(1, MATRIX // max(1, len(dst)))
+    for a in range(0, len(src), step):
+        d2 = reduce(lambda s, t: s + t, [(src[a : a + step, j, None] - at[None, :, j]) ** 2 for j in range(src.shape[1])])
+        d2[ids[a : a + step, None] == dst[None, :]] = np.inf
+        most = min(int(k[a : a + step].max()), len(dst))
+        if most < 1:
+            continue
+        bound = np.partition(d2, most - 1, axis=1)[:, most - 1]
+        r, c = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+        v = d2[r, c]
+        order = np.lexsort((c, v, r))
+        r, c, v = r[order], c[order], v[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = rank < k[a : a + step][r]
+        rows.append(r[keep] + a)
+        cols.append(c[keep])
+        dist.append(v[keep])
+    if not rows:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+
+
+SCHEMA = "sample string, src long, dst long, d2 double, rank int, vote long"
+
+
+def _solver(names: tuple[str, ...], scale: float, final: bool):
+    """For a cell's points (left) and those of its neighbourhood (right): the edges of the points that are done."""
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})
+        right = right.sort_values("o_id", kind="stable")
+        at, ids = right[[f"o_{a}" for a in names]].to_numpy(float), right["o_id"].to_numpy(np.int64)
+        src, own, want = left[list(names)].to_numpy(float), left["id"].to_numpy(np.int64), left["k"].to_numpy(int)
+        r, c, v = k_nearest(src, own, at, ids, want)
+        if not final:
+            low, w = left[[f"lo{a}" for a in names]].to_numpy(float), left[[f"w{a}" for a in names]].to_numpy(float) * scale
+            g = left[[f"g{a}" for a in names]].to_numpy(float)
+            # Beyond the neighbouring cells nothing is nearer than this; less a hair for rounding.
+            edge = np.minimum(src - low - (g - 1) * w, (g + 2) * w - (src - low)).min(axis=1) * (1 - 1e-9)
+            far = np.zeros(len(left))
+            np.maximum.at(far, r, v)
+            good = (np.bincount(r, minlength=len(left)) >= want) & (edge > 0) & (far < edge * edge)
+            keep = good[r]
+            r, c, v = r[keep], c[keep], v[keep]
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        vote = right["o_vote"].to_numpy()[c]
+        return pd.DataFrame({"sample": pd.Series([left["sample"].iloc[0]] * len(r), dtype=object), "src": own[r], "dst": ids[c], "d2": v, "rank": rank.astype("int32"), "vote": vote})
+
+    return solve
+
+
+def nearest(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
     """Edges (sample, src, dst, d2, rank) to the k nearest other points of the specimen, by (d2, dst); k is the
-    specimen's size less one where that is smaller.
+    specimen's size less one where that is smaller. carry names a whole-number column of points that comes along from
+    dst, as vote.
 
-    Specimens are laid out in grids of about k points to two cells. Cells are joined with their neighbours; a point
-    whose k-th neighbour is no farther than the edge of these cells is done. The others go on with cells of twice the
-    width, until a specimen is a block of cells. Specimens of at most SMALL points are joined as wholes.
+    Each specimen is laid out in a grid of about CELL points a cell. Spark deals the cells; a task holds one with its
+    neighbouring cells and works out distances in blocks. A point whose k-th neighbour is no farther than the edge of
+    these cells is done. The others go on with cells of twice the width, until one cell is a specimen. Of the points at
+    one place the k + 1 with the smallest ids are enough to choose from, so piles of points cost no more.
     """
     names = axes(dims)
-    points = points.select("sample", "id", *(F.col(a).cast("double").alias(a) for a in names))
+    vote = F.col(carry).cast("long") if carry else F.lit(None).cast("long")
+    points = points.select("sample", "id", vote.alias("vote"), *(F.col(a).cast("double").alias(a) for a in names))
     box = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{p}{a}") for a in names for p, f in (("lo", F.min), ("hi", F.max))))
-    span = F.greatest(*(F.col(f"hi{a}") - F.col(f"lo{a}") for a in names))
-    # Cells a side: n / cells^dims = k / 2 points each.
-    side = F.greatest(F.lit(1.0), F.floor(F.pow(2.0 * F.col("n") / k, F.lit(1.0 / dims))))
-    box = box.withColumn("width", F.when(F.col("n") <= SMALL, F.lit(None)).otherwise(F.greatest(span, F.lit(1e-12)) / side)).withColumn("span", span)
-    todo = points.join(box.select("sample", "n", "width", "span", *(f"lo{a}" for a in names)), "sample").withColumn("k", F.least(F.lit(k), F.col("n") - 1))
-    all_ = todo
-    done = []
-    whole = todo.where(F.col("width").isNull())
-    pairs = whole.select("sample", F.col("id").alias("src"), "k", *names).join(whole.select("sample", F.col("id").alias("dst"), *(F.col(a).alias(f"b{a}") for a in names)), "sample").where("src <> dst")
-    done.append(_ranked(pairs, dims, F.col("k")).select(*EDGE))
-    todo = todo.where(F.col("width").isNotNull())
-    levels = 0
-    top = box.where("width is not null").agg(F.max(F.col("span") / F.col("width"))).first()[0]
-    while top is not None:
-        scale = float(1 << levels)
-        cell = lambda a, s=scale: F.floor((F.col(a) - F.col(f"lo{a}")) / (F.col("width") * s))
-        here = todo.select("sample", F.col("id").alias("src"), "k", (F.col("width") * scale).alias("w"), *names, *(f"lo{a}" for a in names), *(cell(a).alias(f"c{a}") for a in names))
+    span = F.greatest(*(F.col(f"hi{a}") - F.col(f"lo{a}") for a in names), F.lit(1e-12))
+    side = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") / float(max(CELL, 2 * k)), F.lit(1.0 / dims))))
+    # The widths differ by axis, so that a long specimen has long cells.
+    width = {a: F.greatest(F.col(f"hi{a}") - F.col(f"lo{a}"), span * 1e-9) * (1 + 1e-12) / side for a in names}
+    grid = box.select("sample", "n", side.cast("double").alias("side"), *(F.col(f"lo{a}") for a in names), *(width[a].alias(f"w{a}") for a in names))
+    placed = points.join(grid, "sample").withColumn("k", F.least(F.lit(k), F.col("n") - 1).cast("int"))
+    pile = Window.partitionBy("sample", *names).orderBy("id")
+    offered = placed.withColumn("fm_pile", F.row_number().over(pile)).where(F.col("fm_pile") <= k + 1).drop("fm_pile")
+
+    def cell(a: str, scale: float):
+        return F.floor((F.col(a) - F.col(f"lo{a}")) / (F.col(f"w{a}") * scale)).cast("long")
+
+    done, todo, scale = [], placed, 1.0
+    most = box.agg(F.max(side)).first()[0]
+    while most is not None:
+        final = scale >= most
+        keys = ["sample", *(f"g{a}" for a in names)]
+        here = todo.select("sample", "id", "k", *names, *(f"lo{a}" for a in names), *(f"w{a}" for a in names), *(cell(a, scale).alias(f"g{a}") for a in names))
+        there = offered.select("sample", "id", "vote", *names, *(cell(a, scale).alias(f"c{a}") for a in names))
         for a in names:
-            here = here.withColumn(f"g{a}", F.explode(F.array(*(F.col(f"c{a}") + d for d in (-1, 0, 1)))))
-        there = all_.where(F.col("width").isNotNull()).select("sample", F.col("id").alias("dst"), *(F.col(a).alias(f"b{a}") for a in names), *(cell(a).alias(f"g{a}") for a in names))
-        met = _ranked(here.join(there, ["sample", *(f"g{a}" for a in names)]).where("src <> dst"), dims, F.col("k"))
-        # Beyond the neighbouring cells nothing is nearer than this.
-        edge = F.least(*(x for a in names for x in (F.col(a) - F.col(f"lo{a}") - (F.col(f"c{a}") - 1) * F.col("w"), (F.col(f"c{a}") + 2) * F.col("w") - (F.col(a) - F.col(f"lo{a}")))))
-        final = float(top) <= scale  # one cell holds a specimen
+            there = there.withColumn(f"g{a}", F.explode(F.array(*(F.col(f"c{a}") + d for d in (-1, 0, 1)))))
+        if scale > 1:
+            there = there.join(here.select(*keys).distinct(), keys, "left_semi")
+
+        # Names of their own, as both sides come from one frame.
+        there = there.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
+        met = here.groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInPandas(_solver(names, scale, final), SCHEMA)
         if final:
-            done.append(met.select(*EDGE))
+            done.append(met)
             break
-        last = Window.partitionBy("sample", "src")
-        judged = met.withColumn("farthest", F.max("d2").over(last)).withColumn("found", F.count(F.lit(1)).over(last)).withColumn("edge", edge)
-        good = judged.where((F.col("found") >= F.col("k")) & (F.col("edge") > 0) & (F.col("farthest") < F.col("edge") * F.col("edge")))
-        from fieldmend.session import cut
-
-        good = cut(good.select(*EDGE))
-        done.append(good)
-        todo = todo.join(good.select("sample", F.col("src").alias("id")).distinct(), ["sample", "id"], "left_anti")
+        met = cut(met)
+        done.append(met)
+        todo = todo.join(met.select("sample", F.col("src").alias("id")).distinct(), ["sample", "id"], "left_anti").where("k > 0")
+        todo = cut(todo)
         if todo.isEmpty():
             break
-        levels += 1
-    return reduce(DataFrame.unionByName, done)
+        scale *= 2
+    edges = reduce(DataFrame.unionByName, done) if done else points.sparkSession.createDataFrame([], SCHEMA)
+    return edges if carry else edges.drop("vote")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -82,7 +135,5 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def automatic_k(n: int, classes: int, half_even: bool = False) -> int:
     """min(31, max(11, round(1.6 log2(n) min(1, 5 / classes)))), rounded away from zero, or to even in tiles."""
-    import math
-
     raw = 1.6 * math.log2(max(n, 1)) * min(1.0, 5.0 / max(1, classes))
     return min(31, max(11, round(raw) if half_even else math.floor(raw + 0.5)))

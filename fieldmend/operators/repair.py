@@ -176,9 +176,8 @@ def multiclass_evidence(unit: DataFrame, dims: int, classes: int, run_rows: int
 
 def binary_evidence(unit: DataFrame, dims: int) -> DataFrame:
     """A ballot among the nearest 2^(dims + 4) neighbours, in scaled coordinates; a tie goes to the label."""
-    scaled = unit.select("sample", "id", *(F.col(f"u{a}").alias(a) for a in axes(dims)))
-    edges = nearest(scaled, dims, 2 ** (dims + 4))
-    votes = edges.join(unit.select("sample", F.col("id").alias("dst"), F.col("code").alias("vote")), ["sample", "dst"])
+    scaled = unit.select("sample", "id", "code", *(F.col(f"u{a}").alias(a) for a in axes(dims)))
+    votes = nearest(scaled, dims, 2 ** (dims + 4), carry="code")
     counts = votes.groupBy("sample", F.col("src").alias("id")).agg(*(F.count_if(F.col("vote") == c).alias(f"n{c}") for c in (1, 2)))
     joined = unit.select("sample", "id", "code").join(counts, ["sample", "id"], "left")
     mine = F.coalesce(F.when(F.col("code") == 1, F.col("n1")).otherwise(F.col("n2")), F.lit(0))

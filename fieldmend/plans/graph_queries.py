@@ -59,7 +59,7 @@ def _modal(name: str, points: str, source, dims: int, k: int):
     @query(name, f"WITH {edges_sql(points, dims, k)}, {MODAL}")
     def run(spark, d):
         p = source(spark, d)
-        return graph.modal(p, nearest(p, dims, k)).select("sample", "id", "code", "refined")
+        return graph.modal(p, nearest(p, dims, k, carry="code")).select("sample", "id", "code", "refined")
 
 
 _modal("q_modal_knn", fields.CUST, fields.customers, 2, 50)
@@ -76,7 +76,7 @@ SELECT sample, src AS id, code, CAST(CASE WHEN mine < 3.0 AND n > 3.0 THEN vote
 )
 def q_majority_strict(spark, d):
     p = fields.customers(spark, d)
-    return graph.strict_majority(p, nearest(p, 2, 6)).select("sample", "id", "code", "refined")
+    return graph.strict_majority(p, nearest(p, 2, 6, carry="code")).select("sample", "id", "code", "refined")
 
 
 def sweeps_sql(settings: graph.VoteSettings, classes: int) -> str:
