@@ -22,7 +22,7 @@ def modal(points: DataFrame, edges: DataFrame) -> DataFrame:
     """points with refined: the most frequent label of the neighbours; of equals the one met first by distance."""
     counts = _votes(edges, points).groupBy("sample", "src", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     best = counts.groupBy("sample", F.col("src").alias("id")).agg(F.min_by("vote", F.struct(-F.col("n"), F.col("first"))).alias("best"))
-    return points.join(best, ["sample", "id"], "left").withColumn("refined", F.coalesce("best", "code")).drop("best")
+    return points.join(best, ["sample", "id"], "left").withColumn("refined", F.coalesce("best", "code").cast(points.schema["code"].dataType)).drop("best")
 
 
 def strict_majority(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +44,27 @@ def k_nearest(src: np.ndarray, ids: np.ndarray, at: np.ndarray, dst: np.ndarray,
 
 
 SCHEMA = "sample string, src long, dst long, d2 double, rank int, vote long"
+ARROW = pa.schema([("sample", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("d2", pa.float64()), ("rank", pa.int32()), ("vote", pa.int64())])
 
 
 def _solver(names: tuple[str, ...], scale: float, final: bool):
     """For a cell's points (left) and those of its neighbourhood (right): the edges of the points that are done."""
 
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy()
+
+    def matrix(table: pa.Table, prefix: str) -> np.ndarray:
+        return np.stack([column(table, prefix + a).astype(float) for a in names], axis=1)
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})
-        right = right.sort_values("o_id", kind="stable")
-        at, ids = right[[f"o_{a}" for a in names]].to_numpy(float), right["o_id"].to_numpy(np.int64)
-        src, own, want = left[list(names)].to_numpy(float), left["id"].to_numpy(np.int64), left["k"].to_numpy(int)
+            return ARROW.empty_table()
+        right = right.sort_by("o_id")
+        at, ids = matrix(right, "o_"), column(right, "o_id")
+        src, own, want = matrix(left, ""), column(left, "id"), column(left, "k").astype(int)
         r, c, v = k_nearest(src, own, at, ids, want)
         if not final:
-            low, w = left[[f"lo{a}" for a in names]].to_numpy(float), left[[f"w{a}" for a in names]].to_numpy(float) * scale
-            g = left[[f"g{a}" for a in names]].to_numpy(float)
+            low, w, g = matrix(left, "lo"), matrix(left, "w") * scale, matrix(left, "g")
             # Beyond the neighbouring cells nothing is nearer than this; less a hair for rounding.
             edge = np.minimum(src - low - (g - 1) * w, (g + 2) * w - (src - low)).min(axis=1) * (1 - 1e-9)
             far = np.zeros(len(left))
@@ -67,8 +73,9 @@ def _solver(names: tuple[str, ...], scale: float, final: bool):
             keep = good[r]
             r, c, v = r[keep], c[keep], v[keep]
         rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
-        vote = right["o_vote"].to_numpy()[c]
-        return pd.DataFrame({"sample": pd.Series([left["sample"].iloc[0]] * len(r), dtype=object), "src": own[r], "dst": ids[c], "d2": v, "rank": rank.astype("int32"), "vote": vote})
+        vote = right.column("o_vote").combine_chunks().take(pa.array(c))
+        columns = [pa.array([left.column("sample")[0].as_py()] * len(r), pa.string()), pa.array(own[r]), pa.array(ids[c]), pa.array(v), pa.array(rank.astype(np.int32)), vote]
+        return pa.Table.from_arrays(columns, schema=ARROW)
 
     return solve
 
@@ -113,7 +120,7 @@ def nearest(points: DataFrame, dims: int, k: int, carry: str | None = None) -> D
 
         # Names of their own, as both sides come from one frame.
         there = there.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
-        met = here.groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInPandas(_solver(names, scale, final), SCHEMA)
+        met = here.groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(_solver(names, scale, final), SCHEMA)
         if final:
             done.append(met)
             break
