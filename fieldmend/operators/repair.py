@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from fieldmend.functions.geometry import BITS, CHARTS, axes, charts, hilbert_code, robust_unit, unit_cells
 from fieldmend.operators.knn import nearest
+from fieldmend.session import cut
 
 SCALE = 5.0
 FLOOR = 1e-12
@@ -160,7 +161,9 @@ def decide(evidence: DataFrame) -> DataFrame:
 
 def multiclass_evidence(unit: DataFrame, dims: int, classes: int, run_rows: int = RUN_ROWS) -> DataFrame:
     """The evidence of the charts. unit holds n, the size of its specimen."""
-    field = enclosure(path_place(path_scale(path_steps(chart_codes(unit, dims), dims, run_rows))), classes)
+    # Each of these is read two or three times by what follows; uncut, the first would be worked out two dozen times.
+    stepped = cut(path_steps(cut(chart_codes(unit, dims)), dims, run_rows))
+    field = enclosure(cut(path_place(path_scale(stepped))), classes)
     joined = over_charts(share_margins(field, classes), classes, dims).join(class_deficit(unit), "sample")
     best = F.array_max("margin")
     # The label itself has margin 0: another class must be strictly better; the first of equals stands.
@@ -193,7 +196,8 @@ def repair(points: DataFrame, dims: int, classes: int, run_rows: int = RUN_ROWS,
     """sample, id, code, refined and diagnostics of each point. classes is the length of the level list; a caller who
     knows that a route is empty may leave it out."""
     unit = robust_unit(points.select("sample", "id", *axes(dims), F.col("code").cast("int").alias("code")), dims)
-    known = unit.join(specimens(unit, dims), "sample")
+    unit = cut(unit)
+    known = cut(unit.join(specimens(unit, dims), "sample"))
     kept = (~F.col("spread")) | (F.col("n") < 20) | (F.col("observed") < 2)
     binary = F.col("top") == 2
     parts = []
