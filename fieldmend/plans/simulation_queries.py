@@ -107,14 +107,15 @@ def q_sample_stratified(spark, d):
     return sampling.stratified_sample(fields.orders(spark, d), 400, 40, ["code"], F.col("y"), 2).select("id", "code")
 
 
-# Scores of "methods" over "conditions": mean prices by status over months.
-SCORES = "SELECT date_diff('month', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS id, o_orderstatus AS method, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL"
+# Scores of "methods" over "conditions": mean prices by status over months, rounded in whole cents.
+SCORES = "SELECT date_diff('month', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS id, o_orderstatus AS method, ((2 * CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*))) / 100.0 AS value FROM orders GROUP BY ALL"
 
 
 def scores(spark, d):
     day = F.col("o_orderdate").cast("date")
     month = ((F.year(day) - 1992) * 12 + F.month(day) - 1).cast("long")
-    return table(spark, d, "orders").groupBy(month.alias("id"), F.col("o_orderstatus").alias("method")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    cents = table(spark, d, "orders").select(month.alias("id"), F.col("o_orderstatus").alias("method"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return cents.groupBy("id", "method").agg(F.expr("((2 * sum(cents) + count(*)) div (2 * count(*))) / 100.0D").alias("value"))
 
 
 def full_scores(spark, d):
