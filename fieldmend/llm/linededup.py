@@ -29,13 +29,17 @@ def windows(docs: DataFrame, size: int) -> DataFrame:
     hashed = lines.where(F.size("lines") >= size).select(
         "fm_doc", "fm_text", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.trim(x) == "").alias("blank"))).alias("lines")
     )
-    each = hashed.select("fm_doc", "fm_text", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - size)).alias("at"))
-    here = [F.element_at("lines", F.col("at") + 1 + k) for k in range(size)]
-    blank = here[0]["blank"]
-    for x in here[1:]:
-        blank = blank & x["blank"]
-    keys = [F.xxhash64(F.lit(seed), *(x["h"] for x in here)).alias(f"key{seed}") for seed in (1, 2)]
-    return each.where(~blank).select("fm_doc", "fm_text", "at", *keys)
+    def window(i):
+        here = [F.element_at("lines", i + 1 + k) for k in range(size)]
+        blank = here[0]["blank"]
+        for x in here[1:]:
+            blank = blank & x["blank"]
+        keys = [F.xxhash64(F.lit(seed), *(x["h"] for x in here)).alias(f"key{seed}") for seed in (1, 2)]
+        return F.struct(i.alias("at"), blank.alias("blank"), *keys)
+
+    # Windows are made before the explode: its rows would otherwise each carry all lines of their text.
+    each = hashed.select("fm_doc", "fm_text", F.inline(F.transform(F.sequence(F.lit(0), F.size("lines") - size), window)))
+    return each.where(~F.col("blank")).drop("blank")
 
 
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
