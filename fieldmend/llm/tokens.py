@@ -79,14 +79,14 @@ class Encoder:
         split = [None if _OUTSIDE.search(t) else self.split(t) for t in texts]
         store = self.store
         new = set().union(*(s for s in split if s)).difference(store)
-        held = store
-        if new:
-            made = self._encode_pieces(list(new))
-            if len(store) + len(made) <= STORED_PIECES:
-                store.update(made)
-            else:
-                held = {p: store[p] for s in split if s for p in s if p in store} | made
-        return [self._plain(t) if s is None else b"".join(map(held.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        made = self._encode_pieces(list(new)) if new else {}
+        full = len(store) + len(made) > STORED_PIECES
+        store.update(made)
+        out = [self._plain(t) if s is None else b"".join(map(store.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        if full:  # these texts' own pieces go again; none of those already stored is in made
+            for p in made:
+                del store[p]
+        return out
 
 
 def encoder(path: str) -> Encoder:
