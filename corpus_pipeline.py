@@ -1,7 +1,8 @@
 """From documents to packed training sequences: five stages, each over all that the one before kept.
 
 1. quality: documents that the classifier rejects (score below 0.3) go.
-2. line_dedup: later repeats of three-line windows are cut; a document that loses all its text to earlier ones goes.
+2. line_dedup: later repeats of three-line windows, of one or two lines of 50 words or more, and of whole texts of
+   one or two lines are cut; a document that loses all its text to earlier ones goes.
 3. near_duplicates: of each component of documents with a similarity of 0.8 on five-word shingles one stays.
 4. decontamination: documents that hold a ten-word window of the benchmark go.
 5. packing: best-fit packing of what is left into sequences of 4096 tokens.
@@ -24,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(docs)
+    done = linededup.dedup_lines(docs, alone=50)
     kept = done.where((F.col("fm_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 

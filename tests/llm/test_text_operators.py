@@ -236,3 +236,38 @@ def test_line_dedup(spark):
     twice = linededup.dedup_lines(spark.createDataFrame([(1, "x\ny\nz")] * 2 + [(None, "x\ny\nz"), (2, "x\ny\nz\nw")], "doc_id long, text string")).collect()
     assert sorted((repr(r.doc_id), r.text) for r in twice) == [("1", ""), ("1", ""), ("2", "w"), ("None", "x\ny\nz")]
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_passages(docs, alone):
+    """Later repeats of three lines, of one or two lines of so many words, and of whole texts of one or two lines."""
+    seen, gone = set(), {}
+    for d, t in sorted(docs):
+        lines = t.split("\n")
+        for span in (1, 2, 3):
+            for k in range(len(lines) - span + 1):
+                w = tuple(lines[k : k + span])
+                if all(not x.strip(" ") for x in w) or (span < 3 and len(lines) != span and sum(len(x.split()) for x in w) < alone):
+                    continue
+                if w in seen:
+                    gone.setdefault(d, set()).update(range(k, k + span))
+                seen.add(w)
+    return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ())) for d, t in docs}
+
+
+def test_line_dedup_of_short_passages(spark):
+    long_, one, two = " ".join(f"w{k}" for k in range(50)), " ".join(f"u{k}" for k in range(30)), " ".join(f"v{k}" for k in range(25))
+    docs = [(1, f"a\n{long_}\nb"), (2, f"c\n{long_}\nd"), (3, f"e\n{one}\n{two}\nf"), (4, f"g\n{one}\n{two}\nh\n{one}"), (5, long_), (6, "hi"), (7, "hi"), (8, "hi\nhi"), (9, "hi\nthere"), (10, "hi\nthere"), (11, ""), (12, "\n")]
+    rng = np.random.default_rng(17)
+    docs += [(20 + k, "\n".join(rng.choice(["a", "b", "", " ", "c d", one, two, long_], int(rng.integers(1, 9))))) for k in range(60)]
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame_, alone=50).collect()}
+    assert got == brute_passages(docs, 50)
+    assert got[2] == "c\nd" and got[4] == f"g\nh\n{one}" and got[5] == got[7] == got[10] == "" and got[8] == "hi\nhi"
+
+
+def test_line_stage_cuts_long_lines(spark):
+    import corpus_pipeline
+
+    long_ = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, f"a\n{long_}\nb"), (2, f"c\n{long_}\nd"), (3, long_)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {1: f"a\n{long_}\nb", 2: "c\nd"}
