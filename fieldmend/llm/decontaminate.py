@@ -6,10 +6,11 @@ occurrence of a window is hit.
 
 While the benchmark has no more than `max_broadcast_windows` windows (its size is counted first), the windows
 travel as a broadcast hash set, keyed by their word numbers: a look-up compares whole windows, so that each hit
-is verified. A larger benchmark goes through a shuffle join on window digests instead.
+is verified. A larger benchmark goes through a shuffle join on window digests instead. What a row gives depends on
+its own text alone, either way.
 
 Defined results: null and empty texts have no words; null items and items without words have no windows; an
-item that is repeated counts once; repeated document rows each give a row; extra columns are ignored (or
+item that is repeated counts once; items without an id are one item, whose id is null; repeated document rows each give a row; extra columns are ignored (or
 kept, by `decontaminate`).
 """
 
@@ -52,13 +53,13 @@ class WindowSet:
 
     def __init__(self, items, n: int):
         self.number: dict[bytes, int] = {}
-        self.items: list[str] = []
+        self.items: list[str | None] = []
         self.windows: dict[int, dict[bytes, list[int]]] = {}
-        known: dict[str, int] = {}
+        known: dict[str | None, int] = {}
         for item_id, text in items:
             for window in item_windows(words_of(text), n):
                 ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in window], np.int32)
-                k = known.setdefault(str(item_id), len(known))
+                k = known.setdefault(item_id, len(known))
                 holders = self.windows.setdefault(len(window), {}).setdefault(ids.tobytes(), [])
                 if k not in holders:
                     holders.append(k)
@@ -105,7 +106,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS
 ) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit, and the ids of the items it holds windows of (as strings,
-    sorted)."""
+    sorted, null last)."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = window_set(benchmark, n, max_broadcast_windows)
@@ -118,7 +119,7 @@ def contamination(
             out = []
             for text in batch.column(1):
                 words, hit, found = held.scan(text.as_py())
-                out.append((len(words), 0 if hit is None else int(hit.sum()), sorted(held.items[k] for k in found)))
+                out.append((len(words), 0 if hit is None else int(hit.sum()), sorted((held.items[k] for k in found), key=lambda i: (i is None, i or ""))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.string()))],
                 names=["doc_id", "n_words", "n_hit", "items"],
@@ -127,8 +128,14 @@ def contamination(
     return docs.mapInArrow(scan, REPORT)
 
 
-def joined_contamination(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same by a shuffle join of window digests, for a benchmark of any size."""
+def text_key():
+    """Tells texts apart; null for a null text, which has no hits."""
+    return F.sha2(F.col("text").cast("string"), 256)
+
+
+def joined_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """fm_key, fm_at (the places of its hit words) and items of each distinct text of docs that holds a window, by a
+    shuffle join of window digests, for a benchmark of any size."""
 
     def digest(window) -> bytes:
         return hashlib.md5(b" ".join(window)).digest()
@@ -141,48 +148,49 @@ def joined_contamination(docs: DataFrame, benchmark: DataFrame, n: int) -> DataF
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     grams = items.mapInArrow(of_items, "item string, gram binary, size int").distinct()
     sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most n values
-    # A row is told from another by its place in its own text and id; equal rows are alike.
-    keyed = docs.withColumn("row_key", F.struct("doc_id", F.md5("text")))
 
     def of_docs(batches):
         for batch in batches:
-            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 rows = [(digest(words[i : i + s]), s, i) for s in sizes for i in range(len(words) - s + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key["doc_id"]] * len(rows), pa.int64()), pa.array([key["col2"]] * len(rows), pa.string())] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))],
-                    names=["doc_id", "text_key", "gram", "size", "at"],
+                    [pa.array([key] * len(rows), pa.string())] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))],
+                    names=["fm_key", "gram", "size", "at"],
                 )
 
-    held = keyed.dropDuplicates(["doc_id", "text"]).mapInArrow(of_docs, "doc_id long, text_key string, gram binary, size int, at int")
-    hits = held.join(grams, ["gram", "size"])
-    hit = hits.groupBy("doc_id", "text_key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.collect_set("item")).alias("items"),
+    texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("fm_key"), F.col("text").cast("string").alias("text"))
+    held = texts.dropDuplicates(["fm_key"]).mapInArrow(of_docs, "fm_key string, gram binary, size int, at int")
+    # In a struct a null id is collected too.
+    ids = F.collect_set(F.struct("item"))
+    return held.join(grams, ["gram", "size"]).groupBy("fm_key").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("fm_at"),
+        F.array_sort(F.transform(ids, lambda x: x["item"])).alias("items"),
     )
 
+
+def joined_contamination(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """contamination by joined_hits."""
+    hit = joined_hits(docs, benchmark, n)
+
     def count_words(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(words_of(t)) for t in batch.column("text").to_pylist()], pa.int64())], names=["doc_id", "text_key", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(words_of(t)) for t in batch.column(2).to_pylist()], pa.int64())], names=["doc_id", "fm_key", "n_words"])
 
-    counted = docs.withColumn("text_key", F.md5("text")).mapInArrow(count_words, "doc_id long, text_key string, n_words long")
-    both = counted.join(hit.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_key", "hit_key"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("text_key").eqNullSafe(F.col("hit_key")), "left")
-    return both.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    counted = docs.select("doc_id", text_key().alias("fm_key"), "text").mapInArrow(count_words, "doc_id long, fm_key string, n_words long")
+    both = counted.join(hit, "fm_key", "left")
+    return both.select("doc_id", "n_words", F.coalesce(F.array_size("fm_at"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str = "documents", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS
 ) -> DataFrame:
     """docs without the documents that hold a window (remove="documents"), or with the hit words cut out of
-    their texts (remove="spans", for benchmarks that can be broadcast). All columns stay."""
+    their texts (remove="spans"). All columns stay."""
     text_batches(docs.sparkSession)
     shared = window_set(benchmark, n, max_broadcast_windows)
     if shared is None:
-        if remove == "spans":
-            raise ValueError("spans are cut only for a benchmark that can be broadcast")
-        key = docs.withColumn("fm_text_key", F.md5("text"))
-        bad = joined_contamination(docs.select("doc_id", "text"), benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("fm_bad")).distinct()
-        return key.join(bad, F.col("doc_id").eqNullSafe(F.col("fm_bad")), "left_anti").drop("fm_text_key")
+        return joined_removal(docs, benchmark, n, remove)
     at = docs.columns.index("text")
 
     def keep(batches):
@@ -199,6 +207,30 @@ def decontaminate(
     return docs.mapInArrow(keep, docs.schema)
 
 
+def joined_removal(docs: DataFrame, benchmark: DataFrame, n: int, remove: str) -> DataFrame:
+    """decontaminate by joined_hits."""
+    hits = joined_hits(docs, benchmark, n).select("fm_key", "fm_at")
+    keyed = docs.withColumn("fm_key", text_key())
+    if remove == "documents":
+        return keyed.join(hits, "fm_key", "left_anti").select(*docs.columns)
+    at, width = docs.columns.index("text"), len(docs.columns)
+
+    def cut(batches):
+        for batch in batches:
+            texts = []
+            for text, places in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
+                if places is not None:
+                    hit = np.zeros(len(words_of(text)), bool)
+                    hit[places] = True
+                    text = without(text, hit)
+                texts.append(text)
+            columns = batch.columns[:width]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(width)]))
+
+    return keyed.join(hits, "fm_key", "left").select(*docs.columns, "fm_at").mapInArrow(cut, docs.schema)
+
+
 def without(text: str, hit: np.ndarray) -> str:
     """A text without the words that are hit and what stands between them."""
     data = text.encode("utf-8", "surrogatepass")

@@ -271,3 +271,19 @@ def test_line_stage_cuts_long_lines(spark):
     long_ = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(1, f"a\n{long_}\nb"), (2, f"c\n{long_}\nd"), (3, long_)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {1: f"a\n{long_}\nb", 2: "c\nd"}
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_contamination_is_a_row_s_own(spark, limit):
+    leak = "Keep this. One two, three four! And that."
+    docs = [(None, leak, 1), (None, "clean text", 2), (7, leak, 3), (7, "other clean text", 4), (8, None, 5), (8, leak, 6), (9, "", 7)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, at int")
+    b = spark.createDataFrame([(None, "one two three four"), (None, "two three four and"), (3, "three four and that")], "item_id long, text string")
+    kept = decontaminate.decontaminate(d, b, 4, max_broadcast_windows=limit)
+    assert kept.columns == d.columns and sorted(r["at"] for r in kept.collect()) == [2, 4, 5, 7]
+    cut = decontaminate.decontaminate(d, b, 4, remove="spans", max_broadcast_windows=limit)
+    assert cut.columns == d.columns
+    assert {(r["doc_id"], r["text"], r["at"]) for r in cut.collect()} == {(i, "Keep this. ." if t == leak else t, k) for i, t, k in docs}
+    got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(d, b, 4, limit).collect()}
+    hit = (8, 6, ("3", None))
+    assert got == {(None, *hit), (None, 2, 0, ()), (7, *hit), (7, 3, 0, ()), (8, 0, 0, ()), (8, *hit), (9, 0, 0, ())}
