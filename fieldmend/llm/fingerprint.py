@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches
+from .jaccard import components, rooted
 from .shingles import mix
 
 PERIOD, CLASSES, SLOTS, GRAM, BAND = 2039, 64, 128, 6, 8
+#: near_copies: documents of a bucket that are compared at once; how often a bucket is held against one document first.
+BLOCK, STARS = 1000, 2
 NEVER = np.iinfo(np.int64).max
 
 
@@ -248,10 +251,14 @@ def edit_distance(a: str, b: str, most: int) -> int | None:
     return None
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, share: float = 0.1, slots: int = SLOTS, band: int = BAND) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, share: float = 0.1, slots: int = SLOTS, band: int = BAND, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b, likeness), a < b: documents that agree in a band of slots, whose likeness is `least`
-    and whose edit distance is at most `share` of the longer text. Equal texts collapse first; in each band bucket
-    documents are held against the smallest doc_id there, so a bucket gives as many candidates as it has rows."""
+    and whose edit distance is at most `share` of the longer text. Equal texts collapse first.
+
+    First each band bucket's documents are held against one of them: the smallest doc_id, then ones drawn by a hash,
+    so large groups of copies contract. Then all pairs of a bucket that are still in different components are
+    compared, in blocks of about `block` documents dealt by Spark. So the links leave out pairs within a component
+    but have the components that all pairs would give."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     reps = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id")).alias("x")).select("x.doc_id")
@@ -263,19 +270,71 @@ def near_copies(docs: DataFrame, least: float = 0.8, share: float = 0.1, slots:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "mark"])
 
     marks = stored(texts.mapInArrow(mark, "doc_id long, mark string"), "marks")
-    bands = marks.select("doc_id", F.explode(F.array(*(F.concat(F.lit(f"{k}:"), F.substring("mark", k + 1, band)) for k in range(0, slots, band)))).alias("band"))
-    first = bands.groupBy("band").agg(F.min("doc_id").alias("a"))
-    pairs = stored(bands.join(first, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    keys = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("mark", k + 1, band)) for k in range(0, slots, band)))
+    links = None
+    for k in range(STARS):
+        bands = _placed(marks, links).withColumn("band", F.explode(keys))
+        order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
+        pivot = bands.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("p_comp"), F.col("mark").alias("p_mark"))).alias("x")).select("band", "x.*")
+        apart = bands.join(pivot, "band").where("comp <> p_comp").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"), "mark", "p_mark")
+        found = _verified(apart.dropDuplicates(["a", "b"]).mapInArrow(_alike(least), "a long, b long, likeness double"), texts, share)
+        links = found if links is None else stored(links.unionByName(found), "links")
+    bands = _placed(marks, links).withColumn("band", F.explode(keys))
+    open_ = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = bands.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "comp", "mark")
+    rest = dealt.groupBy("band", "p", "q").applyInArrow(_compared(least), "a long, b long, likeness double")
+    return links.unionByName(_verified(rest.dropDuplicates(["a", "b"]), texts, share))
+
+
+def _placed(marks: DataFrame, links: DataFrame | None) -> DataFrame:
+    """marks with comp, the smallest doc_id of the component so far."""
+    return marks.withColumn("comp", F.col("doc_id")) if links is None else stored(rooted(marks, "doc_id", components(links), "comp"), "placed")
+
+
+def _pairs(a, b, like) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], names=["a", "b", "likeness"])
+
+
+def _alike(least: float):
+    """The pairs of (a, b, mark, mark) whose likeness is `least`."""
+
+    def check(batches):
+        for batch in batches:
+            rows = [(a, b, likeness(p, q)) for a, b, p, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+            yield _pairs(*([r[k] for r in rows if r[2] >= least] for k in range(3)))
+
+    return check
+
+
+def _compared(least: float):
+    """All pairs of different components, of the two blocks p and q of a bucket, whose likeness is `least`."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        own, ids, comp = (table.column(c).to_numpy() for c in ("own", "doc_id", "comp"))
+        marks = np.frombuffer("".join(table.column("mark").to_pylist()).encode(), np.uint8).reshape(len(ids), -1)
+        right = np.flatnonzero(own == q)
+        out = []
+        for i in np.flatnonzero(own == p):
+            there = right[right > i] if p == q else right
+            there = there[comp[there] != comp[i]]
+            like = np.maximum(0.0, ((marks[there] == marks[i]).mean(axis=1) - 1 / 16) / (15 / 16))
+            out += ((min(ids[i], ids[j]), max(ids[i], ids[j]), x) for j, x in zip(there, like, strict=True) if x >= least)
+        return pa.Table.from_batches([_pairs(*([o[k] for o in out] for k in range(3)))])
+
+    return compare
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b, likeness) whose edit distance is at most `share` of the longer text."""
+    pairs = stored(pairs, "pairs")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(marks.select(F.col("doc_id").alias("a"), F.col("mark").alias("mark_a")), "a").join(marks.select(F.col("doc_id").alias("b"), F.col("mark").alias("mark_b")), "b")
 
     def check(batches):
         for batch in batches:
-            out = []
-            for a, b, s, t, p, q in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                like = likeness(p, q)
-                if like >= least and edit_distance(s, t, int(share * max(len(s), len(t)))) is not None:
-                    out.append((a, b, like))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["a", "b", "likeness"])
-
-    return both.select("a", "b", "text_a", "text_b", "mark_a", "mark_b").mapInArrow(check, "a long, b long, likeness double")
+            out = [(a, b, like) for a, b, like, s, t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True) if edit_distance(s, t, int(share * max(len(s), len(t)))) is not None]
+            yield _pairs(*([o[k] for o in out] for k in range(3)))
+
+    return stored(both.select("a", "b", "likeness", "text_a", "text_b").mapInArrow(check, "a long, b long, likeness double"), "verified")

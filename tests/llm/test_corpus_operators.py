@@ -218,6 +218,37 @@ def test_near_copies_and_edit_distance(spark):
         assert fingerprint.edit_distance(a, b, 12) == d and (d == 0 or fingerprint.edit_distance(a, b, d - 1) is None)
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_copies_in_hot_buckets(spark, block):
+    rng = np.random.default_rng(10)
+    letters, slots = list("abcdefgh ij"), 32
+    rows = []
+    for _ in range(30):
+        base = rng.choice(letters, 400)
+        for _ in range(4):
+            w = base.copy()
+            w[rng.integers(0, 400, int(rng.integers(0, 12)))] = "X"
+            rows.append((len(rows), "".join(w)))
+    make = fingerprint.Fingerprinter(slots)
+    marks = {d: make(t) for d, t in rows}
+    # A band of one slot: each bucket holds a sixteenth of the documents, most of them unlike its smallest doc_id.
+    distinct = [(d, t) for k, (d, t) in enumerate(rows) if t not in [x[1] for x in rows[:k]]]
+    root = {d: d for d, _ in distinct}
+    every = set()
+    for i, (a, s) in enumerate(distinct):
+        for b, t in distinct[i + 1 :]:
+            if any(x == y for x, y in zip(marks[a], marks[b], strict=True)) and fingerprint.likeness(marks[a], marks[b]) >= 0.7 and fingerprint.edit_distance(s, t, 20) is not None:
+                every.add((a, b))
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = fingerprint.near_copies(docs, least=0.7, share=0.05, slots=slots, band=1, block=block)
+    got = {(r.a, r.b): r.likeness for r in links.collect()}
+    assert set(got) <= every and all(x == fingerprint.likeness(marks[a], marks[b]) for (a, b), x in got.items())
+    tops = {r.node: r.root for r in jaccard.components(links.select("a", "b")).collect()}
+    assert {d: tops.get(d, d) for d in root} == root and len(every) > 20
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
