@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,15 +20,19 @@ import numpy as np
 STORED_PIECES = 400_000
 
 
-def _class(test, limit: int = 0x250) -> str:
-    return "".join(f"\\u{i:04x}" for i in range(limit) if test(chr(i)))
+def _class(test) -> str:
+    return "".join(f"\\u{i:04x}" for i in range(0x250) if test(chr(i)))
 
 
 _LETTER = _class(lambda c: unicodedata.category(c)[0] == "L")
 _NUMBER = _class(lambda c: unicodedata.category(c)[0] == "N")
 _SPACE = _class(lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f")
-#: Texts in this range are split here. It has no combining marks; U+0130 changes its length in lower case.
-_OUTSIDE = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]|<\\|")
+#: Texts of characters below LIMIT are split here. There are no combining marks among them. A tokenizer of words lowers
+#: case first, so it leaves those out whose lower case is longer or lies beyond LIMIT (U+0130, U+0181, U+023A and others).
+LIMIT = 0x250
+_AWAY = _class(lambda c: len(c.lower()) != 1 or ord(c.lower()) >= LIMIT)
+_OUTSIDE = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|<\\|")
+_OUTSIDE_WORDS = re.compile(f"[{_AWAY}]|{_OUTSIDE.pattern}")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _BYTE_PIECE = re.compile(f"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _WORD_PIECE = re.compile(f"{_CONTRACTIONS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
@@ -49,6 +54,7 @@ class Encoder:
         words = model.get("end_of_word_suffix") == "</w>"
         self.split = (lambda t: _WORD_PIECE.findall(t.lower())) if words else _BYTE_PIECE.findall
         self.words = words
+        self.outside = _OUTSIDE_WORDS if words else _OUTSIDE
         # Which ids end a piece ("</w>") or begin one (the byte-level sign of a leading space).
         self.edge = np.zeros(max(model["vocab"].values()) + 1 + 16, bool)
         for token, i in model["vocab"].items():
@@ -76,7 +82,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OUTSIDE.search(t) else self.split(t) for t in texts]
+        split = [None if self.outside.search(t) else self.split(t) for t in texts]
         store = self.store
         new = set().union(*(s for s in split if s)).difference(store)
         made = self._encode_pieces(list(new)) if new else {}
@@ -89,15 +95,10 @@ class Encoder:
         return out
 
 
+@lru_cache(4)
 def encoder(path: str) -> Encoder:
     """The encoder of a file, one per Python worker."""
-    import builtins
-
-    # Functions that travel by value have no module of their own to keep things in.
-    kept = builtins.__dict__.setdefault("_fieldmend_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    return Encoder(path)
 
 
 def in_slices(texts: list[str], most: int = 4_000_000):
