@@ -6,12 +6,16 @@ demand; each goes to the open bin that holds it under every capacity and that le
 residual capacities (rule="norm"), or the least weighted dot product of its demand with the residual (rule="dot").
 Where none holds it, a bin opens.
 
-Groups of about `group_size` pieces, dealt by a hash of document and piece, are packed each by itself, so no task
-holds more. The bins that a group leaves under `refill` full give their pieces to a second round of groups,
-which packs these again.
+Groups of about `group_size` pieces, dealt by a hash of the stored row (so rows that share an id, or have none, spread like
+others), are packed each by itself, and no task holds more. The bins that a group leaves under `refill` full give their
+pieces to a second round of groups, which packs these again.
+
+A sum of squares never exceeds the squared sum, so an attention capacity of the token capacity squared can't refuse what the
+tokens allow; a lower one can, and a document count can.
 
 Defined results: null texts are empty; an empty text is a piece of its closing id alone; only pieces longer than
-the token capacity are cut; repeated rows are packed each by itself; other columns are passed over.
+the token capacity are cut; a piece that is over another capacity by itself raises ValueError; repeated rows are packed each
+by itself; other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .common import stored, text_batches
 from .tokens import encoder, in_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, filled long"
 GROUP_SIZE = 4096
 REFILL = 0.98
 WEIGHTS = (1.0, 0.02, 0.02)
@@ -62,6 +67,8 @@ def best_fit(demands: np.ndarray, capacities: np.ndarray, weights=WEIGHTS, rule:
     if rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
     share = demands / capacities
+    if (share > 1).any():
+        raise ValueError(f"a piece demands {demands[(share > 1).any(axis=1)][0].tolist()} of the capacities {list(capacities)}")
     w = np.asarray(weights, float)
     order = np.lexsort((np.arange(len(share)), *(-share.T[::-1])))
     bins = np.full(len(share), -1, np.int64)
@@ -94,7 +101,7 @@ def best_fit(demands: np.ndarray, capacities: np.ndarray, weights=WEIGHTS, rule:
 
 def _packer(capacities: tuple, weights: tuple, rule: str, shift: int) -> Callable:
     def pack(pdf):
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("row", kind="stable").reset_index(drop=True)
         length = pdf["length"].to_numpy(np.float64)
         demands = np.stack([length, np.ones(len(pdf)), np.square(length)], axis=1)
         bins, n = best_fit(demands, np.asarray(capacities, float), weights, rule)
@@ -103,7 +110,7 @@ def _packer(capacities: tuple, weights: tuple, rule: str, shift: int) -> Callabl
         used = pdf.groupby("sequence_id", sort=False)["length"]
         pdf["offset"] = used.cumsum() - pdf["length"]
         pdf["filled"] = used.transform("sum")
-        return pdf.drop(columns=["pack_group"])
+        return pdf.drop(columns=["pack_group"])[[*(c.split()[0] for c in PACKED.split(", "))]]
 
     return pack
 
@@ -120,20 +127,22 @@ def pack(
 ) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. No length may exceed the
     token capacity; without further limits a sequence holds any documents that its tokens allow."""
-    capacities = (capacity, max_documents or capacity, max_attention or capacity * capacity)
-    pieces = stored(pieces, "pieces")
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
-    named = [c.split()[0] for c in out.split(", ")]
+    if any(limit is not None and limit < 1 for limit in (capacity, max_documents, max_attention)) or group_size < 1:
+        raise ValueError("capacities and group_size are 1 at least")
+    capacities = (capacity, capacity if max_documents is None else max_documents, capacity * capacity if max_attention is None else max_attention)
+    # The row number is stored with the piece, so it does not change when a task runs again.
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    named = [c.split()[0] for c in PACKED.split(", ")]
 
     def deal(df: DataFrame, n: int, salt: int) -> DataFrame:
         groups = max(1, -(-n // group_size))
-        return df.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(groups)))
+        return df.withColumn("pack_group", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(groups)))
 
-    once = deal(pieces, pieces.count(), 1).groupBy("pack_group").applyInPandas(_packer(capacities, weights, rule, 0), out)
+    once = deal(pieces, pieces.count(), 1).groupBy("pack_group").applyInPandas(_packer(capacities, weights, rule, 0), PACKED)
     once = stored(once, "packed")
     loose = F.col("filled") < refill * capacity
-    rest = once.where(loose).select(*named[:5])
-    twice = deal(rest, rest.count(), 2).groupBy("pack_group").applyInPandas(_packer(capacities, weights, rule, 1), out)
+    rest = once.where(loose).select(*named[:6])
+    twice = deal(rest, rest.count(), 2).groupBy("pack_group").applyInPandas(_packer(capacities, weights, rule, 1), PACKED)
     return once.where(~loose).unionByName(twice).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
