@@ -1,25 +1,28 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
-Documents in ascending doc_id order (null first; equal ids by text) are one stream of ids, dealt by ranges of
-doc_id over shards. A shard is an Arrow stream file whose record batches hold `rows` sequences of
-`sequence_length` ids each (a fixed-size list) with their masks (true: an id, false: padding of the last
-sequence). Batches are not compressed and all of one size, so that sequence k of a file lies at a place that
-`k` alone gives, and a reader maps the file and looks at ids without a copy. Beside it lies a small index file,
-also an Arrow stream: doc_id and n_tokens of the shard's documents in order.
+Documents in ascending doc_id order (null first; equal ids by their texts' digest) are one stream of ids, dealt by ranges of
+about equal numbers of documents over shards; the ranges cut equal ids too, by digest, then by row. A shard is an Arrow stream
+file whose record batches hold `rows` sequences of `sequence_length` ids each (a fixed-size list) with their masks (true: an
+id, false: padding of the last sequence). Batches are not compressed and all of one size, so that sequence k of a file lies at
+a place that `k` alone gives, and a reader goes there: it maps a local file and looks at ids without a copy, and reads one
+batch of any other. Beside it lies a small index file, also an Arrow stream: doc_id and n_tokens of the shard's documents in
+order.
 
 Ids are stored as uint16 where the vocabulary allows, else as uint32. Files are written under the shared folder
 under names of their own and moved into place, so a task that runs again leaves the same files.
 
 Defined results: null texts are empty and have the closing id alone; repeated rows are each a document; other
-columns are passed over; an empty table gives no shards and no rows.
+columns are passed over, whatever their names; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from .tokens import encoder, in_slices
 
 SEQUENCE_LENGTH = 2048
 ROWS_PER_BATCH = 64
+#: Characters of text per shard at most, on average.
+SHARD_CHARS = 128 << 20
 MANIFEST = "shard long, path string, documents long, tokens long"
 
 
@@ -69,41 +74,50 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to a shard: sequence(k), mask(k), and ids(start, n) over the stream of ids. Files that can
-    be mapped are not copied."""
+    """Random access to a shard: sequence(k), mask(k), and ids(start, n) over the stream of ids. The file's first two messages,
+    the schema and a batch, tell where all others lie. Files that can be mapped are not copied; of others one batch is held."""
 
     def __init__(self, uri: str):
         filesystem, path = opened(uri)
-        source = pa.memory_map(path) if filesystem.type_name == "local" else filesystem.open_input_file(path)
-        self.batches = list(pa.ipc.open_stream(source))
-        self.length = self.batches[0].column(0).type.list_size if self.batches else 1
-        self.rows = self.batches[0].num_rows if self.batches else 1
-        self.values = [b.column(0).values.to_numpy(zero_copy_only=True) for b in self.batches]
+        self.source = pa.memory_map(path) if filesystem.type_name == "local" else filesystem.open_input_file(path)
+        self.schema = pa.ipc.read_schema(self.source)
+        self.first = self.source.tell()
+        self.length = self.schema.field("ids").type.list_size
+        self.k, self.held, self.size, self.rows = -1, None, 0, 1
+        if self.source.size() - self.first > 8:  # else there is the end mark alone
+            self.held = self._read()
+            self.k, self.size, self.rows = 0, self.source.tell() - self.first, self.held.num_rows
+
+    def _read(self) -> pa.RecordBatch:
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        if k != self.k:
+            self.source.seek(self.first + k * self.size)
+            self.held, self.k = self._read(), k
+        return self.held
+
+    def values(self, k: int) -> np.ndarray:
+        """The ids of batch k."""
+        return self.batch(k).column(0).values.to_numpy(zero_copy_only=True)
 
     def sequence(self, k: int) -> np.ndarray:
         at = k % self.rows * self.length
-        return self.values[k // self.rows][at : at + self.length]
+        return self.values(k // self.rows)[at : at + self.length]
 
     def mask(self, k: int) -> np.ndarray:
-        return self.batches[k // self.rows].column(1)[k % self.rows].values.to_numpy(zero_copy_only=False)
+        return self.batch(k // self.rows).column(1)[k % self.rows].values.to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         size = self.length * self.rows
         parts = []
         while n > 0:
-            part = self.values[start // size][start % size : start % size + n]
+            part = self.values(start // size)[start % size : start % size + n]
             parts.append(part)
             start, n = start + len(part), n - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def ranges(docs: DataFrame, shards: int) -> list[int]:
-    """Cut points that deal doc_ids over so many shards; at most shards - 1."""
-    if shards < 2:
-        return []
-    return sorted({int(c) for c in docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)})
-
-
 def write_tokens(
     docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, sequence_length: int = SEQUENCE_LENGTH, rows: int = ROWS_PER_BATCH, shards: int | None = None
 ) -> DataFrame:
@@ -112,10 +126,12 @@ def write_tokens(
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     folder = folder or new_folder(spark, "tokens")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ranges(docs, shards)
-    shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = docs.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("long")).repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    if shards is None:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
+    # The digest and the row only break ties: a third of all rows may share an id.
+    order = ["doc_id", "key", "row"]
+    dealt = docs.withColumn("key", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
         code = encoder(tokenizer)
@@ -124,45 +140,33 @@ def write_tokens(
         dtype = "<u2" if narrow else "<u4"
         end = np.array([end_id], dtype)
 
-        def runs():
-            """(shard, doc_id, text) in slices of one shard each."""
-            for batch in batches:
-                ids, texts, of = (batch.column(k).to_pylist() for k in range(3))
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        shard, index = TaskContext.get().partitionId(), []
+
+        def fill(stream):
+            out = ShardWriter(stream, kind, sequence_length, rows)
+            for batch in chain((first,), batches):
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for some in in_slices(texts):
-                    a = some.start
-                    while a < some.stop:
-                        b = a + 1
-                        while b < some.stop and of[b] == of[a]:
-                            b += 1
-                        yield of[a], ids[a:b], texts[a:b]
-                        a = b
-
-        source = runs()
-        ahead = next(source, None)
-        while ahead is not None:
-            now, index = ahead[0], []
-
-            def fill(stream):
-                nonlocal ahead
-                out = ShardWriter(stream, kind, sequence_length, rows)
-                while ahead is not None and ahead[0] == now:  # noqa: B023
-                    for doc, data in zip(ahead[1], code.encode(ahead[2]), strict=True):
-                        ids = np.concatenate([np.frombuffer(data, "<u4").astype(dtype), end])
-                        index.append((doc, len(ids)))  # noqa: B023
-                        out.add(ids)
-                    ahead = next(source, None)
-                out.close()
-
-            uri = f"{folder}/shard-{now:06d}"
-            written(f"{uri}.arrows", fill)
-            listed = pa.table({"doc_id": pa.array([i[0] for i in index], pa.int64()), "n_tokens": pa.array([i[1] for i in index], pa.int64())})
-
-            def list_documents(stream):
-                with pa.ipc.new_stream(stream, listed.schema) as out:  # noqa: B023
-                    out.write_table(listed)  # noqa: B023
-
-            written(f"{uri}.index.arrows", list_documents)
-            yield pa.RecordBatch.from_pydict({"shard": [now], "path": [uri], "documents": [len(index)], "tokens": [sum(i[1] for i in index)]}, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+                    for doc, data in zip(ids[some], code.encode(texts[some]), strict=True):
+                        data = np.concatenate([np.frombuffer(data, "<u4").astype(dtype), end])
+                        index.append((doc, len(data)))
+                        out.add(data)
+            out.close()
+
+        uri = f"{folder}/shard-{shard:06d}"
+        written(f"{uri}.arrows", fill)
+        listed = pa.table({"doc_id": pa.array([i[0] for i in index], pa.int64()), "n_tokens": pa.array([i[1] for i in index], pa.int64())})
+
+        def list_documents(stream):
+            with pa.ipc.new_stream(stream, listed.schema) as out:
+                out.write_table(listed)
+
+        written(f"{uri}.index.arrows", list_documents)
+        kinds = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "documents": [len(index)], "tokens": [sum(i[1] for i in index)]}, schema=kinds)
 
     return stored(dealt.mapInArrow(write, MANIFEST), "manifest")
 
@@ -171,12 +175,12 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files.
     Only the manifest, a row per shard, is ordered as a whole."""
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    based = manifest.select("path", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
+    based = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches):
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 reader = ShardReader(f"{path}.arrows")
                 filesystem, at = opened(f"{path}.index.arrows")
                 with filesystem.open_input_file(at) as f:
@@ -186,4 +190,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(reader.ids(int(s), int(c)).astype("<u4").tobytes()) for s, c in zip(starts, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartitionById(n, F.col("shard").cast("int")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

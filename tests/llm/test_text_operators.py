@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -95,6 +96,12 @@ def test_encoder_equals_library(name):
         assert code.encode(texts) == want
 
     same()
+    # Every character of the range that is split without the library, and some beyond it.
+    rng = np.random.default_rng(1)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x260) for a in ("", "a", " ", "1") for b in ("", "b", " ", "'s")]
+    texts += ["".join(map(chr, rng.integers(0, 0x253, 12))) for _ in range(3000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in code.library.encode_batch(texts, add_special_tokens=False)]
+    assert code.encode(texts) == want
 
 
 def test_packing(spark):
@@ -136,6 +143,8 @@ def test_best_fit_holds_every_capacity():
         assert n <= 1.5 * np.ceil((demands.sum(axis=0) / capacities).max())
     with pytest.raises(ValueError):
         packing.best_fit(demands, capacities, rule="first")
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([[50.0, 1.0, 6001.0]]), capacities)
 
 
 def test_packing_under_limits_and_empty(spark):
@@ -145,13 +154,21 @@ def test_packing_under_limits_and_empty(spark):
     for r in rows:
         per[r.sequence_id] = per.get(r.sequence_id, 0) + 1
     assert max(per.values()) <= 2
+    cost = {}
+    for r in packing.pack_documents(frame(spark, [(k, "word " * (7 + k % 5), "en", "a", 1) for k in range(40)]), path, capacity=64, max_attention=200).collect():
+        cost[r.sequence_id] = cost.get(r.sequence_id, 0) + r.length**2
+    assert max(cost.values()) <= 200 and len(cost) > 20  # without the limit ten would do
+    with pytest.raises(ValueError):
+        packing.pack_documents(frame(spark), path, capacity=64, max_documents=0)
+    same = packing.pack_documents(frame(spark, [(None, "a b c", "en", "a", 1)] * 30), path, capacity=64, group_size=4).collect()
+    assert len(same) == 30 and len({r.sequence_id >> 22 for r in same}) > 1  # dealt over several groups
     assert packing.pack_documents(frame(spark, []), path).count() == 0
 
 
 def test_token_files_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     code = Encoder(path)
-    manifest = tokenfile.write_tokens(frame(spark), path, sequence_length=16, rows=4, shards=3)
+    manifest = tokenfile.write_tokens(frame(spark).withColumn("shard", F.lit("x")), path, sequence_length=16, rows=4, shards=3)
     got = sorted(tokenfile.read_tokens(manifest).collect(), key=lambda r: r.start)
     docs = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start = 0
@@ -163,13 +180,24 @@ def test_token_files_round_trip(spark):
     shards = manifest.orderBy("shard").collect()
     reader = tokenfile.ShardReader(shards[0].path + ".arrows")
     n = shards[0].tokens
-    assert reader.values[0].dtype == np.uint16 and reader.length == 16
-    for k in range(-(-n // 16)):
-        mask = reader.mask(k)
-        assert mask.sum() == min(16, n - 16 * k) and (reader.sequence(k)[mask] == stream[16 * k : 16 * k + 16][: mask.sum()]).all()
+    assert reader.values(0).dtype == np.uint16 and reader.length == 16
+    for k in np.random.default_rng(0).permutation(-(-n // 16)):
+        mask = reader.mask(int(k))
+        assert mask.sum() == min(16, n - 16 * k) and (reader.sequence(int(k))[mask] == stream[16 * k : 16 * k + 16][: mask.sum()]).all()
     assert tokenfile.read_tokens(tokenfile.write_tokens(frame(spark, []), path)).count() == 0
 
 
+def test_token_files_cut_equal_ids(spark):
+    """One id and one text on all rows are dealt over the shards like others."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(7, f"word {k % 5}") for k in range(100)] + [(None, "x")] * 100, "doc_id long, text string")
+    manifest = tokenfile.write_tokens(docs.repartition(4), path, shards=4)
+    sizes = [r.documents for r in manifest.collect()]
+    assert sum(sizes) == 200 and len(sizes) == 4 and max(sizes) < 100
+    got = sorted(tokenfile.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]] and [r.doc_id for r in got] == [None] * 100 + [7] * 100
+
+
 def brute_hits(docs, items, n):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
