@@ -4,14 +4,15 @@ Archives: one gzip member per record, so each can be read by its place. Of pages
 `least` bytes the one with the largest page_id is a response record; the others are revisit records without a
 payload that refer to it. Smaller payloads are always responses.
 
-Index: captures are sorted by key (the host's labels reversed, then path and query, then page_id) over parts by
-ranges. Each part is a file of compressed blocks of `block` lines, and a sparse directory beside it holds the
-first key, place and size of each block. A look-up finds the part and the block by binary search, reads that
-range alone, and searches in the block.
+Index: captures are sorted by key (the host's labels reversed, then path and query, then page_id, then the payload's digest),
+and equal keys by place, over parts by ranges. Each part is a file of compressed blocks of `block` lines, and a sparse
+directory beside it holds the first key, place and size of each block. A look-up finds the part and the block by binary
+search, reads that range alone, and searches in the block.
 
 Files are written under the shared folder by pyarrow file systems, under names of their own and moved into
-place. Defined results: null html is an empty payload; null urls have an empty host; repeated rows have a record
-each; other columns are passed over; an empty table gives no files and no rows.
+place. Defined results: null html is an empty payload; null urls have an empty host; a page without an id is no other
+page's response, and revisits the largest page_id of its payload if there is one; repeated rows have a record
+each; other columns are passed over, whatever their names; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import new_folder, opened, stored, text_batches, written
 
 LEAST, BLOCK, DATE = 1000, 256, "2024-01-01T00:00:00Z"
+#: Captures of an index part at most, on average.
+PART_LINES = 2_000_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CAPTURES = "key string, page_id long, path string, offset long, length long"
 RECORDS = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -47,8 +50,8 @@ def url_key(url: str | None) -> str:
     return key.lower()
 
 
-def capture_key(url: str | None, page_id: int | None) -> str:
-    return f"{url_key(url)} {'-' if page_id is None else format(page_id, '020d')}"
+def capture_key(url: str | None, page_id: int | None, digest: str) -> str:
+    return f"{url_key(url)} {'-' if page_id is None else format(page_id, '020d')} {digest}"
 
 
 def record(page_id, url, payload: bytes, refers_to, digest: str) -> bytes:
@@ -90,10 +93,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     large = pages.where(F.octet_length("payload") >= least).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = stored(groups, "payloads")
-    of = F.coalesce(F.col("page_id"), F.lit(-1)).alias("of")
-    revisits = large.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(of, "digest", "refers_to").distinct()
+    # A null id joins by a flag of its own.
+    key = [F.coalesce(F.col("page_id"), F.lit(0)).alias("of"), F.col("page_id").isNull().alias("no_id")]
+    revisits = large.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(*key, "digest", "refers_to").distinct()
     # The one shuffle of payloads, if any: archives are written from the partitions of this join.
-    return pages.withColumn("of", of).join(revisits, ["of", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    return pages.select("*", *key).join(revisits, ["of", "no_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
@@ -102,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     text_batches(spark)
     folder = folder or new_folder(spark, "warc")
     rows = with_revisits(pages, least).select("page_id", "url", "payload", "digest", "refers_to")
-    rows = rows.sortWithinPartitions("page_id", "digest")
+    rows = rows.sortWithinPartitions("page_id", "digest", "url")
 
     def write(batches):
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -114,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
                 for page_id, url, payload, digest, refers_to in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                     data = member(record(page_id, url, payload, refers_to, digest))
                     stream.write(data)
-                    kept.append((capture_key(url, page_id), page_id, path, at, len(data)))
+                    kept.append((capture_key(url, page_id, digest), page_id, path, at, len(data)))
                     at += len(data)
 
         first = next(batches, None)
@@ -146,8 +150,9 @@ def write_index(captures: DataFrame, folder: str | None = None, block: int = BLO
     """Writes the index and returns its folder and its parts: part, first_key, blocks, lines."""
     spark = captures.sparkSession
     folder = folder or new_folder(spark, "cdx")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = captures.repartitionByRange(n, "key").sortWithinPartitions("key", "path", "offset")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // PART_LINES))
+    # Equal keys are dealt over several parts too.
+    dealt = captures.repartitionByRange(n, "key", "path", "offset").sortWithinPartitions("key", "path", "offset")
 
     def write(batches):
         part = TaskContext.get().partitionId()
@@ -250,7 +255,7 @@ def look_up(keys: DataFrame, index: tuple[str, DataFrame]) -> DataFrame:
             yield _table(rows, CAPTURES)
 
     routed = keys.select("key").where("key is not null").distinct().mapInArrow(route, "part long, key string")
-    return routed.repartition(n, "part").sortWithinPartitions("part", "key").mapInArrow(find, CAPTURES)
+    return routed.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "key").mapInArrow(find, CAPTURES)
 
 
 def read_records(captures: DataFrame, stretch: int = 64 << 20) -> DataFrame:
@@ -284,14 +289,15 @@ def read_records(captures: DataFrame, stretch: int = 64 << 20) -> DataFrame:
 
 
 def read_pages(pages: DataFrame, index: tuple[str, DataFrame]) -> DataFrame:
-    """The records of pages (page_id, url), found through the index; revisits have the size of the payload that
+    """The records of pages (page_id, url, html), found through the index; revisits have the size of the payload that
     they refer to."""
 
     def keys(batches):
         for batch in batches:
-            yield _table([(capture_key(u, i),) for i, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], "key string")
+            yield _table([(capture_key(u, i, d),) for i, u, d in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)], "key string")
 
-    wanted = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(keys, "key string")
+    digest = F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))
+    wanted = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), digest.alias("digest")).mapInArrow(keys, "key string")
     records = stored(read_records(look_up(wanted, index)), "records")
     full = records.where("record_type = 'response' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
     full = stored(full, "responses").withColumnsRenamed({"page_id": "full_id", "payload_digest": "full_digest"})

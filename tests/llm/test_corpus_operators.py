@@ -18,7 +18,9 @@ SF = "/root/testdata/sf0.001"
 def test_warc_round_trip(spark):
     big, small = "x" * 1500, "y" * 10
     rows = [(1, "http://a.com/p?q=1#f", big), (2, "http://b.org", big), (3, "http://b.org", small), (4, "http://b.org", small), (5, None, None), (6, "http://[bad", big), (7, "https://a.com/é", "ü" * 600), (None, "http://n.net", big), (8, "http://c.de", ""), (3, "http://b.org", small)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1))
+    other = "z" * 1200
+    rows += [(None, "http://d.net", other), (-1, "http://e.net", other), (None, None, None), (None, "http://n.net", "v" * 3000), (9, "http://l.net", "w\n" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("digest", F.lit(2))
     index = warc.write_index(warc.write_archives(pages), block=2)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(pages, index).collect()), key=repr)
     want = []
@@ -29,12 +31,20 @@ def test_warc_round_trip(spark):
         revisit = top is not None and top != i
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
     assert got == sorted(want, key=repr)
-    one = warc.look_up(spark.createDataFrame([(warc.capture_key("http://b.org", 3),), ("zzz",), ("",)], "key string"), index).collect()
+    key = warc.capture_key("http://b.org", 3, hashlib.sha1(small.encode()).hexdigest())
+    one = warc.look_up(spark.createDataFrame([(key,), ("zzz",), ("",)], "key string"), index).collect()
     assert {r.page_id for r in one} == {3} and len(one) == 2
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_pages(empty, warc.write_index(warc.write_archives(empty))).count() == 0
 
 
+def test_index_deals_equal_keys(spark):
+    captures = spark.createDataFrame([("k", k, "p", k, 1) for k in range(200)] + [(f"a{k}", k, "p", 1000 + k, 1) for k in range(20)], warc.CAPTURES)
+    index = warc.write_index(captures, block=8)
+    assert max(r["lines"] for r in index[1].collect()) < 150
+    assert sorted(r.offset for r in warc.look_up(spark.createDataFrame([("k",), ("k",), ("b",)], "key string"), index).collect()) == list(range(200))
+
+
 def test_url_key():
     assert warc.url_key("http://WWW.Example.com:8080/a?b=1#c") == "com,example,www:8080)/a?b=1"
 
