@@ -3,10 +3,10 @@
 Regular expressions propose spans, validators (octet range, Luhn, mod 97, digit counts) confirm them, and words
 near a span move its score. The base kinds email, ip, card and phone follow fixed patterns, leftmost and
 non-overlapping; a match that its validator refuses is dropped without another try. They are always reported,
-whatever their score. The other kinds, iban and ssn, are reported from a score of THRESHOLD on.
+whatever their score. The other kinds, iban, ssn and secret (keys, tokens), are reported from a score of THRESHOLD on.
 
 Positions are code points, the end exclusive. Null texts count as empty; spans of different kinds may overlap;
-every row of the input gives one row; other columns are passed over.
+every row of the input gives one row, equal rows equal ones; other columns are passed over (kept by `redact`).
 """
 
 from __future__ import annotations
@@ -15,9 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 
+#: Characters of an IBAN by its country (fixed values).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA",
+    30: "JO KW MU", 31: "MT SC",
+}
+IBAN = "|".join(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+
 #: Java patterns. They match what the base patterns match; look-behinds and possessive repeats only keep long
 #: runs from being tried again at each of their characters, and keep Java from recursing.
 PATTERNS = {
@@ -25,8 +33,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "iban": IBAN,
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"[A-Za-z0-9_+/-]{20,}+",
 }
 #: What a text must hold for its pattern to be tried at all.
 GUARDS = {
@@ -36,9 +45,10 @@ GUARDS = {
     "phone": lambda t: F.contains(t, F.lit("+")),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
     "ssn": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]"),
+    "secret": lambda t: t.rlike(r"[A-Za-z0-9_+/-]{20}"),
 }
 #: Score without context, and the words (lower case) that add or take 0.3 within WINDOW characters before a span.
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 FOR = {
     "email": r"mail|contact|write",
     "ip": r"\bip\b|address|host|server|login",
@@ -46,6 +56,7 @@ FOR = {
     "phone": r"phone|call|tel|mobile|fax",
     "iban": r"iban|bank|account|konto|compte",
     "ssn": r"ssn|social|security|tax",
+    "secret": r"token|secret|key|passw|bearer|auth",
 }
 AGAINST = r"version|order|invoice|isbn|serial|build|example"
 WINDOW, STEP, THRESHOLD = 40, 0.3, 0.6
@@ -97,6 +108,8 @@ VALID = {
     "phone": lambda m: F.length(digits_of(m)).between(10, 15),
     "iban": mod97,
     "ssn": lambda m: ~m.rlike(r"^(000|666|9)|-00-|-0000$"),
+    # No checksum is known for these: letters and digits mixed, ten characters or more of them different.
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 10),
 }
 
 

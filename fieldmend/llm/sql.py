@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import pii
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -46,6 +48,9 @@ def _score(base: float, words: str) -> str:
     return f"round({base} + CASE WHEN regexp_matches({_NEAR}, '{words}') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches({_NEAR}, 'version|order|invoice|isbn|serial|build|example') THEN 0.3 ELSE 0 END, 2) >= 0.6"
 
 
+#: No digit or hyphen stands before or after; this SQL's patterns can't look around.
+_ALONE = "NOT regexp_matches(substr(t, CAST(start AS BIGINT), 1), '^[0-9-]') AND NOT regexp_matches(substr(t, CAST(stop AS BIGINT) + 1, 1), '^[0-9-]')"
+
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
@@ -56,19 +61,25 @@ UNION ALL
 {_kind("card", "[0-9](?:[ -]?[0-9])+", f"len({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")}
 UNION ALL
 {_kind("phone", "[+][0-9][ ().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 10 AND 15")}),
-iban AS ({_kind("iban", "[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(?: ?[A-Z0-9]{1,3})?", _MOD97)}),
+iban AS ({_kind("iban", pii.IBAN.replace("x20", " ").replace(chr(92), ""), _MOD97)}),
+ssn AS ({_kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')")}),
+secret AS ({_kind("secret", "[A-Za-z0-9_+/-]{20,}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND len(list_distinct(string_split(m, ''))) >= 10")}),
 spans AS (
   SELECT rid, kind, start, stop, true AS is_base FROM base
-  UNION ALL SELECT rid, kind, start, stop, false FROM iban JOIN d USING (rid) WHERE {_score(0.8, "iban|bank|account|konto|compte")}),
-ranked AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) AS r FROM spans),
+  UNION ALL SELECT rid, kind, start, stop, false FROM iban JOIN d USING (rid) WHERE {_score(0.8, pii.FOR["iban"])}
+  UNION ALL SELECT rid, kind, start, stop, false FROM ssn JOIN d USING (rid) WHERE {_score(0.4, pii.FOR["ssn"])} AND {_ALONE}
+  UNION ALL SELECT rid, kind, start, stop, false FROM secret JOIN d USING (rid) WHERE {_score(0.4, pii.FOR["secret"])}),
+ranked AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn', 'secret'], kind) AS r FROM spans),
 per AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
-         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban,
+         count(*) FILTER (kind = 'ssn') AS n_ssn, count(*) FILTER (kind = 'secret') AS n_secret, count(*) AS n_spans,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, r) FILTER (is_base) AS b,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, r) AS s
   FROM ranked GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+       coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn, coalesce(n_secret, 0) AS n_secret,
+       coalesce(n_spans, 0) AS n_spans, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM d LEFT JOIN per USING (rid)
 """
 
