@@ -9,7 +9,9 @@ Two documents link when 100 * shared shingles >= percent * shingles of both. The
 3. T-occurrence search (DivideSkip): shingles are in one global order, by counter, then by hash. Documents that
    link share `need` = ceil(percent n / 100) shingles at least; a document's first n - need + SHORT shingles are its
    short inverted lists, and of these any linked document shares SHORT at least. The lists that hold more than one
-   component so far are joined; for each probe they are merged by a heap, and documents that occur SHORT times stay.
+   component so far are joined, by shingle and length class: a document probes for those of its own size or less, which
+   lie in fewer lists, as two sets of one size must share more. For each probe and sixteenth of the documents met the lists
+   are merged by a heap, and documents that occur SHORT times stay.
 4. These candidates' other shingles, the long lists, are probed by binary search until the required overlap is
    reached or out of reach.
 
@@ -17,8 +19,8 @@ Pairs within a component are never formed after step 2, and no link between comp
 are exact. Lists are joined by Spark's sort-merge join, which spills and splits skewed keys.
 
 Defined results: null texts and texts without words have empty sets and link with nothing, each its own
-component; rows that share a doc_id share their links; null doc_ids have no component; repeated rows give a row
-each; other columns are passed over.
+component; rows that share a doc_id share their links, those of each of its texts; null doc_ids have no component;
+repeated rows give a row each; other columns are passed over (kept by `keep_one`), whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .common import stored, text_batches
 from .shingles import Shingler, min_hashes, mix, overlap
 
 SKETCH, SHORT, BANDS = 1 << 17, 2, 4
+#: A probe's merge is split so many ways.
+MERGES = 16
 #: Up to so many ids are broadcast to choose documents; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -144,31 +148,37 @@ def merge_lists(lists: list[list[int]], times: int) -> list[int]:
 
 
 def occurrences(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share SHORT short lists. postings: s, at (the place of s among
-    the document's shingles in the global order), doc_id, n, comp.
+    """Pairs (a, b) of different components that share SHORT short lists; b is the smaller set. postings: s, at (the place
+    of s among the document's shingles in the global order), doc_id, n, comp.
 
     A pair of n and m shingles links only if it shares need = ceil(percent (n + m) / (100 + percent)) of them, so the
-    first SHORT that it shares lie among the first n - need + SHORT of one and m - need + SHORT of the other. Near copies
-    with edits of their own hold these first, as their rarest shingles, and mostly do not meet at all."""
+    first SHORT that it shares lie among the first n - need + SHORT of one and m - need + SHORT of the other; for m <= n
+    the latter is m - ceil(2 percent m / (100 + percent)) + SHORT at most. Near copies with edits of their own hold these
+    first, as their rarest shingles, and mostly do not meet at all."""
     spread = postings.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     spread = stored(spread, "lists")
     few = spread.count() <= BROADCAST_IDS
     open_ = stored(postings.join(F.broadcast(spread) if few else spread, "s", "left_semi"), "postings")
-    other = open_.select("s", F.col("at").alias("at_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+    size = lambda n: F.floor(F.log(n) / F.lit(float(np.log(100 / percent) if percent < 100 else 1))).cast("int")
+    least = F.ceil(2 * F.col("n") * percent / F.lit(100 + percent))
+    smaller = open_.where(F.col("at") < F.col("n") - least + SHORT)
+    smaller = smaller.select("s", F.col("at").alias("at_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), size(F.col("n")).alias("size"))
+    probes = open_.withColumnRenamed("doc_id", "a").withColumn("size", F.explode(F.sequence(size(F.ceil(F.col("n") * percent / 100)), size(F.col("n")))))
     need = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
     close = (F.col("at") < F.col("n") - need + SHORT) & (F.col("at_b") < F.col("m") - need + SHORT)
-    met = open_.withColumnRenamed("doc_id", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & close)
+    below = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a")))
+    met = probes.join(smaller, ["s", "size"]).where(below & (F.col("comp") != F.col("comp_b")) & close)
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = met.select("a", "s", "b").repartition(n, "a").sortWithinPartitions("a", "s", "b")
+    lists = met.select("a", F.pmod(F.xxhash64("b"), F.lit(MERGES)).alias("part"), "s", "b").repartition(n, "a", "part").sortWithinPartitions("a", "part", "s", "b")
 
     def merge(batches):
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
 
         out: list[tuple[int, int]] = []
-        for a, group in groupby(rows(), key=lambda r: r[0]):
-            lists = [[r[2] for r in run] for _, run in groupby(group, key=lambda r: r[1])]
+        for (a, _), group in groupby(rows(), key=lambda r: r[:2]):
+            lists = [[r[3] for r in run] for _, run in groupby(group, key=lambda r: r[2])]
             out += ((a, b) for b in merge_lists(lists, SHORT))
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
@@ -204,6 +214,15 @@ def rooted(nodes: DataFrame, node: str, roots: DataFrame, out: str) -> DataFrame
     return nodes.join(roots.select(F.col("node").alias(node), F.col("root").alias("fm_root")), node, "left").withColumn(out, F.coalesce("fm_root", node)).drop("fm_root")
 
 
+def shared_ids(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that hold the sets of one doc_id together, where rows with different texts share it."""
+    key = F.struct("d1", "d2", "n")
+    own = rows.where("n > 0 and doc_id is not null")
+    twice = own.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
+    twice = stored(twice, "shared")
+    return own.join(twice, "doc_id", "left_semi").join(sets, ["d1", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     if not 50 < percent <= 100:
@@ -214,7 +233,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     sets = stored(sets, "sets")
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
-    lists = stored(short_lists(docs, k, percent, table).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shingles")
+    lists = short_lists(docs, k, percent, table).join(reps, "doc_id", "left_semi")
+    lists = stored(lists.withColumn("key", F.xxhash64("lists")).dropDuplicates(["doc_id", "key"]).drop("key"), "shingles")
 
     bands = lists.select("doc_id", F.explode("bands").alias("band"))
     stars = stored(bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"), "bands")
@@ -224,6 +244,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     placed = rooted(lists.select("doc_id", "n", "lists"), "doc_id", first, "comp")
     postings = placed.select("doc_id", "n", "comp", F.posexplode("lists").alias("at", "s"))
     links = verified(docs, occurrences(postings, percent), k, percent)
+    links = links.unionByName(shared_ids(rows, sets))
     ends = rooted(rooted(links, "a", first, "a_root"), "b", first, "b_root")
     second = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
 

@@ -230,6 +230,22 @@ def test_jaccard_odd_rows(spark):
     assert sorted((repr(r.doc_id), r.component_id) for r in jaccard.jaccard_components(docs, 3, 90).collect()) == [("1", 1), ("1", 1), ("2", 1), ("None", 1)]
     assert jaccard.keep_one(docs, 3, 90).count() == 3
     assert jaccard.jaccard_components(docs.where("doc_id > 9"), 3, 90).count() == 0
+    # Both texts of doc_id 7 lend it their links.
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "uv")
+    shared = spark.createDataFrame([(3, one), (5, two), (7, one), (7, f"{two} x"), (9, f"{two} x"), (8, f"{one} y"), (1, "a b")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(shared, 3, 90).collect()}
+    assert got == {(3, 38): 3, (5, 38): 3, (7, 38): 3, (7, 39): 3, (9, 39): 3, (8, 39): 3, (1, 1): 1}
+
+
+def test_jaccard_of_one_long_list(spark, monkeypatch):
+    """Documents of one template that don't link: all share their short lists, so a probe meets all others."""
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    frame = " ".join(f"t{k}" for k in range(60))
+    docs = [(k, f"{frame} " + " ".join(f"o{k}x{j}" for j in range(4))) for k in range(150)] + [(200, " ".join(f"w{k}" for k in range(100_000))), (201, " ".join(f"w{k}" for k in range(100_001)))]
+    out = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in out} == {**{k: k for k in range(150)}, 200: 200, 201: 200}
+    links = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in links} == {**{k: 0 for k in range(150)}, 200: 200, 201: 200}
 
 
 def test_components_of_a_path(spark):
