@@ -6,15 +6,16 @@ walk is what the embedding has at j. Texts that differ by an edit fall out of st
 so their edit distance becomes a Hamming distance. The bits repeat after PERIOD steps.
 
 Bit sampling: each of SLOTS slots looks at one step of the embedding. Of all steps up to the walk's end it takes the
-one with the smallest hash under the slot, so texts of nearly equal lengths look at the same steps. A slot keeps four
-bits of a hash of the GRAM characters from there on. The fingerprint is the slots as hex digits.
+one with the smallest hash under the slot, so texts of nearly equal lengths look at the same steps. A slot keeps eight
+bits of a hash of the GRAM characters from there on. The fingerprint is the slots as pairs of hex digits.
 
-Likeness of two fingerprints: the share of equal slots, less what chance gives, from 0 to 1. Banding: runs of
+Likeness of two fingerprints: the share of equal slots, less what chance gives, from 0 to 1. Banding: samples of
 slots as keys bring candidates together, which a check of likeness and of the texts' edit distance confirms.
 
 Defined results: null texts are empty; empty texts have a fingerprint of their own; equal texts have equal
-fingerprints; repeated rows follow each other; other columns are passed over. The document that follows another
-is the next in descending doc_id (nulls last; equal ids by text, descending); after the last comes the first.
+fingerprints; repeated rows follow each other; other columns are passed over, whatever their names. The document that follows
+another is the next in descending doc_id (nulls last; equal ids by the text's digest, descending); after the last comes the
+first. near_copies leaves rows without a doc_id out; rows that share one with different texts share their links.
 """
 
 from __future__ import annotations
@@ -32,9 +33,15 @@ from .common import stored, text_batches
 from .jaccard import components, rooted
 from .shingles import mix
 
-PERIOD, CLASSES, SLOTS, GRAM, BAND = 2039, 64, 128, 6, 8
+PERIOD, CLASSES, SLOTS, GRAM = 2039, 64, 128, 6
+#: Keys of a document, and slots sampled for each.
+BANDS, BAND = 64, 3
+#: Steps that a sampler looks at in one go; characters of a slice of documents at most, on average.
+CHUNK, SLICE_CHARS = 1 << 15, 64 << 20
 #: near_copies: documents of a bucket that are compared at once; how often a bucket is held against one document first.
 BLOCK, STARS = 1000, 2
+#: near_copies: the least likeness of fingerprints for texts to be compared; measured recall in the README.
+LEAST = 0.1
 NEVER = np.iinfo(np.int64).max
 
 
@@ -46,6 +53,7 @@ class Walk:
         rng = np.random.default_rng(seed)
         bits = rng.integers(0, 2, (PERIOD, CLASSES), dtype=np.int64)
         bits[0] = 1  # no character holds a walk for more than a period
+        self.bits = bits
         # advance[j, c]: steps from j until a character of class c is left
         advance = np.zeros((PERIOD, CLASSES), np.int64)
         run = np.ones(CLASSES, np.int64)
@@ -76,25 +84,28 @@ class Sampler:
     def __init__(self, slots: int):
         self.salts = mix(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
         self.every = np.arange(slots)
+        self.records: list[list[int]] = [[] for _ in range(slots)]
         # A row per slot, filled up with a step beyond all.
         self.at = np.full((slots, 1), NEVER)
         self.least = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
         self.n = 0
 
     def grow(self, n: int) -> None:
-        """Looks for further records up to step n."""
+        """Looks for further records up to step n, CHUNK steps at a time."""
+        if self.n >= n:
+            return
         while self.n < n:
-            stop = max(1 << 15, 2 * self.n)
-            steps = np.arange(self.n, stop, dtype=np.uint64)
-            rows = []
+            steps = np.arange(self.n, self.n + CHUNK, dtype=np.uint64)
             for k, salt in enumerate(self.salts):
-                low = np.minimum.accumulate(np.concatenate((self.least[k : k + 1], mix(steps ^ salt))))
-                rows.append(np.concatenate((self.at[k][self.at[k] < NEVER], steps[low[1:] < low[:-1]].astype(np.int64))))
-                self.least[k] = low[-1]
-            self.at = np.full((len(rows), max(map(len, rows))), NEVER)
-            for k, row in enumerate(rows):
-                self.at[k, : len(row)] = row
-            self.n = stop
+                hashed = mix(steps ^ salt)
+                if hashed.min() < self.least[k]:
+                    low = np.minimum.accumulate(np.concatenate((self.least[k : k + 1], hashed)))
+                    self.records[k] += steps[low[1:] < low[:-1]].astype(np.int64).tolist()
+                    self.least[k] = low[-1]
+            self.n += CHUNK
+        self.at = np.full((len(self.records), max(map(len, self.records))), NEVER)
+        for k, row in enumerate(self.records):
+            self.at[k, : len(row)] = row
 
     def __call__(self, n: int) -> np.ndarray:
         self.grow(n)
@@ -110,7 +121,7 @@ class Fingerprinter:
         self.walk, self.sample = Walk(), Sampler(slots)
         self.slots = slots
         self.salt = np.arange(slots, dtype=np.uint64)
-        self.empty = "".join("0123456789abcdef"[k % 16] for k in range(slots))
+        self.empty = bytes(k % 256 for k in range(slots)).hex()
 
     def walked(self, points: np.ndarray, start: int = 0) -> np.ndarray:
         return self.walk.steps(((points * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint8).tobytes(), start)
@@ -129,7 +140,7 @@ class Fingerprinter:
         for k in range(GRAM):
             at = chars + k
             grams = mix(grams + np.where(at <= last, points[np.minimum(at, last)], 0xFFFFFFFF).astype(np.uint64))
-        return (mix(grams ^ (self.salt << np.uint64(40))) & np.uint64(15)).astype(np.uint8).tobytes().translate(HEX).decode()
+        return (mix(grams ^ (self.salt << np.uint64(40))) & np.uint64(255)).astype(np.uint8).tobytes().hex()
 
     def of_edited(self, points: np.ndarray, steps: np.ndarray, kept: int) -> str:
         """The fingerprint of a text whose first `kept` characters begin another text, of which `steps` is the walk;
@@ -138,14 +149,18 @@ class Fingerprinter:
         return self.of(points, np.concatenate((steps[:kept], rest)))
 
 
-def likeness(a: str, b: str) -> float:
-    """The share of equal slots, less what chance gives."""
-    equal = float(np.mean(np.frombuffer(a.encode(), np.uint8) == np.frombuffer(b.encode(), np.uint8)))
-    return max(0.0, (equal - 1 / 16) / (15 / 16))
+def slots_of(prints: list[str]) -> np.ndarray:
+    """Fingerprints as rows of slots."""
+    return np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1)
+
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal slots of each row, less what chance gives."""
+    return np.maximum(0.0, ((a == b).mean(axis=-1) - 1 / 256) / (255 / 256))
 
-#: Numbers below 16 as hex digits.
-HEX = b"0123456789abcdef" + bytes(240)
+
+def likeness(a: str, b: str) -> float:
+    return float(alike(*slots_of([a, b])))
 
 
 def edited(text: str, following: str) -> str:
@@ -157,23 +172,37 @@ def edited(text: str, following: str) -> str:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def by_cuts(cuts: list, row, first: int = 0):
+    """How many of the ascending cuts row has reached, by a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(row >= cuts[k], by_cuts(cuts[k + 1 :], row, first + k + 1)).otherwise(by_cuts(cuts[:k], row, first))
+
+
 def ordered_slices(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text) in `n` slices of consecutive documents, descending; each slice also ends with the first
-    document of the next one (tail = true), and the last with the first of all. The slices are cut at quantiles of
-    doc_id, so no slice has an end outside these."""
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
-    slice_ = F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    placed = docs.withColumn("slice", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(slice_).cast("int"))
+    document of the next one (tail = true), and the last with the first of all. The slices are cut at quantiles of a sample
+    of 64 rows a slice; equal ids are cut by the text's digest, equal texts of one id by row."""
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    order = ["known", "id", "key", "row"]
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "row")
+    cuts = []
+    if n > 1:
+        rows = max(1, docs.count())
+        drawn = sorted(tuple(r[0]) for r in keyed.select(place.alias("p")).sample(min(1.0, 64 * n / rows), 7).collect())
+        picked = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
+        cuts = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(p, ("boolean", "long", "string", "long"), order, strict=True))) for p in picked]
+    placed = keyed.withColumn("slice", F.lit(len(cuts)) - by_cuts(cuts, place))
     # The document a slice starts with: by id, then by text, told by its digest.
-    head = F.max(F.struct("doc_id", "text_key"))
-    heads = placed.select("slice", "doc_id", F.md5("text").alias("text_key")).groupBy("slice").agg(head.alias("head"))
-    order = Window.orderBy("slice")
-    heads = heads.withColumn("before", F.coalesce(F.lag("slice").over(order), F.max("slice").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    tails = F.broadcast(heads.select(F.col("slice").alias("of"), F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key"), "before"))  # a row per slice
-    ends = placed.withColumn("text_key", F.md5("text")).join(tails, (F.col("slice") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_key") == F.col("head_key")))
-    ends = ends.dropDuplicates(["of"]).select("doc_id", "text", F.col("before").alias("slice"))
-    both = placed.select("slice", F.lit(False).alias("tail"), "doc_id", "text").unionByName(ends.select("slice", F.lit(True).alias("tail"), "doc_id", "text"))
-    return both.withColumn("key", F.md5("text")).repartition(n, "slice").sortWithinPartitions("slice", "tail", F.col("doc_id").desc_nulls_last(), F.col("key").desc()).select("slice", "tail", "doc_id", "text")
+    heads = placed.groupBy("slice").agg(F.max(place).alias("head"))
+    over = Window.orderBy("slice")
+    heads = heads.withColumn("before", F.coalesce(F.lag("slice").over(over), F.max("slice").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    tails = F.broadcast(heads.select(F.col("slice").alias("of"), F.when(F.col("head.known"), F.col("head.id")).alias("head_id"), F.col("head.key").alias("head_key"), "before"))  # a row per slice
+    ends = keyed.join(tails, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key")))
+    ends = ends.dropDuplicates(["of"]).select("doc_id", "text", "key", F.col("before").alias("slice"))
+    both = placed.select("slice", F.lit(False).alias("tail"), "doc_id", "text", "key").unionByName(ends.select("slice", F.lit(True).alias("tail"), "doc_id", "text", "key"))
+    return both.repartitionById(max(1, n), F.col("slice")).sortWithinPartitions("slice", "tail", F.col("doc_id").desc_nulls_last(), F.col("key").desc()).select("slice", "tail", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -181,7 +210,8 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    slices = ordered_slices(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices = ordered_slices(docs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SLICE_CHARS)))
 
     def mark(batches):
         make = Fingerprinter(slots)
@@ -251,8 +281,14 @@ def edit_distance(a: str, b: str, most: int) -> int | None:
     return None
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, share: float = 0.1, slots: int = SLOTS, band: int = BAND, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b, likeness), a < b: documents that agree in a band of slots, whose likeness is `least`
+def band_slots(slots: int, bands: int, band: int) -> list[list[int]]:
+    """The slots that each key is made of; the same for all documents."""
+    rng = np.random.default_rng(50)
+    return [sorted(rng.choice(slots, band, replace=False).tolist()) for _ in range(bands)]
+
+
+def near_copies(docs: DataFrame, least: float = LEAST, share: float = 0.1, slots: int = SLOTS, bands: int = BANDS, band: int = BAND, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b, likeness), a < b: documents that agree in a sample of slots, whose likeness is `least`
     and whose edit distance is at most `share` of the longer text. Equal texts collapse first.
 
     First each band bucket's documents are held against one of them: the smallest doc_id, then ones drawn by a hash,
@@ -261,8 +297,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, share: float = 0.1, slots:
     but have the components that all pairs would give."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    reps = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id")).alias("x")).select("x.doc_id")
-    texts = stored(docs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    reps = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    texts = stored(docs.withColumn("h", F.sha2("text", 256)).join(reps, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
 
     def mark(batches):
         make = Fingerprinter(slots)
@@ -270,24 +306,34 @@ def near_copies(docs: DataFrame, least: float = 0.8, share: float = 0.1, slots:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "mark"])
 
     marks = stored(texts.mapInArrow(mark, "doc_id long, mark string"), "marks")
-    keys = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("mark", k + 1, band)) for k in range(0, slots, band)))
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.substring("mark", 2 * i + 1, 2) for i in some)) for k, some in enumerate(band_slots(slots, bands, band))))
     links = None
     for k in range(STARS):
-        bands = _placed(marks, links).withColumn("band", F.explode(keys))
+        keyed = _placed(marks, links).withColumn("band", F.explode(keys))
         order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
-        pivot = bands.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("p_comp"), F.col("mark").alias("p_mark"))).alias("x")).select("band", "x.*")
-        apart = bands.join(pivot, "band").where("comp <> p_comp").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"), "mark", "p_mark")
+        pivot = keyed.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("p_comp"), F.col("mark").alias("p_mark"))).alias("x")).select("band", "x.*")
+        apart = keyed.join(pivot, "band").where("comp <> p_comp").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"), "mark", "p_mark")
         found = _verified(apart.dropDuplicates(["a", "b"]).mapInArrow(_alike(least), "a long, b long, likeness double"), texts, share)
         links = found if links is None else stored(links.unionByName(found), "links")
-    bands = _placed(marks, links).withColumn("band", F.explode(keys))
-    open_ = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = bands.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    keyed = _placed(marks, links).withColumn("band", F.explode(keys))
+    open_ = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = keyed.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "comp", "mark")
     rest = dealt.groupBy("band", "p", "q").applyInArrow(_compared(least), "a long, b long, likeness double")
     return links.unionByName(_verified(rest.dropDuplicates(["a", "b"]), texts, share))
 
 
+def near_copy_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id and component_id of each row of docs: the smallest doc_id that it is connected with by near_copies and equal
+    texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("h"))
+    reps = stored(rows.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("rep")), "reps")
+    same = rows.where("doc_id is not null").join(reps, "h").where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    roots = components(near_copies(docs, **options).select("a", "b").unionByName(same))
+    return rooted(rows.select("doc_id"), "doc_id", roots, "component_id")
+
+
 def _placed(marks: DataFrame, links: DataFrame | None) -> DataFrame:
     """marks with comp, the smallest doc_id of the component so far."""
     return marks.withColumn("comp", F.col("doc_id")) if links is None else stored(rooted(marks, "doc_id", components(links), "comp"), "placed")
@@ -302,8 +348,10 @@ def _alike(least: float):
 
     def check(batches):
         for batch in batches:
-            rows = [(a, b, likeness(p, q)) for a, b, p, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
-            yield _pairs(*([r[k] for r in rows if r[2] >= least] for k in range(3)))
+            if batch.num_rows:
+                like = alike(*(slots_of(batch.column(k).to_pylist()) for k in (2, 3)))
+                keep = np.flatnonzero(like >= least)
+                yield _pairs(*(batch.column(k).to_numpy()[keep] for k in (0, 1)), like[keep])
 
     return check
 
@@ -314,13 +362,13 @@ def _compared(least: float):
     def compare(table: pa.Table) -> pa.Table:
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         own, ids, comp = (table.column(c).to_numpy() for c in ("own", "doc_id", "comp"))
-        marks = np.frombuffer("".join(table.column("mark").to_pylist()).encode(), np.uint8).reshape(len(ids), -1)
+        marks = slots_of(table.column("mark").to_pylist())
         right = np.flatnonzero(own == q)
         out = []
         for i in np.flatnonzero(own == p):
             there = right[right > i] if p == q else right
             there = there[comp[there] != comp[i]]
-            like = np.maximum(0.0, ((marks[there] == marks[i]).mean(axis=1) - 1 / 16) / (15 / 16))
+            like = alike(marks[there], marks[i])
             out += ((min(ids[i], ids[j]), max(ids[i], ids[j]), x) for j, x in zip(there, like, strict=True) if x >= least)
         return pa.Table.from_batches([_pairs(*([o[k] for o in out] for k in range(3)))])
 

@@ -77,4 +77,9 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_fingerprint": op10_fingerprint}
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op10: classes of documents that are at most a tenth apart, by banded fingerprints and edits."""
+    return fingerprint.near_copy_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_fingerprint": op10_fingerprint, "near_copies": near_copies}

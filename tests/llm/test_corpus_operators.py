@@ -286,6 +286,53 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(docs.where("doc_id > 999")).count() == 0
 
 
+def test_fingerprint_equals_a_plain_walk():
+    """The walk step by step, and each slot's step by looking at all of them."""
+    make = fingerprint.Fingerprinter(16)
+    rng = np.random.default_rng(12)
+    for text in ["a", "ab" * 40, "".join(rng.choice(list("abc é𝒳\n"), 700)), "x" * 3000]:
+        points = fingerprint.code_points(text)
+        kind = ((points * np.uint32(0x9E3779B1)) >> np.uint32(26)).tolist()
+        under, at = [], 0
+        while at < len(text):
+            under.append(at)
+            at += int(make.walk.bits[(len(under) - 1) % fingerprint.PERIOD, kind[at]])
+        want = []
+        for k, salt in enumerate(make.sample.salts):
+            step = int(np.argmin(fingerprint.mix(np.arange(len(under), dtype=np.uint64) ^ salt)))
+            grams = np.zeros(1, np.uint64)
+            for j in range(fingerprint.GRAM):
+                i = under[step] + j
+                grams = fingerprint.mix(grams + np.uint64(points[i] if i < len(points) else 0xFFFFFFFF))
+            want.append(int(fingerprint.mix(grams ^ (np.uint64(k) << np.uint64(40)))[0]) & 255)
+        assert bytes.fromhex(make(text)) == bytes(want)
+
+
+def test_near_copies_recall(spark):
+    """Copies with up to two edits in a hundred characters: nine tenths are found; others stay apart."""
+    rng = np.random.default_rng(13)
+    letters, rows = list("abcdefgh ijklmnop"), []
+    for k in range(60):
+        base = "".join(rng.choice(letters, int(rng.integers(300, 1600))))
+        copy = list(base)
+        for _ in range(int(rng.integers(1, 1 + len(base) // 50))):
+            at = int(rng.integers(0, len(copy)))
+            copy[at : at + int(rng.integers(0, 2))] = list("XYZ"[: int(rng.integers(0, 3))])
+        rows += [(2 * k, base), (2 * k + 1, "".join(copy))]
+    rows += [(500, rows[0][1]), (501, None), (502, ""), (None, rows[0][1])]
+    out = fingerprint.near_copy_classes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1))).collect()
+    got = {r.doc_id: r.component_id for r in out}
+    assert len(out) == len(rows) and got[500] == 0 and got[501] == got[502] == 501 and got[None] is None
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(60)) and sum(got[2 * k + 1] == 2 * k for k in range(60)) >= 54
+
+
+def test_fingerprints_of_equal_ids_are_sliced(spark):
+    docs = spark.createDataFrame([(7, f"text {k % 3}") for k in range(90)] + [(None, "t")] * 90, "doc_id long, text string").repartition(3)
+    sizes = [r["n"] for r in fingerprint.ordered_slices(docs, 6).where("not tail").groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 180 and len(sizes) > 4 and max(sizes) < 80
+    assert fingerprint.fingerprints(docs).count() == 180
+
+
 def test_near_copies_and_edit_distance(spark):
     rng = np.random.default_rng(9)
     base = "".join(rng.choice(list("abcdefgh ij"), 800))
@@ -309,20 +356,21 @@ def test_near_copies_in_hot_buckets(spark, block):
             w = base.copy()
             w[rng.integers(0, 400, int(rng.integers(0, 12)))] = "X"
             rows.append((len(rows), "".join(w)))
-    make = fingerprint.Fingerprinter(slots)
+    make, keys = fingerprint.Fingerprinter(slots), fingerprint.band_slots(slots, 12, 1)
     marks = {d: make(t) for d, t in rows}
-    # A band of one slot: each bucket holds a sixteenth of the documents, most of them unlike its smallest doc_id.
+    # Keys of one slot: buckets hold many documents that are unlike their smallest doc_id.
     distinct = [(d, t) for k, (d, t) in enumerate(rows) if t not in [x[1] for x in rows[:k]]]
     root = {d: d for d, _ in distinct}
     every = set()
     for i, (a, s) in enumerate(distinct):
         for b, t in distinct[i + 1 :]:
-            if any(x == y for x, y in zip(marks[a], marks[b], strict=True)) and fingerprint.likeness(marks[a], marks[b]) >= 0.7 and fingerprint.edit_distance(s, t, 20) is not None:
+            x, y = fingerprint.slots_of([marks[a], marks[b]])
+            if any((x[some] == y[some]).all() for some in keys) and fingerprint.likeness(marks[a], marks[b]) >= 0.7 and fingerprint.edit_distance(s, t, 20) is not None:
                 every.add((a, b))
                 low, high = sorted((root[a], root[b]))
                 root = {d: low if r == high else r for d, r in root.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    links = fingerprint.near_copies(docs, least=0.7, share=0.05, slots=slots, band=1, block=block)
+    links = fingerprint.near_copies(docs, least=0.7, share=0.05, slots=slots, bands=12, band=1, block=block)
     got = {(r.a, r.b): r.likeness for r in links.collect()}
     assert set(got) <= every and all(x == fingerprint.likeness(marks[a], marks[b]) for (a, b), x in got.items())
     tops = {r.node: r.root for r in jaccard.components(links.select("a", "b")).collect()}
