@@ -1,4 +1,11 @@
-"""Exact nearest neighbours within specimens, ties by id."""
+"""Exact nearest neighbours within specimens, ties by id.
+
+Each specimen is cut into leaves of about equal numbers of points: by quantiles of the first axis, then within these by
+quantiles of the next. An axis gets as many cuts as make leaves about as wide as high. First every point looks for its
+neighbours in its own leaf; what it finds bounds how far the true ones may be. Then it looks in the other leaves that this
+distance reaches, if any, and the nearest of all stay. Leaves hold equal numbers however points clump; only points at
+one place can't be cut apart, and of these the k + 1 with the smallest ids stand for all.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +14,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmend.functions.geometry import axes
-from fieldmend.session import cut
+from fieldmend.session import cut, small
 
-EDGE = ["sample", "src", "dst", "d2", "rank"]
-#: Points of a cell, on average; distances held at once by a task.
-CELL, MATRIX = 256, 2_000_000
+#: Points of a leaf, on average; most cuts of an axis and one more; distances held at once by a task.
+LEAF, PARTS, MATRIX = 1024, 256, 2_000_000
+NEAR = "array<struct<d2:double,dst:bigint,vote:bigint>>"
+ITEM = pa.struct([("d2", pa.float64()), ("dst", pa.int64()), ("vote", pa.int64())])
 
 
 def k_nearest(src: np.ndarray, ids: np.ndarray, at: np.ndarray, dst: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,96 +51,173 @@ def k_nearest(src: np.ndarray, ids: np.ndarray, at: np.ndarray, dst: np.ndarray,
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
-SCHEMA = "sample string, src long, dst long, d2 double, rank int, vote long"
-ARROW = pa.schema([("sample", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("d2", pa.float64()), ("rank", pa.int32()), ("vote", pa.int64())])
-
-
-def _solver(names: tuple[str, ...], scale: float, final: bool):
-    """For a cell's points (left) and those of its neighbourhood (right): the edges of the points that are done."""
-
-    def column(table: pa.Table, name: str) -> np.ndarray:
-        return table.column(name).to_numpy()
-
-    def matrix(table: pa.Table, prefix: str) -> np.ndarray:
-        return np.stack([column(table, prefix + a).astype(float) for a in names], axis=1)
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return ARROW.empty_table()
-        right = right.sort_by("o_id")
-        at, ids = matrix(right, "o_"), column(right, "o_id")
-        src, own, want = matrix(left, ""), column(left, "id"), column(left, "k").astype(int)
-        r, c, v = k_nearest(src, own, at, ids, want)
-        if not final:
-            low, w, g = matrix(left, "lo"), matrix(left, "w") * scale, matrix(left, "g")
-            # Beyond the neighbouring cells nothing is nearer than this; less a hair for rounding.
-            edge = np.minimum(src - low - (g - 1) * w, (g + 2) * w - (src - low)).min(axis=1) * (1 - 1e-9)
-            far = np.zeros(len(left))
-            np.maximum.at(far, r, v)
-            good = (np.bincount(r, minlength=len(left)) >= want) & (edge > 0) & (far < edge * edge)
-            keep = good[r]
-            r, c, v = r[keep], c[keep], v[keep]
-        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
-        vote = right.column("o_vote").combine_chunks().take(pa.array(c))
-        columns = [pa.array([left.column("sample")[0].as_py()] * len(r), pa.string()), pa.array(own[r]), pa.array(ids[c]), pa.array(v), pa.array(rank.astype(np.int32)), vote]
-        return pa.Table.from_arrays(columns, schema=ARROW)
+def _solver(names: tuple[str, ...], keep: list[str], within: bool):
+    """For a leaf's points (right) and those that look for neighbours among them (left; the same without a left): the
+    columns `keep` of the latter, and near. within: none beyond r2."""
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column(a).to_numpy().astype(float) for a in names], axis=1)
+
+    def solve(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        right = (left if right is None else right).sort_by("id")
+        ids = right.column("id").to_numpy()
+        want = left.column("k").to_numpy().astype(int)
+        r, c, v = k_nearest(matrix(left), left.column("id").to_numpy(), matrix(right), ids, want)
+        if within:
+            inside = v <= left.column("r2").to_numpy()[r]
+            r, c, v = r[inside], c[inside], v[inside]
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(left)))))
+        items = pa.StructArray.from_arrays([pa.array(v), pa.array(ids[c]), right.column("vote").combine_chunks().take(pa.array(c))], fields=list(ITEM))
+        near = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)
+        return left.select(keep).append_column("near", near)
 
     return solve
 
 
-def nearest(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
-    """Edges (sample, src, dst, d2, rank) to the k nearest other points of the specimen, by (d2, dst); k is the
-    specimen's size less one where that is smaller. carry names a whole-number column of points that comes along from
-    dst, as vote.
-
-    Each specimen is laid out in a grid of about CELL points a cell. Spark deals the cells; a task holds one with its
-    neighbouring cells and works out distances in blocks. A point whose k-th neighbour is no farther than the edge of
-    these cells is done. The others go on with cells of twice the width, until one cell is a specimen. Of the points at
-    one place the k + 1 with the smallest ids are enough to choose from, so piles of points cost no more.
-    """
+def _parts(names: tuple[str, ...], leaf: int) -> dict[str, Column]:
+    """Into how many parts each axis is cut, from n and the quantiles q of each axis."""
+    span = {a: F.get(f"q{a}", F.lit(PARTS * 19 // 20 - 1)) - F.get(f"q{a}", F.lit(PARTS // 20 - 1)) for a in names}
+    want = F.greatest(F.col("n") / F.lit(float(leaf)), F.lit(1.0))
+    wide = F.array_sort(F.array(*span.values()))
+
+    def width(j: int) -> Column:
+        """The side of a leaf if the j widest axes are cut."""
+        return F.pow(reduce(lambda p, q: p * q, [wide[len(names) - 1 - i] for i in range(j)]) / want, F.lit(1.0 / j))
+
+    side = width(1)
+    for j in range(2, len(names) + 1):
+        side = F.when(wide[len(names) - j] >= width(j), width(j)).otherwise(side)
+    return {a: F.when((side > 0) & (want > 1), F.least(F.greatest(F.ceil(span[a] / side), F.lit(1)), F.lit(PARTS))).otherwise(F.lit(1)).cast("int") for a in names}
+
+
+def _quantiles(a: str) -> Column:
+    return F.percentile_approx(a, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(10_000))
+
+
+def _cuts(q: str, parts: Column) -> Column:
+    """The places of the cuts, out of quantiles at all PARTS."""
+    places = F.transform(F.slice(F.sequence(F.lit(0), parts), F.lit(2), F.greatest(parts - 1, F.lit(0))), lambda i: F.get(q, F.round(i * PARTS / parts).cast("int") - 1))
+    return F.array_distinct(places)
+
+
+def _part(cuts: str, at: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= at))
+
+
+class Leaves:
+    """How each specimen is cut: tables of cut places, of the first axis by specimen, of others by the parts before."""
+
+    def __init__(self, points: DataFrame, names: tuple[str, ...], k: int):
+        self.names = names
+        box = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(_quantiles(a).alias(f"q{a}") for a in names))
+        parts = _parts(names, max(LEAF, 8 * (k + 1)))
+        first = names[0]
+        box = box.select("sample", "n", *(p.alias(f"p{a}") for a, p in parts.items()), f"q{first}")
+        box = box.select("sample", "n", *(f"p{a}" for a in names), _cuts(f"q{first}", F.col(f"p{first}")).alias(f"cuts_{first}"))
+        self.box, rows = small(box)
+        #: The axes that are cut at all, the largest specimen, and whether one is more than a leaf.
+        self.used = [a for a in names if rows is None or any(r[f"p{a}"] > 1 for r in rows)]
+        self.largest = None if rows is None else max((r["n"] for r in rows), default=0)
+        self.levels: dict[str, DataFrame] = {}
+        sized = points.join(self.box.select("sample", *(f"p{a}" for a in names)), "sample") if self.used else points
+        for j, a in enumerate(self.used):
+            if a == first:
+                self.levels[a] = self.box.select("sample", f"cuts_{a}")
+                continue
+            keys = ["sample", *(f"s{b}" for b in self.used[:j])]
+            table = self.placed(sized, self.used[:j]).groupBy(*keys).agg(_quantiles(a).alias("q"), F.max(f"p{a}").alias("p"))
+            self.levels[a] = small(table.select(*keys, _cuts("q", F.col("p")).alias(f"cuts_{a}")))[0]
+
+    def placed(self, df: DataFrame, used: list[str] | None = None) -> DataFrame:
+        """df (sample and coordinates) with the number of its part on each axis that is cut."""
+        kept = df.columns
+        for a in self.used if used is None else used:
+            table = self.levels[a]
+            df = df.join(table, [c for c in table.columns if c == "sample" or c.startswith("s")]).withColumn(f"s{a}", _part(f"cuts_{a}", F.col(a)))
+            kept = [*kept, f"s{a}"]
+            df = df.select(*kept)
+        return df
+
+    def reached(self, df: DataFrame) -> DataFrame:
+        """A row for each leaf that a ball of squared radius r2 about each row of df reaches: to_ and the part of each axis."""
+        kept = df.columns
+        for a in self.used:
+            table = self.levels[a]
+            on = [c for c in table.columns if c == "sample" or c.startswith("s")]
+            table = table.select(*(F.col(c).alias(c if c == "sample" else f"to_{c}") for c in on), f"cuts_{a}")
+            df = df.join(table, ["sample", *(f"to_{c}" for c in on if c != "sample")])
+            # A hair more, for rounding.
+            r = F.sqrt("r2") * (1 + 1e-9) + F.abs(F.col(a)) * 1e-15
+            kept = [*kept, f"to_s{a}"]
+            df = df.withColumn(f"to_s{a}", F.explode(F.sequence(_part(f"cuts_{a}", F.col(a) - r), _part(f"cuts_{a}", F.col(a) + r)))).select(*kept)
+        return df
+
+
+def piles(points: DataFrame, names: tuple[str, ...], k: int) -> tuple[DataFrame, DataFrame | None]:
+    """Points to search, and the near lists of the others: of more than k + 1 points at one place those beyond the first
+    k + 1 have the first k as their neighbours."""
+    place = ["sample", *names]
+    heavy, rows = small(points.groupBy(*place).agg(F.count(F.lit(1)).alias("fm_n")).where(F.col("fm_n") > k + 1).select(*place))
+    if rows is not None and not rows:
+        return points, None
+    marked = points.join(heavy.withColumn("fm_heavy", F.lit(True)), place, "left")
+    order = Window.partitionBy(*place).orderBy("id")
+    piled = marked.where("fm_heavy").drop("fm_heavy")
+    first = cut(piled.withColumn("fm_row", F.row_number().over(order)).where(F.col("fm_row") <= k + 1))
+    item = F.struct(F.lit(0.0).alias("d2"), F.col("id").alias("dst"), F.col("vote").alias("vote"))
+    lists = first.where(F.col("fm_row") <= k).groupBy(*place).agg(F.array_sort(F.collect_list(item)).alias("near"))
+    lists = lists.join(first.where(F.col("fm_row") == k + 1).select(*place, F.col("id").alias("fm_last")), place)
+    lists, _ = small(lists)
+    rest = piled.join(lists, place).where(F.col("id") > F.col("fm_last")).select("sample", "id", F.col("vote").alias("own"), F.slice("near", F.lit(1), F.col("k")).alias("near"))
+    return marked.where("fm_heavy is null").drop("fm_heavy").unionByName(first.drop("fm_row")), rest
+
+
+def nearest_lists(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
+    """sample, id, own and near: the k nearest other points of the specimen by (d2, dst), as an array of d2, dst and vote; k
+    is the specimen's size less one where that is smaller. carry names a whole-number column of points: of the point itself as
+    own, of dst as vote."""
     names = axes(dims)
     vote = F.col(carry).cast("long") if carry else F.lit(None).cast("long")
     points = points.select("sample", "id", vote.alias("vote"), *(F.col(a).cast("double").alias(a) for a in names))
-    box = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{p}{a}") for a in names for p, f in (("lo", F.min), ("hi", F.max))))
-    span = F.greatest(*(F.col(f"hi{a}") - F.col(f"lo{a}") for a in names), F.lit(1e-12))
-    side = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") / float(max(CELL, 2 * k)), F.lit(1.0 / dims))))
-    # The widths differ by axis, so that a long specimen has long cells.
-    width = {a: F.greatest(F.col(f"hi{a}") - F.col(f"lo{a}"), span * 1e-9) * (1 + 1e-12) / side for a in names}
-    grid = box.select("sample", "n", side.cast("double").alias("side"), *(F.col(f"lo{a}") for a in names), *(width[a].alias(f"w{a}") for a in names))
-    placed = points.join(grid, "sample").withColumn("k", F.least(F.lit(k), F.col("n") - 1).cast("int"))
-    pile = Window.partitionBy("sample", *names).orderBy("id")
-    offered = placed.withColumn("fm_pile", F.row_number().over(pile)).where(F.col("fm_pile") <= k + 1).drop("fm_pile")
-
-    def cell(a: str, scale: float):
-        return F.floor((F.col(a) - F.col(f"lo{a}")) / (F.col(f"w{a}") * scale)).cast("long")
-
-    done, todo, scale = [], placed, 1.0
-    most = box.agg(F.max(side)).first()[0]
-    while most is not None:
-        final = scale >= most
-        keys = ["sample", *(f"g{a}" for a in names)]
-        here = todo.select("sample", "id", "k", *names, *(f"lo{a}" for a in names), *(f"w{a}" for a in names), *(cell(a, scale).alias(f"g{a}") for a in names))
-        there = offered.select("sample", "id", "vote", *names, *(cell(a, scale).alias(f"c{a}") for a in names))
-        for a in names:
-            there = there.withColumn(f"g{a}", F.explode(F.array(*(F.col(f"c{a}") + d for d in (-1, 0, 1)))))
-        if scale > 1:
-            there = there.join(here.select(*keys).distinct(), keys, "left_semi")
-
+    leaves = Leaves(points, names, k)
+    points = points.join(leaves.box.select("sample", F.least(F.lit(k), F.col("n") - 1).cast("int").alias("k")), "sample")
+    crowded, rest = leaves.largest is None or leaves.largest > 8 * max(LEAF, 8 * (k + 1)), None
+    if crowded:
+        points, rest = piles(points, names, k)
+    keys = ["sample", *(f"s{a}" for a in leaves.used)]
+    placed = leaves.placed(points)
+    kept = ["sample", "id", "vote", "k", *names, *keys[1:]]
+    kinds = "sample string, id long, vote long, k int, " + ", ".join(f"{a} double" for a in names) + "".join(f", {s} int" for s in keys[1:])
+    first = placed.select(*kept).groupBy(*keys).applyInArrow(lambda table: _solver(names, kept, False)(table), f"{kinds}, near {NEAR}")
+    out = ["sample", "id", F.col("vote").alias("own"), "near"]
+    if leaves.used:
+        radius = F.when(F.size("near") < F.col("k"), F.lit(math.inf)).otherwise(F.element_at("near", -1)["d2"])
+        first = cut(first.withColumn("r2", F.when(F.col("k") > 0, radius).otherwise(F.lit(0.0))))
+        apart = reduce(lambda p, q: p | q, [F.col(f"to_s{a}") != F.col(f"s{a}") for a in leaves.used])
+        asked = leaves.reached(first.select("sample", "id", "k", "r2", *names, *keys[1:])).where(apart)
+        asked = asked.select("sample", "id", "k", "r2", *names, *(F.col(f"to_{s}").alias(s) for s in keys[1:]))
         # Names of their own, as both sides come from one frame.
-        there = there.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
-        met = here.groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(_solver(names, scale, final), SCHEMA)
-        if final:
-            done.append(met)
-            break
-        met = cut(met)
-        done.append(met)
-        todo = todo.join(met.select("sample", F.col("src").alias("id")).distinct(), ["sample", "id"], "left_anti").where("k > 0")
-        todo = cut(todo)
-        if todo.isEmpty():
-            break
-        scale *= 2
-    edges = reduce(DataFrame.unionByName, done) if done else points.sparkSession.createDataFrame([], SCHEMA)
-    return edges if carry else edges.drop("vote")
+        there = placed.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
+        solve = _solver(names, ["sample", "id"], True)
+
+        def look(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left) or not len(right):
+                return pa.table({"sample": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(ITEM))})
+            return solve(left, right.rename_columns([c.removeprefix("o_") for c in right.column_names]))
+
+        more = asked.groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(look, f"sample string, id long, near {NEAR}")
+        more = more.where(F.size("near") > 0).groupBy("sample", "id").agg(F.flatten(F.collect_list("near")).alias("more"))
+        both = first.join(more, ["sample", "id"], "left")
+        first = both.withColumn("near", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", "more")), F.lit(1), F.col("k"))))
+    found = first.select(*out)
+    return found if rest is None else found.unionByName(rest)
+
+
+def nearest(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
+    """Edges (sample, src, dst, d2, rank) to the k nearest other points, as in nearest_lists; with carry also vote."""
+    lists = nearest_lists(points, dims, k, carry)
+    edges = lists.select("sample", F.col("id").alias("src"), F.posexplode("near").alias("at", "x"))
+    return edges.select("sample", "src", "x.dst", "x.d2", (F.col("at") + 1).alias("rank"), *(["x.vote"] if carry else []))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session helpers: defaults for local runs, the shared folder, and cutting of lineage."""
+"""Session helpers: defaults for local runs, the shared folder, cutting of lineage, small tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of no more rows and bytes than these is small: it may be on the driver and be broadcast.
+SMALL_ROWS, SMALL_BYTES = 20_000, 32 << 20
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "fieldmend") -> SparkSession:
@@ -25,19 +29,29 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "field
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. A local master may do without; it gets a temporary one."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not there:
-        there = tempfile.mkdtemp(prefix="fieldmend-")
-        sc.setCheckpointDir(f"file://{there}")
-        there = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="fieldmend-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(there)
-    return there
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes a DataFrame once and cuts its lineage, by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int | None = None):
+    """A DataFrame with the rows of df, worked out once, and these rows if they are few: a table of no more than `rows`
+    rows is to be broadcast where it is joined; a larger one is cut, and there are no rows."""
+    most = SMALL_ROWS if rows is None else rows
+    found = df.limit(most + 1).toArrow()
+    if found.num_rows > most or found.nbytes > SMALL_BYTES:
+        return cut(df), None
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)), found.to_pylist()

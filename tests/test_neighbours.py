@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from fieldmend import session
+from fieldmend.operators import knn
 from fieldmend.operators.graph import modal
 from fieldmend.operators.knn import nearest
 from fieldmend.operators.repair import repair
@@ -18,15 +20,32 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("kind", ["spread", "piles", "line"])
-def test_nearest(spark, kind):
+@pytest.mark.parametrize("leaf", [1024, 24])
+@pytest.mark.parametrize("kind", ["spread", "piles", "line", "clumps"])
+def test_nearest(spark, kind, leaf, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", leaf)
     rng = np.random.default_rng(3)
-    xy = {"spread": rng.random((900, 2)), "piles": np.round(rng.random((400, 2)) * 6), "line": np.c_[rng.random(500) ** 6, np.zeros(500)]}[kind]
+    clumps = np.concatenate([rng.random((250, 2)) * 1e-3, rng.random((250, 2)) + 50, [[1e6, 3.0], [1e6, 3.0], [-1e5, 7e6]]])
+    xy = {"spread": rng.random((900, 2)), "piles": np.round(rng.random((600, 2)) * [6, 2]), "line": np.c_[rng.random(500) ** 6, np.zeros(500)], "clumps": clumps}[kind]
     rows = [("a" if i % 3 else "b", i, float(x), float(y), 1) for i, (x, y) in enumerate(xy)]
     got = nearest(spark.createDataFrame(rows, SCHEMA), 2, 5).collect()
     assert {(r["sample"], r["src"], r["dst"], r["rank"]) for r in got} == brute(rows, 5)
 
 
+def test_nearest_3d_and_many_specimens(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 30)
+    monkeypatch.setattr(session, "SMALL_ROWS", 3)  # joins in place of broadcasts
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i % 5}", i, *map(float, p), i % 7) for i, p in enumerate(rng.random((900, 3)))]
+    points = spark.createDataFrame(rows, "sample string, id long, x double, y double, z double, code int")
+    got = nearest(points, 3, 4, carry="code").collect()
+    want = set()
+    for s, i, *p, _ in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), j, c) for t, j, *q, c in rows if t == s and j != i)[:4]
+        want |= {(s, i, j, rank, c) for rank, (_, j, c) in enumerate(near, 1)}
+    assert {(r["sample"], r["src"], r["dst"], r["rank"], r["vote"]) for r in got} == want
+
+
 def test_nearest_of_few_points(spark):
     rows = [("one", 1, 0.0, 0.0, 1), ("two", 1, 0.0, 0.0, 1), ("two", 2, 1.0, 0.0, 2)]
     got = nearest(spark.createDataFrame(rows, SCHEMA), 2, 5).collect()
