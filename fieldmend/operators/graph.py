@@ -1,5 +1,5 @@
 """Refiners on the nearest-neighbour graph of each specimen. Edges: sample, src, dst, d2, rank, as from knn.nearest;
-points: sample, id, code."""
+points: sample, id, code; lists: sample, id, own, vote, as from knn.nearest_lists with carry="code"."""
 
 from __future__ import annotations
 
@@ -18,26 +18,37 @@ def _votes(edges: DataFrame, points: DataFrame) -> DataFrame:
     return edges.join(points.select("sample", F.col("id").alias("dst"), F.col("code").alias("vote")), ["sample", "dst"])
 
 
+def _counts(votes, classes):
+    """The votes for each of these classes."""
+    return F.transform(classes, lambda c: F.struct(F.size(F.filter(votes, lambda v: v == c)).alias("n"), c.alias("c")))
+
+
+def modal_labels(lists: DataFrame) -> DataFrame:
+    """sample, id, code and refined: the most frequent label of the neighbours; of equals the one met first by distance."""
+    votes = F.col("vote")
+    # Distinct labels come in the order in which they are met.
+    ranked = F.transform(_counts(votes, F.array_distinct(votes)), lambda x, i: F.struct((-x["n"]).alias("n"), i.alias("i"), x["c"].alias("c")))
+    best = F.coalesce(F.array_min(ranked)["c"], F.col("own"))
+    return lists.select("sample", "id", F.col("own").cast("int").alias("code"), best.cast("int").alias("refined"))
+
+
 def modal(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """points with refined: the most frequent label of the neighbours; of equals the one met first by distance."""
+    """points with refined, the modal label, from edges."""
     counts = _votes(edges, points).groupBy("sample", "src", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     best = counts.groupBy("sample", F.col("src").alias("id")).agg(F.min_by("vote", F.struct(-F.col("n"), F.col("first"))).alias("best"))
     return points.join(best, ["sample", "id"], "left").withColumn("refined", F.coalesce("best", "code").cast(points.schema["code"].dataType)).drop("best")
 
 
-def strict_majority(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """points with refined: another label where it has more than half of the k neighbours and the point's own, itself
-    counted, has less. Ties go to the own label, then to the lowest code."""
-    own = points.select("sample", F.col("id").alias("src"), F.col("code").alias("vote"))
-    counts = _votes(edges, points).select("sample", "src", "vote").unionByName(own).groupBy("sample", "src", "vote").agg(F.count(F.lit(1)).alias("n"))
-    named = counts.join(points.select("sample", F.col("id").alias("src"), "code"), ["sample", "src"])
-    order = F.struct(-F.col("n"), F.col("vote") != F.col("code"), F.col("vote"))
-    best = named.groupBy("sample", F.col("src").alias("id")).agg(
-        F.min_by("vote", order).alias("best"), F.max("n").alias("most"), F.sum("n").alias("all"), F.max(F.when(F.col("vote") == F.col("code"), F.col("n"))).alias("mine")
-    )
-    half = (F.col("all") - 1) / 2.0
-    joined = points.join(best, ["sample", "id"])
-    return joined.withColumn("refined", F.when((F.col("mine") < half) & (F.col("most") > half), F.col("best")).otherwise(F.col("code"))).drop("best", "most", "all", "mine")
+def strict_majority_labels(lists: DataFrame) -> DataFrame:
+    """sample, id, code and refined: another label where it has more than half of the k neighbours and the point's own,
+    itself counted, has less. Ties go to the own label, then to the lowest code."""
+    votes = F.concat("vote", F.array("own"))
+    order = F.transform(_counts(votes, F.array_distinct(votes)), lambda x: F.struct((-x["n"]).alias("n"), (x["c"] != F.col("own")).alias("other"), x["c"].alias("c")))
+    mine = F.size(F.filter("vote", lambda v: v == F.col("own"))) + 1
+    half = F.size("vote") / 2.0
+    done = lists.withColumns({"best": F.array_min(order), "mine": mine, "half": half})
+    refined = F.when((F.col("mine") < F.col("half")) & (-F.col("best.n") > F.col("half")), F.col("best.c")).otherwise(F.col("own"))
+    return done.select("sample", "id", F.col("own").cast("int").alias("code"), refined.cast("int").alias("refined"))
 
 
 @dataclass(frozen=True)

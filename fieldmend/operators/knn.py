@@ -2,9 +2,9 @@
 
 Each specimen is cut into leaves of about equal numbers of points: by quantiles of the first axis, then within these by
 quantiles of the next. An axis gets as many cuts as make leaves about as wide as high. First every point looks for its
-neighbours in its own leaf; what it finds bounds how far the true ones may be. Then it looks in the other leaves that this
-distance reaches, if any, and the nearest of all stay. Leaves hold equal numbers however points clump; only points at
-one place can't be cut apart, and of these the k + 1 with the smallest ids stand for all.
+neighbours in its own leaf; what it finds bounds how far the true ones may be. The few whose bound reaches other leaves are
+looked up there, what is found travels to their own leaf, and the nearest of all stay. Leaves hold equal numbers however
+points clump; only points at one place can't be cut apart, and of these the k + 1 with the smallest ids stand for all.
 """
 
 from __future__ import annotations
@@ -21,57 +21,103 @@ from fieldmend.functions.geometry import axes
 from fieldmend.session import cut, small
 
 #: Points of a leaf, on average; most cuts of an axis and one more; distances held at once by a task.
-LEAF, PARTS, MATRIX = 1024, 256, 2_000_000
-NEAR = "array<struct<d2:double,dst:bigint,vote:bigint>>"
-ITEM = pa.struct([("d2", pa.float64()), ("dst", pa.int64()), ("vote", pa.int64())])
+LEAF, PARTS, MATRIX = 1024, 256, 1 << 18
+LISTS = {"d2": "array<double>", "dst": "array<long>", "vote": "array<long>"}
+FOUND = pa.schema([("id", pa.int64()), ("d2", pa.float64()), ("dst", pa.int64()), ("vote", pa.int64())])
 
 
 def k_nearest(src: np.ndarray, ids: np.ndarray, at: np.ndarray, dst: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and squared distance of each row's k nearest columns, by (distance, id) and but itself. dst ascend."""
-    rows, cols, dist = [], [], []
+    rows, cols, dist = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
     step = max(1, MATRIX // max(1, len(dst)))
-    for a in range(0, len(src), step):
+    own = np.searchsorted(dst, ids)
+    for a in range(0, len(src) if len(dst) else 0, step):
         d2 = reduce(lambda s, t: s + t, [(src[a : a + step, j, None] - at[None, :, j]) ** 2 for j in range(src.shape[1])])
-        d2[ids[a : a + step, None] == dst[None, :]] = np.inf
+        here = np.minimum(own[a : a + step], len(dst) - 1)
+        itself = np.flatnonzero(dst[here] == ids[a : a + step])
+        d2[itself, here[itself]] = np.inf
         most = min(int(k[a : a + step].max()), len(dst))
         if most < 1:
             continue
-        bound = np.partition(d2, most - 1, axis=1)[:, most - 1]
-        r, c = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+        bound = np.minimum(np.partition(d2, most - 1, axis=1)[:, most - 1], np.finfo(float).max)
+        r, c = np.nonzero(d2 <= bound[:, None])
         v = d2[r, c]
         order = np.lexsort((c, v, r))
         r, c, v = r[order], c[order], v[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = rank < k[a : a + step][r]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k[a : a + step][r]
         rows.append(r[keep] + a)
         cols.append(c[keep])
         dist.append(v[keep])
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
-def _solver(names: tuple[str, ...], keep: list[str], within: bool):
-    """For a leaf's points (right) and those that look for neighbours among them (left; the same without a left): the
-    columns `keep` of the latter, and near. within: none beyond r2."""
+def _ints(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        return np.stack([table.column(a).to_numpy().astype(float) for a in names], axis=1)
 
-    def solve(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
-        right = (left if right is None else right).sort_by("id")
-        ids = right.column("id").to_numpy()
-        want = left.column("k").to_numpy().astype(int)
-        r, c, v = k_nearest(matrix(left), left.column("id").to_numpy(), matrix(right), ids, want)
-        if within:
-            inside = v <= left.column("r2").to_numpy()[r]
-            r, c, v = r[inside], c[inside], v[inside]
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(left)))))
-        items = pa.StructArray.from_arrays([pa.array(v), pa.array(ids[c]), right.column("vote").combine_chunks().take(pa.array(c))], fields=list(ITEM))
-        near = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)
-        return left.select(keep).append_column("near", near)
+def _matrix(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    return np.stack([table.column(a).to_numpy().astype(float) for a in names], axis=1)
 
-    return solve
+
+def _searched(left: pa.Table, right: pa.Table, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k_nearest of left's points among right's, which ascend by id."""
+    return k_nearest(_matrix(left, names), _ints(left, "id"), _matrix(right, names), _ints(right, "id"), _ints(left, "k"))
+
+
+def _bounds(names: tuple[str, ...], keep: list[str]):
+    """The points of a leaf with r2, the squared distance of the k-th neighbour found in it; infinite if there are fewer."""
+
+    def bound(leaf: pa.Table) -> pa.Table:
+        leaf = leaf.sort_by("id")
+        r, _, v = _searched(leaf, leaf, names)
+        far = np.zeros(len(leaf))
+        np.maximum.at(far, r, v)
+        far[np.bincount(r, minlength=len(leaf)) < _ints(leaf, "k")] = np.inf
+        return leaf.select(keep).append_column("r2", pa.array(far))
+
+    return bound
+
+
+def _looker(names: tuple[str, ...], keys: list[str]):
+    """What points of other leaves (left) find in a leaf (right) no farther than r2; a row each, with the leaf of their own."""
+    back = [f"from_{c}" for c in keys]
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns([c.removeprefix("o_") for c in right.column_names]).sort_by("id")
+        r, c, v = _searched(left, right, names)
+        near = v <= left.column("r2").to_numpy()[r]
+        r, c, v = r[near], pa.array(c[near]), v[near]
+        found = left.take(pa.array(r)).select(["sample", *back, "id"])
+        for name, column in (("d2", pa.array(v)), ("dst", right.column("id").take(c)), ("vote", right.column("vote").take(c))):
+            found = found.append_column(name, column)
+        return found
+
+    return look
+
+
+def _finisher(names: tuple[str, ...], lists: tuple[str, ...]):
+    """The points of a leaf (left) with their lists, out of the leaf and of what they found elsewhere (right)."""
+
+    def finish(leaf: pa.Table, more: pa.Table | None = None) -> pa.Table:
+        leaf = leaf.sort_by("id")
+        ids, want = _ints(leaf, "id"), _ints(leaf, "k")
+        r, c, v = _searched(leaf, leaf, names)
+        dst, vote = leaf.column("id").take(pa.array(c)), leaf.column("vote").take(pa.array(c))
+        if more is not None and len(more):
+            r = np.concatenate([r, np.searchsorted(ids, _ints(more, "id"))])
+            v = np.concatenate([v, more.column("d2").to_numpy()])
+            dst, vote = (pa.chunked_array([*x.chunks, *more.column(n).chunks]) for x, n in ((dst, "dst"), (vote, "vote")))
+            order = np.lexsort((dst.to_numpy(), v, r))
+            order = order[np.arange(len(r)) - np.searchsorted(r[order], r[order]) < want[r[order]]]
+            r, v, dst, vote = r[order], v[order], dst.take(pa.array(order)), vote.take(pa.array(order))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(leaf))))).astype(np.int32))
+        out = leaf.select(["sample", "id"]).append_column("own", leaf.column("vote"))
+        for name in lists:
+            items = {"d2": lambda: pa.array(v), "dst": dst.combine_chunks, "vote": vote.combine_chunks}[name]()
+            out = out.append_column(name, pa.ListArray.from_arrays(offsets, items))
+        return out
+
+    return finish
 
 
 def _parts(names: tuple[str, ...], leaf: int) -> dict[str, Column]:
@@ -91,7 +137,7 @@ def _parts(names: tuple[str, ...], leaf: int) -> dict[str, Column]:
 
 
 def _quantiles(a: str) -> Column:
-    return F.percentile_approx(a, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(10_000))
+    return F.percentile_approx(a, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(5_000))
 
 
 def _cuts(q: str, parts: Column) -> Column:
@@ -153,8 +199,8 @@ class Leaves:
         return df
 
 
-def piles(points: DataFrame, names: tuple[str, ...], k: int) -> tuple[DataFrame, DataFrame | None]:
-    """Points to search, and the near lists of the others: of more than k + 1 points at one place those beyond the first
+def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """Points to search, and the lists of the others: of more than k + 1 points at one place those beyond the first
     k + 1 have the first k as their neighbours."""
     place = ["sample", *names]
     heavy, rows = small(points.groupBy(*place).agg(F.count(F.lit(1)).alias("fm_n")).where(F.col("fm_n") > k + 1).select(*place))
@@ -164,60 +210,57 @@ def piles(points: DataFrame, names: tuple[str, ...], k: int) -> tuple[DataFrame,
     order = Window.partitionBy(*place).orderBy("id")
     piled = marked.where("fm_heavy").drop("fm_heavy")
     first = cut(piled.withColumn("fm_row", F.row_number().over(order)).where(F.col("fm_row") <= k + 1))
-    item = F.struct(F.lit(0.0).alias("d2"), F.col("id").alias("dst"), F.col("vote").alias("vote"))
-    lists = first.where(F.col("fm_row") <= k).groupBy(*place).agg(F.array_sort(F.collect_list(item)).alias("near"))
-    lists = lists.join(first.where(F.col("fm_row") == k + 1).select(*place, F.col("id").alias("fm_last")), place)
-    lists, _ = small(lists)
-    rest = piled.join(lists, place).where(F.col("id") > F.col("fm_last")).select("sample", "id", F.col("vote").alias("own"), F.slice("near", F.lit(1), F.col("k")).alias("near"))
+    items = F.array_sort(F.collect_list(F.when(F.col("fm_row") <= k, F.struct("id", "vote"))))
+    ends, _ = small(first.groupBy(*place).agg(F.max("id").alias("fm_last"), items.alias("fm_items")))
+    rest = piled.join(ends, place).where(F.col("id") > F.col("fm_last")).withColumn("fm_items", F.slice("fm_items", F.lit(1), F.col("k")))
+    each = {"d2": F.transform("fm_items", lambda x: F.lit(0.0)), "dst": F.transform("fm_items", lambda x: x["id"]), "vote": F.transform("fm_items", lambda x: x["vote"])}
+    rest = rest.select("sample", "id", F.col("vote").alias("own"), *(each[c].alias(c) for c in lists))
     return marked.where("fm_heavy is null").drop("fm_heavy").unionByName(first.drop("fm_row")), rest
 
 
-def nearest_lists(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
-    """sample, id, own and near: the k nearest other points of the specimen by (d2, dst), as an array of d2, dst and vote; k
-    is the specimen's size less one where that is smaller. carry names a whole-number column of points: of the point itself as
-    own, of dst as vote."""
+def nearest_lists(points: DataFrame, dims: int, k: int, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote")) -> DataFrame:
+    """sample, id, own and lists: d2, dst and vote (or some of these) of the k nearest other points of the specimen by
+    (d2, dst), as arrays; k is the specimen's size less one where that is smaller. carry names a whole-number column of
+    points: of the point itself as own, of dst as vote."""
     names = axes(dims)
     vote = F.col(carry).cast("long") if carry else F.lit(None).cast("long")
     points = points.select("sample", "id", vote.alias("vote"), *(F.col(a).cast("double").alias(a) for a in names))
     leaves = Leaves(points, names, k)
     points = points.join(leaves.box.select("sample", F.least(F.lit(k), F.col("n") - 1).cast("int").alias("k")), "sample")
-    crowded, rest = leaves.largest is None or leaves.largest > 8 * max(LEAF, 8 * (k + 1)), None
-    if crowded:
-        points, rest = piles(points, names, k)
-    keys = ["sample", *(f"s{a}" for a in leaves.used)]
-    placed = leaves.placed(points)
-    kept = ["sample", "id", "vote", "k", *names, *keys[1:]]
-    kinds = "sample string, id long, vote long, k int, " + ", ".join(f"{a} double" for a in names) + "".join(f", {s} int" for s in keys[1:])
-    first = placed.select(*kept).groupBy(*keys).applyInArrow(lambda table: _solver(names, kept, False)(table), f"{kinds}, near {NEAR}")
-    out = ["sample", "id", F.col("vote").alias("own"), "near"]
-    if leaves.used:
-        radius = F.when(F.size("near") < F.col("k"), F.lit(math.inf)).otherwise(F.element_at("near", -1)["d2"])
-        first = cut(first.withColumn("r2", F.when(F.col("k") > 0, radius).otherwise(F.lit(0.0))))
-        apart = reduce(lambda p, q: p | q, [F.col(f"to_s{a}") != F.col(f"s{a}") for a in leaves.used])
-        asked = leaves.reached(first.select("sample", "id", "k", "r2", *names, *keys[1:])).where(apart)
-        asked = asked.select("sample", "id", "k", "r2", *names, *(F.col(f"to_{s}").alias(s) for s in keys[1:]))
-        # Names of their own, as both sides come from one frame.
-        there = placed.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
-        solve = _solver(names, ["sample", "id"], True)
-
-        def look(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not len(left) or not len(right):
-                return pa.table({"sample": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(ITEM))})
-            return solve(left, right.rename_columns([c.removeprefix("o_") for c in right.column_names]))
-
-        more = asked.groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(look, f"sample string, id long, near {NEAR}")
-        more = more.where(F.size("near") > 0).groupBy("sample", "id").agg(F.flatten(F.collect_list("near")).alias("more"))
-        both = first.join(more, ["sample", "id"], "left")
-        first = both.withColumn("near", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", "more")), F.lit(1), F.col("k"))))
-    found = first.select(*out)
-    return found if rest is None else found.unionByName(rest)
+    rest = None
+    if leaves.largest is None or leaves.largest > 8 * max(LEAF, 8 * (k + 1)):
+        points, rest = piles(points, names, k, lists)
+    parts = [f"s{a}" for a in leaves.used]
+    keys = ["sample", *parts]
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # So many partitions, however few bytes: the work of a leaf grows with the square of its points.
+    placed = leaves.placed(points).repartition(n, *keys)
+    out = "sample string, id long, own long, " + ", ".join(f"{c} {LISTS[c]}" for c in lists)
+    finish = _finisher(names, lists)
+    if not parts:
+        found = placed.groupBy(*keys).applyInArrow(lambda leaf: finish(leaf), out)
+        return found if rest is None else found.unionByName(rest)
+    kept = ["sample", "id", "k", *names, *parts]
+    kinds = "sample string, id long, k int, " + ", ".join(f"{a} double" for a in names) + "".join(f", {c} int" for c in parts)
+    bounded = placed.groupBy(*keys).applyInArrow(_bounds(names, kept), f"{kinds}, r2 double")
+    apart = reduce(lambda p, q: p | q, [F.col(f"to_{c}") != F.col(c) for c in parts])
+    asked = leaves.reached(bounded).where(apart).where("k > 0")
+    asked = cut(asked.select("sample", "id", "k", "r2", *names, *(F.col(c).alias(f"from_{c}") for c in parts), *(F.col(f"to_{c}").alias(c) for c in parts)))
+    # Names of their own, as both sides come from one frame.
+    there = placed.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
+    found = ", ".join(f"from_{c} int" for c in parts)
+    more = asked.repartition(n, *keys).groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(_looker(names, parts), f"sample string, {found}, id long, d2 double, dst long, vote long")
+    more = more.withColumnRenamed("sample", "from_sample").repartition(n, "from_sample", *(f"from_{c}" for c in parts))
+    done = placed.groupBy(*keys).cogroup(more.groupBy("from_sample", *(f"from_{c}" for c in parts))).applyInArrow(finish, out)
+    return done if rest is None else done.unionByName(rest)
 
 
 def nearest(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
     """Edges (sample, src, dst, d2, rank) to the k nearest other points, as in nearest_lists; with carry also vote."""
-    lists = nearest_lists(points, dims, k, carry)
-    edges = lists.select("sample", F.col("id").alias("src"), F.posexplode("near").alias("at", "x"))
-    return edges.select("sample", "src", "x.dst", "x.d2", (F.col("at") + 1).alias("rank"), *(["x.vote"] if carry else []))
+    lists = nearest_lists(points, dims, k, carry, ("d2", "dst", "vote") if carry else ("d2", "dst"))
+    edges = lists.select("*", F.posexplode("dst").alias("at", "to"))
+    votes = [F.get("vote", F.col("at")).alias("vote")] if carry else []
+    return edges.select("sample", F.col("id").alias("src"), F.col("to").alias("dst"), F.get("d2", F.col("at")).alias("d2"), (F.col("at") + 1).alias("rank"), *votes)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmend.functions.geometry import BITS, CHARTS, axes, charts, hilbert_code, robust_unit, unit_cells
-from fieldmend.operators.knn import nearest
+from fieldmend.operators.knn import nearest_lists
 from fieldmend.session import cut
 
 SCALE = 5.0
@@ -180,11 +180,10 @@ def multiclass_evidence(unit: DataFrame, dims: int, classes: int, run_rows: int
 def binary_evidence(unit: DataFrame, dims: int) -> DataFrame:
     """A ballot among the nearest 2^(dims + 4) neighbours, in scaled coordinates; a tie goes to the label."""
     scaled = unit.select("sample", "id", "code", *(F.col(f"u{a}").alias(a) for a in axes(dims)))
-    votes = nearest(scaled, dims, 2 ** (dims + 4), carry="code")
-    counts = votes.groupBy("sample", F.col("src").alias("id")).agg(*(F.count_if(F.col("vote") == c).alias(f"n{c}") for c in (1, 2)))
-    joined = unit.select("sample", "id", "code").join(counts, ["sample", "id"], "left")
-    mine = F.coalesce(F.when(F.col("code") == 1, F.col("n1")).otherwise(F.col("n2")), F.lit(0))
-    other = F.coalesce(F.when(F.col("code") == 1, F.col("n2")).otherwise(F.col("n1")), F.lit(0))
+    lists = nearest_lists(scaled, dims, 2 ** (dims + 4), carry="code", lists=("vote",))
+    mine = F.size(F.filter("vote", lambda v: v == F.col("own")))
+    joined = lists.select("sample", "id", F.col("own").cast("int").alias("code"), mine.alias("mine"), (F.size("vote") - mine).alias("other"))
+    mine, other = F.col("mine"), F.col("other")
     return joined.select(
         "sample", "id", "code", F.when(other > mine, 3 - F.col("code")).otherwise(F.col("code")).cast("int").alias("candidate"),
         F.greatest(other - mine, F.lit(0)).cast("double").alias("margin_score"), F.lit(1.0).alias("required"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmend.operators import graph
-from fieldmend.operators.knn import nearest
+from fieldmend.operators.knn import nearest, nearest_lists
 from fieldmend.plans import fields
 from fieldmend.plans.benchmark import design, run_benchmark
 from fieldmend.plans.graph_queries import EMB_E, MODAL
@@ -18,7 +18,7 @@ def modal_method(frame, dims):
 
 
 def majority_method(frame, dims):
-    return graph.strict_majority(frame, nearest(frame, dims, 6)).select("sample", "id", "refined")
+    return graph.strict_majority_labels(nearest_lists(frame, dims, 6, carry="code", lists=("vote",))).select("sample", "id", "refined")
 
 
 @query(

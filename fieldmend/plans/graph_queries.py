@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmend.functions.rng import pick, uniform
 from fieldmend.operators import expansion, graph, masks, metrics, tiles
-from fieldmend.operators.knn import nearest, undirected
+from fieldmend.operators.knn import nearest, nearest_lists, undirected
 from fieldmend.plans import fields
 from fieldmend.plans.registry import query, rounded, table
 from fieldmend.plans.repair_queries import FINAL, chain
@@ -58,25 +58,29 @@ SELECT p.sample, p.id, p.code, CAST(b.vote AS INTEGER) AS refined FROM pts p JOI
 def _modal(name: str, points: str, source, dims: int, k: int):
     @query(name, f"WITH {edges_sql(points, dims, k)}, {MODAL}")
     def run(spark, d):
-        p = source(spark, d)
-        return graph.modal(p, nearest(p, dims, k, carry="code")).select("sample", "id", "code", "refined")
+        return graph.modal_labels(nearest_lists(source(spark, d), dims, k, carry="code", lists=("vote",)))
 
 
 _modal("q_modal_knn", fields.CUST, fields.customers, 2, 50)
+_modal("q_modal_orders", fields.ORD, fields.orders, 2, 50)
 _modal("q_modal_filter", fields.EMB, fields.embeddings, 3, 8)
 
 
-@query(
-    "q_majority_strict",
-    f"""WITH {edges_sql(fields.CUST, 2, 6)},
+def _majority(name: str, points: str, source):
+    @query(
+        name,
+        f"""WITH {edges_sql(points, 2, 6)},
 v AS (SELECT sample, src, vote, count(*) AS n FROM (SELECT e.sample, src, p.code AS vote FROM e JOIN pts p ON p.sample = e.sample AND p.id = e.dst UNION ALL SELECT sample, id, code FROM pts) GROUP BY ALL),
 b AS (SELECT v.*, p.code, max(CASE WHEN vote = code THEN n END) OVER (PARTITION BY v.sample, src) AS mine FROM v JOIN pts p ON p.sample = v.sample AND p.id = v.src
   QUALIFY row_number() OVER (PARTITION BY v.sample, src ORDER BY n DESC, (vote <> code), vote) = 1)
 SELECT sample, src AS id, code, CAST(CASE WHEN mine < 3.0 AND n > 3.0 THEN vote ELSE code END AS INTEGER) AS refined FROM b""",
-)
-def q_majority_strict(spark, d):
-    p = fields.customers(spark, d)
-    return graph.strict_majority(p, nearest(p, 2, 6, carry="code")).select("sample", "id", "code", "refined")
+    )
+    def run(spark, d):
+        return graph.strict_majority_labels(nearest_lists(source(spark, d), 2, 6, carry="code", lists=("vote",)))
+
+
+_majority("q_majority_strict", fields.CUST, fields.customers)
+_majority("q_majority_orders", fields.ORD, fields.orders)
 
 
 def sweeps_sql(settings: graph.VoteSettings, classes: int) -> str:
