@@ -21,7 +21,7 @@ from fieldmend.functions.geometry import axes
 from fieldmend.session import cut, small
 
 #: Points of a leaf, on average; most cuts of an axis and one more; distances held at once by a task.
-LEAF, PARTS, MATRIX = 1024, 256, 1 << 18
+LEAF, PARTS, MATRIX = 1024, 128, 1 << 18
 LISTS = {"d2": "array<double>", "dst": "array<long>", "vote": "array<long>"}
 FOUND = pa.schema([("id", pa.int64()), ("d2", pa.float64()), ("dst", pa.int64()), ("vote", pa.int64())])
 
@@ -137,7 +137,7 @@ def _parts(names: tuple[str, ...], leaf: int) -> dict[str, Column]:
 
 
 def _quantiles(a: str) -> Column:
-    return F.percentile_approx(a, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(5_000))
+    return F.percentile_approx(a, F.array(*(F.lit(i / PARTS) for i in range(1, PARTS))), F.lit(1_000))
 
 
 def _cuts(q: str, parts: Column) -> Column:

@@ -18,57 +18,56 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmend.functions.geometry import BITS, CHARTS, axes, charts, hilbert_code, robust_unit, unit_cells
+from fieldmend.functions.geometry import CHARTS, axes, chart_cells, hilbert_code, robust_unit, specimens
+from fieldmend.functions.quantiles import percentiles
 from fieldmend.operators.knn import nearest_lists
-from fieldmend.session import cut
+from fieldmend.session import cut, small
 
 SCALE = 5.0
 FLOOR = 1e-12
 #: Decay lengths per anchored segment: exp(-300) is negligible, exp(300) is a double.
 SEGMENT = 300
-#: Points of a specimen per run of the curve.
+#: Points of a specimen that one task may walk along; larger ones are cut into runs.
 RUN_ROWS = 200_000
 PATH = ["sample", "chart"]
 
 
-def specimens(unit: DataFrame, dims: int) -> DataFrame:
-    """sample, n, spread (some axis has two values), observed (classes), top (largest code) per specimen."""
-    spread = reduce(lambda a, b: a | b, [F.max(f"u{a}") > F.min(f"u{a}") for a in axes(dims)])
-    return unit.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), spread.alias("spread"), F.count_distinct("code").alias("observed"), F.max("code").alias("top"))
-
-
 def chart_codes(unit: DataFrame, dims: int) -> DataFrame:
     """unit in each chart with hcode, the place on the curve."""
-    cells = unit_cells(charts(unit, dims), dims)
-    return cells.withColumn("hcode", hilbert_code([F.col(f"a{k}") for k in range(dims)])).drop(*(f"{p}{k}" for p in "at" for k in range(dims)))
+    cells = chart_cells(unit, dims)
+    return cells.withColumn("hcode", hilbert_code([F.col(f"a{k}") for k in range(dims)])).drop(*(f"a{k}" for k in range(dims)))
 
 
 def distance(a: dict, b: dict) -> Column:
     return F.sqrt(reduce(lambda s, x: s + x, [(a[k] - b[k]) * (a[k] - b[k]) for k in a]))
 
 
-def path_steps(coded: DataFrame, dims: int, run_rows: int = RUN_ROWS) -> DataFrame:
-    """coded (with n) with run, step_in and step_out: path lengths to the neighbours on the curve, null at its ends."""
+def path_steps(coded: DataFrame, dims: int, largest: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
+    """coded with run, step_in and step_out: path lengths to the neighbours on the curve, null at its ends. largest: the points
+    of the largest specimen, if known. Up to run_rows a path is one run; beyond it Spark sorts all paths by ranges of about
+    equal numbers of rows, each of which is a run (of each path that is in it)."""
     names = [f"u{a}" for a in axes(dims)]
-    runs = F.ceil(F.col("n") / run_rows)
-    coded = coded.withColumn("run", F.floor(F.col("hcode") / float(1 << (BITS * dims)) * runs).cast("long"))
+    here = {c: F.col(c) for c in names}
+    along = Window.partitionBy(*PATH, "run").orderBy("hcode", "id")
+    back, ahead = ({c: f(c).over(along) for c in names} for f in (F.lag, F.lead))
+    if largest is not None and largest <= run_rows:
+        return coded.withColumn("run", F.lit(0)).withColumns({"step_in": distance(back, here), "step_out": distance(here, ahead)})
+    coded = cut(coded.repartitionByRange(*PATH, "hcode", "id").withColumn("run", F.spark_partition_id()))
     end = F.struct("hcode", "id", *names)
     ends = coded.groupBy(*PATH, "run").agg(F.min(end).alias("first"), F.max(end).alias("last"))
     over = Window.partitionBy(*PATH).orderBy("run")
-    ends = ends.select(*PATH, "run", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
+    ends, _ = small(ends.select(*PATH, "run", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after")))
     joined = coded.join(ends, [*PATH, "run"])
-    along = Window.partitionBy(*PATH, "run").orderBy("hcode", "id")
-    here = {c: F.col(c) for c in names}
-    back = {c: F.coalesce(F.lag(c).over(along), F.col("before")[c]) for c in names}
-    ahead = {c: F.coalesce(F.lead(c).over(along), F.col("after")[c]) for c in names}
+    back = {c: F.coalesce(back[c], F.col("before")[c]) for c in names}
+    ahead = {c: F.coalesce(ahead[c], F.col("after")[c]) for c in names}
     return joined.withColumns({"step_in": distance(back, here), "step_out": distance(here, ahead)}).drop("before", "after")
 
 
-def path_scale(stepped: DataFrame) -> DataFrame:
+def path_scale(stepped: DataFrame, largest: int | None = None) -> DataFrame:
     """stepped with ref (median of the positive steps of its path), iso, and act_f and act_r (normalised steps)."""
-    median = F.percentile(F.when(F.col("step_in") > FLOOR, F.col("step_in")), 0.5)
-    refs = stepped.groupBy(*PATH).agg(F.coalesce(median, F.lit(1.0)).alias("ref"))
-    joined = stepped.join(refs, PATH)
+    refs = percentiles(stepped, PATH, {"median": F.when(F.col("step_in") > FLOOR, F.col("step_in"))}, [0.5], largest)
+    refs, _ = small(refs.where(F.col("median")[0].isNotNull()).select(*PATH, F.col("median")[0].alias("ref")))
+    joined = stepped.join(refs, PATH, "left").withColumn("ref", F.coalesce("ref", F.lit(1.0)))
     ref = F.greatest("ref", F.lit(FLOOR))
     left, right = F.greatest("step_in", F.lit(FLOOR)), F.greatest("step_out", F.lit(FLOOR))
     gap = F.when(F.col("step_in").isNull(), right).when(F.col("step_out").isNull(), left).otherwise(F.sqrt(left * right))
@@ -79,41 +78,55 @@ def path_scale(stepped: DataFrame) -> DataFrame:
     })
 
 
-def path_place(scaled: DataFrame) -> DataFrame:
-    """scaled with seg and off: the path length up to the point in decay lengths, in whole segments and the rest."""
+def path_place(scaled: DataFrame, whole: bool = False) -> DataFrame:
+    """scaled with seg and off: the path length up to the point in decay lengths, in whole segments and the rest. whole: each
+    path is one run."""
     along = Window.partitionBy(*PATH, "run").orderBy("hcode", "id").rowsBetween(Window.unboundedPreceding, 0)
     local = scaled.withColumn("local", F.sum("act_f").over(along))
-    ends = local.groupBy(*PATH, "run").agg(F.max("local").alias("total"))  # it never falls along a run
-    before = Window.partitionBy(*PATH).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*PATH, "run", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"))
-    t = (F.col("start") + F.col("local")) / SCALE
-    placed = local.join(starts, [*PATH, "run"]).withColumn("t", t).withColumn("seg", F.floor(F.col("t") / SEGMENT))
+    if whole:
+        local = local.withColumn("start", F.lit(0.0))
+    else:
+        ends = scaled.groupBy(*PATH, "run").agg(F.sum("act_f").alias("total"))
+        before = Window.partitionBy(*PATH).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        starts, _ = small(ends.select(*PATH, "run", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start")))
+        local = local.join(starts, [*PATH, "run"])
+    placed = local.withColumn("t", (F.col("start") + F.col("local")) / SCALE).withColumn("seg", F.floor(F.col("t") / SEGMENT))
     return placed.withColumn("off", F.col("t") - F.col("seg") * SEGMENT).drop("local", "start")
 
 
-def enclosure(placed: DataFrame, classes: int) -> DataFrame:
+def enclosure(placed: DataFrame, classes: int, whole: bool = False) -> DataFrame:
     """placed with e1 .. eC, the two-sided evidence for each class: sums of exp(-path length) over the points of the
-    class on either side, without the point itself. Sums run within a segment, from its anchor; the segment before
-    and the one after add what they have in all."""
-    keys = [*PATH, "seg"]
+    class on either side, without the point itself. Sums run within a segment, from its anchor, and within a run; the runs of
+    the segment before and after, and the segments before and after, add what they have in all. whole: each path is one run."""
+    keys, parts = [*PATH, "seg"], [*PATH, "seg", "run"]
     rise, fall = F.exp("off"), F.exp(-F.col("off"))
     of = lambda c, v: F.when(F.col("code") == c, v).otherwise(0.0)
     every = range(1, classes + 1)
-    totals = placed.groupBy(*keys).agg(*(F.sum(of(c, v)).alias(f"{n}{c}") for c in every for n, v in (("up", rise), ("down", fall))))
+    totals = placed.groupBy(*(keys if whole else parts)).agg(*(F.sum(of(c, v)).alias(f"{n}{c}") for c in every for n, v in (("up", rise), ("down", fall))))
+    joined, carried = placed, {c: (F.lit(0.0), F.lit(0.0)) for c in every}
+    if not whole:
+        totals = cut(totals)
+        runs = Window.partitionBy(*keys).orderBy("run")
+        earlier, later = runs.rowsBetween(Window.unboundedPreceding, -1), runs.rowsBetween(1, Window.unboundedFollowing)
+        sums = {f"{n}_{c}": F.coalesce(F.sum(f"{n}{c}").over(w), F.lit(0.0)) for c in every for n, w in (("up", earlier), ("down", later))}
+        joined = joined.join(totals.select(*parts, *(v.alias(k) for k, v in sums.items())), parts)
+        carried = {c: (F.col(f"up_{c}"), F.col(f"down_{c}")) for c in every}
+        totals = totals.groupBy(*keys).agg(*(F.sum(f"{n}{c}").alias(f"{n}{c}") for c in every for n in ("up", "down")))
     before = totals.select(*PATH, (F.col("seg") + 1).alias("seg"), *(F.col(f"up{c}").alias(f"from{c}") for c in every))
     after = totals.select(*PATH, (F.col("seg") - 1).alias("seg"), *(F.col(f"down{c}").alias(f"to{c}") for c in every))
-    joined = placed.join(before, keys, "left").join(after, keys, "left")
-    up = Window.partitionBy(*keys).orderBy("hcode", "id").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.desc("hcode"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.join(before, keys, "left").join(after, keys, "left")
+    up = Window.partitionBy(*parts).orderBy("hcode", "id").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*parts).orderBy(F.desc("hcode"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     far = float(F_EXP)
     out = joined.withColumns({f"sf{c}": F.coalesce(F.sum(of(c, rise)).over(up), F.lit(0.0)) for c in every})
     out = out.withColumns({f"sr{c}": F.coalesce(F.sum(of(c, fall)).over(down), F.lit(0.0)) for c in every})
     field = {}
     for c in every:
-        f = fall * (F.col(f"sf{c}") + F.coalesce(F.col(f"from{c}"), F.lit(0.0)) * far)
-        r = rise * (F.col(f"sr{c}") + F.coalesce(F.col(f"to{c}"), F.lit(0.0)) * far)
+        f = fall * (F.col(f"sf{c}") + carried[c][0] + F.coalesce(F.col(f"from{c}"), F.lit(0.0)) * far)
+        r = rise * (F.col(f"sr{c}") + carried[c][1] + F.coalesce(F.col(f"to{c}"), F.lit(0.0)) * far)
         field[f"e{c}"] = f + r + 2.0 * F.sqrt(F.greatest(f * r, F.lit(0.0)))
-    return out.withColumns(field).drop(*(f"{n}{c}" for c in every for n in ("sf", "sr", "from", "to")))
+    spent = [f"{n}{c}" for c in every for n in ("sf", "sr", "from", "to")] + ([] if whole else list(sums))
+    return out.withColumns(field).drop(*spent)
 
 
 #: exp(-SEGMENT)
@@ -159,12 +172,15 @@ def decide(evidence: DataFrame) -> DataFrame:
     )
 
 
-def multiclass_evidence(unit: DataFrame, dims: int, classes: int, run_rows: int = RUN_ROWS) -> DataFrame:
-    """The evidence of the charts. unit holds n, the size of its specimen."""
-    # Each of these is read two or three times by what follows; uncut, the first would be worked out two dozen times.
-    stepped = cut(path_steps(cut(chart_codes(unit, dims)), dims, run_rows))
-    field = enclosure(cut(path_place(path_scale(stepped))), classes)
-    joined = over_charts(share_margins(field, classes), classes, dims).join(class_deficit(unit), "sample")
+def multiclass_evidence(unit: DataFrame, dims: int, classes: int, largest: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
+    """The evidence of the charts. largest: the points of the largest specimen, if known."""
+    whole = largest is not None and largest <= run_rows
+    # Read twice by what follows.
+    stepped = cut(path_steps(chart_codes(unit, dims), dims, largest, run_rows))
+    placed = path_place(path_scale(stepped, largest), whole)
+    field = enclosure(placed if whole else cut(placed), classes, whole)
+    deficits, _ = small(class_deficit(unit))
+    joined = over_charts(share_margins(field, classes), classes, dims).join(deficits, "sample")
     best = F.array_max("margin")
     # The label itself has margin 0: another class must be strictly better; the first of equals stands.
     rival = F.when(best > F.element_at("margin", F.col("code")), F.array_position("margin", best).cast("int")).otherwise(F.col("code"))
@@ -191,22 +207,29 @@ def binary_evidence(unit: DataFrame, dims: int) -> DataFrame:
     )
 
 
-def repair(points: DataFrame, dims: int, classes: int, run_rows: int = RUN_ROWS, routes: tuple[str, ...] = ("kept", "binary", "charts")) -> DataFrame:
-    """sample, id, code, refined and diagnostics of each point. classes is the length of the level list; a caller who
-    knows that a route is empty may leave it out."""
-    unit = robust_unit(points.select("sample", "id", *axes(dims), F.col("code").cast("int").alias("code")), dims)
-    unit = cut(unit)
-    known = cut(unit.join(specimens(unit, dims), "sample"))
+def repair(points: DataFrame, dims: int, classes: int, run_rows: int = RUN_ROWS) -> DataFrame:
+    """sample, id, code, refined and diagnostics of each point. classes is the length of the level list."""
+    points = points.select("sample", "id", *axes(dims), F.col("code").cast("int").alias("code"))
+    stats, rows = specimens(points, dims)
     kept = (~F.col("spread")) | (F.col("n") < 20) | (F.col("observed") < 2)
-    binary = F.col("top") == 2
+    way = F.when(kept, "kept").when(F.col("top") == 2, "binary").otherwise("charts")
+    stats = stats.withColumn("way", way)
+    # Of few specimens it is known which ways they go, and the others are left out of the plan.
+    ways = {"kept": 0, "binary": 0, "charts": 0} if rows is None else {}
+    for r in rows or []:
+        name = "kept" if not r["spread"] or r["n"] < 20 or r["observed"] < 2 else "binary" if r["top"] == 2 else "charts"
+        ways[name] = max(ways.get(name, 0), r["n"])
+    known = robust_unit(points.join(stats.select("sample", "way"), "sample"), dims, stats)
+    if rows is None:
+        known = cut(known)
     parts = []
-    if "kept" in routes:
-        still = known.where(kept).select("sample", "id", "code", F.col("code").alias("candidate"), *(F.lit(v).alias(c) for c, v in zip(DIAGNOSTICS[1:], (0.0, 0.0, 0.0, 1.0), strict=True)))
+    if "kept" in ways or not ways:
+        still = known.where("way = 'kept'").select("sample", "id", "code", F.col("code").alias("candidate"), *(F.lit(v).alias(c) for c, v in zip(DIAGNOSTICS[1:], (0.0, 0.0, 0.0, 1.0), strict=True)))
         parts.append(still)
-    if "binary" in routes:
-        parts.append(binary_evidence(known.where(~kept & binary), dims))
-    if "charts" in routes:
-        parts.append(multiclass_evidence(known.where(~kept & ~binary), dims, classes, run_rows))
+    if "binary" in ways:
+        parts.append(binary_evidence(known.where("way = 'binary'").drop("way"), dims))
+    if "charts" in ways:
+        parts.append(multiclass_evidence(known.where("way = 'charts'").drop("way"), dims, classes, None if rows is None else ways["charts"], run_rows))
     return decide(reduce(DataFrame.unionByName, parts))
 
 

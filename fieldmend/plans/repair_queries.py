@@ -117,12 +117,21 @@ def finished(df):
 
 
 def _unit(spark, d, dims=2):
-    unit = G.robust_unit(fields.embeddings(spark, d), dims)
-    return unit.join(R.specimens(unit, dims).select("sample", "n"), "sample")
+    """The embeddings' unit coordinates, and how many points the largest specimen has."""
+    points = fields.embeddings(spark, d)
+    stats, rows = G.specimens(points, dims)
+    return G.robust_unit(points, dims, stats), max(r["n"] for r in rows)
 
 
-def _placed(spark, d, dims=2):
-    return R.path_place(R.path_scale(R.path_steps(R.chart_codes(_unit(spark, d, dims), dims), dims)))
+def _scaled(spark, d, dims=2):
+    unit, largest = _unit(spark, d, dims)
+    return R.path_scale(R.path_steps(R.chart_codes(unit, dims), dims, largest), largest), largest
+
+
+def _field(spark, d):
+    scaled, largest = _scaled(spark, d)
+    whole = largest <= R.RUN_ROWS
+    return R.enclosure(R.path_place(scaled, whole), fields.EMB_CLASSES, whole)
 
 
 @query("q_catalog", "SELECT * FROM (VALUES ('dlpfc', true, 47329, 7, 45), ('merfish', false, 28317, 8, 45), ('crc', true, 194541, 19, 60)) t(dataset, included, observations, classes, scenarios)")
@@ -167,7 +176,7 @@ def q_chart_order(spark, d):
     from pyspark.sql import Window
 
     over = Window.partitionBy("sample", "chart").orderBy("hcode", "id")
-    return R.chart_codes(_unit(spark, d), 2).select("sample", "chart", "id", F.row_number().over(over).cast("long").alias("pos"))
+    return R.chart_codes(_unit(spark, d)[0], 2).select("sample", "chart", "id", F.row_number().over(over).cast("long").alias("pos"))
 
 
 STEP = ["step_in", "step_out", "ref", "act_f", "act_r"]
@@ -175,12 +184,12 @@ STEP = ["step_in", "step_out", "ref", "act_f", "act_r"]
 
 @query("q_path_steps", f"{chain(fields.EMB, 2, until='placed')} SELECT sample, chart, id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in STEP)} FROM placed")
 def q_path_steps(spark, d):
-    return rounded(R.path_scale(R.path_steps(R.chart_codes(_unit(spark, d), 2), 2)), *STEP).select("sample", "chart", "id", *STEP)
+    return rounded(_scaled(spark, d)[0], *STEP).select("sample", "chart", "id", *STEP)
 
 
 @query("q_isolation", f"{chain(fields.EMB, 2, until='placed')} SELECT sample, id, round(median(iso::FLOAT::DOUBLE), 6) AS isolation FROM placed GROUP BY sample, id")
 def q_isolation(spark, d):
-    scaled = R.path_scale(R.path_steps(R.chart_codes(_unit(spark, d), 2), 2))
+    scaled, _ = _scaled(spark, d)
     return rounded(scaled.groupBy("sample", "id").agg(F.percentile(F.col("iso").cast("float").cast("double"), 0.5).alias("isolation")), "isolation")
 
 
@@ -191,18 +200,18 @@ def _long(df, prefix: str, out: str):
 
 @query("q_enclosure_field", f"{chain(fields.EMB, 2, until='margins')} SELECT sample, chart, id, cls, round(e, 6) + 0.0 AS e FROM field")
 def q_enclosure_field(spark, d):
-    return rounded(_long(R.enclosure(_placed(spark, d), fields.EMB_CLASSES), "e", "e"), "e")
+    return rounded(_long(_field(spark, d), "e", "e"), "e")
 
 
 @query("q_share_margin", f"{chain(fields.EMB, 2, until='margins')} SELECT sample, chart, id, cls, round(m::DOUBLE, 5) + 0.0 AS m FROM margins")
 def q_share_margin(spark, d):
-    field = R.share_margins(R.enclosure(_placed(spark, d), fields.EMB_CLASSES), fields.EMB_CLASSES)
+    field = R.share_margins(_field(spark, d), fields.EMB_CLASSES)
     return rounded(_long(field, "m", "m"), "m", digits=5)
 
 
 @query("q_chart_dispersion", f"{chain(fields.EMB, 2)} SELECT sample, id, cls, round(margin, 6) + 0.0 AS margin, round(dispersion, 6) + 0.0 AS dispersion FROM agg")
 def q_chart_dispersion(spark, d):
-    field = R.share_margins(R.enclosure(_placed(spark, d), fields.EMB_CLASSES), fields.EMB_CLASSES)
+    field = R.share_margins(_field(spark, d), fields.EMB_CLASSES)
     both = R.over_charts(field, fields.EMB_CLASSES, 2).select("sample", "id", F.posexplode(F.arrays_zip("margin", "dispersion")).alias("p", "v"))
     return rounded(both.select("sample", "id", (F.col("p") + 1).cast("int").alias("cls"), "v.margin", "v.dispersion"), "margin", "dispersion")
 
