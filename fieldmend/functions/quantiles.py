@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ def percentiles(df: DataFrame, keys: list[str], values: dict[str, Column], at: l
     group = [*keys, "name"]
     ends = [F.lit(min(1.0, max(0.0, p + d / ACCURACY))) for p in at for d in (-3, 3)]
     brackets, _ = small(long.groupBy(*group).agg(F.count(F.lit(1)).alias("fm_n"), F.percentile_approx("value", F.array(*ends), F.lit(ACCURACY)).alias("fm_b")))
-    places = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(p).alias("p"), F.col("fm_b")[2 * j].alias("low"), F.col("fm_b")[2 * j + 1].alias("high")) for j, p in enumerate(at)))
+    # Of few rows a bracket may miss the neighbour that a percentile needs, so all of them are between.
+    few = F.col("fm_n") < 2 * ACCURACY
+    end = lambda i, far: F.when(few, F.lit(far)).otherwise(F.col("fm_b")[i])
+    places = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(p).alias("p"), end(2 * j, -math.inf).alias("low"), end(2 * j + 1, math.inf).alias("high")) for j, p in enumerate(at)))
     near = long.join(brackets.select(*group, "fm_n", F.inline(places)), group).where(F.col("value") <= F.col("high"))
     near = near.withColumn("value", F.when(F.col("value") >= F.col("low"), F.col("value")))
     counted = near.groupBy(*group, "j", "p", "fm_n", "value").agg(F.count(F.lit(1)).alias("c"))

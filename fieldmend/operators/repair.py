@@ -56,11 +56,12 @@ def path_steps(coded: DataFrame, dims: int, largest: int | None = None, run_rows
     end = F.struct("hcode", "id", *names)
     ends = coded.groupBy(*PATH, "run").agg(F.min(end).alias("first"), F.max(end).alias("last"))
     over = Window.partitionBy(*PATH).orderBy("run")
-    ends, _ = small(ends.select(*PATH, "run", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after")))
+    beyond = {f"{way}_{c}": f(end).over(over)[c] for c in names for way, f, end in (("before", F.lag, "last"), ("after", F.lead, "first"))}
+    ends, _ = small(ends.select(*PATH, "run", *(v.alias(k) for k, v in beyond.items())))
     joined = coded.join(ends, [*PATH, "run"])
-    back = {c: F.coalesce(back[c], F.col("before")[c]) for c in names}
-    ahead = {c: F.coalesce(ahead[c], F.col("after")[c]) for c in names}
-    return joined.withColumns({"step_in": distance(back, here), "step_out": distance(here, ahead)}).drop("before", "after")
+    back = {c: F.coalesce(back[c], F.col(f"before_{c}")) for c in names}
+    ahead = {c: F.coalesce(ahead[c], F.col(f"after_{c}")) for c in names}
+    return joined.withColumns({"step_in": distance(back, here), "step_out": distance(here, ahead)}).drop(*beyond)
 
 
 def path_scale(stepped: DataFrame, largest: int | None = None) -> DataFrame:
