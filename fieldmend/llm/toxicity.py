@@ -297,7 +297,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     held_out = (fold("doc_id", folds) == held).alias("held_out")
     sample = stored(fit_sample(docs, labels, label, fold("doc_id", folds) != held, fit_rows), "labelled")
     sample = stored(without_copies(docs.join(F.broadcast(sample), "doc_id")), "sample")
-    train = stored(docs.join(F.broadcast(sample), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(CROSS)).cast("int")), "train")  # fit_rows bounds both
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    train = stored(docs.join(F.broadcast(sample), "doc_id").repartition(parts, "doc_id", "text").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(CROSS)).cast("int")), "train")  # fit_rows bounds both
     sums = {r.part: (r.n, r.ones) for r in train.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).collect()}
     totals = [sums.get(k, (0, 0)) for k in range(CROSS)]
     size, ones = sum(t[0] for t in totals), sum(t[1] for t in totals)
