@@ -4,28 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmend.session import shared_folder
 
 #: Rows per Arrow batch: texts may be long, and a Python worker holds one batch.
 BATCH_ROWS = 500
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset."""
-    sc = spark.sparkContext
-    there = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not there:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fieldmend-llm-"))
-        there = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(there)
-        there = sc.getCheckpointDir()
-    return there
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -48,13 +37,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps the Arrow batches of this session small enough for long texts."""
+    """Keeps the Arrow batches of this session small enough for long texts. Batches are made when a result is asked for, after
+    the operator has returned, so the setting stays; it is never raised."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
 
 
+def packed(docs: DataFrame, *more) -> DataFrame:
+    """The rows of docs as one column fm_row, and more columns: whatever docs' own are called, none clashes with these."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("fm_row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> list:
+    """The columns of packed docs again, some changed."""
+    return [changed[c].alias(c) if c in changed else F.col("fm_row")[c].alias(c) for c in columns]
+
+
 def opened(uri: str):
     """The pyarrow file system and path of a URI, inside a task."""
     from pyarrow import fs

@@ -10,14 +10,16 @@ is verified. A larger benchmark goes through a shuffle join on window digests in
 its own text alone, either way.
 
 Defined results: null and empty texts have no words; null items and items without words have no windows; an
-item that is repeated counts once; items without an id are one item, whose id is null; repeated document rows each give a row; extra columns are ignored (or
-kept, by `decontaminate`).
+item that is repeated counts once; items without an id are one item, whose id is null; repeated document rows each give a
+row, and rows that share a doc_id are each judged by their own text; other columns are passed over (kept by `decontaminate`),
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from itertools import repeat
 
 import numpy as np
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import packed, stored, text_batches, unpacked
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 N = 10
 MAX_BROADCAST_WINDOWS = 200_000
+#: Beyond them: windows of a text at once, and the size of the table that tells which windows are worth a shuffle.
+STRETCH, SKETCH_BITS = 50_000, 24
 REPORT = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
@@ -140,30 +144,44 @@ def joined_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     def digest(window) -> bytes:
         return hashlib.md5(b" ".join(window)).digest()
 
+    def sketch(first: bytes, last: bytes) -> int:
+        return zlib.crc32(last, zlib.crc32(first)) >> (32 - SKETCH_BITS)
+
     def of_items(batches):
         for batch in batches:
-            rows = [(i, digest(w), len(w)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in item_windows(words_of(t), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int32()))], names=["item", "gram", "size"])
+            rows = [(i, digest(w), len(w), sketch(w[0], w[-1])) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in item_windows(words_of(t), n)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.binary(), pa.int32(), pa.int32()))], names=["item", "gram", "size", "mark"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    grams = items.mapInArrow(of_items, "item string, gram binary, size int").distinct()
+    grams = stored(items.mapInArrow(of_items, "item string, gram binary, size int, mark int").distinct(), "grams")
     sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most n values
+    bits = np.zeros(1 << SKETCH_BITS, bool)
+    words_ = grams.groupBy(F.shiftright("mark", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, mark & 63))").alias("bits"))
+    found = words_.toArrow()  # 2 ** (SKETCH_BITS - 6) rows at most
+    if found.num_rows:
+        rows = np.unpackbits(found.column("bits").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+        bits.reshape(-1, 64)[found.column("word").to_numpy()] = rows
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))  # of a fixed size
 
     def of_docs(batches):
+        held = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                rows = [(digest(words[i : i + s]), s, i) for s in sizes for i in range(len(words) - s + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(rows), pa.string())] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))],
-                    names=["fm_key", "gram", "size", "at"],
-                )
+                for s in sizes:
+                    # The windows of a long text in stretches; of these, only such as begin and end like one of the benchmark.
+                    for first in range(0, len(words) - s + 1, STRETCH):
+                        some = [i for i in range(first, min(first + STRETCH, len(words) - s + 1)) if held[sketch(words[i], words[i + s - 1])]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([key] * len(some), pa.string()), pa.array([digest(words[i : i + s]) for i in some], pa.binary()), pa.array([s] * len(some), pa.int32()), pa.array(some, pa.int32())],
+                            names=["fm_key", "gram", "size", "at"],
+                        )
 
     texts = docs.where(F.col("text").isNotNull()).select(text_key().alias("fm_key"), F.col("text").cast("string").alias("text"))
-    held = texts.dropDuplicates(["fm_key"]).mapInArrow(of_docs, "fm_key string, gram binary, size int, at int")
+    windows = texts.dropDuplicates(["fm_key"]).mapInArrow(of_docs, "fm_key string, gram binary, size int, at int")
     # In a struct a null id is collected too.
     ids = F.collect_set(F.struct("item"))
-    return held.join(grams, ["gram", "size"]).groupBy("fm_key").agg(
+    return windows.join(grams, ["gram", "size"]).groupBy("fm_key").agg(
         F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("fm_at"),
         F.array_sort(F.transform(ids, lambda x: x["item"])).alias("items"),
     )
@@ -210,9 +228,10 @@ def decontaminate(
 def joined_removal(docs: DataFrame, benchmark: DataFrame, n: int, remove: str) -> DataFrame:
     """decontaminate by joined_hits."""
     hits = joined_hits(docs, benchmark, n).select("fm_key", "fm_at")
-    keyed = docs.withColumn("fm_key", text_key())
+    keyed = packed(docs, text_key().alias("fm_key"))
     if remove == "documents":
-        return keyed.join(hits, "fm_key", "left_anti").select(*docs.columns)
+        kept = keyed.join(hits, "fm_key", "left_anti")
+        return kept.select(*unpacked(kept, docs.columns))
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def cut(batches):
@@ -228,7 +247,9 @@ def joined_removal(docs: DataFrame, benchmark: DataFrame, n: int, remove: str) -
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(width)]))
 
-    return keyed.join(hits, "fm_key", "left").select(*docs.columns, "fm_at").mapInArrow(cut, docs.schema)
+    both = keyed.join(hits, "fm_key", "left")
+    places = F.col("fm_at").alias(next(c for c in ("fm_at", *(f"fm_at{k}" for k in range(len(docs.columns)))) if c not in docs.columns))
+    return both.select(*unpacked(both, docs.columns), places).mapInArrow(cut, docs.schema)
 
 
 def without(text: str, hit: np.ndarray) -> str:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import packed, stored, text_batches, unpacked
 from .shingles import Shingler, min_hashes, mix, overlap
 
 SKETCH, SHORT, BANDS = 1 << 17, 2, 4
@@ -254,7 +254,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; all columns stay."""
+    """docs without those that have a smaller doc_id in their component; all columns stay, and all rows of a doc_id that
+    stays, nulls among them."""
     found = jaccard_components(docs, k, percent)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("fm_doc")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("fm_doc")), "left_anti")
+    kept = packed(docs, F.col("doc_id").cast("long").alias("fm_id")).join(gone, F.col("fm_id") == F.col("fm_doc"), "left_anti")
+    return kept.select(*unpacked(kept, docs.columns))

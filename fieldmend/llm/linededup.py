@@ -1,12 +1,13 @@
 """Line deduplication by overlapping three-line windows, by DataFrame functions alone.
 
 A text is split at line feeds. Each three consecutive lines, not all blank, form a window. Of equal windows in
-the whole table the first stays (by doc_id, then the text's hash, then place); every later one covers its three
-lines, and covered lines go. Texts of fewer than three lines have no windows and stay as they are.
+the whole table the first (by doc_id, then the text's hash, then place) covers nothing; every later one covers its three
+lines, and covered lines go. A later window that overlaps the first one in its own text covers lines of that too ("a a a a b"
+by lines leaves "a b"). Texts of fewer than three lines have no windows and stay as they are.
 
 With `alone`, shorter passages are windows too: each line, and each two consecutive lines, of `alone` words together
 or more (words end at ASCII white space), and each text of one or two lines as a whole. They are found, held against
-each other and covered in the same way. A window's first place is never covered, so one copy of each passage stays.
+each other and covered in the same way.
 
 Lines are compared by 64-bit hashes, three in a row, so unequal windows are taken as equal only where all three
 hashes agree. Counting and first places are pre-aggregated before the shuffle, and only windows that repeat are
@@ -14,7 +15,8 @@ joined back, so common windows are no hot keys of an aggregation and a skewed jo
 
 Defined results: a null text stays null and has no lines; an empty text is one blank line; rows with equal
 doc_id and text are the same document, so none counts as the other's repeat and both are treated alike; every
-input row gives one row; a text that loses all its lines becomes empty.
+input row gives one row; a text that loses all its lines becomes empty; other columns are kept, whatever their names, but
+for those called fm_lines and fm_removed, which the counts replace.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 
 def windows(docs: DataFrame, size: int, alone: int | None = None) -> DataFrame:
@@ -71,16 +73,18 @@ def dedup_lines(docs: DataFrame, size: int = 3, alone: int | None = None) -> Dat
     repeated = stored(repeated, "windows")
     later = found.join(repeated, ["key1", "key2"]).where(place > F.col("first"))
     covered = later.groupBy("fm_doc", "fm_text").agg(F.collect_set(F.struct("at", "span")).alias("fm_at"))
-    both = docs.withColumn("fm_key", F.xxhash64(F.col("text").cast("string"))).join(
-        covered, F.col("doc_id").cast("long").eqNullSafe(F.col("fm_doc")) & (F.col("fm_key") == F.col("fm_text")), "left"
-    )
+    text = F.col("text").cast("string")
+    rows = packed(docs, F.col("doc_id").cast("long").alias("fm_id"), F.xxhash64(text).alias("fm_key"))
+    both = rows.join(covered, F.col("fm_id").eqNullSafe(F.col("fm_doc")) & (F.col("fm_key") == F.col("fm_text")), "left")
     gone = F.flatten(F.transform("fm_at", lambda a: F.sequence(a["at"], a["at"] + a["span"] - 1)))
-    both = both.withColumn("fm_split", F.split(F.col("text").cast("string"), "\n", -1))
+    text = F.col("fm_row.text")
+    both = both.withColumn("fm_split", F.split(text.cast("string"), "\n", -1))
     both = both.withColumn("fm_keep", F.when(F.col("fm_at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("fm_split") - 1), gone)))
     left = F.array_join(F.transform("fm_keep", lambda i: F.element_at("fm_split", i + 1)), "\n")
-    n = F.when(F.col("text").isNotNull(), F.size("fm_split")).otherwise(0)
+    n = F.when(text.isNotNull(), F.size("fm_split")).otherwise(0)
+    columns = [c for c in docs.columns if c not in ("fm_lines", "fm_removed")]
     return both.select(
-        *(F.when(F.col("fm_keep").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *unpacked(both, columns, text=F.when(F.col("fm_keep").isNull(), text).otherwise(left)),
         n.cast("long").alias("fm_lines"),
         F.when(F.col("fm_keep").isNull(), 0).otherwise(n - F.size("fm_keep")).cast("long").alias("fm_removed"),
     )

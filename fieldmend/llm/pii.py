@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
@@ -163,20 +165,20 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each personal-data span of the text replaced by its kind in brackets; of overlapping spans the
     one that starts first. All columns stay."""
-    spans = F.col("fm_spans")
-    columns = docs.columns
+    spans, text = F.col("fm_spans"), F.col("fm_row.text")
+    rows = packed(docs)
     for k, kind in enumerate(KINDS):
-        docs = docs.withColumn(f"fm_{kind}", F.when(F.col("text").isNotNull(), scored(F.col("text"), kind, k)))
+        rows = rows.withColumn(f"fm_{kind}", F.when(text.isNotNull(), scored(text.cast("string"), kind, k)))
     added = [F.filter(f"fm_{kind}", lambda x: x["score"] >= THRESHOLD) for kind in KINDS[4:]]
-    docs = docs.withColumn("fm_spans", F.array_sort(F.concat(*(F.col(f"fm_{k}") for k in BASE), *added)))
+    rows = rows.withColumn("fm_spans", F.array_sort(F.concat(*(F.col(f"fm_{k}") for k in BASE), *added)))
 
     def step(state: Column, x: Column) -> Column:
         clear = x["start"] >= state["at"]
         return F.struct(
             F.when(clear, x["end"]).otherwise(F.greatest(state["at"], x["end"])).alias("at"),
-            F.when(clear, F.concat(state["out"], F.substr(F.col("text"), state["at"] + 1, x["start"] - state["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"),
+            F.when(clear, F.concat(state["out"], F.substr(text, state["at"] + 1, x["start"] - state["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"),
         )
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    whole = F.concat(done["out"], F.substr(F.col("text"), done["at"] + 1, F.length("text")))
-    return docs.withColumn("text", F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))).select(*columns)
+    whole = F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
+    return rows.select(*unpacked(rows, docs.columns, text=F.when(F.size(spans) > 0, whole).otherwise(text)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import packed, stored, text_batches, unpacked
 from .labels import FIT_ROWS, calibrated, calibration, fit_sample, fold
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.04, 1.0, 20240101
@@ -167,7 +167,8 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """docs without those that score below the threshold; all columns stay. Equal doc_ids share their best."""
+    """docs without those that score below the threshold; all columns stay. Rows that share a doc_id share their best score."""
     bad = score_quality(docs, labels, **options).groupBy("doc_id").agg(F.max("score").alias("fm_score")).where(F.col("fm_score") < threshold)
     bad = bad.select(F.col("doc_id").alias("fm_doc"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("fm_doc")), "left_anti")
+    kept = packed(docs, F.col("doc_id").cast("long").alias("fm_id")).join(bad, F.col("fm_id").eqNullSafe(F.col("fm_doc")), "left_anti")
+    return kept.select(*unpacked(kept, docs.columns))

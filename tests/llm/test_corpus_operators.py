@@ -391,3 +391,48 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == before
     rows = jaccard.jaccard_components(docs.select("doc_id", "text"), 5, 80).where("component_id <> doc_id").count()
     assert rows == 0
+
+
+def test_quality_equals_a_plain_fit(spark):
+    """Random features, summed normal equations, ridge and calibration against numpy on the same rows."""
+    rng = np.random.default_rng(21)
+    rows = [(k, bad(rng) if rng.random() < 0.3 else good(rng)) for k in range(300)]
+    rows += [(300 + k, rows[k][1]) for k in range(5)] + [(400, None), (401, "word " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {d: int("BUY" not in (t or "BUY")) for d, t in rows}
+    marks |= {d: 1 - marks[d] for d in (4, 11, 50)}
+    known = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = {r.doc_id: (r.held_out, r.score) for r in quality.score_quality(docs, known, features=16, gamma=0.1, ridge=2.0).collect()}
+    stats = {d: np.array(quality.statistics(t)) for d, t in rows}
+    held = {d: __import__("zlib").crc32(str(d).encode()) % 5 == 0 for d in stats}
+    apart = {r.doc_id: r.a for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 11), 5) = 0 AS a").collect()}
+    train = [d for d in stats if not held[d]]
+    x = np.array([stats[d] for d in train])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    draw = np.random.default_rng(quality.SEED)
+    w, b = draw.normal(0.0, np.sqrt(0.2), (x.shape[1], 16)), draw.uniform(0, 2 * np.pi, 16)
+
+    def features(d):
+        z = np.clip((stats[d] - mean) / scale, -6, 6)
+        return np.append(np.sqrt(2 / 16) * np.cos(z @ w + b), 1.0)
+
+    f = np.array([features(d) for d in train if not apart[d]])
+    y = np.array([marks[d] for d in train if not apart[d]], float)
+    penalty = np.diag([2.0] * 16 + [1e-9])
+    weights = np.linalg.solve(f.T @ f + penalty, f.T @ y)
+    cells = {}
+    for d in train:
+        if apart[d]:
+            cells.setdefault(np.round(np.clip(features(d) @ weights, -1, 2) * 2000 / 3), []).append(marks[d])
+    at = sorted(cells)
+    n = np.array([len(cells[c]) for c in at], float)
+    rate = np.array([np.mean(cells[c]) for c in at])
+    # Isotonic values by the largest mean from the left of the smallest mean to the right.
+    best = [max(min((rate[i : j + 1] @ n[i : j + 1]) / n[i : j + 1].sum() for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    knots, values = labels.pool_adjacent(np.array(at) * 3 / 2000, rate, n)
+    assert np.interp(np.array(at) * 3 / 2000, knots, values) == pytest.approx(best)
+    size = max(1.0, n.sum() / len(values))
+    values = np.maximum.accumulate((values * size + rate @ n / n.sum()) / (size + 1.0))
+    for d in stats:
+        assert got[d] == (held[d], pytest.approx(float(np.interp(features(d) @ weights, knots, np.clip(values, 0, 1))), abs=1e-6)), d

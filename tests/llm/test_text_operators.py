@@ -315,3 +315,38 @@ def test_contamination_is_a_row_s_own(spark, limit):
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(d, b, 4, limit).collect()}
     hit = (8, 6, ("3", None))
     assert got == {(None, *hit), (None, 2, 0, ()), (7, *hit), (7, 3, 0, ()), (8, 0, 0, ()), (8, *hit), (9, 0, 0, ())}
+
+
+def test_columns_of_the_operators_own_names(spark):
+    """Columns called like those that operators work with come back as they were; rows that share an id, nulls and a very
+    long text go through all of them."""
+    from fieldmend.llm import jaccard, quality
+
+    extra = ["fm_key", "fm_at", "fm_row", "fm_doc", "fm_split", "fm_spans", "fm_score", "fm_id", "component_id", "n", "at", "row", "spans"]
+    texts = [(1, "a@b.c says hi"), (1, "One two three four five"), (None, None), (None, ""), (2, "long words " * 60_000), (2, "l1\nl2\nl3"), (3, "x\nl1\nl2\nl3")]
+    docs = spark.createDataFrame([(d, t, *range(len(extra))) for d, t in texts], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    items = spark.createDataFrame([(1, "two three four five")], "item_id long, text string")
+    labels_ = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    done = {
+        "redact": pii.redact(docs), "lines": linededup.dedup_lines(docs).drop("fm_lines", "fm_removed"), "one": jaccard.keep_one(docs, 5, 80), "good": quality.keep_good(docs, labels_, threshold=0.0, features=8),
+        **{f"{remove}{limit}": decontaminate.decontaminate(docs, items, 4, remove, limit) for remove in ("documents", "spans") for limit in (0, 1000)},
+    }
+    for name, out in done.items():
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(tuple(r)[2:] == tuple(range(len(extra))) for r in rows) and len(rows) == len(texts) - name.startswith("documents"), name
+        empty = {"redact": lambda d: pii.redact(d), "lines": lambda d: linededup.dedup_lines(d), "one": lambda d: jaccard.keep_one(d, 5, 80)}.get(name)
+        assert empty is None or empty(docs.limit(0)).count() == 0
+
+
+def test_empty_tables(spark):
+    from fieldmend.llm import quality, toxicity
+
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels_ = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for out in (pii.find_pii(docs), quality.score_quality(docs, labels_), toxicity.score_toxicity(docs, labels_), decontaminate.contamination(docs, items), decontaminate.contamination(docs, items, 10, 0), quality.keep_good(docs, labels_)):
+        assert out.count() == 0
+    some = frame(spark)
+    assert decontaminate.decontaminate(some, items, max_broadcast_windows=0).count() == len(ODD)
+    assert {r.score for r in quality.score_quality(some, labels_).collect()} == {r.score for r in toxicity.score_toxicity(some, labels_).collect()} == {0.5}
