@@ -5,7 +5,7 @@
    one or two lines are cut; a document that loses all its text to earlier ones goes.
 3. near_duplicates: of each component of documents with a similarity of 0.8 on five-word shingles one stays.
 4. decontamination: documents that hold a ten-word window of the benchmark go.
-5. packing: best-fit packing of what is left into sequences of 4096 tokens.
+5. packing: best-fit packing of what is left into sequences of 4096 tokens and 64 documents at most.
 
 Stages 1 to 4 return the columns of documents, n_chars being that of the text as it is.
 """
@@ -39,7 +39,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1, max_documents=64)
 
 
 STAGES = [
