@@ -13,9 +13,10 @@ Two documents link when 100 * shared shingles >= percent * shingles of both. The
    lie in fewer lists, as two sets of one size must share more. For each probe and sixteenth of the documents met the lists
    are merged by a heap, and documents that occur SHORT times stay.
 4. These candidates' other shingles, the long lists, are probed by binary search until the required overlap is
-   reached or out of reach.
+   reached or out of reach: first, ROUNDS times, of each document the candidate that it shares most short lists with, and
+   candidates that this brings into one component are done with; then all that are left.
 
-Pairs within a component are never formed after step 2, and no link between components is lost, so components
+Pairs within a component are not probed once it is known, and no link between components is lost, so components
 are exact. Lists are joined by Spark's sort-merge join, which spills and splits skewed keys.
 
 Defined results: null texts and texts without words have empty sets and link with nothing, each its own
@@ -38,8 +39,8 @@ from .common import packed, stored, text_batches, unpacked
 from .shingles import Shingler, min_hashes, mix, overlap
 
 SKETCH, SHORT, BANDS = 1 << 17, 2, 4
-#: A probe's merge is split so many ways.
-MERGES = 16
+#: A probe's merge is split so many ways; rounds in which documents take one candidate each.
+MERGES, ROUNDS = 16, 2
 #: Up to so many ids are broadcast to choose documents; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -142,13 +143,13 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(probe, "a long, b long").distinct()
 
 
-def merge_lists(lists: list[list[int]], times: int) -> list[int]:
-    """The numbers that occur in so many of these ascending lists, by a heap over the lists."""
-    return [x for x, run in groupby(heapq.merge(*lists)) if sum(1 for _ in run) >= times]
+def merge_lists(lists: list[list[int]], times: int) -> list[tuple[int, int]]:
+    """The numbers that occur in so many of these ascending lists, and how often, by a heap over the lists."""
+    return [(x, n) for x, run in groupby(heapq.merge(*lists)) if (n := sum(1 for _ in run)) >= times]
 
 
 def occurrences(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share SHORT short lists; b is the smaller set. postings: s, at (the place
+    """Pairs (a, b) of different components that share SHORT short lists or more (times); b is the smaller set. postings: s, at (the place
     of s among the document's shingles in the global order), doc_id, n, comp.
 
     A pair of n and m shingles links only if it shares need = ceil(percent (n + m) / (100 + percent)) of them, so the
@@ -176,16 +177,42 @@ def occurrences(postings: DataFrame, percent: int) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
 
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for (a, _), group in groupby(rows(), key=lambda r: r[:2]):
             lists = [[r[3] for r in run] for _, run in groupby(group, key=lambda r: r[2])]
-            out += ((a, b) for b in merge_lists(lists, SHORT))
+            out += ((a, b, times) for b, times in merge_lists(lists, SHORT))
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["a", "b", "times"])
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["a", "b", "times"])
 
-    return lists.mapInArrow(merge, "a long, b long")
+    return lists.mapInArrow(merge, "a long, b long, times long")
+
+
+def connected(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after more links (a, b)."""
+    links = stored(links, "links")
+    if links.isEmpty():
+        return roots
+    return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
+
+
+def probed(docs: DataFrame, pairs: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """roots (node, root) after the candidates pairs (a, b, times) have been probed, in rounds."""
+    pairs = stored(pairs, "candidates")
+    for last in [False] * ROUNDS + [True]:
+        if pairs.isEmpty():
+            break
+        taken = pairs
+        if not last:
+            # Of each document, on either side, the candidate with most short lists in common.
+            best = [pairs.groupBy(c).agg(F.max(F.struct("times", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("x")).select("x.a", "x.b", "x.times") for c in ("a", "b")]
+            taken = best[0].unionByName(best[1]).distinct()
+        roots = connected(roots, verified(docs, taken.select("a", "b"), k, percent))
+        if not last:
+            left = rooted(rooted(pairs, "a", roots, "a_root"), "b", roots, "b_root").where("a_root <> b_root").select("a", "b", "times")
+            pairs = stored(left.join(taken.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,12 +270,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     placed = rooted(lists.select("doc_id", "n", "lists"), "doc_id", first, "comp")
     postings = placed.select("doc_id", "n", "comp", F.posexplode("lists").alias("at", "s"))
-    links = verified(docs, occurrences(postings, percent), k, percent)
-    links = links.unionByName(shared_ids(rows, sets))
-    ends = rooted(rooted(links, "a", first, "a_root"), "b", first, "b_root")
-    second = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    roots = probed(docs, occurrences(postings, percent), connected(first, shared_ids(rows, sets)), k, percent)
 
-    whole = rooted(rooted(sets, "rep", first, "mid"), "mid", second, "component_id").select("d1", "d2", F.col("n").alias("n"), "component_id")
+    whole = rooted(sets, "rep", roots, "component_id").select("d1", "d2", F.col("n").alias("n"), "component_id")
     whole = stored(whole, "members")
     return rows.join(whole, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

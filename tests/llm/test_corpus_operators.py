@@ -255,7 +255,7 @@ def test_components_of_a_path(spark):
 
 
 def test_merge_and_overlap():
-    assert jaccard.merge_lists([[1, 4, 7], [4, 7], [7, 9]], 2) == [4, 7]
+    assert jaccard.merge_lists([[1, 4, 7], [4, 7], [7, 9]], 2) == [(4, 2), (7, 3)]
     a, b = np.arange(0, 600, 2, dtype=np.uint64), np.arange(0, 600, 3, dtype=np.uint64)
     assert overlap(a, b, 0) == 100 and overlap(a, b, 101) == -1 and overlap(a[:0], b, 1) == -1
     s = Shingler(3).sets(["A b c", "a  b\tc", "a b", "", None, "a b c d" * 3000])
