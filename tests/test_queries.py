@@ -12,11 +12,7 @@ from fieldmend import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [
-    "q_catalog", "q_robust_scale", "q_hilbert_2d", "q_chart_order", "q_class_deficit", "q_repair_multisample", "q_repair_gates", "q_repair_binary",
-    "q_knn_edges", "q_knn_undirected", "q_modal_filter", "q_vote_icm8", "q_potts_energy", "q_adjacent_label", "q_tiles_core", "q_tiles_halo",
-    "q_eval_overall", "q_eval_strata", "q_ari", "q_mask_boundary", "q_mask_iou", "q_anchors", "q_sample_stratified", "q_rank_average", "q_friedman", "q_sim_stripes",
-]
+NAMES = sorted(catalog.oracle_sql())
 
 
 def plain(df: pd.DataFrame) -> list[tuple]:
