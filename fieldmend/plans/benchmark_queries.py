@@ -43,3 +43,19 @@ def q_benchmark_table(spark, d):
 )
 def q_design_grid(spark, d):
     return design(spark, pattern=["rings", "spiral", "lobes"], noise=[0.1, 0.25], rep=[1, 2, 3])
+
+
+@query(
+    "q_benchmark_errors",
+    f"""SELECT dataset, method, n, CASE WHEN method = 'broken' THEN 'no result' END AS error, CASE WHEN method <> 'broken' THEN 1.0::DOUBLE END AS accuracy
+FROM (SELECT count(*) AS n FROM ({fields.EMB})), (VALUES ('emb'), ('emb.1'), ('dataset3')) a(dataset), (VALUES ('Initial'), ('broken')) b(method)""",
+)
+def q_benchmark_errors(spark, d):
+    """A method that fails is a row with its error; fields of one name, or without one, get names of their own."""
+    points = fields.embeddings(spark, d).withColumn("truth", F.col("code").cast("string")).withColumn("label", F.col("truth"))
+
+    def broken(frame):
+        raise ArithmeticError("no result")
+
+    done = run_benchmark([SpatialBenchmark.of(points, 3, name) for name in ("emb", "emb", None)], {"broken": broken}, on_error="record")
+    return rounded(done, "accuracy").select("dataset", "method", "n", "error", "accuracy")

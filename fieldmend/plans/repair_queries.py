@@ -266,3 +266,13 @@ def q_repair_gates(spark, d):
     few = base.withColumn("sample", F.concat(F.lit("few"), F.floor(F.col("id") / 10).cast("string")))
     one = base.withColumns({"sample": F.lit("one"), "code": F.lit(3)})
     return finished(R.repair(flat.unionByName(few).unionByName(one), 2, 5))
+
+
+@query(
+    "q_repair_labels",
+    f"""{chain(fields.EMB, 2)}, fin AS ({FINAL}) SELECT sample, id, chr(96 + code) AS label, chr(96 + refined) AS refined, chr(96 + candidate) AS candidate, margin_score, required, repair_margin, atlas_dispersion, isolation, changed FROM fin""",
+)
+def q_repair_labels(spark, d):
+    """The public form, with text labels in and out; the levels are those that occur, in binary order."""
+    points = fields.embeddings(spark, d).withColumn("label", F.char(F.col("code") + 96)).drop("code")
+    return finished(R.repair_labels(points, 2))

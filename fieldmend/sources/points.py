@@ -16,18 +16,18 @@ def validate_points(points: DataFrame, dims: int) -> None:
     names = axes(dims)
     for a in names:
         if a not in points.columns or not isinstance(points.schema[a].dataType, T.NumericType):
-            raise ValueError("`xy` must be a finite numeric matrix with two or three columns.")
+            raise ValueError(f"points need a numeric column {a}")
     bad = [F.count_if(F.col(a).isNull() | F.isnan(F.col(a).cast("double")) | (F.abs(F.col(a).cast("double")) == float("inf"))) for a in names]
     found = points.agg(
         F.count(F.lit(1)).alias("n"), *(b.alias(f"bad{k}") for k, b in enumerate(bad)), F.count_if(F.col("label").isNull()).alias("labels"), F.count_if(F.col("sample").isNull()).alias("samples"),
         F.count_if(F.col("id").isNull()).alias("ids"),
     ).first()
     if not found.n or any(found[f"bad{k}"] for k in range(dims)):
-        raise ValueError("`xy` must be a finite numeric matrix with two or three columns.")
+        raise ValueError("points need rows, and coordinates that are neither missing nor infinite")
     if found["labels"]:
-        raise ValueError("`labels` must contain one non-missing assignment per row.")
+        raise ValueError(f"{found['labels']} points have no label")
     if found["samples"] or found["ids"]:
-        raise ValueError("`samples` must contain one non-missing identifier per row.")
+        raise ValueError("points without sample or id")
 
 
 def encoded(points: DataFrame, levels: list[str]) -> DataFrame:
