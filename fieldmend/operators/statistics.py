@@ -99,6 +99,30 @@ def wilcoxon_holm(scores: DataFrame, key: str, value: str = "value") -> DataFram
     return scores.sparkSession.createDataFrame(out, "a string, b string, n long, v double, p_value double, p_holm double")
 
 
+def speedups(scores: DataFrame, key: str, baseline: str, value: str = "value") -> DataFrame:
+    """For each method: n conditions, paired ones (the baseline has them too), the mean difference to the baseline, and
+    how many times smaller it is: mean_ratio of the paired means and median_ratio. Conditions that the baseline lacks
+    stay in n and in nothing else."""
+    base = scores.where(F.col("method") == baseline).select(key, F.col(value).alias("fm_base"))
+    both = scores.join(base, key, "left")
+    mine = F.when(F.col("fm_base").isNotNull(), F.col(value))
+    return both.groupBy("method").agg(
+        F.count(F.lit(1)).alias("n"), F.count("fm_base").alias("paired"), F.avg(mine - F.col("fm_base")).alias("mean_difference"),
+        (F.sum("fm_base") / F.sum(mine)).alias("mean_ratio"), F.median(F.col("fm_base") / mine).alias("median_ratio"),
+    )
+
+
+def choose_distinct(rows: DataFrame, scores: list[str], id_: str = "id") -> DataFrame:
+    """place, score and id: for each score in turn the row that has most of it and was not chosen before; of equals the
+    first id. Only the first rows of each score, as many as there are scores, can be chosen, and only these are read."""
+    taken: list = []
+    for s in scores:
+        first = rows.orderBy(F.desc_nulls_last(s), id_).select(id_).limit(len(scores)).collect()
+        taken.append(next((r[0] for r in first if r[0] not in taken), None))
+    found = [(k, s, i) for k, (s, i) in enumerate(zip(scores, taken, strict=True), 1) if i is not None]
+    return rows.sparkSession.createDataFrame(found, f"place int, score string, {id_} {rows.schema[id_].dataType.simpleString()}")
+
+
 def entropy(counts: list[Column]) -> Column:
     """Shannon entropy of class counts, shares floored at 1e-12."""
     total = sum(counts[1:], counts[0])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmend.functions.geometry import axes
+from fieldmend.session import small
 
 
 def balanced_counts(spans: list[float], target: int) -> list[int]:
@@ -67,8 +68,11 @@ def tiles(points: DataFrame, grid: DataFrame, dims: int, overlap: float = 0.15)
 
 def in_tiles(points: DataFrame, dims: int, refine, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None) -> DataFrame:
     """refine applied to each tile with its halo, as a specimen of its own; the cores' rows come back under the
-    specimen's name. refine takes and returns frames with sample and id."""
+    specimen's name, with tile. refine takes and returns frames with sample and id. A tile with less than three points
+    goes without its halo, one without a core not at all."""
     dealt = tiles(points, layout(points, dims, target_size, counts), dims, overlap)
+    lean, _ = small(tile_summary(dealt).where("halo_n < 3 or core_n = 0").select("sample", "tile", F.lit(True).alias("fm_lean")))
+    dealt = dealt.join(lean, ["sample", "tile"], "left").where("is_core or fm_lean is null").drop("fm_lean")
     wide = points.join(dealt, ["sample", "id"]).withColumn("of", F.col("sample")).withColumn("sample", F.concat_ws("#", "of", F.col("tile").cast("string")))
     keys = wide.select("sample", "id", "of", "tile", "is_core")
     done = refine(wide.drop("of", "tile", "is_core")).join(keys, ["sample", "id"]).where("is_core")

@@ -66,17 +66,22 @@ _modal("q_modal_orders", fields.ORD, fields.orders, 2, 50)
 _modal("q_modal_filter", fields.EMB, fields.embeddings, 3, 8)
 
 
-def _majority(name: str, points: str, source):
-    @query(
-        name,
-        f"""WITH {edges_sql(points, 2, 6)},
+def majority_sql(points: str) -> str:
+    return f"""WITH {edges_sql(points, 2, 6)},
 v AS (SELECT sample, src, vote, count(*) AS n FROM (SELECT e.sample, src, p.code AS vote FROM e JOIN pts p ON p.sample = e.sample AND p.id = e.dst UNION ALL SELECT sample, id, code FROM pts) GROUP BY ALL),
 b AS (SELECT v.*, p.code, max(CASE WHEN vote = code THEN n END) OVER (PARTITION BY v.sample, src) AS mine FROM v JOIN pts p ON p.sample = v.sample AND p.id = v.src
   QUALIFY row_number() OVER (PARTITION BY v.sample, src ORDER BY n DESC, (vote <> code), vote) = 1)
-SELECT sample, src AS id, code, CAST(CASE WHEN mine < 3.0 AND n > 3.0 THEN vote ELSE code END AS INTEGER) AS refined FROM b""",
-    )
+SELECT sample, src AS id, code, CAST(CASE WHEN mine < 3.0 AND n > 3.0 THEN vote ELSE code END AS INTEGER) AS refined FROM b"""
+
+
+def majority6(points):
+    return graph.strict_majority_labels(nearest_lists(points, 2, 6, carry="code", lists=("vote",)))
+
+
+def _majority(name: str, points: str, source):
+    @query(name, majority_sql(points))
     def run(spark, d):
-        return graph.strict_majority_labels(nearest_lists(source(spark, d), 2, 6, carry="code", lists=("vote",)))
+        return majority6(source(spark, d))
 
 
 _majority("q_majority_strict", fields.CUST, fields.customers)
@@ -179,6 +184,20 @@ def q_tiles_summary(spark, d):
     return tiles.tile_summary(_tiles(spark, d))
 
 
+WITH_HALO = f"{TILES} SELECT * FROM d WHERE is_halo QUALIFY is_core OR (count(*) OVER (PARTITION BY sample, tile) >= 3 AND count(*) FILTER (is_core) OVER (PARTITION BY sample, tile) > 0)"
+TILED = f"SELECT concat(t.sample, '#', t.tile) AS sample, t.id, o.x, o.y, o.code FROM ({WITH_HALO}) t JOIN ({fields.ORD}) o ON o.sample = t.sample AND o.id = t.id"
+
+
+@query(
+    "q_tiles_majority",
+    f"""SELECT c.sample, c.tile, c.id, m.code, m.refined FROM ({TILES} SELECT sample, tile, id FROM d WHERE is_core) c
+JOIN ({majority_sql(TILED)}) m ON m.sample = concat(c.sample, '#', c.tile) AND m.id = c.id""",
+)
+def q_tiles_majority(spark, d):
+    """The strict majority of six neighbours, found in each tile and its halo alone."""
+    return tiles.in_tiles(fields.orders(spark, d), 2, majority6, counts=[3, 2]).select("sample", "tile", "id", "code", "refined")
+
+
 # Evaluation: orders' status as truth, a hashed corruption as initial labels, half of it undone as refined ones.
 TRIPLE = f"""SELECT sample, id, truth, CASE WHEN {u_sql(1, 'hit', 'id')} < 0.3 THEN other ELSE truth END AS initial,
 CASE WHEN {u_sql(1, 'hit', 'id')} < 0.3 AND {u_sql(1, 'back', 'id')} < 0.6 THEN truth WHEN {u_sql(1, 'hit', 'id')} < 0.3 OR {u_sql(1, 'harm', 'id')} < 0.05 THEN other ELSE truth END AS refined,
