@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmend.operators.knn import nearest
 from fieldmend.session import cut
 
 
@@ -128,6 +129,19 @@ def iterated_vote(points: DataFrame, edges: DataFrame, classes: int, settings: V
     return points.join(last, ["sample", "id"]), changes
 
 
+def refine(points: DataFrame, dims: int, classes: int, settings: VoteSettings | None = None, k: int | None = None) -> tuple[DataFrame, list[int]]:
+    """The iterated vote over the k nearest points, or each specimen's automatic number of them: points with refined and
+    confidence, and the number of changes of each sweep. With less than two classes nothing changes and confidence is 1;
+    a specimen of fewer than three points raises."""
+    (settings or VoteSettings()).checked(max(classes, 1))
+    if classes < 2:
+        return points.withColumns({"refined": F.col("code"), "confidence": F.lit(1.0)}), []
+    least = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct("n", "sample")).alias("least")).first()["least"]
+    if least is not None and least["n"] < 3:
+        raise ValueError(f"Specimen {least['sample']} has {least['n']} points; the vote takes three at least.")
+    return iterated_vote(points, nearest(points, dims, k, classes=classes), classes, settings)
+
+
 def potts_energy(points: DataFrame, pairs: DataFrame, label: str, unary: float = 5.0) -> DataFrame:
     """energy per specimen: unary times the labels that differ from code, and one for each pair (a, b) that differs."""
     moved = points.groupBy("sample").agg(F.count_if(F.col(label) != F.col("code")).alias("moved"))

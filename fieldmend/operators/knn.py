@@ -218,15 +218,18 @@ def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, .
     return marked.where("fm_heavy is null").drop("fm_heavy").unionByName(first.drop("fm_row")), rest
 
 
-def nearest_lists(points: DataFrame, dims: int, k: int, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote")) -> DataFrame:
+def nearest_lists(points: DataFrame, dims: int, k: int | None, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote"), classes: int = 1) -> DataFrame:
     """sample, id, own and lists: d2, dst and vote (or some of these) of the k nearest other points of the specimen by
-    (d2, dst), as arrays; k is the specimen's size less one where that is smaller. carry names a whole-number column of
-    points: of the point itself as own, of dst as vote."""
+    (d2, dst), as arrays; k is the specimen's size less one where that is smaller. Without k each specimen has its
+    automatic number for so many classes. carry names a whole-number column of points: of the point itself as own, of dst
+    as vote."""
     names = axes(dims)
+    own_k = F.lit(k) if k else automatic_neighbours(F.col("n"), classes)
+    k = k or MOST_NEIGHBOURS
     vote = F.col(carry).cast("long") if carry else F.lit(None).cast("long")
     points = points.select("sample", "id", vote.alias("vote"), *(F.col(a).cast("double").alias(a) for a in names))
     leaves = Leaves(points, names, k)
-    points = points.join(leaves.box.select("sample", F.least(F.lit(k), F.col("n") - 1).cast("int").alias("k")), "sample")
+    points = points.join(leaves.box.select("sample", F.least(own_k, F.col("n") - 1).cast("int").alias("k")), "sample")
     rest = None
     if leaves.largest is None or leaves.largest > 8 * max(LEAF, 8 * (k + 1)):
         points, rest = piles(points, names, k, lists)
@@ -255,9 +258,9 @@ def nearest_lists(points: DataFrame, dims: int, k: int, carry: str | None = None
     return done if rest is None else done.unionByName(rest)
 
 
-def nearest(points: DataFrame, dims: int, k: int, carry: str | None = None) -> DataFrame:
+def nearest(points: DataFrame, dims: int, k: int | None, carry: str | None = None, classes: int = 1) -> DataFrame:
     """Edges (sample, src, dst, d2, rank) to the k nearest other points, as in nearest_lists; with carry also vote."""
-    lists = nearest_lists(points, dims, k, carry, ("d2", "dst", "vote") if carry else ("d2", "dst"))
+    lists = nearest_lists(points, dims, k, carry, ("d2", "dst", "vote") if carry else ("d2", "dst"), classes)
     edges = lists.select("*", F.posexplode("dst").alias("at", "to"))
     votes = [F.get("vote", F.col("at")).alias("vote")] if carry else []
     return edges.select("sample", F.col("id").alias("src"), F.col("to").alias("dst"), F.get("d2", F.col("at")).alias("d2"), (F.col("at") + 1).alias("rank"), *votes)
@@ -268,7 +271,17 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("sample", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
+#: Bounds of the automatic number of neighbours.
+LEAST_NEIGHBOURS, MOST_NEIGHBOURS = 11, 31
+
+
+def automatic_neighbours(n: Column, classes: int) -> Column:
+    """automatic_k of a column of specimens' sizes."""
+    raw = F.log2(F.greatest(n, F.lit(1)).cast("double")) * 1.6 * min(1.0, 5.0 / max(1, classes))
+    return F.least(F.greatest(F.floor(raw + 0.5), F.lit(LEAST_NEIGHBOURS)), F.lit(MOST_NEIGHBOURS))
+
+
 def automatic_k(n: int, classes: int, half_even: bool = False) -> int:
     """min(31, max(11, round(1.6 log2(n) min(1, 5 / classes)))), rounded away from zero, or to even in tiles."""
     raw = 1.6 * math.log2(max(n, 1)) * min(1.0, 5.0 / max(1, classes))
-    return min(31, max(11, round(raw) if half_even else math.floor(raw + 0.5)))
+    return min(MOST_NEIGHBOURS, max(LEAST_NEIGHBOURS, round(raw) if half_even else math.floor(raw + 0.5)))

@@ -88,10 +88,17 @@ _majority("q_majority_strict", fields.CUST, fields.customers)
 _majority("q_majority_orders", fields.ORD, fields.orders)
 
 
-def sweeps_sql(settings: graph.VoteSettings, classes: int) -> str:
+def automatic_edges_sql(points: str, dims: int, classes: int) -> str:
+    """edges_sql with each specimen's automatic number of neighbours."""
+    k = f"least(31, greatest(11, floor(1.6 * log2(count(*)) * {min(1.0, 5 / classes)} + 0.5)))"
+    pts, e = edges_sql(points, dims, 31).split(", e AS (", 1)
+    return f"{pts}, e31 AS ({e}, e AS (SELECT e31.* FROM e31 JOIN (SELECT sample, {k} AS k FROM pts GROUP BY sample) s ON s.sample = e31.sample AND rank <= s.k)"
+
+
+def sweeps_sql(settings: graph.VoteSettings, classes: int, edges: str = EMB_E) -> str:
     s = settings.checked(classes)
     w = "exp(-d2 / greatest(max(d2) OVER (PARTITION BY sample, src), 1e-12))" if s.weighted else "1.0::DOUBLE"
-    sql = f"WITH {EMB_E}, w AS (SELECT sample, src, dst, {w} AS w FROM e), s0 AS (SELECT sample, id, code, code AS cur, 1.0::DOUBLE AS confidence FROM pts)"
+    sql = f"WITH {edges}, w AS (SELECT sample, src, dst, {w} AS w FROM e), s0 AS (SELECT sample, id, code, code AS cur, 1.0::DOUBLE AS confidence FROM pts)"
     for k in range(s.iterations):
         sql += f""", v{k} AS (SELECT w.sample, w.src, b.cur AS cls, sum(w) AS raw FROM w JOIN s{k} b ON b.sample = w.sample AND b.id = w.dst GROUP BY ALL),
 t{k} AS (SELECT sample, src, sum(raw) AS tw FROM v{k} GROUP BY ALL),
@@ -122,6 +129,19 @@ _vote("q_vote_weighted3", graph.VoteSettings())
 _vote("q_vote_loose", LOOSE)
 
 
+@query("q_vote_automatic", sweeps_sql(graph.VoteSettings(), fields.EMB_CLASSES, automatic_edges_sql(fields.EMB, DIMS, fields.EMB_CLASSES)))
+def q_vote_automatic(spark, d):
+    """The iterated vote with its defaults, the number of neighbours among them."""
+    done, _ = graph.refine(fields.embeddings(spark, d), DIMS, fields.EMB_CLASSES)
+    return rounded(done, "confidence").select("sample", "id", "code", "refined", "confidence")
+
+
+@query("q_modal_automatic", f"WITH {automatic_edges_sql(fields.CUST, 2, 5)}, {MODAL}")
+def q_modal_automatic(spark, d):
+    """The modal label of each specimen's automatic number of neighbours."""
+    return graph.modal_labels(nearest_lists(fields.customers(spark, d), 2, None, carry="code", lists=("vote",), classes=5))
+
+
 _SWEEPS = " UNION ALL ".join(f"SELECT {k + 1} AS sweep, count(*) AS changes FROM s{k} a JOIN s{k + 1} b ON a.sample = b.sample AND a.id = b.id AND a.cur <> b.cur" for k in range(LOOSE.iterations))
 
 

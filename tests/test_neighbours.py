@@ -5,7 +5,7 @@ import pytest
 
 from fieldmend import session
 from fieldmend.operators import knn
-from fieldmend.operators.graph import modal
+from fieldmend.operators.graph import modal, refine
 from fieldmend.operators.knn import nearest
 from fieldmend.operators.repair import repair
 
@@ -72,3 +72,23 @@ def test_specimens_do_not_touch_each_other(spark):
     both = {(r["sample"], r["id"]): r["refined"] for r in repair(spark.createDataFrame(rows, SCHEMA), 2, 3).collect()}
     alone = {(r["sample"], r["id"]): r["refined"] for s in "pq" for r in repair(spark.createDataFrame([x for x in rows if x[0] == s], SCHEMA), 2, 3).collect()}
     assert both == alone
+
+
+@pytest.mark.parametrize("classes", [2, 5, 9, 40])
+def test_automatic_number_of_neighbours(spark, classes):
+    """Each specimen has its own number, and one place may hold more points than that."""
+    rng = np.random.default_rng(8)
+    rows = [(s, i, *map(float, p), 1) for s, n in (("a", 2), ("b", 20), ("c", 700)) for i, p in enumerate(np.round(rng.random((n, 2)), 1))]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), 2, None, classes=classes).groupBy("sample", "src").count().collect()
+    for s, n in (("a", 2), ("b", 20), ("c", 700)):
+        assert [r["count"] for r in got if r["sample"] == s] == [min(n - 1, knn.automatic_k(n, classes))] * n
+
+
+def test_refine_at_its_bounds(spark):
+    """Two points raise, one class changes nothing, and no points give none."""
+    points = spark.createDataFrame([("a", i, float(i), 0.0, 1) for i in range(2)], SCHEMA)
+    with pytest.raises(ValueError, match="three at least"):
+        refine(points, 2, 2)
+    done, changes = refine(points, 2, 1)
+    assert changes == [] and all(r["refined"] == r["code"] and r["confidence"] == 1.0 for r in done.collect())
+    assert refine(points.where("id < 0"), 2, 2)[0].count() == 0
