@@ -145,7 +145,7 @@ def q_modal_automatic(spark, d):
 _SWEEPS = " UNION ALL ".join(f"SELECT {k + 1} AS sweep, count(*) AS changes FROM s{k} a JOIN s{k + 1} b ON a.sample = b.sample AND a.id = b.id AND a.cur <> b.cur" for k in range(LOOSE.iterations))
 
 
-@query("q_vote_changes", sweeps_sql(LOOSE, fields.EMB_CLASSES).rsplit(" SELECT sample, id, code", 1)[0] + f" SELECT CAST(sweep AS INTEGER) AS sweep, changes FROM ({_SWEEPS}) WHERE sweep = 1 OR changes > 0 OR (sweep = 2)")
+@query("q_vote_changes", sweeps_sql(LOOSE, fields.EMB_CLASSES).rsplit(" SELECT sample, id, code", 1)[0] + f" SELECT CAST(sweep AS INTEGER) AS sweep, changes FROM ({_SWEEPS}) QUALIFY coalesce(min(changes) OVER (ORDER BY sweep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) > 0")
 def q_vote_changes(spark, d):
     """How many labels each sweep of the iterated vote changes."""
     p, e = emb(spark, d)
