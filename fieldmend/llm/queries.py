@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, linededup, packing, pii, quality, tokenfile, toxicity, warc
+from . import decontaminate, filteraudit, fingerprint, jaccard, langid, linededup, packing, periodic, pii, quality, tokenfile, toxicity, warc
 from .common import table
 
 
@@ -77,9 +77,30 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents")), least=6, times=4)
+    # The longest run; of equally long ones the first, then the shortest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(each, "").alias("listed"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), folds=3, held=1)
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other half of op10: classes of documents that are at most a tenth apart, by banded fingerprints and edits."""
     return fingerprint.near_copy_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_fingerprint": op10_fingerprint, "near_copies": near_copies}
+QUERIES = {"op1_packing": op1_packing, "op2_pii": op2_pii, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_jaccard": op8_jaccard, "op9_toxicity": op9_toxicity, "op10_fingerprint": op10_fingerprint, "op11_periodic": op11_periodic, "op12_filter_audit": op12_filter_audit, "op13_language": op13_language, "near_copies": near_copies}

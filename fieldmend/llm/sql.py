@@ -121,4 +121,31 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
 """
 
-SQL = {"op8_jaccard": OP8, "op4_warc": OP4, "op6_line_dedup": OP6, "op2_pii": OP2, "op5_decontaminate": OP5}
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+flags AS (SELECT part, len(w) < 200 AS fa, 100 * len(list_distinct(w)) < 50 * len(w) AS fb,
+                 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS fc, regexp_matches(t, '[#$%&*|]') AS fd,
+                 coalesce(doc_id > first_id, false) AS fe, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+          FROM d JOIN firsts USING (t) LEFT JOIN lab USING (doc_id)),
+names AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM names a, names b, names c, names d, names e
+           WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+met AS (SELECT flags.*, filter_order, fa::INT + fb::INT + fc::INT + fd::INT + fe::INT AS n_fail,
+               least(CASE WHEN fa THEN instr(filter_order, 'A') ELSE 6 END, CASE WHEN fb THEN instr(filter_order, 'B') ELSE 6 END,
+                     CASE WHEN fc THEN instr(filter_order, 'C') ELSE 6 END, CASE WHEN fd THEN instr(filter_order, 'D') ELSE 6 END,
+                     CASE WHEN fe THEN instr(filter_order, 'E') ELSE 6 END) AS first_step FROM flags, orders),
+steps AS (SELECT met.*, step, substr(filter_order, step, 1) AS f,
+                 CASE substr(filter_order, step, 1) WHEN 'A' THEN fa WHEN 'B' THEN fb WHEN 'C' THEN fc WHEN 'D' THEN fd ELSE fe END AS fails
+          FROM met, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+counted AS (SELECT part, filter_order, step, f, count(*) FILTER (first_step > step) AS kept, count(*) FILTER (first_step = step) AS removed,
+                   count(*) FILTER (fails AND first_step < step) AS redundant, count(*) FILTER (fails AND n_fail = 1) AS unique_fails,
+                   count(*) FILTER (first_step = step AND good = 1) AS good_lost, count(*) FILTER (first_step = step AND toxic = 1) AS toxic_lost
+            FROM steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+SQL = {"op12_filter_audit": OP12, "op8_jaccard": OP8, "op4_warc": OP4, "op6_line_dedup": OP6, "op2_pii": OP2, "op5_decontaminate": OP5}
