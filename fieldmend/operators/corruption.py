@@ -6,20 +6,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmend.functions.geometry import axes
 from fieldmend.functions.rng import pick, uniform
 from fieldmend.operators import masks
-from fieldmend.operators.sampling import ranked
-from fieldmend.session import cut
+from fieldmend.operators.sampling import first_of_groups, ranked
+from fieldmend.session import cut, small
 
 INFEASIBLE = "The requested corruption cannot retain one uncorrupted exemplar of every true class within each specimen. Reduce the corruption rate."
 
 
 def anchors(points: DataFrame, proximity: str | None = None) -> DataFrame:
     """points (sample, id, truth) with anchor: of each specimen and class the point farthest from a boundary, the first
-    of equals."""
+    of equals. It is found by partial aggregates and joined by its id, so that no class is in one task."""
     far = F.col(proximity) if proximity else F.lit(0.0)
-    over = Window.partitionBy("sample", "truth").orderBy(far.desc(), "id")
-    return points.withColumn("anchor", F.row_number().over(over) == 1)
+    found = points.groupBy("sample", "truth").agg(F.min_by("id", F.struct(-far, "id")).alias("id"))
+    return points.join(small(found.select("sample", "id", F.lit(True).alias("anchor")))[0], ["sample", "id"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
 
 
 def check_anchors(points: DataFrame, label: str = "label") -> DataFrame:
@@ -32,28 +33,40 @@ def require_anchors(points: DataFrame, context: str, label: str = "label") -> No
         raise ValueError(f"{context} does not retain one correct label of every class within each specimen")
 
 
-def select_preserving(points: DataFrame, count: int, order: list[Column], proximity: str | None = None, eligible: Column | None = None) -> DataFrame:
-    """points with selected: the first `count` in an order. A group (specimen and class) that is selected as a whole
-    gives its anchor back; as many of the next points take their place as leave each group one."""
-    may = F.lit(True) if eligible is None else eligible
-    placed = ranked(anchors(points, proximity).withColumn("fm_may", may), F.desc("fm_may"), *order, out="fm_rank")
-    group = Window.partitionBy("sample", "truth")
-    first = F.col("fm_may") & (F.col("fm_rank") <= count)
-    placed = placed.withColumn("fm_first", first).withColumns({"fm_in": F.count_if("fm_first").over(group), "fm_all": F.count(F.lit(1)).over(group)})
-    placed = placed.withColumn("fm_back", F.col("anchor") & F.col("fm_first") & (F.col("fm_in") == F.col("fm_all")))
-    rest = Window.partitionBy("sample", "truth", "fm_first").orderBy("fm_rank")
-    spare = F.col("fm_may") & ~F.col("fm_first") & (F.row_number().over(rest) <= F.col("fm_all") - F.col("fm_in") - 1)
-    placed = cut(placed.withColumn("fm_spare", spare))
-    sums = placed.agg(F.count_if("fm_back").alias("back"), F.count_if("fm_spare").alias("spare"), F.count_if("fm_first").alias("first")).first()
-    if sums.first < count or sums.spare < sums.back:
+def select_preserving(
+    points: DataFrame, count: int | Column, order: list[Column], proximity: str | None = None, eligible: Column | None = None, by: list[str] | None = None
+) -> DataFrame:
+    """points with anchor and selected: the first `count` in an order, of each scenario if `by` names its columns. A group (specimen
+    and class) that is selected as a whole gives its anchor back; as many of the next points take their place as leave
+    each group one. All scenarios are worked out together: one sort by ranges places all rows, one aggregate tells what each
+    group gives back, and only points close behind the last one selected are looked at for the exchange."""
+    by = list(by or [])
+    group = [*by, "sample", "truth"]
+    far = F.col(proximity) if proximity else F.lit(0.0)
+    marked = points.withColumns({"fm_may": F.lit(True) if eligible is None else eligible, "fm_count": count if isinstance(count, Column) else F.lit(count), "fm_far": far})
+    placed = ranked(marked, F.desc("fm_may"), *order, by=by, out="fm_rank").withColumn("fm_first", F.col("fm_may") & (F.col("fm_rank") <= F.col("fm_count")))
+    open_ = F.when(~F.col("fm_first"), F.col("fm_rank"))
+    groups = placed.groupBy(*group).agg(
+        F.min_by("id", F.struct(-F.col("fm_far"), "id")).alias("fm_anchor"), F.count_if("fm_first").alias("fm_in"), F.count(F.lit(1)).alias("fm_all"),
+        F.max(open_).alias("fm_last"), F.count_if(F.col("fm_may") & ~F.col("fm_first")).alias("fm_rest"), F.max("fm_count").alias("fm_count"),
+    )
+    groups = cut(groups)
+    whole = F.col("fm_in") == F.col("fm_all")
+    spare = F.greatest(F.least("fm_rest", F.col("fm_all") - F.col("fm_in") - 1), F.lit(0))
+    totals = groups.groupBy(*by).agg(F.sum("fm_in").alias("fm_taken"), F.count_if(whole).alias("fm_back"), F.sum(spare).alias("fm_spare"), F.max("fm_count").alias("fm_want"), F.count(F.lit(1)).alias("fm_groups"))
+    totals, _ = small(totals)
+    if totals.where("fm_taken < fm_want or fm_spare < fm_back").limit(1).count():
         raise ValueError(INFEASIBLE)
-    if sums.back:
-        taken = placed.where("fm_spare").orderBy("fm_rank").limit(sums.back).select("sample", "id", F.lit(True).alias("fm_taken"))  # a row per group at most
-        placed = placed.join(F.broadcast(taken), ["sample", "id"], "left")
-    else:
-        placed = placed.withColumn("fm_taken", F.lit(None).cast("boolean"))
-    chosen = (F.col("fm_first") & ~F.col("fm_back")) | F.coalesce("fm_taken", F.lit(False))
-    return placed.withColumn("selected", chosen).select(*points.columns, "anchor", "selected")
+    # Behind the last one selected each group holds back one point, so these hold as many spare ones as are given back.
+    near = placed.where("fm_may and not fm_first").select(*group, "id", "fm_rank")
+    near = (near.join(totals, by) if by else near.crossJoin(totals)).where("fm_back > 0 and fm_rank <= fm_want + fm_back + fm_groups")
+    near = near.join(groups.select(*group, "fm_last"), group).where("fm_rank <> fm_last")
+    near = near.withColumn("fm_row", F.row_number().over(Window.partitionBy(*by).orderBy("fm_rank"))).where("fm_row <= fm_back")
+    changed = near.select(*by, "sample", "id", F.lit(False).alias("fm_is"), F.lit(True).alias("fm_sel"))
+    held = groups.select(*by, "sample", F.col("fm_anchor").alias("id"), F.lit(True).alias("fm_is"), F.when(whole, False).alias("fm_sel"))
+    changed = changed.unionByName(held).groupBy(*by, "sample", "id").agg(F.bool_or("fm_is").alias("anchor"), F.bool_or("fm_sel").alias("fm_sel"))
+    done = placed.join(small(changed)[0], [*by, "sample", "id"], "left")
+    return done.select(*points.columns, F.coalesce("anchor", F.lit(False)).alias("anchor"), F.coalesce("fm_sel", "fm_first").alias("selected"))
 
 
 def other_class(seed: int, stream: str, classes: list[str], current: str, id_: str = "id") -> Column:
@@ -107,8 +120,6 @@ def corrupt_field(points: DataFrame, mechanism: str, noise: float, classes: list
     """points (sample, id, x, y, truth, boundary_proximity) with label and corrupted; exactly floor(noise n) labels
     change. random: anywhere; boundary: nearest to a boundary first; patch: nearest to one of 16 centres, each with its
     class; region: nearest to one centre."""
-    from fieldmend.functions.geometry import axes
-
     n = points.count()
     count = int(noise * n + 1e-9)
     if mechanism not in ("random", "boundary", "patch", "region"):
@@ -133,8 +144,61 @@ def corrupt_field(points: DataFrame, mechanism: str, noise: float, classes: list
 def contaminate(points: DataFrame, share: float, minority: dict[str, str], area: str = "area", seed: int = 1) -> DataFrame:
     """points with label: of each specimen and area exactly round(share n) points (half to even) get the area's
     minority class."""
-    order = Window.partitionBy("sample", area).orderBy(uniform(seed, "minority", "id"), "id")
-    size = Window.partitionBy("sample", area)
     pairs = F.create_map(*(F.lit(x) for kv in minority.items() for x in kv))
-    hit = F.row_number().over(order) <= F.bround(share * F.count(F.lit(1)).over(size))
-    return points.withColumn("fm_hit", hit).withColumn("label", F.when(F.col("fm_hit"), F.element_at(pairs, F.col(area).cast("string"))).otherwise(F.col("truth"))).drop("fm_hit")
+    hit = first_of_groups(points, ["sample", area], uniform(seed, "minority", "id"), F.bround(share * F.col("fm_n")), out="fm_hit")
+    return hit.withColumn("label", F.when(F.col("fm_hit"), F.element_at(pairs, F.col(area).cast("string"))).otherwise(F.col("truth"))).drop("fm_hit")
+
+
+#: The recipe of sixty scenarios: shares of labels that change, mechanisms, replicates (fixed values), and centres of patches.
+NOISE, MECHANISMS, REPLICATES, PATCHES = (0.05, 0.10, 0.15, 0.25, 0.40), ("random", "boundary", "patch", "region"), 3, 16
+
+
+def scenario_design(spark) -> DataFrame:
+    """scenario (from 1), scenario_id, mechanism, noise and replicate of the recipe's sixty scenarios."""
+    rows = [(m, e, r) for e in NOISE for m in MECHANISMS for r in range(1, REPLICATES + 1)]
+    named = [(k, f"{m}_{round(100 * e):02d}_r{r}", m, e, r) for k, (m, e, r) in enumerate(rows, 1)]
+    return spark.createDataFrame(named, "scenario int, scenario_id string, mechanism string, noise double, replicate int")
+
+
+def corrupt_scenarios(points: DataFrame, design: DataFrame, classes: list[int], dims: int, seed: int = 1040000) -> DataFrame:
+    """scenario, sample, id, truth and label of each point of each scenario of a design (scenario, mechanism, noise; some hundred
+    rows). points: sample, id, coordinates, truth, boundary (whether it lies at one) and adjacent (another class close by).
+    min(n - 1, round(noise n)) labels change (half to even), each class of each specimen keeps its anchor. random: anywhere, to any other
+    class; boundary: points at boundaries first, to the adjacent class; patch: points nearest to one of 16 centres first, to the
+    class adjacent to that centre, or to their own adjacent one where that is theirs; region: the same with one centre.
+
+    All scenarios are one plan, keyed by scenario: points are crossed with the design, which is broadcast, so the number
+    of jobs doesn't depend on the number of scenarios. Centres are the first points in a hashed order, 16 for each scenario."""
+    names = axes(dims)
+    planned = design.select("scenario", "mechanism", "noise").withColumn("fm_slot", F.row_number().over(Window.orderBy("scenario")) - 1)  # some hundred rows
+    planned, rows = small(planned)
+    if rows is None:
+        raise ValueError("a design has 20,000 scenarios at most")
+    ends = points.agg(F.count(F.lit(1)).alias("fm_n"), *(f(a).alias(f"fm_{p}{a}") for a in names for p, f in (("lo", F.min), ("hi", F.max))))
+    ends = small(ends)[0]
+    scaled = points.crossJoin(ends)  # one row
+    scaled = scaled.select(
+        "sample", "id", "truth", F.col("boundary").alias("fm_edge"), F.col("adjacent").alias("fm_near"), "fm_n", F.when(F.col("boundary"), 0.0).otherwise(1.0).alias("fm_depth"),
+        *(((F.col(a) - F.col(f"fm_lo{a}")) / F.greatest(F.col(f"fm_hi{a}") - F.col(f"fm_lo{a}"), F.lit(2.220446049250313e-16))).alias(f"fm_{a}") for a in names),
+    )
+    scaled = cut(scaled)
+    first = scaled.orderBy(uniform(seed, "centre", "id"), "id").limit(PATCHES * len(rows)).select(F.struct(*(f"fm_{a}" for a in names), F.col("fm_near").alias("near")).alias("c"), uniform(seed, "centre", "id").alias("u"), "id")
+    # At most 16 a scenario; where there are fewer points, scenarios share them.
+    pool = first.agg(F.array_sort(F.collect_list(F.struct("u", "id", "c"))).alias("fm_pool"))
+    k = F.when(F.col("mechanism") == "patch", PATCHES).when(F.col("mechanism") == "region", 1).otherwise(0)
+    place = lambda j: F.get("fm_pool", ((F.col("fm_slot") * PATCHES + j) % F.size("fm_pool")).cast("int"))["c"]
+    centres = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), place))
+    plan = small(planned.crossJoin(pool).select("scenario", "mechanism", "noise", centres.alias("fm_centres")))[0]
+    every = scaled.crossJoin(plan)  # a row per scenario, counted above
+    d2 = lambda c: sum(((F.col(f"fm_{a}") - c[f"fm_{a}"]) * (F.col(f"fm_{a}") - c[f"fm_{a}"]) for a in names), F.lit(0.0))
+    nearest = F.array_min(F.transform("fm_centres", lambda c, j: F.struct(d2(c).alias("d2"), j.alias("j"), c["near"].alias("near"))))
+    every = every.withColumn("fm_owner", nearest)
+    draw = uniform(seed, "order", "scenario", "id")
+    key = F.when(F.col("mechanism") == "random", draw).when(F.col("mechanism") == "boundary", F.when(F.col("fm_edge"), draw).otherwise(1 + draw)).otherwise(F.col("fm_owner.d2"))
+    every = every.select("scenario", "sample", "id", "truth", "mechanism", "noise", "fm_n", "fm_near", "fm_depth", key.alias("fm_key"), F.col("fm_owner.near").alias("fm_target"))
+    count = F.least(F.col("fm_n") - 1, F.bround(F.col("noise") * F.col("fm_n")).cast("long"))
+    done = select_preserving(every, count, [F.col("fm_key"), F.col("id")], "fm_depth", by=["scenario"])
+    others = F.array_except(F.array(*map(F.lit, classes)), F.array("truth"))
+    anywhere = F.element_at(others, pick(seed, "other", F.size(others), "scenario", "id") + 1)
+    new = F.when(F.col("mechanism") == "random", anywhere).when((F.col("mechanism") == "boundary") | (F.col("fm_target") == F.col("truth")), F.col("fm_near")).otherwise(F.col("fm_target"))
+    return done.select("scenario", "sample", "id", "truth", F.when(F.col("selected"), new).otherwise(F.col("truth")).alias("label"))

@@ -76,10 +76,21 @@ def run_benchmark(fields: SpatialBenchmark | list[SpatialBenchmark], methods: di
     return reduce(DataFrame.unionByName, rows)
 
 
-def design(spark, **factors: list) -> DataFrame:
-    """The full grid of factors with scenario_id, numbered by the order of the factors."""
+def design(spark, **factors: list | DataFrame) -> DataFrame:
+    """The full grid of factors with scenario_id, numbered by the order of the factors. A factor is a list of values, or a column
+    whose levels are its values, ascending; a design has 20,000 rows per factor at most."""
     from pyspark.sql import Window
 
-    frames = [spark.createDataFrame([(v, i) for i, v in enumerate(values)], [name, f"fm_{name}"]) for name, values in factors.items()]
+    from fieldmend.session import small
+
+    frames = []
+    for name, values in factors.items():
+        if isinstance(values, DataFrame):
+            levels, rows = small(values.select(F.col(values.columns[0]).alias(name)).distinct().where(F.col(name).isNotNull()))
+            if rows is None:
+                raise ValueError(f"the factor {name} has too many levels")
+            frames.append(levels.withColumn(f"fm_{name}", F.col(name)))
+        else:
+            frames.append(spark.createDataFrame([(v, i) for i, v in enumerate(values)], [name, f"fm_{name}"]))
     grid = reduce(DataFrame.crossJoin, frames)  # a few values each
     return grid.withColumn("scenario_id", F.row_number().over(Window.orderBy(*(f"fm_{n}" for n in factors)))).drop(*(f"fm_{n}" for n in factors))

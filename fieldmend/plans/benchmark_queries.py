@@ -9,7 +9,7 @@ from fieldmend.operators.knn import nearest, nearest_lists
 from fieldmend.plans import fields
 from fieldmend.plans.benchmark import design, run_benchmark
 from fieldmend.plans.graph_queries import EMB_E, MODAL
-from fieldmend.plans.registry import query, rounded
+from fieldmend.plans.registry import query, rounded, table
 from fieldmend.sources.points import SpatialBenchmark
 
 
@@ -39,10 +39,12 @@ def q_benchmark_table(spark, d):
 
 @query(
     "q_design_grid",
-    "SELECT pattern, noise, rep, CAST(row_number() OVER (ORDER BY p, n, r) AS INTEGER) AS scenario_id FROM (VALUES ('rings', 0), ('spiral', 1), ('lobes', 2)) a(pattern, p), (VALUES (0.1::DOUBLE, 0), (0.25::DOUBLE, 1)) b(noise, n), (VALUES (1::BIGINT, 0), (2::BIGINT, 1), (3::BIGINT, 2)) c(rep, r)",
+    """SELECT segment, status, rep, CAST(row_number() OVER (ORDER BY segment, status, rep) AS INTEGER) AS scenario_id
+FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer), (SELECT DISTINCT o_orderstatus AS status FROM orders), (VALUES (1::BIGINT), (2::BIGINT), (3::BIGINT)) c(rep)""",
 )
 def q_design_grid(spark, d):
-    return design(spark, pattern=["rings", "spiral", "lobes"], noise=[0.1, 0.25], rep=[1, 2, 3])
+    """The grid of the levels of two columns and three replicates."""
+    return design(spark, segment=table(spark, d, "customer").select("c_mktsegment"), status=table(spark, d, "orders").select("o_orderstatus"), rep=[1, 2, 3])
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmend.functions.rng import pick, uniform
-from fieldmend.operators import expansion, graph, masks, metrics, tiles
+from fieldmend.operators import graph, masks, metrics, tiles
 from fieldmend.operators.knn import nearest, nearest_lists, undirected
 from fieldmend.plans import fields
 from fieldmend.plans.registry import query, rounded, table
@@ -169,12 +169,6 @@ def q_potts_energy(spark, d):
     return graph.potts_energy(graph.modal(p, e), undirected(e), "refined")
 
 
-@query("q_alpha_expansion")
-def q_alpha_expansion(spark, d):
-    p = fields.embeddings(spark, d)
-    return expansion.alpha_expansion(p, undirected(nearest(p, DIMS, 8)))
-
-
 BOX = "box AS (SELECT sample, min(x) AS lx, min(y) AS ly, max(x) - min(x) AS sx, max(y) - min(y) AS sy FROM pts GROUP BY sample)"
 TILES = f"""WITH pts AS ({fields.ORD}), {BOX},
 t AS (SELECT sample, i, j, lx + i * (sx / 3) AS x0, lx + (i + 1) * (sx / 3) AS x1, ly + j * (sy / 2) AS y0, ly + (j + 1) * (sy / 2) AS y1, sx / 3 AS wx, sy / 2 AS wy FROM box, range(3) a(i), range(2) b(j)),

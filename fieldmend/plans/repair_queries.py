@@ -8,7 +8,7 @@ from fieldmend.functions import geometry as G
 from fieldmend.operators import repair as R
 from fieldmend.plans import fields
 from fieldmend.plans.registry import query, rounded
-from fieldmend.sources.points import available_benchmarks
+from fieldmend.sources.points import catalogue
 
 A = {2: ("x", "y"), 3: ("x", "y", "z")}
 
@@ -134,9 +134,14 @@ def _field(spark, d):
     return R.enclosure(R.path_place(scaled, whole), fields.EMB_CLASSES, whole)
 
 
-@query("q_catalog", "SELECT * FROM (VALUES ('dlpfc', true, 47329, 7, 45), ('merfish', false, 28317, 8, 45), ('crc', true, 194541, 19, 60)) t(dataset, included, observations, classes, scenarios)")
+@query(
+    "q_catalog",
+    f"""SELECT dataset, true AS included, CAST(count(*) AS INTEGER) AS observations, CAST(count(DISTINCT code) AS INTEGER) AS classes, 60 AS scenarios
+FROM (SELECT 'customers' AS dataset, code FROM ({fields.CUST}) UNION ALL SELECT 'embeddings', code FROM ({fields.EMB}) UNION ALL SELECT 'orders', code FROM ({fields.ORD})) GROUP BY dataset""",
+)
 def q_catalog(spark, d):
-    return available_benchmarks(spark)
+    """The catalogue of the fields over the supplied tables, each of which the recipe of sixty scenarios applies to."""
+    return catalogue({"customers": fields.customers(spark, d), "embeddings": fields.embeddings(spark, d), "orders": fields.orders(spark, d)})
 
 
 @query("q_robust_scale", f"WITH {unit_sql(fields.ORD, 2)} SELECT sample, id, round(ux, 6) + 0.0 AS ux, round(uy, 6) + 0.0 AS uy FROM unit")

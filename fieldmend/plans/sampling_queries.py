@@ -1,4 +1,4 @@
-"""Queries of random draws, sampling, corruption, simulators and paired statistics, with SQL."""
+"""Queries of random draws, sampling, corruption and paired statistics, with SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from fieldmend.operators import corruption, masks, metrics, sampling, simulate, statistics
+from fieldmend.operators import corruption, masks, metrics, sampling, statistics
 from fieldmend.operators.knn import nearest
 from fieldmend.plans import fields
 from fieldmend.plans.graph_queries import FACES, edges_sql, triple, TRIPLE, u_sql
@@ -233,13 +233,13 @@ def q_speedups(spark, d):
 
 
 BOOT = f"""WITH x AS (SELECT id, value, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS size FROM ({SCORES}) WHERE method = 'F'),
-dr AS (SELECT rep, CAST(least(floor({u_sql(4, 'boot', "CAST(rep AS VARCHAR) || '-' || CAST(id AS VARCHAR)")} * size), size - 1) AS BIGINT) AS place FROM x, range(1, 201) t(rep)),
+dr AS (SELECT rep, CAST(least(floor({u_sql(4, 'boot', "CAST(rep AS VARCHAR) || '-' || CAST(id AS VARCHAR)")} * size), size - 1) AS BIGINT) AS place FROM x, range(1, 10001) t(rep)),
 b AS (SELECT rep, avg(value) AS mean FROM dr JOIN x USING (place) GROUP BY rep)"""
 
 
 @query("q_bootstrap_ci", f"{BOOT} SELECT round(quantile_cont(mean, 0.025), 4) AS lower, round(quantile_cont(mean, 0.975), 4) AS upper FROM b")
 def q_bootstrap_ci(spark, d):
-    means = sampling.bootstrap(scores(spark, d).where("method = 'F'"), "value", 200, 4)
+    means = sampling.bootstrap(scores(spark, d).where("method = 'F'"), "value", 10_000, 4)
     return rounded(sampling.percentile_interval(means), "lower", "upper", digits=4)
 
 
@@ -300,92 +300,3 @@ def q_duplicates(spark, d):
     from fieldmend.sources.points import clean_points
 
     return clean_points(fields.parts(spark, d).withColumn("label", F.lit("a")), 2)[1]
-
-
-# Simulators: 2,000 points each.
-N = 2000
-ID = "CAST(id AS BIGINT) AS id"
-TISSUE = f"""p0 AS (SELECT range AS id, ({u_sql(1, 'theta', 'range')} * 2 - 1) * {PI} AS theta FROM range({N})),
-p1 AS (SELECT *, sqrt({u_sql(1, 'radius', 'id')}) * (1 + 0.14 * sin(3 * theta) + 0.07 * cos(5 * theta)) AS radius FROM p0),
-p AS (SELECT *, radius * cos(theta) AS x, 0.82 * radius * sin(theta) AS y FROM p1)"""
-SHIFT = ", ".join(f"round({a} + ({u_sql(1, 'shift.' + a, '0')} * 0.16 - 0.08), 6) AS {a}" for a in "xy")
-
-
-def _tissue(name: str, pattern: str, score: str | None = None, phase: str | None = None):
-    if score:
-        made = f"""q AS (SELECT *, {score} AS score FROM p), c AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS cuts, max(score) - min(score) AS range_ FROM q),
-t AS (SELECT q.*, 1 + len(list_filter(cuts, lambda v: v < score)) AS code, least(0.5, list_min([abs(score - v) for v in cuts]) / (range_ / 5)) AS near FROM q, c)"""
-    else:
-        made = f"q AS (SELECT *, ((({phase}) % {2 * math.pi!r}) + {2 * math.pi!r}) % {2 * math.pi!r} / {2 * math.pi!r} AS ph FROM p), t AS (SELECT *, least(5, CAST(floor(ph * 5) AS INTEGER) + 1) AS code, least((ph * 5) % 1, 1 - (ph * 5) % 1) AS near FROM q)"
-
-    @query(name, f"WITH {TISSUE}, {made} SELECT 'sample1' AS sample, {ID}, {SHIFT}, 'domain' || CAST(code AS INTEGER) AS truth, near <= quantile_cont(near, 0.2) OVER () AS boundary FROM t")
-    def run(spark, d):
-        return rounded(simulate.spatial_domains(spark, N, pattern, noise=0.0), "x", "y").select("sample", "id", "x", "y", "truth", "boundary")
-
-
-_tissue("q_sim_stripes", "jagged_stripes", score=f"x + 0.23 * sin({6 * math.pi!r} * y) + 0.10 * sin({13 * math.pi!r} * y)")
-_tissue("q_sim_wavy", "wavy_layers", score=f"y + 0.30 * sin({2.4 * math.pi!r} * x) - 0.10 * cos({7 * math.pi!r} * x)")
-_tissue("q_sim_rings", "rings", score="radius + 0.055 * sin(9 * theta)")
-_tissue("q_sim_spiral", "spiral", phase=f"theta + 3.8 * radius + {PI}")
-_tissue("q_sim_branching", "branching", phase=f"theta + {PI} + 0.75 * radius * sin(3 * theta)")
-
-CX, CY = (", ".join(repr(4.5 * f(2 * math.pi * i / 5)) for i in range(5)) for f in (math.cos, math.sin))
-
-
-@query(
-    "q_sim_clusters",
-    f"""WITH p AS (SELECT range AS id, CAST(least(floor({u_sql(1, 'class', 'range')} * 5), 4) AS INTEGER) + 1 AS code FROM range({N})),
-q AS (SELECT *, [{CX}][code] + 0.45 * {n_sql(1, 'at.x', 'id')} AS lx, [{CY}][code] + 0.45 * {n_sql(1, 'at.y', 'id')} AS ly FROM p),
-t AS (SELECT *, list_sort([sqrt((lx - [{CX}][k]) ^ 2 + (ly - [{CY}][k]) ^ 2) for k in range(1, 6)]) AS d FROM q)
-SELECT 'sample1' AS sample, {ID}, round(lx + {u_sql(1, 'shift.x', '0')} * 2 - 1, 6) AS x, round(ly + {u_sql(1, 'shift.y', '0')} * 2 - 1, 6) AS y, 'cluster' || code AS truth, round(d[2] - d[1], 6) AS boundary_proximity FROM t""",
-)
-def q_sim_clusters(spark, d):
-    return rounded(simulate.spatial_clusters(spark, N, noise=0.0), "x", "y", "boundary_proximity").select("sample", "id", "x", "y", "truth", "boundary_proximity")
-
-
-@query(
-    "q_sim_gradient",
-    f"""WITH p AS (SELECT range AS id, {u_sql(1, 'x', 'range')} AS x, {u_sql(1, 'y', 'range')} AS y FROM range({N})),
-q AS (SELECT *, y + 0.04 * sin({2 * math.pi!r} * x + {2 * math.pi!r} * {u_sql(1, 'phase', '0')}) AS score FROM p), c AS (SELECT quantile_cont(score, [0.25, 0.5, 0.75]) AS cuts FROM q),
-t AS (SELECT *, 1 + len(list_filter(cuts, lambda v: v <= score)) AS area FROM q, c),
-r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY {u_sql(1, 'minority', 'id')}, id) <= round_even(0.05 * count(*) OVER (PARTITION BY area), 0) AS hit FROM t)
-SELECT 'sample1' AS sample, {ID}, round(x, 6) AS x, round(y, 6) AS y, ['A', 'B', 'B', 'C'][area] AS truth, 'area' || area AS region, CASE WHEN hit THEN ['B', 'A', 'C', 'B'][area] ELSE ['A', 'B', 'B', 'C'][area] END AS label, hit AS corrupted FROM r""",
-)
-def q_sim_gradient(spark, d):
-    return rounded(simulate.gradient_regions(spark, N), "x", "y").select("sample", "id", "x", "y", "truth", "region", "label", "corrupted")
-
-
-VX, VY = ([c[i] for c in simulate.MOSAIC_CENTRES] for i in (0, 1))
-
-
-@query(
-    "q_sim_voronoi",
-    f"""WITH p AS (SELECT range AS id, sqrt({u_sql(1, 'r', 'range')}) * cos({2 * math.pi!r} * {u_sql(1, 't', 'range')}) AS x, 0.88 * sqrt({u_sql(1, 'r', 'range')}) * sin({2 * math.pi!r} * {u_sql(1, 't', 'range')}) AS y FROM range({N})),
-q AS (SELECT *, [(x - {VX}[k]) ^ 2 + (y - {VY}[k]) ^ 2 for k in range(1, 6)] AS d FROM p) SELECT 'sample1' AS sample, {ID}, round(x, 6) AS x, round(y, 6) AS y, 'domain' || list_position(d, list_min(d)) AS truth FROM q""",
-)
-def q_sim_voronoi(spark, d):
-    return rounded(simulate.complex_domains(spark, N, "voronoi_mosaic", noise=0.0), "x", "y").select("sample", "id", "x", "y", "truth")
-
-
-@query("q_sim_shells3d")
-def q_sim_shells3d(spark, d):
-    return simulate.complex_domains(spark, N, "shells_3d", noise=0.2)
-
-
-BALL = f"""b0 AS (SELECT range AS i, {u_sql(1, 'x', 'range')} * 2 - 1 AS x, {u_sql(1, 'y', 'range')} * 2 - 1 AS y, {u_sql(1, 'z', 'range')} * 2 - 1 AS z FROM range({int(2.8 * N) + 4000})),
-p AS (SELECT row_number() OVER (ORDER BY i) - 1 AS id, x, y, z FROM b0 WHERE x ^ 2 + (y / 0.96) ^ 2 + (z / 0.92) ^ 2 <= 1 QUALIFY row_number() OVER (ORDER BY i) <= {N})"""
-PHASES = [2 * math.pi * i / 4 for i in range(4)]
-
-
-@query(
-    "q_sim_helical",
-    f"""WITH {BALL}, q AS (SELECT *, [sqrt((0.44 * (0.85 - 0.10 * z * z) * cos({2.4 * math.pi!r} * z + ph) - x) ^ 2 + (0.44 * (0.85 - 0.10 * z * z) * sin({2.4 * math.pi!r} * z + ph) - y) ^ 2) for ph in {PHASES}] AS d FROM p)
-SELECT 'sample1' AS sample, {ID}, 'domain' || CASE WHEN list_min(d) < 0.125 THEN list_position(d, list_min(d)) + 1 ELSE 1 END AS truth, round(abs(list_min(d) - 0.125), 6) AS boundary_proximity FROM q""",
-)
-def q_sim_helical(spark, d):
-    return rounded(simulate.volumetric_domains(spark, N, "helical_channels", noise=0.0), "boundary_proximity").select("sample", "id", "truth", "boundary_proximity")
-
-
-@query("q_sim_shells_volume")
-def q_sim_shells_volume(spark, d):
-    return simulate.volumetric_domains(spark, N, "Concentric shells", "irregular_z", "boundary", 0.2, samples=2)

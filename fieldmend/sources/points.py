@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,34 +70,49 @@ class SpatialBenchmark:
         return cls(frame, dims, name, dict(metadata or {}))
 
 
-#: The known benchmark fields (fixed values): dataset, whether it is included, observations, classes, scenarios.
-CATALOG = [
-    ("dlpfc", True, 47329, 7, 45),
-    ("merfish", False, 28317, 8, 45),
-    ("crc", True, 194541, 19, 60),
-]
-CATALOG_SCHEMA = "dataset string, included boolean, observations int, classes int, scenarios int"
+#: Names that a stored field also goes by.
 ALIASES = {"colorectal": "crc"}
 
 
-def available_benchmarks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, CATALOG_SCHEMA)
+def catalogue(fields: dict[str, DataFrame], scenarios: int = 60) -> DataFrame:
+    """A row per field (code): dataset, included, observations, classes and the scenarios of its recipe; one pass over each."""
+    rows = [f.select(F.lit(name).alias("dataset"), "code") for name, f in fields.items()]
+    each = reduce(DataFrame.unionByName, rows).groupBy("dataset", "code").agg(F.count(F.lit(1)).alias("n")).groupBy("dataset")
+    return each.agg(F.lit(True).alias("included"), F.sum("n").cast("int").alias("observations"), F.count("code").cast("int").alias("classes"), F.lit(scenarios).alias("scenarios"))
+
+
+def store_benchmark(folder: str, name: str, points: DataFrame, design: DataFrame, scenarios: DataFrame) -> None:
+    """Writes a field: points (sample, id, coordinates, truth ..), the design (scenario, scenario_id ..) and its scenarios. These are either
+    long (scenario, sample, id, label) or wide: sample, id and a column of labels for each number of a scenario, s1, s2 .. The
+    labels are written one folder per scenario, in files by ranges of scenario and id, so that a task writes a few files and
+    a scenario is read without the others."""
+    place = f"{folder}/{ALIASES.get(name, name)}"
+    points.write.mode("overwrite").parquet(f"{place}/points")
+    design.coalesce(1).write.mode("overwrite").parquet(f"{place}/design")
+    if "scenario" not in scenarios.columns:
+        wide = [c for c in scenarios.columns if c not in ("sample", "id")]
+        scenarios = scenarios.unpivot(["sample", "id"], wide, "scenario", "label").withColumn("scenario", F.substring("scenario", 2, 9).cast("int"))
+    long = scenarios.select("scenario", "sample", "id", "label").repartitionByRange("scenario", "id")
+    long.write.mode("overwrite").partitionBy("scenario").parquet(f"{place}/scenarios")
 
 
 def load_benchmark(spark: SparkSession, folder: str, name: str, scenario: int | str = 1) -> DataFrame:
-    """A stored benchmark field: <folder>/<name>/points and <folder>/<name>/scenarios (long: scenario, scenario_id, id,
-    label), the latter partitioned by scenario so that one is read alone."""
-    name = ALIASES.get(name, name)
-    known = {c[0]: c[1] for c in CATALOG}
-    if name not in known:
-        raise ValueError(f"Unknown benchmark `{name}`")
-    if not known[name]:
-        raise ValueError(f"Benchmark `{name}` is not bundled")
+    """The points of a stored field with the labels of one scenario, by its number or its scenario_id. Only this scenario's folder is
+    read. A field or scenario that isn't there raises, as does one that leaves a class without a correct label."""
+    place = f"{folder}/{ALIASES.get(name, name)}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/points")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise ValueError(f"no field {name} is stored here")
     key = "scenario" if isinstance(scenario, int) else "scenario_id"
-    wanted = spark.read.parquet(f"{folder}/{name}/scenarios").where(F.col(key) == scenario)
-    if wanted.isEmpty():
-        raise ValueError(f"Unknown {name} benchmark scenario `{scenario}`")
-    return spark.read.parquet(f"{folder}/{name}/points").join(wanted.select("id", "label"), "id")
+    found = spark.read.parquet(f"{place}/design").where(F.col(key) == scenario).select("scenario").first()
+    if found is None:
+        raise ValueError(f"{name} has no scenario {scenario}")
+    wanted = spark.read.parquet(f"{place}/scenarios").where(F.col("scenario") == found.scenario).select("sample", "id", "label")
+    loaded = spark.read.parquet(f"{place}/points").join(wanted, ["sample", "id"])
+    from fieldmend.operators.corruption import require_anchors
+
+    require_anchors(loaded, f"scenario {scenario} of {name}")
+    return loaded
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

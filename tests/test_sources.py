@@ -10,6 +10,11 @@ ROWS = [("a", i, float(i % 7), float(i), "left" if i < 10 else "right", "left" i
 SCHEMA = "sample string, id long, x double, y double, truth string, label string, boundary_proximity double"
 
 
+def test_text_sink_cuts_blanks(spark, tmp_path):
+    points.write_table(spark.createDataFrame([("a  ",), (" b",), ("",)], "line string"), f"{tmp_path}/p.txt")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/p.txt").collect()) == ["", " b", "a"]
+
+
 @pytest.mark.parametrize("kind", ["csv", "parquet", "json", "orc"])
 def test_written_tables_are_read_back(spark, tmp_path, kind):
     frame = spark.createDataFrame(ROWS, SCHEMA)
@@ -18,18 +23,6 @@ def test_written_tables_are_read_back(spark, tmp_path, kind):
     assert sorted(map(tuple, back.select(*frame.columns).collect())) == sorted(ROWS)
 
 
-def test_stored_fields_by_name_and_scenario(spark, tmp_path):
-    frame = spark.createDataFrame(ROWS, SCHEMA)
-    frame.drop("label").write.parquet(f"{tmp_path}/crc/points")
-    stored = [frame.select(F.lit(k).alias("scenario"), F.lit(f"s{k}").alias("scenario_id"), "id", F.lit(f"l{k}").alias("label")) for k in (1, 2)]
-    stored[0].union(stored[1]).write.partitionBy("scenario").parquet(f"{tmp_path}/crc/scenarios")
-    assert {r.label for r in points.load_benchmark(spark, str(tmp_path), "colorectal", 2).collect()} == {"l2"}
-    assert points.load_benchmark(spark, str(tmp_path), "crc", "s1").count() == 20
-    for name, scenario in (("nowhere", 1), ("merfish", 1), ("crc", 9)):
-        with pytest.raises(ValueError):
-            points.load_benchmark(spark, str(tmp_path), name, scenario)
-
-
 def test_benchmark_takes_aliases_and_derives_the_boundary(spark):
     frame = spark.createDataFrame(ROWS, SCHEMA).drop("sample").withColumn("area", F.lit("u")).withColumn("sparse_layer", F.lit(True))
     field = points.SpatialBenchmark.of(frame, 2)
