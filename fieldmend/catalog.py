@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmend.plans import benchmark_queries, graph_queries, registry, repair_queries, sampling_queries, scenario_queries  # noqa: F401
+from fieldmend.plans import benchmark_queries, graph_queries, level_queries, registry, repair_queries, sampling_queries, scenario_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

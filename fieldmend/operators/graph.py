@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmend.operators.knn import nearest
+from fieldmend.operators.knn import nearest_lists
 from fieldmend.session import cut
 
 
@@ -82,51 +84,80 @@ KNN_VOTE = VoteSettings(1, 0.5, 0.0, 0.0, False, 1.0)
 POTTS_LIKE = VoteSettings(8, 0.56, 0.35, 0.10, False)
 
 
-def vote_sweep(state: DataFrame, edges: DataFrame, s: VoteSettings) -> DataFrame:
-    """One sweep: all points vote on the labels as they were. state: sample, id, current; edges with w. Adds
-    confidence and next."""
-    votes = edges.join(state.select("sample", F.col("id").alias("dst"), F.col("current").alias("vote")), ["sample", "dst"])
-    sums = votes.groupBy("sample", "src", "vote").agg(F.sum("w").alias("v"))
-    per = sums.groupBy("sample", F.col("src").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("vote", "v"))).alias("votes"), F.sum("v").alias("weight"))
-    joined = state.join(per, ["sample", "id"], "left")
-    held = F.coalesce(F.try_element_at("votes", F.col("current")), F.lit(0.0))
-    joined = joined.withColumn("held", held).withColumn("own", F.col("held") + s.preserve * F.col("weight"))
-    # Other classes, the strongest first, then the lowest code.
-    others = F.filter(F.map_entries("votes"), lambda e: e["key"] != F.col("current"))
-    ranked = F.array_sort(F.transform(others, lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("c"))))
-    joined = joined.withColumn("ranked", ranked)
-    first, second = F.coalesce(-F.get("ranked", F.lit(0))["v"], F.lit(0.0)), F.coalesce(-F.get("ranked", F.lit(1))["v"], F.lit(0.0))
-    joined = joined.withColumns({"first": first, "second": second})
-    wins = F.col("first") > F.col("own")
-    best, runner = F.when(wins, F.col("first")).otherwise(F.col("own")), F.when(wins, F.greatest("own", "second")).otherwise(F.col("first"))
-    total = F.col("weight") * (1 + s.preserve)
-    joined = joined.withColumns({"best": best, "runner": runner, "total": total})
-    confidence = F.when(F.col("total") > 0, F.col("best") / F.col("total")).otherwise(1.0)
-    take = wins & (F.col("held") / F.col("weight") <= s.current_support) & (F.col("confidence") >= s.consensus) & ((F.col("best") - F.col("runner")) / F.col("total") >= s.margin)
-    out = joined.withColumn("confidence", confidence)
-    return out.select("sample", "id", "current", "confidence", F.when(F.coalesce(take, F.lit(False)), F.get("ranked", F.lit(0))["c"]).otherwise(F.col("current")).alias("next"))
-
-
-def iterated_vote(points: DataFrame, edges: DataFrame, classes: int, settings: VoteSettings | None = None) -> tuple[DataFrame, list[int]]:
-    """points with refined and confidence (of the last sweep), and the number of changes of each sweep. Sweeps end when
-    one changes nothing."""
+def _foreign(leaf: pa.Table) -> pa.Table:
+    """The points of other leaves that the points of a leaf vote by."""
+    ids = leaf.column("dst").combine_chunks().flatten().to_numpy()
+    away = np.setdiff1d(ids, leaf.column("id").to_numpy())
+    return pa.table({"sample": pa.repeat(leaf.column("sample")[0], len(away)), "id": pa.array(away, pa.int64()), "leaf": pa.repeat(leaf.column("leaf")[0], len(away))})
+
+
+def _sweeper(s: VoteSettings):
+    """One sweep over a leaf: its points with their neighbours (left), the labels of these and of itself (right)."""
+
+    def sweep(leaf: pa.Table, labels: pa.Table) -> pa.Table:
+        labels, leaf = labels.rename_columns([c.removeprefix("o_") for c in labels.column_names]).sort_by("id"), leaf.sort_by("id")
+        ids, code = labels.column("id").to_numpy(), labels.column("label").to_numpy()
+        mine = np.searchsorted(ids, leaf.column("id").to_numpy())
+        near = leaf.column("dst").combine_chunks()
+        n, src = len(leaf), np.repeat(np.arange(len(leaf)), np.diff(near.offsets.to_numpy()))
+        dst = np.searchsorted(ids, near.flatten().to_numpy())
+        w = np.ones(len(src))
+        if s.weighted:
+            d2, band = leaf.column("d2").combine_chunks().flatten().to_numpy(), np.full(n, 1e-12)
+            np.maximum.at(band, src, d2)
+            w = np.exp(-d2 / band[src])
+        classes, at = np.unique(code, return_inverse=True)
+        votes = np.bincount(src * len(classes) + at[dst], weights=w, minlength=n * len(classes)).reshape(n, len(classes))
+        rows, current = np.arange(n), at[mine]
+        held, weight = votes[rows, current], votes.sum(axis=1)
+        own, total = held + s.preserve * weight, weight * (1 + s.preserve)
+        votes[rows, current] = 0.0
+        best = votes.argmax(axis=1)  # of equals the lowest code
+        first = votes[rows, best]
+        votes[rows, best] = 0.0
+        second = votes.max(axis=1)
+        wins = first > own
+        top, runner = np.where(wins, first, own), np.where(wins, np.maximum(own, second), first)
+        some = np.where(total > 0, total, 1.0)
+        confidence = np.where(total > 0, top / some, 1.0)
+        take = wins & (total > 0) & (held / np.where(weight > 0, weight, 1.0) <= s.current_support) & (confidence >= s.consensus) & ((top - runner) / some >= s.margin)
+        out = leaf.select(["sample", "leaf", "id"]).append_column("current", pa.array(code[mine], pa.int64()))
+        out = out.append_column("next", pa.array(np.where(take, classes[best], code[mine]), pa.int64())).append_column("confidence", pa.array(confidence))
+        return out.append_column("to", labels.column("to").take(pa.array(mine)))
+
+    return sweep
+
+
+def vote_in_leaves(lists: DataFrame, classes: int, settings: VoteSettings | None = None) -> tuple[DataFrame, list[int]]:
+    """sample, id, refined, confidence (of the last sweep) and the number of changes of each sweep. lists: sample, id, own, d2,
+    dst, leaf, as from knn.nearest_lists. The lists are dealt by leaf once and stay where they are over all sweeps; a sweep
+    sends each point's label to its own leaf, and those that other leaves vote by to these too. Sweeps end when one changes
+    nothing."""
     s = (settings or VoteSettings()).checked(classes)
-    if s.weighted:
-        band = F.greatest(F.max("d2").over(Window.partitionBy("sample", "src")), F.lit(1e-12))
-        edges = edges.withColumn("w", F.exp(-F.col("d2") / band))
-    else:
-        edges = edges.withColumn("w", F.lit(1.0))
-    edges = cut(edges.select("sample", "src", "dst", "w"))
-    state = points.select("sample", "id", F.col("code").alias("current"))
-    changes: list[int] = []
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = cut(lists.select("sample", "leaf", "id", "own", "dst", *(["d2"] if s.weighted else [])))
+    # Kept by the executors; what a lost one held is dealt again from the checkpoint. Only once it is there do plans know how
+    # it is dealt.
+    dealt = lists.drop("own").repartition(n, "sample", "leaf").persist()
+    dealt.count()
+    asked = dealt.groupBy("sample", "leaf").applyInArrow(_foreign, "sample string, id long, leaf string")
+    asked = asked.groupBy("sample", "id").agg(F.collect_list("leaf").alias("to"))
+    state = lists.select("sample", "leaf", "id", F.col("own").cast("long").alias("label")).join(asked, ["sample", "id"], "left")
+    state = state.withColumn("to", F.coalesce("to", F.array().cast("array<string>")))
+    weighted, changes = ["d2"] if s.weighted else [], []
+    sweep = _sweeper(s)
     for _ in range(s.iterations):
-        swept = cut(vote_sweep(state, edges, s))
+        home = state.select("sample", "leaf", "id", "label", "to")
+        away = state.where(F.size("to") > 0).select("sample", F.explode("to").alias("leaf"), "id", "label", F.lit(None).cast("array<string>").alias("to"))
+        sent = home.unionByName(away).select(*(F.col(c).alias(f"o_{c}") for c in home.columns))
+        swept = dealt.select("sample", "leaf", "id", "dst", *weighted).groupBy("sample", "leaf").cogroup(sent.groupBy("o_sample", "o_leaf"))
+        swept = cut(swept.applyInArrow(sweep, "sample string, leaf string, id long, current long, next long, confidence double, to array<string>"))
         changes.append(swept.where("next <> current").count())
-        state = swept.select("sample", "id", F.col("next").alias("current"))
+        state = swept.select("sample", "leaf", "id", F.col("next").alias("label"), "to")
         if not changes[-1]:
             break
-    last = swept.select("sample", "id", F.col("next").alias("refined"), "confidence")
-    return points.join(last, ["sample", "id"]), changes
+    dealt.unpersist()
+    return swept.select("sample", "id", F.col("next").cast("int").alias("refined"), "confidence"), changes
 
 
 def refine(points: DataFrame, dims: int, classes: int, settings: VoteSettings | None = None, k: int | None = None) -> tuple[DataFrame, list[int]]:
@@ -139,7 +170,8 @@ def refine(points: DataFrame, dims: int, classes: int, settings: VoteSettings |
     least = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct("n", "sample")).alias("least")).first()["least"]
     if least is not None and least["n"] < 3:
         raise ValueError(f"Specimen {least['sample']} has {least['n']} points; the vote takes three at least.")
-    return iterated_vote(points, nearest(points, dims, k, classes=classes), classes, settings)
+    done, changes = vote_in_leaves(nearest_lists(points, dims, k, "code", ("d2", "dst"), classes, leaf=True), classes, settings)
+    return points.join(done, ["sample", "id"]), changes
 
 
 def potts_energy(points: DataFrame, pairs: DataFrame, label: str, unary: float = 5.0) -> DataFrame:

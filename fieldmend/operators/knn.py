@@ -1,10 +1,12 @@
 """Exact nearest neighbours within specimens, ties by id.
 
 Each specimen is cut into leaves of about equal numbers of points: by quantiles of the first axis, then within these by
-quantiles of the next. An axis gets as many cuts as make leaves about as wide as high. First every point looks for its
-neighbours in its own leaf; what it finds bounds how far the true ones may be. The few whose bound reaches other leaves are
-looked up there, what is found travels to their own leaf, and the nearest of all stay. Leaves hold equal numbers however
-points clump; only points at one place can't be cut apart, and of these the k + 1 with the smallest ids stand for all.
+quantiles of the next. An axis gets as many cuts as make leaves about as wide as high; what is still far larger than a leaf
+is cut once more in the same way, to any depth, and tables of the cuts, keyed by the parts above, are the directory by which
+points and balls are routed. Every point looks for its neighbours in its own leaf, once; what it finds bounds how far the true
+ones may be. Points whose ball stays within the leaf are done. The others are looked up in each leaf that their ball reaches,
+and the nearest of all stay. Leaves hold equal numbers however points clump; only points at one place can't be cut apart, and
+of these the k + 1 with the smallest ids stand for all.
 """
 
 from __future__ import annotations
@@ -64,30 +66,34 @@ def _searched(left: pa.Table, right: pa.Table, names: tuple[str, ...]) -> tuple[
     return k_nearest(_matrix(left, names), _ints(left, "id"), _matrix(right, names), _ints(right, "id"), _ints(left, "k"))
 
 
-def _bounds(names: tuple[str, ...], keep: list[str]):
-    """The points of a leaf with r2, the squared distance of the k-th neighbour found in it; infinite if there are fewer."""
+def _finder(names: tuple[str, ...], lists: tuple[str, ...], keep: list[str]):
+    """The points of a leaf with their lists in it, and with r2, the squared distance of the k-th neighbour; infinite if there are fewer."""
 
-    def bound(leaf: pa.Table) -> pa.Table:
+    def find(leaf: pa.Table) -> pa.Table:
         leaf = leaf.sort_by("id")
-        r, _, v = _searched(leaf, leaf, names)
-        far = np.zeros(len(leaf))
+        r, c, v = _searched(leaf, leaf, names)
+        far, count = np.zeros(len(leaf)), np.bincount(r, minlength=len(leaf))
         np.maximum.at(far, r, v)
-        far[np.bincount(r, minlength=len(leaf)) < _ints(leaf, "k")] = np.inf
-        return leaf.select(keep).append_column("r2", pa.array(far))
+        far[count < _ints(leaf, "k")] = np.inf
+        offsets, at = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(c)
+        out = leaf.select(keep).append_column("r2", pa.array(far)).append_column("own", leaf.column("vote"))
+        for name in lists:
+            items = pa.array(v) if name == "d2" else leaf.column({"dst": "id", "vote": "vote"}[name]).take(at).combine_chunks()
+            out = out.append_column(name, pa.ListArray.from_arrays(offsets, items))
+        return out
 
-    return bound
+    return find
 
 
-def _looker(names: tuple[str, ...], keys: list[str]):
-    """What points of other leaves (left) find in a leaf (right) no farther than r2; a row each, with the leaf of their own."""
-    back = [f"from_{c}" for c in keys]
+def _looker(names: tuple[str, ...]):
+    """What points (left) find in a leaf (right) that their balls reach, no farther than r2; a row each."""
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.rename_columns([c.removeprefix("o_") for c in right.column_names]).sort_by("id")
         r, c, v = _searched(left, right, names)
         near = v <= left.column("r2").to_numpy()[r]
         r, c, v = r[near], pa.array(c[near]), v[near]
-        found = left.take(pa.array(r)).select(["sample", *back, "id"])
+        found = left.take(pa.array(r)).select(["sample", "id", "k", "own"])
         for name, column in (("d2", pa.array(v)), ("dst", right.column("id").take(c)), ("vote", right.column("vote").take(c))):
             found = found.append_column(name, column)
         return found
@@ -95,34 +101,9 @@ def _looker(names: tuple[str, ...], keys: list[str]):
     return look
 
 
-def _finisher(names: tuple[str, ...], lists: tuple[str, ...]):
-    """The points of a leaf (left) with their lists, out of the leaf and of what they found elsewhere (right)."""
-
-    def finish(leaf: pa.Table, more: pa.Table | None = None) -> pa.Table:
-        leaf = leaf.sort_by("id")
-        ids, want = _ints(leaf, "id"), _ints(leaf, "k")
-        r, c, v = _searched(leaf, leaf, names)
-        dst, vote = leaf.column("id").take(pa.array(c)), leaf.column("vote").take(pa.array(c))
-        if more is not None and len(more):
-            r = np.concatenate([r, np.searchsorted(ids, _ints(more, "id"))])
-            v = np.concatenate([v, more.column("d2").to_numpy()])
-            dst, vote = (pa.chunked_array([*x.chunks, *more.column(n).chunks]) for x, n in ((dst, "dst"), (vote, "vote")))
-            order = np.lexsort((dst.to_numpy(), v, r))
-            order = order[np.arange(len(r)) - np.searchsorted(r[order], r[order]) < want[r[order]]]
-            r, v, dst, vote = r[order], v[order], dst.take(pa.array(order)), vote.take(pa.array(order))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(leaf))))).astype(np.int32))
-        out = leaf.select(["sample", "id"]).append_column("own", leaf.column("vote"))
-        for name in lists:
-            items = {"d2": lambda: pa.array(v), "dst": dst.combine_chunks, "vote": vote.combine_chunks}[name]()
-            out = out.append_column(name, pa.ListArray.from_arrays(offsets, items))
-        return out
-
-    return finish
-
-
 def _parts(names: tuple[str, ...], leaf: int) -> dict[str, Column]:
     """Into how many parts each axis is cut, from n and the quantiles q of each axis."""
-    span = {a: F.get(f"q{a}", F.lit(PARTS * 19 // 20 - 1)) - F.get(f"q{a}", F.lit(PARTS // 20 - 1)) for a in names}
+    span = {a: F.get(f"q{a}", F.lit(PARTS * 19 // 20 - 1)) - F.get(f"q{a}", F.lit(max(0, PARTS // 20 - 1))) for a in names}
     want = F.greatest(F.col("n") / F.lit(float(leaf)), F.lit(1.0))
     wide = F.array_sort(F.array(*span.values()))
 
@@ -151,53 +132,84 @@ def _part(cuts: str, at: Column) -> Column:
 
 
 class Leaves:
-    """How each specimen is cut: tables of cut places, of the first axis by specimen, of others by the parts before."""
+    """How each specimen is cut: a table of cuts for each level, an axis of a round, keyed by the parts of the levels above."""
 
     def __init__(self, points: DataFrame, names: tuple[str, ...], k: int):
-        self.names = names
+        self.leaf = max(LEAF, 8 * (k + 1))
+        self.levels: list[tuple[str, str, list[str], DataFrame]] = []  # axis, name of the part, the parts above, table
+        self.round = 0
         box = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(_quantiles(a).alias(f"q{a}") for a in names))
-        parts = _parts(names, max(LEAF, 8 * (k + 1)))
-        first = names[0]
-        box = box.select("sample", "n", *(p.alias(f"p{a}") for a, p in parts.items()), f"q{first}")
-        box = box.select("sample", "n", *(f"p{a}" for a in names), _cuts(f"q{first}", F.col(f"p{first}")).alias(f"cuts_{first}"))
-        self.box, rows = small(box)
-        #: The axes that are cut at all, the largest specimen, and whether one is more than a leaf.
-        self.used = [a for a in names if rows is None or any(r[f"p{a}"] > 1 for r in rows)]
+        box, rows = small(self._planned(box, names, ["sample"]))
+        self.box = box
         self.largest = None if rows is None else max((r["n"] for r in rows), default=0)
-        self.levels: dict[str, DataFrame] = {}
-        sized = points.join(self.box.select("sample", *(f"p{a}" for a in names)), "sample") if self.used else points
-        for j, a in enumerate(self.used):
-            if a == first:
-                self.levels[a] = self.box.select("sample", f"cuts_{a}")
+        self._cut(points, names, box, rows)
+        # A round makes PARTS leaves an axis at most; what is far larger is cut again until cuts find nothing more to part.
+        above = self.largest
+        while self.levels and (above is None or above > self.leaf * PARTS ** len(names) // 2):
+            keys = self.keys
+            groups = self.placed(points).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(_quantiles(a).alias(f"q{a}") for a in names)).where(F.col("n") > 4 * self.leaf)
+            groups, rows = small(self._planned(groups, names, keys))
+            most = groups.agg(F.max("n")).first()[0] if rows is None else max((r["n"] for r in rows), default=0)
+            if not most or (above is not None and most >= above and self.round):
+                break
+            before, above, self.round = len(self.levels), most, self.round + 1
+            self._cut(points, names, groups, rows)
+            if len(self.levels) == before:
+                break
+
+    @property
+    def keys(self) -> list[str]:
+        return ["sample", *(part for _, part, _, _ in self.levels)]
+
+    def _planned(self, groups: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFrame:
+        """Groups of points with the number of parts of each axis, and the cuts of the first."""
+        parts, first = _parts(names, self.leaf), names[0]
+        groups = groups.select(*keys, "n", *(p.alias(f"p{a}") for a, p in parts.items()), f"q{first}")
+        return groups.select(*keys, "n", *(f"p{a}" for a in names), _cuts(f"q{first}", F.col(f"p{first}")).alias("cuts"))
+
+    def _cut(self, points: DataFrame, names: tuple[str, ...], groups: DataFrame, rows: list | None) -> None:
+        """Levels for one round over groups of points, one for each axis that is cut at all."""
+        used, above = [a for a in names if rows is None or any(r[f"p{a}"] > 1 for r in rows)], self.keys
+        for a in used:
+            part = f"s{self.round}{a}"
+            if a == names[0]:
+                self.levels.append((a, part, above, groups.select(*above, "cuts")))
                 continue
-            keys = ["sample", *(f"s{b}" for b in self.used[:j])]
-            table = self.placed(sized, self.used[:j]).groupBy(*keys).agg(_quantiles(a).alias("q"), F.max(f"p{a}").alias("p"))
-            self.levels[a] = small(table.select(*keys, _cuts("q", F.col("p")).alias(f"cuts_{a}")))[0]
-
-    def placed(self, df: DataFrame, used: list[str] | None = None) -> DataFrame:
-        """df (sample and coordinates) with the number of its part on each axis that is cut."""
-        kept = df.columns
-        for a in self.used if used is None else used:
-            table = self.levels[a]
-            df = df.join(table, [c for c in table.columns if c == "sample" or c.startswith("s")]).withColumn(f"s{a}", _part(f"cuts_{a}", F.col(a)))
-            kept = [*kept, f"s{a}"]
-            df = df.select(*kept)
+            keys = self.keys
+            sized = self.placed(points).join(groups.select(*above, f"p{a}"), above)
+            table = sized.groupBy(*keys).agg(_quantiles(a).alias("q"), F.max(f"p{a}").alias("p"))
+            self.levels.append((a, part, keys, small(table.select(*keys, _cuts("q", F.col("p")).alias("cuts")))[0]))
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """df (sample and coordinates) with the number of its part on each level; 0 where a level leaves it whole."""
+        for a, part, keys, table in self.levels:
+            df = df.join(table.withColumnRenamed("cuts", "fm_cuts"), keys, "left").withColumn(part, F.coalesce(_part("fm_cuts", F.col(a)), F.lit(0))).drop("fm_cuts")
         return df
 
+    def marked(self, df: DataFrame) -> DataFrame:
+        """df (placed) with fm_out: whether the ball of squared radius r2 about a row reaches beyond its leaf."""
+        out = F.lit(False)
+        for a, part, keys, table in self.levels:
+            low, high = self._ball(a)
+            df = df.join(table.withColumnRenamed("cuts", f"fm_{part}"), keys, "left")
+            out = out | (F.coalesce(_part(f"fm_{part}", low), F.lit(0)) != F.col(part)) | (F.coalesce(_part(f"fm_{part}", high), F.lit(0)) != F.col(part))
+        return df.withColumn("fm_out", out).drop(*(f"fm_{part}" for _, part, _, _ in self.levels))
+
     def reached(self, df: DataFrame) -> DataFrame:
-        """A row for each leaf that a ball of squared radius r2 about each row of df reaches: to_ and the part of each axis."""
-        kept = df.columns
-        for a in self.used:
-            table = self.levels[a]
-            on = [c for c in table.columns if c == "sample" or c.startswith("s")]
-            table = table.select(*(F.col(c).alias(c if c == "sample" else f"to_{c}") for c in on), f"cuts_{a}")
-            df = df.join(table, ["sample", *(f"to_{c}" for c in on if c != "sample")])
-            # A hair more, for rounding.
-            r = F.sqrt("r2") * (1 + 1e-9) + F.abs(F.col(a)) * 1e-15
-            kept = [*kept, f"to_s{a}"]
-            df = df.withColumn(f"to_s{a}", F.explode(F.sequence(_part(f"cuts_{a}", F.col(a) - r), _part(f"cuts_{a}", F.col(a) + r)))).select(*kept)
+        """A row for each leaf that a ball of squared radius r2 about each row of df reaches, with the leaf's parts as to_."""
+        for a, part, keys, table in self.levels:
+            table = table.select(*(F.col(c).alias(c if c == "sample" else f"to_{c}") for c in keys), F.col("cuts").alias("fm_cuts"))
+            df = df.join(table, ["sample", *(f"to_{c}" for c in keys if c != "sample")], "left")
+            low, high = (F.coalesce(_part("fm_cuts", end), F.lit(0)) for end in self._ball(a))
+            df = df.withColumn(f"to_{part}", F.explode(F.sequence(low, high))).drop("fm_cuts")
         return df
 
+    @staticmethod
+    def _ball(a: str) -> tuple[Column, Column]:
+        """The ends of a ball on an axis; a hair more, for rounding."""
+        r = F.sqrt("r2") * (1 + 1e-9) + F.abs(F.col(a)) * 1e-15
+        return F.col(a) - r, F.col(a) + r
+
 
 def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
     """Points to search, and the lists of the others: of more than k + 1 points at one place those beyond the first
@@ -218,43 +230,55 @@ def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, .
     return marked.where("fm_heavy is null").drop("fm_heavy").unionByName(first.drop("fm_row")), rest
 
 
-def nearest_lists(points: DataFrame, dims: int, k: int | None, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote"), classes: int = 1) -> DataFrame:
+def nearest_lists(
+    points: DataFrame, dims: int, k: int | str | None, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote"), classes: int = 1, leaf: bool = False
+) -> DataFrame:
     """sample, id, own and lists: d2, dst and vote (or some of these) of the k nearest other points of the specimen by
     (d2, dst), as arrays; k is the specimen's size less one where that is smaller. Without k each specimen has its
-    automatic number for so many classes. carry names a whole-number column of points: of the point itself as own, of dst
-    as vote."""
+    automatic number for so many classes; a text names a column of points that has it, MOST_NEIGHBOURS at most. carry names a
+    whole-number column of points: of the point itself as own, of dst as vote. With leaf also the leaf that the point lies
+    in, as text."""
     names = axes(dims)
-    own_k = F.lit(k) if k else automatic_neighbours(F.col("n"), classes)
-    k = k or MOST_NEIGHBOURS
+    own_k = automatic_neighbours(F.col("n"), classes) if k is None else F.col("fm_k") if isinstance(k, str) else F.lit(k)
+    given = [F.col(k).alias("fm_k")] if isinstance(k, str) else []
+    k = k if isinstance(k, int) else MOST_NEIGHBOURS
     vote = F.col(carry).cast("long") if carry else F.lit(None).cast("long")
-    points = points.select("sample", "id", vote.alias("vote"), *(F.col(a).cast("double").alias(a) for a in names))
+    points = points.select("sample", "id", vote.alias("vote"), *(F.col(a).cast("double").alias(a) for a in names), *given)
     leaves = Leaves(points, names, k)
-    points = points.join(leaves.box.select("sample", F.least(own_k, F.col("n") - 1).cast("int").alias("k")), "sample")
+    points = points.join(leaves.box.select("sample", "n"), "sample").withColumn("k", F.least(own_k, F.col("n") - 1).cast("int")).drop("n", "fm_k")
     rest = None
-    if leaves.largest is None or leaves.largest > 8 * max(LEAF, 8 * (k + 1)):
+    if leaves.largest is None or leaves.largest > 8 * leaves.leaf:
         points, rest = piles(points, names, k, lists)
-    parts = [f"s{a}" for a in leaves.used]
-    keys = ["sample", *parts]
+    keys = leaves.keys
+    parts = keys[1:]
+    where = [F.concat_ws(".", *parts).alias("leaf")] if leaf else []
+    if rest is not None and leaf:
+        # Points of a pile all have the same neighbours; they are dealt over leaves of their own.
+        rest = rest.withColumn("leaf", F.concat(F.lit("pile."), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("string")))
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # So many partitions, however few bytes: the work of a leaf grows with the square of its points.
     placed = leaves.placed(points).repartition(n, *keys)
-    out = "sample string, id long, own long, " + ", ".join(f"{c} {LISTS[c]}" for c in lists)
-    finish = _finisher(names, lists)
-    if not parts:
-        found = placed.groupBy(*keys).applyInArrow(lambda leaf: finish(leaf), out)
-        return found if rest is None else found.unionByName(rest)
     kept = ["sample", "id", "k", *names, *parts]
     kinds = "sample string, id long, k int, " + ", ".join(f"{a} double" for a in names) + "".join(f", {c} int" for c in parts)
-    bounded = placed.groupBy(*keys).applyInArrow(_bounds(names, kept), f"{kinds}, r2 double")
-    apart = reduce(lambda p, q: p | q, [F.col(f"to_{c}") != F.col(c) for c in parts])
-    asked = leaves.reached(bounded).where(apart).where("k > 0")
-    asked = cut(asked.select("sample", "id", "k", "r2", *names, *(F.col(c).alias(f"from_{c}") for c in parts), *(F.col(f"to_{c}").alias(c) for c in parts)))
+    out = ", ".join(f"{c} {LISTS[c]}" for c in lists)
+    found = placed.groupBy(*keys).applyInArrow(_finder(names, lists, kept), f"{kinds}, r2 double, own long, {out}")
+    if not parts:
+        done = found.select("sample", "id", "own", *lists, *where)
+        return done if rest is None else done.unionByName(rest)
+    found = leaves.marked(cut(found))
+    inside = found.where(~F.col("fm_out")).select("sample", "id", "own", *lists, *where)
+    asked = leaves.reached(found.where("fm_out and k > 0").select("sample", "id", "k", "own", "r2", *names))
+    asked = asked.select("sample", "id", "k", "own", "r2", *names, *(F.col(f"to_{c}").alias(c) for c in parts))
     # Names of their own, as both sides come from one frame.
     there = placed.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
-    found = ", ".join(f"from_{c} int" for c in parts)
-    more = asked.repartition(n, *keys).groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(_looker(names, parts), f"sample string, {found}, id long, d2 double, dst long, vote long")
-    more = more.withColumnRenamed("sample", "from_sample").repartition(n, "from_sample", *(f"from_{c}" for c in parts))
-    done = placed.groupBy(*keys).cogroup(more.groupBy("from_sample", *(f"from_{c}" for c in parts))).applyInArrow(finish, out)
+    more = asked.repartition(n, *keys).groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(_looker(names), "sample string, id long, k int, own long, d2 double, dst long, vote long")
+    item = F.struct("d2", "dst", "vote")
+    merged = more.groupBy("sample", "id").agg(F.first("own").alias("own"), F.slice(F.array_sort(F.collect_list(item)), 1, F.first("k")).alias("fm_items"))
+    if leaf:
+        merged = merged.join(found.where("fm_out and k > 0").select("sample", "id", *where), ["sample", "id"])
+    merged = merged.select("sample", "id", "own", *(F.col("fm_items")[c].alias(c) for c in lists), *(["leaf"] if leaf else []))
+    alone = found.where("fm_out and k = 0").select("sample", "id", "own", *lists, *where)
+    done = inside.unionByName(merged).unionByName(alone)
     return done if rest is None else done.unionByName(rest)
 
 
@@ -275,10 +299,12 @@ def undirected(edges: DataFrame) -> DataFrame:
 LEAST_NEIGHBOURS, MOST_NEIGHBOURS = 11, 31
 
 
-def automatic_neighbours(n: Column, classes: int) -> Column:
+def automatic_neighbours(n: Column, classes: int | Column, half_even: bool = False) -> Column:
     """automatic_k of a column of specimens' sizes."""
-    raw = F.log2(F.greatest(n, F.lit(1)).cast("double")) * 1.6 * min(1.0, 5.0 / max(1, classes))
-    return F.least(F.greatest(F.floor(raw + 0.5), F.lit(LEAST_NEIGHBOURS)), F.lit(MOST_NEIGHBOURS))
+    classes = classes if isinstance(classes, Column) else F.lit(classes)
+    raw = F.log2(F.greatest(n, F.lit(1)).cast("double")) * 1.6 * F.least(F.lit(1.0), 5.0 / F.greatest(classes, F.lit(1)))
+    whole = F.bround(raw) if half_even else F.floor(raw + 0.5)
+    return F.least(F.greatest(whole.cast("int"), F.lit(LEAST_NEIGHBOURS)), F.lit(MOST_NEIGHBOURS))
 
 
 def automatic_k(n: int, classes: int, half_even: bool = False) -> int:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmend.functions.geometry import axes
-from fieldmend.session import small
+from fieldmend.operators.graph import VoteSettings, vote_in_leaves
+from fieldmend.operators.knn import automatic_neighbours, nearest_lists
+from fieldmend.session import cut, small
 
 
 def balanced_counts(spans: list[float], target: int) -> list[int]:
@@ -50,7 +52,7 @@ def tiles(points: DataFrame, grid: DataFrame, dims: int, overlap: float = 0.15)
     if not 0 <= overlap <= 1:
         raise ValueError("Invalid `execution` setting: overlap")
     names = axes(dims)
-    joined = points.select("sample", "id", *names).join(F.broadcast(grid), "sample")  # a row per specimen
+    joined = points.select("sample", "id", *names).join(small(grid)[0], "sample")
     for a in names:
         here = F.least(F.greatest(F.floor((F.col(a) - F.col(f"lo{a}")) / F.col(f"w{a}")), F.lit(0)), F.col(f"c{a}") - 1)
         # Rounding in the division must not put a point beyond the edge that the tile is compared with.
@@ -66,18 +68,42 @@ def tiles(points: DataFrame, grid: DataFrame, dims: int, overlap: float = 0.15)
     return joined.select("sample", number.cast("int").alias("tile"), "id", core.alias("is_core"))
 
 
-def in_tiles(points: DataFrame, dims: int, refine, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None) -> DataFrame:
-    """refine applied to each tile with its halo, as a specimen of its own; the cores' rows come back under the
-    specimen's name, with tile. refine takes and returns frames with sample and id. A tile with less than three points
-    goes without its halo, one without a core not at all."""
+def as_specimens(points: DataFrame, dims: int, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None) -> DataFrame:
+    """points of each tile with its halo as specimens of their own (sample#tile), with of (the specimen), tile and is_core. A tile
+    with less than three points goes without its halo, one without a core not at all."""
     dealt = tiles(points, layout(points, dims, target_size, counts), dims, overlap)
     lean, _ = small(tile_summary(dealt).where("halo_n < 3 or core_n = 0").select("sample", "tile", F.lit(True).alias("fm_lean")))
     dealt = dealt.join(lean, ["sample", "tile"], "left").where("is_core or fm_lean is null").drop("fm_lean")
-    wide = points.join(dealt, ["sample", "id"]).withColumn("of", F.col("sample")).withColumn("sample", F.concat_ws("#", "of", F.col("tile").cast("string")))
+    return points.join(dealt, ["sample", "id"]).withColumn("of", F.col("sample")).withColumn("sample", F.concat_ws("#", "of", F.col("tile").cast("string")))
+
+
+def in_tiles(points: DataFrame, dims: int, refine, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None) -> DataFrame:
+    """refine applied to each tile with its halo, as a specimen of its own; the cores' rows come back under the
+    specimen's name, with tile. refine takes and returns frames with sample and id."""
+    wide = as_specimens(points, dims, overlap, target_size, counts)
     keys = wide.select("sample", "id", "of", "tile", "is_core")
     done = refine(wide.drop("of", "tile", "is_core")).join(keys, ["sample", "id"]).where("is_core")
     return done.drop("sample", "is_core").withColumnRenamed("of", "sample")
 
 
+def vote_in_tiles(
+    points: DataFrame, dims: int, classes: int, settings: VoteSettings | None = None, k: int | None = None, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The iterated vote in tiles: points with tile, refined and confidence, and a row per tile: sample, tile, core_n, halo_n,
+    neighbors (k, or what suits the specimen's size and classes, rounded to even) and final_changes of its core. All tiles sweep in
+    lock step; one that has come to rest stays as it is, so each ends as it would alone."""
+    sizes = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("classes"))
+    number = F.lit(k) if k else automatic_neighbours(F.col("n"), F.col("classes"), half_even=True)
+    wanted, _ = small(sizes.select(F.col("sample").alias("of"), number.alias("wanted")))
+    wide = cut(as_specimens(points, dims, overlap, target_size, counts).join(wanted, "of"))
+    lists = nearest_lists(wide, dims, "wanted", "code", ("d2", "dst"), leaf=True)
+    done, _ = vote_in_leaves(lists, classes, settings)
+    joined = wide.join(done, ["sample", "id"])
+    changed = F.count_if(F.col("is_core") & (F.col("refined") != F.col("code")))
+    rows = joined.groupBy(F.col("of").alias("sample"), "tile").agg(F.count_if("is_core").alias("core_n"), F.count(F.lit(1)).alias("halo_n"), F.max("wanted").alias("wanted"), changed.alias("final_changes"))
+    rows = rows.select("sample", "tile", "core_n", "halo_n", F.least(F.col("wanted"), F.col("halo_n") - 1).cast("int").alias("neighbors"), "final_changes")
+    return joined.where("is_core").drop("sample", "is_core", "wanted").withColumnRenamed("of", "sample"), rows
+
+
 def tile_summary(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("sample", "tile").agg(F.count_if("is_core").alias("core_n"), F.count(F.lit(1)).alias("halo_n"))

@@ -118,8 +118,7 @@ LOOSE = graph.VoteSettings(3, 0.5, 0.0, 0.0, True, 1.0)
 def _vote(name: str, settings: graph.VoteSettings):
     @query(name, sweeps_sql(settings, fields.EMB_CLASSES))
     def run(spark, d):
-        p, e = emb(spark, d)
-        done, _ = graph.iterated_vote(p, e, fields.EMB_CLASSES, settings)
+        done, _ = graph.refine(fields.embeddings(spark, d), DIMS, fields.EMB_CLASSES, settings, K)
         return rounded(done, "confidence").select("sample", "id", "code", "refined", "confidence")
 
 
@@ -136,6 +135,17 @@ def q_vote_automatic(spark, d):
     return rounded(done, "confidence").select("sample", "id", "code", "refined", "confidence")
 
 
+def _vote_orders(name: str, settings: graph.VoteSettings):
+    @query(name, sweeps_sql(settings, 3, edges_sql(fields.ORD, 2, K)))
+    def run(spark, d):
+        done, _ = graph.refine(fields.orders(spark, d), 2, 3, settings, K)
+        return rounded(done, "confidence").select("sample", "id", "code", "refined", "confidence")
+
+
+_vote_orders("q_vote_orders", LOOSE)
+_vote_orders("q_vote_potts_orders", graph.VoteSettings(8, 0.5, 0.35, 0.0, False, 1.0))
+
+
 @query("q_modal_automatic", f"WITH {automatic_edges_sql(fields.CUST, 2, 5)}, {MODAL}")
 def q_modal_automatic(spark, d):
     """The modal label of each specimen's automatic number of neighbours."""
@@ -148,8 +158,7 @@ _SWEEPS = " UNION ALL ".join(f"SELECT {k + 1} AS sweep, count(*) AS changes FROM
 @query("q_vote_changes", sweeps_sql(LOOSE, fields.EMB_CLASSES).rsplit(" SELECT sample, id, code", 1)[0] + f" SELECT CAST(sweep AS INTEGER) AS sweep, changes FROM ({_SWEEPS}) QUALIFY coalesce(min(changes) OVER (ORDER BY sweep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) > 0")
 def q_vote_changes(spark, d):
     """How many labels each sweep of the iterated vote changes."""
-    p, e = emb(spark, d)
-    _, changes = graph.iterated_vote(p, e, fields.EMB_CLASSES, LOOSE)
+    _, changes = graph.refine(fields.embeddings(spark, d), DIMS, fields.EMB_CLASSES, LOOSE, K)
     return spark.createDataFrame(list(enumerate(changes, 1)), "sweep int, changes long")
 
 
@@ -212,6 +221,37 @@ def q_tiles_majority(spark, d):
     return tiles.in_tiles(fields.orders(spark, d), 2, majority6, counts=[3, 2]).select("sample", "tile", "id", "code", "refined")
 
 
+#: What suits a whole specimen, for the tiles it is cut into.
+_K = "SELECT sample AS of, CAST(least(31, greatest(11, round_even(1.6 * log2(count(*)) * least(1.0, 5.0 / count(DISTINCT code)), 0))) AS INTEGER) AS k FROM ({points}) GROUP BY sample"
+
+
+def tiled_edges_sql() -> str:
+    pts, e = edges_sql(TILED, 2, 31).split(", e AS (", 1)
+    return f"{pts}, e31 AS ({e}, ks AS ({_K.format(points=fields.ORD)}), e AS (SELECT e31.* FROM e31 JOIN ks ON ks.of = split_part(e31.sample, '#', 1) AND rank <= ks.k)"
+
+
+TILED_VOTE = sweeps_sql(LOOSE, 3, tiled_edges_sql())
+
+
+@query("q_tiles_vote", f"SELECT c.sample, c.tile, c.id, v.code, v.refined, v.confidence FROM ({TILES} SELECT sample, tile, id FROM d WHERE is_core) c JOIN ({TILED_VOTE}) v ON v.sample = concat(c.sample, '#', c.tile) AND v.id = c.id")
+def q_tiles_vote(spark, d):
+    """The iterated vote in each tile and its halo, as refined labels of the cores."""
+    done, _ = tiles.vote_in_tiles(fields.orders(spark, d), 2, 3, LOOSE, counts=[3, 2])
+    return rounded(done, "confidence").select("sample", "tile", "id", "code", "refined", "confidence")
+
+
+@query(
+    "q_tiles_diagnostics",
+    f"""SELECT h.sample, h.tile, core_n, halo_n, CAST(least(k, halo_n - 1) AS INTEGER) AS neighbors, final_changes
+FROM (SELECT sample, tile, count(*) FILTER (is_core) AS core_n, count(*) AS halo_n FROM ({WITH_HALO}) GROUP BY ALL) h JOIN ({_K.format(points=fields.ORD)}) ON of = h.sample
+JOIN (SELECT c.sample, c.tile, count(*) FILTER (v.refined <> v.code) AS final_changes FROM ({TILES} SELECT sample, tile, id FROM d WHERE is_core) c
+  JOIN ({TILED_VOTE}) v ON v.sample = concat(c.sample, '#', c.tile) AND v.id = c.id GROUP BY ALL) f ON f.sample = h.sample AND f.tile = h.tile""",
+)
+def q_tiles_diagnostics(spark, d):
+    """A row per tile of the iterated vote: its core, its halo, its number of neighbours and how many labels of the core changed."""
+    return tiles.vote_in_tiles(fields.orders(spark, d), 2, 3, LOOSE, counts=[3, 2])[1]
+
+
 # Evaluation: orders' status as truth, a hashed corruption as initial labels, half of it undone as refined ones.
 TRIPLE = f"""SELECT sample, id, truth, CASE WHEN {u_sql(1, 'hit', 'id')} < 0.3 THEN other ELSE truth END AS initial,
 CASE WHEN {u_sql(1, 'hit', 'id')} < 0.3 AND {u_sql(1, 'back', 'id')} < 0.6 THEN truth WHEN {u_sql(1, 'hit', 'id')} < 0.3 OR {u_sql(1, 'harm', 'id')} < 0.05 THEN other ELSE truth END AS refined,

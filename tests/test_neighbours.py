@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from fieldmend import session
 from fieldmend.operators import knn
 from fieldmend.operators.graph import modal, refine
@@ -92,3 +94,28 @@ def test_refine_at_its_bounds(spark):
     done, changes = refine(points, 2, 1)
     assert changes == [] and all(r["refined"] == r["code"] and r["confidence"] == 1.0 for r in done.collect())
     assert refine(points.where("id < 0"), 2, 2)[0].count() == 0
+
+
+@pytest.mark.parametrize("kind", ["spread", "clumps", "piles"])
+def test_leaves_of_any_depth(spark, kind, monkeypatch):
+    """With four parts an axis and leaves of 24 points, thousands of points take several rounds of cuts."""
+    monkeypatch.setattr(knn, "LEAF", 24)
+    monkeypatch.setattr(knn, "PARTS", 4)
+    rng = np.random.default_rng(7)
+    n = 2600
+    xy = {"spread": rng.random((n, 2)), "clumps": np.concatenate([rng.random((n - 400, 2)) ** 8, rng.random((400, 2)) * 1e4]), "piles": np.concatenate([rng.random((n - 300, 2)), np.full((300, 2), 0.25)])}[kind]
+    rows = [("a" if i % 20 else "b", i, float(x), float(y), 1) for i, (x, y) in enumerate(xy)]
+    points = spark.createDataFrame(rows, SCHEMA)
+    leaves = knn.Leaves(points.withColumn("vote", F.lit(0)), ("x", "y"), 2)
+    sizes = [r["count"] for r in leaves.placed(points).groupBy(*leaves.keys).count().collect()]
+    assert leaves.round >= 1 and len(leaves.levels) > 2
+    assert max(sizes) <= (300 + 4 * leaves.leaf if kind == "piles" else 8 * leaves.leaf)
+    a = {i: [q for q in range(len(xy)) if rows[q][0] == rows[i][0] and q != i] for i in range(0, n, 37)}
+    got = {}
+    for r in nearest(points, 2, 2).where("src % 37 = 0").collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    for i, others in a.items():
+        d = ((xy[others] - xy[i]) ** 2)
+        d = d[:, 0] + d[:, 1]
+        want = [others[j] for j in np.lexsort((others, d))[:2]]
+        assert [t for _, t in sorted(got[i])] == want
