@@ -6,12 +6,17 @@ its distinct k-word shingles; with fewer words, the whole sequence is one shingl
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.default_rng(77)
 #: Fixed for all time and places: equal shingles must have equal hashes everywhere.
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one: sums modulo 2 ** 64 can't tell some words of a thousand letters and more apart,
+#: whatever the step (those that alternate two letters by the parity of the bits of their places).
+LONG = 256
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,6 +64,8 @@ class Shingler:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * self.up[: len(data)], out=sums[1:])
         words = mix((sums[ends] - sums[starts]) * self.down[starts])
+        for w in np.flatnonzero(ends - starts > LONG):
+            words[w] = np.frombuffer(hashlib.blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=8).digest(), np.uint64)[0]
         offsets = np.cumsum([1, *(len(t) + 1 for t in texts)])
         bounds = np.searchsorted(starts, offsets)
         k = self.k

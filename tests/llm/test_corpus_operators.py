@@ -254,6 +254,16 @@ def test_components_of_a_path(spark):
     assert got == {**{k: 0 for k in range(1, 41)}, 101: 100}
 
 
+def test_words_that_sums_cannot_tell_apart(spark):
+    """Thue and Morse's word and its complement have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    for n in (64, 256, 1024, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+        one, two = Shingler(3).sets([f"x {word} y", f"x {word.translate(str.maketrans('ab', 'ba'))} y"])
+        assert overlap(one, two, 0) == 0
+    docs = spark.createDataFrame([(1, f"x {word} y"), (2, f"x {word.translate(str.maketrans('ab', 'ba'))} y")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, 3, 90).collect()} == {(1, 1), (2, 2)}
+
+
 def test_merge_and_overlap():
     assert jaccard.merge_lists([[1, 4, 7], [4, 7], [7, 9]], 2) == [(4, 2), (7, 3)]
     a, b = np.arange(0, 600, 2, dtype=np.uint64), np.arange(0, 600, 3, dtype=np.uint64)
