@@ -62,6 +62,8 @@ FOR = {
 }
 AGAINST = r"version|order|invoice|isbn|serial|build|example"
 WINDOW, STEP, THRESHOLD = 40, 0.3, 0.6
+#: Matches that are walked over in one go.
+BLOCK = 256
 
 
 def digits_of(match: Column) -> Column:
@@ -116,30 +118,42 @@ VALID = {
 
 
 def found(text: Column, kind: str) -> Column:
-    """All matches of a kind's pattern as array<struct<start, match>>: the texts between the matches tell
-    where each begins."""
+    """All matches of a kind's pattern as array<struct<start, match, near>>, near being the WINDOW characters before it. A walk over
+    the texts between the matches tells where each begins and what stands before it, so that no part of a text is looked at
+    more than a few times. Arrays grow by copies, so the walk goes by blocks of BLOCK matches."""
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    between = F.split(text, PATTERNS[kind], -1)
-    none = F.array().cast("array<struct<start:int,match:string>>")
+    between = F.split(text, PATTERNS[kind], -1)  # one more than the matches
+    spans = "array<struct<start:int,match:string,near:string>>"
+    none = F.array().cast(spans)
+    end = lambda of: F.right(of, F.lit(WINDOW))
 
     def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["0"])
-        return F.struct(
-            (start + F.length(x["1"])).alias("at"),
-            F.concat(state["spans"], F.array(F.struct(start.cast("int").alias("start"), x["1"].alias("match")))).alias("spans"),
-        )
+        start, near = state["at"] + F.length(x["0"]), end(F.concat(state["tail"], x["0"]))
+        span = F.struct(start.alias("start"), x["1"].alias("match"), near.alias("near"))
+        return F.struct((start + F.length(x["1"])).alias("at"), end(F.concat(near, x["1"])).alias("tail"), F.concat(state["spans"], F.array(span)).cast(spans).alias("spans"))
+
+    def add_block(state: Column, block: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), none.alias("spans"))
+        return F.aggregate(block, begin, add, lambda done: F.struct(done["at"].alias("at"), done["tail"].alias("tail"), F.concat(state["all"], F.array(done["spans"])).cast(f"array<{spans}>").alias("all")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{spans}>").alias("all"))
+
+    def walked(pairs: Column) -> Column:
+        n = F.size(pairs) - 1
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.least(F.lit(BLOCK), n - b * BLOCK)))
+        return F.when(n > 0, F.aggregate(blocks, begin, add_block, lambda done: F.flatten(done["all"]))).otherwise(none)
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add)
-    return F.when(GUARDS[kind](text), walked["spans"]).otherwise(none)
+    pairs = F.zip_with(between, matches, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
+    # As the only item of an array the pairs are worked out once, not anew wherever a lambda names them.
+    once = F.get(F.transform(F.array(pairs), walked), F.lit(0))
+    return F.when(GUARDS[kind](text), once).otherwise(none)
 
 
 def scored(text: Column, kind: str, order: int) -> Column:
     """The confirmed spans of a kind with their scores."""
 
     def score(x: Column) -> Column:
-        first = F.greatest(x["start"] - WINDOW, F.lit(0))
-        near = F.lower(F.substr(text, first + 1, x["start"] - first))
+        near = F.lower(x["near"])
         plus = F.when(near.rlike(FOR[kind]), STEP).otherwise(0.0)
         minus = F.when(near.rlike(AGAINST), STEP).otherwise(0.0)
         return F.struct(

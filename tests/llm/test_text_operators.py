@@ -79,6 +79,21 @@ def test_pii_long_runs_and_added_kinds(spark):
     assert got[3] == ["iban:12:34"] and got[4] == [] and got[5] == [] and got[6] == ["ssn:4:15"] and got[7] == got[8] == []
 
 
+def test_pii_of_many_matches(spark):
+    """The time is in proportion to the matches: 200,000 in one text take seconds."""
+    import time
+
+    texts = [" ".join(f"mail a{k}@b{k % 7}.org" for k in range(n)) for n in (1000, 200_000)]
+    took = []
+    for text in texts:
+        began = time.time()
+        spans = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+        took.append(time.time() - began)
+        where = [m.span() for m in __import__("re").finditer(r"a[0-9]+@b[0-9]\.org", text)]
+        assert [(x.start, x.end) for x in spans] == where and all(x.score == 1.1 for x in spans)
+    assert took[1] < 120
+
+
 def test_redact(spark):
     out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame([(1, "to a@b.c, from 1.2.3.4!"), (2, None), (3, "none")], "doc_id long, text string")).collect()}
     assert out == {1: "to [email], from [ip]!", 2: None, 3: "none"}
