@@ -36,7 +36,7 @@ from .shingles import mix
 PERIOD, CLASSES, SLOTS, GRAM = 2039, 64, 128, 6
 #: Keys of a document, and slots sampled for each.
 BANDS, BAND = 64, 3
-#: Steps that a sampler looks at in one go; characters of a slice of documents at most, on average.
+#: Steps that a sampler looks at in one go; characters of a range of documents at most, on average.
 CHUNK, SLICE_CHARS = 1 << 15, 64 << 20
 #: near_copies: documents of a bucket that are compared at once; how often a bucket is held against one document first.
 BLOCK, STARS = 1000, 2
@@ -170,83 +170,86 @@ def edited(text: str, following: str) -> str:
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Beside them: the task, and of its first and its last document which it is, and the text.
+EDGE = ", part int, edge string, text string"
 
 
-def by_cuts(cuts: list, row, first: int = 0):
-    """How many of the ascending cuts row has reached, by a tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    k = len(cuts) // 2
-    return F.when(row >= cuts[k], by_cuts(cuts[k + 1 :], row, first + k + 1)).otherwise(by_cuts(cuts[:k], row, first))
+def ordered(docs: DataFrame, n: int) -> DataFrame:
+    """docs (doc_id, text) in `n` ranges of about equal numbers of rows, a task each, in descending order: nulls last, equal ids by the
+    text's digest, equal texts of one id by row."""
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("key").desc(), F.col("row").desc()]
+    return keyed.repartitionByRange(max(1, n), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
-def ordered_slices(docs: DataFrame, n: int) -> DataFrame:
-    """docs (doc_id, text) in `n` slices of consecutive documents, descending; each slice also ends with the first
-    document of the next one (tail = true), and the last with the first of all. The slices are cut at quantiles of a sample
-    of 64 rows a slice; equal ids are cut by the text's digest, equal texts of one id by row."""
-    keyed = docs.select("doc_id", "text", F.md5("text").alias("key"), F.monotonically_increasing_id().alias("row"))
-    order = ["known", "id", "key", "row"]
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "row")
-    cuts = []
-    if n > 1:
-        rows = max(1, docs.count())
-        drawn = sorted(tuple(r[0]) for r in keyed.select(place.alias("p")).sample(min(1.0, 64 * n / rows), 7).collect())
-        picked = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
-        cuts = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(p, ("boolean", "long", "string", "long"), order, strict=True))) for p in picked]
-    placed = keyed.withColumn("slice", F.lit(len(cuts)) - by_cuts(cuts, place))
-    # The document a slice starts with: by id, then by text, told by its digest.
-    heads = placed.groupBy("slice").agg(F.max(place).alias("head"))
-    over = Window.orderBy("slice")
-    heads = heads.withColumn("before", F.coalesce(F.lag("slice").over(over), F.max("slice").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    tails = F.broadcast(heads.select(F.col("slice").alias("of"), F.when(F.col("head.known"), F.col("head.id")).alias("head_id"), F.col("head.key").alias("head_key"), "before"))  # a row per slice
-    ends = keyed.join(tails, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("key") == F.col("head_key")))
-    ends = ends.dropDuplicates(["of"]).select("doc_id", "text", "key", F.col("before").alias("slice"))
-    both = placed.select("slice", F.lit(False).alias("tail"), "doc_id", "text", "key").unionByName(ends.select("slice", F.lit(True).alias("tail"), "doc_id", "text", "key"))
-    return both.repartitionById(max(1, n), F.col("slice")).sortWithinPartitions("slice", "tail", F.col("doc_id").desc_nulls_last(), F.col("key").desc()).select("slice", "tail", "doc_id", "text")
+def _marked(make: Fingerprinter, doc, text: str, points: np.ndarray, steps, print_: str, following: str, next_points: np.ndarray, next_print: str) -> tuple:
+    """A row of OUT out of a document and the text that follows it."""
+    other, n = edited(text, following), len(text) // 3
+    kept = len(text) - n
+    f = print_ if other == text else make.of_edited(np.concatenate((points[:kept], next_points[:n])), steps, kept)
+    return doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), print_, f, likeness(print_, f), likeness(print_, next_print)
 
 
 def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """OUT for each row of docs: fingerprints of each text and of its edited text, and their likeness."""
+    """OUT for each row of docs: fingerprints of each text and of its edited text, and their likeness. Documents are sorted by ranges, a
+    task each, and each task compares those that follow each other in it. Of its first and its last document it writes the
+    texts beside the results; these, two a task, are then joined across the tasks' bounds."""
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = ordered_slices(docs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SLICE_CHARS)))
+    ranges = ordered(docs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SLICE_CHARS)))
 
     def mark(batches):
-        make = Fingerprinter(slots)
-
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+        from pyspark import TaskContext
 
+        make, part = Fingerprinter(slots), TaskContext.get().partitionId()
         out, held = [], None
-        for slice_, tail, doc, text in rows():
-            points = code_points(text)
-            if held is not None and text == held[2]:
-                steps, print_ = held[4:]
-            else:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                points = code_points(text)
+                if held is not None and text == held[1]:
+                    steps, print_ = held[3:]
+                else:
+                    steps = make.walked(points)
+                    print_ = make.of(points, steps)
+                if held is None:
+                    out.append((doc, *[None] * 6, part, "first", text))
+                else:
+                    out.append((*_marked(make, *held, text, points, print_), None, None, None))
+                held = doc, text, points, steps, print_
+                if len(out) >= 2000:
+                    yield _batch(out, OUT + EDGE)
+                    out = []
+        if held is not None:
+            out.append((held[0], *[None] * 6, part, "last", held[1]))
+        yield _batch(out, OUT + EDGE)
+
+    both = stored(ranges.mapInArrow(mark, OUT + EDGE), "fingerprints")
+    columns = [c.split()[0] for c in OUT.split(", ")]
+    firsts, lasts = (both.where(F.col("edge") == e).select("part", "doc_id", "text") for e in ("first", "last"))
+    over = Window.orderBy("part")
+    # Numbers of tasks alone, not their documents.
+    following = firsts.select("part").withColumn("next", F.coalesce(F.lead("part").over(over), F.min("part").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    pairs = lasts.join(following, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("after")), "next").select("doc_id", "text", "after")
+
+    def join(batches):
+        make = Fingerprinter(slots)
+        for batch in batches:
+            out = []
+            for doc, text, after in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                points, next_points = code_points(text), code_points(after)
                 steps = make.walked(points)
-                print_ = make.of(points, steps)
-            now = (slice_, doc, text, points, steps, print_)
-            if held is not None and held[0] == slice_:
-                _, before, old, old_points, old_steps, old_print = held
-                other, n = edited(old, text), len(old) // 3
-                kept = len(old) - n
-                f = old_print if other == old else make.of_edited(np.concatenate((old_points[:kept], points[:n])), old_steps, kept)
-                out.append((before, len(old), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), old_print, f, likeness(old_print, f), likeness(old_print, print_)))
-            held = None if tail else now
-            if len(out) >= 2000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    return slices.mapInArrow(mark, OUT)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-    fields = [f.split() for f in OUT.split(", ")]
+                next_print = make.of(next_points, make.walked(next_points))
+                out.append(_marked(make, doc, text, points, steps, make.of(points, steps), after, next_points, next_print))
+            yield _batch(out)
+
+    return both.where("edge is null").select(*columns).unionByName(pairs.mapInArrow(join, OUT))
+
+
+def _batch(rows: list[tuple], schema: str = OUT) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
 

@@ -338,11 +338,35 @@ def test_near_copies_recall(spark):
 
 def test_fingerprints_of_equal_ids_are_sliced(spark):
     docs = spark.createDataFrame([(7, f"text {k % 3}") for k in range(90)] + [(None, "t")] * 90, "doc_id long, text string").repartition(3)
-    sizes = [r["n"] for r in fingerprint.ordered_slices(docs, 6).where("not tail").groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = [r["n"] for r in fingerprint.ordered(docs, 6).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 180 and len(sizes) > 4 and max(sizes) < 80
     assert fingerprint.fingerprints(docs).count() == 180
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_fingerprints_across_tasks(spark, parts, monkeypatch):
+    """Whatever the number of tasks, also of empty ones, each document is compared with the one that follows it."""
+    monkeypatch.setattr(fingerprint, "SLICE_CHARS", 2000 // parts)
+    rows = [(k, f"text {k} " * 6) for k in range(23)] + [(5, "text again"), (None, "n")]
+    got = sorted(map(tuple, fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+    make, want = fingerprint.Fingerprinter(), []
+    for k, (d, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        new = fingerprint.edited(t, after)
+        want.append((d, len(t), hashlib.sha256(new.encode()).hexdigest(), make(t), make(new), fingerprint.likeness(make(t), make(new)), fingerprint.likeness(make(t), make(after))))
+    assert got == sorted(want, key=repr)
+
+
+def test_a_plan_of_many_ranges_is_short(spark):
+    import time
+
+    docs = spark.createDataFrame([(k, "t") for k in range(50)], "doc_id long, text string")
+    began = time.time()
+    plan = fingerprint.ordered(docs, 2000)._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - began < 10 and len(plan) < 5000
+
+
 def test_near_copies_and_edit_distance(spark):
     rng = np.random.default_rng(9)
     base = "".join(rng.choice(list("abcdefgh ij"), 800))
