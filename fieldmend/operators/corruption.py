@@ -10,9 +10,9 @@ from fieldmend.functions.geometry import axes
 from fieldmend.functions.rng import pick, uniform
 from fieldmend.operators import masks
 from fieldmend.operators.sampling import first_of_groups, ranked
-from fieldmend.session import cut, small
+from fieldmend.session import cut, few, small
 
-INFEASIBLE = "The requested corruption cannot retain one uncorrupted exemplar of every true class within each specimen. Reduce the corruption rate."
+INFEASIBLE = "so many labels can't change: each class of each specimen must keep one point; take a smaller share"
 
 
 def anchors(points: DataFrame, proximity: str | None = None) -> DataFrame:
@@ -86,13 +86,13 @@ def corrupt_mask(cells: DataFrame, mechanism: str, rate: float = 0.15, seed: int
     if mechanism not in ("impulse", "boundary", "patch"):
         raise ValueError("mechanism is impulse, boundary or patch")
     if not 0 < rate < 1:
-        raise ValueError("`rate` must lie strictly between zero and one")
+        raise ValueError(f"a share of cells is over 0 and under 1, not {rate}")
     names = masks.axes_of(cells)
     edge = masks.class_boundary(cells).select("mask_id", *names, "boundary")
     points = masks.with_id(cells).where("value is not null").join(edge, ["mask_id", *names])
     points = cut(points.select(F.col("mask_id").alias("sample"), "id", *names, F.col("value").alias("truth"), "boundary", F.when(F.col("boundary"), 0.0).otherwise(1.0).alias("depth")))
     n = points.count()
-    classes = [r.truth for r in points.select("truth").distinct().orderBy("truth").collect()]
+    classes = few(points.select("truth").distinct(), "classes")
     if n < 2 or len(classes) < 2:
         raise ValueError("mask corruption needs at least two cells and two classes")
     count = corruption_count(n, rate)
@@ -106,7 +106,7 @@ def corrupt_mask(cells: DataFrame, mechanism: str, rate: float = 0.15, seed: int
         done = done.withColumn("new", F.when(F.size("near") > 0, F.element_at("near", pick(seed, "near", F.size("near"), "id") + 1)).otherwise(any_other))
     else:
         centre = points.join(near, ["sample", *names]).orderBy(draw, "id").limit(1).first()
-        sizes = {r.truth: r.n for r in points.groupBy("truth").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {r.truth: r.n for r in points.groupBy("truth").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes, few as shown
         fits = [t for t in dict.fromkeys([*centre.near, *classes]) if sum(min(s, s - 1) for c, s in sizes.items() if c != t) >= count]
         if not fits:
             raise ValueError(INFEASIBLE)
@@ -125,7 +125,7 @@ def corrupt_field(points: DataFrame, mechanism: str, noise: float, classes: list
     if mechanism not in ("random", "boundary", "patch", "region"):
         raise ValueError("noise_type is random, boundary, patch or region")
     if not 0 <= noise < 1:
-        raise ValueError("`noise` must be at least zero and below one")
+        raise ValueError(f"a share of labels is 0 or more and under 1, not {noise}")
     draw = uniform(seed, "order", "id")
     new = other_class(seed, "other", classes, "truth")
     if mechanism in ("random", "boundary"):

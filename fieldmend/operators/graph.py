@@ -68,14 +68,14 @@ class VoteSettings:
     def checked(self, classes: int) -> VoteSettings:
         support = 0.25 * min(1.0, (12 / classes) ** 0.5) if self.current_support is None else self.current_support
         if self.iterations < 1 or not 0.5 <= self.consensus < 1 or self.preserve < 0 or not 0 <= self.margin < 1 or not 0 <= support <= 1:
-            raise ValueError("Invalid refinement settings in `control`.")
+            raise ValueError(f"vote settings out of their bounds: {self}")
         return replace(self, current_support=support)
 
     @classmethod
     def of(cls, control: dict) -> VoteSettings:
         unknown = set(control) - set(cls.__dataclass_fields__)
         if unknown:
-            raise ValueError(f"Unknown `control` setting: {', '.join(sorted(unknown))}")
+            raise ValueError(f"the vote has no settings {', '.join(sorted(unknown))}")
         return cls(**control)
 
 

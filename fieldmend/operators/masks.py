@@ -20,7 +20,7 @@ def from_arrays(df: DataFrame, column: str = "mask") -> DataFrame:
     """Cells of nested arrays (rows of columns, or rows of columns of slices), with mask_id."""
     depth = df.schema[column].dataType.simpleString().count("array<")
     if depth not in (2, 3):
-        raise ValueError("`mask` must be a non-empty matrix or three-dimensional array.")
+        raise ValueError("a mask is an array of rows of cells, or of rows of columns of cells")
     out = df.select("mask_id", F.posexplode(column).alias("r", "v"))
     for a in ("c", "s")[: depth - 1]:
         out = out.select(*[x for x in out.columns if x != "v"], F.posexplode("v").alias(a, "v2")).withColumnRenamed("v2", "v")
@@ -44,12 +44,12 @@ def validate_mask(cells: DataFrame) -> None:
 
     kind = cells.schema["value"].dataType
     if not isinstance(kind, (T.StringType, T.BooleanType, T.NumericType)):
-        raise ValueError("`mask` must contain factor, character, logical, integer, or numeric values.")
+        raise ValueError(f"cells hold text, booleans or numbers, not {kind.simpleString()}")
     found = cells.agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("kept")).first()
     if not found.n:
-        raise ValueError("`mask` must be a non-empty matrix or three-dimensional array.")
+        raise ValueError("a mask without cells")
     if not found.kept:
-        raise ValueError("`mask` must contain at least one non-missing label.")
+        raise ValueError("all cells of the mask are void")
 
 
 def face_neighbours(cells: DataFrame) -> DataFrame:

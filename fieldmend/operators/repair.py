@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fieldmend.functions.geometry import CHARTS, axes, chart_cells, hilbert_code, robust_unit, specimens
 from fieldmend.functions.quantiles import percentiles
 from fieldmend.operators.knn import nearest_lists
-from fieldmend.session import cut, small
+from fieldmend.session import cut, few, small
 
 SCALE = 5.0
 FLOOR = 1e-12
@@ -234,16 +234,19 @@ def repair(points: DataFrame, dims: int, classes: int, run_rows: int = RUN_ROWS)
     return decide(reduce(DataFrame.unionByName, parts))
 
 
-def repair_labels(points: DataFrame, dims: int, levels: list[str] | None = None, **options) -> DataFrame:
+def repair_labels(points: DataFrame, dims: int, levels: list[str] | None = None, **controls) -> DataFrame:
     """The public form: points with label (text) in, refined and candidate (text) and the diagnostics out. Without
-    levels these are the distinct labels in binary order."""
+    levels these are the distinct labels in binary order. The repair has no controls: any that is given raises, before
+    anything is read."""
+    if controls:
+        raise ValueError(f"the repair takes no controls, but was given {', '.join(sorted(controls))}")
     from fieldmend.sources.points import encoded, validate_points
 
     validate_points(points, dims)
     if levels is None:
-        levels = [r.label for r in points.select("label").distinct().orderBy("label").collect()]
+        levels = few(points.select("label").distinct(), "labels")
     names = F.array(*map(F.lit, levels))
-    done = repair(encoded(points, levels), dims, len(levels), **options)
+    done = repair(encoded(points, levels), dims, len(levels))
     name = lambda c: F.element_at(names, F.col(c)).alias(c)
     rest = [c for c in done.columns if c not in ("sample", "id", "code", "refined", "candidate")]
     return done.select("sample", "id", F.element_at(names, F.col("code")).alias("label"), name("refined"), name("candidate"), *rest)

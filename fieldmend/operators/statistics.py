@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmend.operators.metrics import average_rank
+from fieldmend.operators.sampling import ranked
 
 
 def wide(scores: DataFrame, key: str, methods: list[str], value: str = "value") -> DataFrame:
@@ -69,9 +70,10 @@ def signed_ranks(scores: DataFrame, key: str, pairs: DataFrame, value: str = "va
     """For each pair of methods (a, b): n (differences but zeros), v (rank sum of the positive ones), ties."""
     side = lambda m, c: scores.select(key, F.col("method").alias(m), F.col(value).alias(c))
     diff = pairs.join(side("a", "va"), "a").join(side("b", "vb"), ["b", key]).withColumn("d", F.round(F.col("va") - F.col("vb"), 12)).where("d <> 0").withColumn("size", F.abs("d"))
-    up, same = Window.partitionBy("a", "b").orderBy("size"), Window.partitionBy("a", "b", "size")
-    ranked = diff.withColumns({"t": F.count(F.lit(1)).over(same)}).withColumn("rank", F.rank().over(up) + (F.col("t") - 1) / 2.0)
-    return ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("v"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
+    # Equal differences share the mean of their places, which are worked out by ranges: no pair is in one task.
+    equal = ranked(diff, F.col("size"), F.col(key), by=["a", "b"], out="place").groupBy("a", "b", "size").agg(F.count(F.lit(1)).alias("t"), F.min("place").alias("first"), F.count_if(F.col("d") > 0).alias("up"))
+    rank = F.col("first") + (F.col("t") - 1) / 2.0
+    return equal.groupBy("a", "b").agg(F.sum("t").alias("n"), F.sum(F.col("up") * rank).alias("v"), F.sum((F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double")).alias("ties"))
 
 
 def holm(p_values: list[float]) -> list[float]:

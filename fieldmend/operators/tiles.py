@@ -50,7 +50,7 @@ def tiles(points: DataFrame, grid: DataFrame, dims: int, overlap: float = 0.15)
     numbered from 1, the first axis fastest. A point is offered to its own tile and its neighbours only, so overlap
     is at most 1."""
     if not 0 <= overlap <= 1:
-        raise ValueError("Invalid `execution` setting: overlap")
+        raise ValueError(f"halos overlap by 0 to 1 of a tile, not {overlap}")
     names = axes(dims)
     joined = points.select("sample", "id", *names).join(small(grid)[0], "sample")
     for a in names:

@@ -47,9 +47,9 @@ def run_benchmark(fields: SpatialBenchmark | list[SpatialBenchmark], methods: di
     """A row per field and method: dataset, method, the measures, error. "Initial" is the input itself. A method's
     result is written to a checkpoint within the time that counts; on_error="record" keeps an error's text."""
     if not methods or not all(callable(m) for m in methods.values()):
-        raise ValueError("`methods` must be a non-empty named list of functions")
+        raise ValueError("methods are functions by name, one at least")
     if "Initial" in methods:
-        raise ValueError("The method name `Initial` is reserved")
+        raise ValueError("Initial is the name of the input itself")
     if on_error not in ("stop", "record"):
         raise ValueError("on_error is stop or record")
     from fieldmend.session import cut

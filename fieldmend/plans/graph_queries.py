@@ -10,6 +10,7 @@ from fieldmend.operators.knn import nearest, nearest_lists, undirected
 from fieldmend.plans import fields
 from fieldmend.plans.registry import query, rounded, table
 from fieldmend.plans.repair_queries import FINAL, chain
+from fieldmend.session import few
 
 K, DIMS = 11, 3
 U = "(CAST('0x' || substr(md5(concat_ws(':', '{seed}', '{stream}', CAST({id} AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0)"
@@ -344,7 +345,7 @@ def q_mask_adjacent(spark, d):
 
 
 def mask_levels(spark, d) -> list[str]:
-    return sorted(r[0] for r in table(spark, d, "part").select("p_type").distinct().collect())
+    return few(table(spark, d, "part").select("p_type").distinct(), "levels")
 
 
 @query(

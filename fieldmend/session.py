@@ -64,6 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, what: str) -> list:
+    """The values of a column of distinct rows, ascending, for lists that plans hold as literals; more than SMALL_ROWS raise."""
+    found = [r[0] for r in df.limit(SMALL_ROWS + 1).collect()]
+    if len(found) > SMALL_ROWS:
+        raise ValueError(f"there are more than {SMALL_ROWS} {what}")
+    return sorted(v for v in found if v is not None)
+
+
 def small(df: DataFrame, rows: int | None = None):
     """A DataFrame with the rows of df, worked out once, and these rows if they are few: a table of no more than `rows`
     rows is to be broadcast where it is joined; a larger one is cut, and there are no rows."""

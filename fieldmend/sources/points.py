@@ -61,7 +61,7 @@ class SpatialBenchmark:
         for flag in ("boundary", "sparse", "corrupted"):
             if flag in frame.columns:
                 if not isinstance(frame.schema[flag].dataType, T.BooleanType) or frame.where(F.col(flag).isNull()).limit(1).count():
-                    raise ValueError(f"`{flag}` must contain one non-missing logical value per observation.")
+                    raise ValueError(f"{flag} is true or false for each point")
         if "boundary" not in frame.columns and "boundary_proximity" in frame.columns:
             cut_ = frame.agg(F.percentile("boundary_proximity", 0.2).alias("cut"))
             frame = frame.join(F.broadcast(cut_)).withColumn("boundary", F.col("boundary_proximity") <= F.col("cut")).drop("cut")

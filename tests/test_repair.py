@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmend import session
 from fieldmend.functions import geometry, quantiles
-from fieldmend.operators.repair import repair
+from fieldmend.operators.repair import repair, repair_labels
 
 SCHEMA = "sample string, id long, x double, y double, code int"
 
@@ -73,3 +73,11 @@ def test_bounds_do_not_change_a_repair(spark, monkeypatch):
         assert (r["code"], r["refined"], r["candidate"], r["changed"]) == tuple(other[key][c] for c in ("code", "refined", "candidate", "changed"))
         assert [r[c] for c in ("margin_score", "required", "isolation")] == pytest.approx([other[key][c] for c in ("margin_score", "required", "isolation")], abs=1e-6)
     assert any(r["changed"] for r in plain.values())
+
+
+def test_public_repair_takes_no_controls(spark):
+    """A tuning control is refused by its name before anything is read."""
+    points = spark.createDataFrame([("a", 1, 0.0, 0.0, "u")], "sample string, id long, x double, y double, label string")
+    for name in ("run_rows", "neighbors", "iterations", "control"):
+        with pytest.raises(ValueError, match=name):
+            repair_labels(points, 2, **{name: 3})

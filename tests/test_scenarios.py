@@ -58,7 +58,7 @@ def test_many_scenarios_equal_one_by_one(spark):
         assert got == {(r.id, r.anchor, r.selected) for r in one.collect()} and sum(s for _, _, s in got) == want
         kept = many.where(f"scenario = {scenario} and not selected").select("sample", "truth").distinct().count()
         assert kept == points.select("sample", "truth").distinct().count()
-    with pytest.raises(ValueError, match="exemplar"):
+    with pytest.raises(ValueError, match="keep one point"):
         corruption.select_preserving(points.crossJoin(design.where("scenario > 2").withColumn("want", F.col("want") + 10)), F.col("want"), [draw("scenario")], by=["scenario"])
 
 
