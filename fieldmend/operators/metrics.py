@@ -58,13 +58,14 @@ def joined_on(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys) if keys else a.crossJoin(b)  # one row each without keys
 
 
-def evaluate(frame: DataFrame, keys: list[str] | None = None, seconds: float | None = None, method: str | None = None) -> DataFrame:
-    """One row per group with all measures; those of an empty stratum are null. The sparse and the dense region are those with the
+def evaluate(frame: DataFrame, keys: list[str] | None = None, seconds: float | None = None, method: str | None = None, weight: str | None = None) -> DataFrame:
+    """One row per group with all measures; those of an empty stratum are null. weight names a column that tells how many rows one
+    stands for. The sparse and the dense region are those with the
     fewest and the most rows, the first in order of equals, unless sparse is given."""
     keys = list(keys or [])
     given = [c for c in ("boundary", "sparse", "unresolved") if c in frame.columns]
     region = F.col("region" if "region" in frame.columns else "truth").cast("string")
-    cells = frame.groupBy(*keys, "truth", "initial", "refined", region.alias("fm_region"), *given).agg(F.count(F.lit(1)).cast("double").alias("fm_c"))
+    cells = frame.groupBy(*keys, "truth", "initial", "refined", region.alias("fm_region"), *given).agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("double").alias("fm_c"))
     right, was, changed = F.col("refined") == F.col("truth"), F.col("initial") == F.col("truth"), F.col("refined") != F.col("initial")
     no = F.lit(None).cast("boolean")
     edge, thin = (F.col(c) if c in given else no for c in ("boundary", "sparse"))

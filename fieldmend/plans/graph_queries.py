@@ -10,7 +10,8 @@ from fieldmend.operators.knn import nearest, nearest_lists, undirected
 from fieldmend.plans import fields
 from fieldmend.plans.registry import query, rounded, table
 from fieldmend.plans.repair_queries import FINAL, chain
-from fieldmend.session import few
+from fieldmend.session import few, scratch
+from fieldmend.streaming import evaluation
 
 K, DIMS = 11, 3
 U = "(CAST('0x' || substr(md5(concat_ws(':', '{seed}', '{stream}', CAST({id} AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0)"
@@ -304,6 +305,17 @@ def q_eval_overall(spark, d):
     return rounded(metrics.evaluate(triple(spark, d)), *MEASURES)
 
 
+@query("q_eval_stream", f"WITH {eval_sql(['sample'])} SELECT * FROM res")
+def q_eval_stream(spark, d):
+    """The evaluation by specimen of orders that arrive in eight files, two a batch, by counts kept as the state of a stream."""
+    place = scratch(spark, "arriving")
+    rows = triple(spark, d)
+    rows.repartition(8, "id").write.parquet(f"{place}/rows")
+    stream = evaluation.arriving(spark, f"{place}/rows", rows.schema, 2)
+    evaluation.evaluate_stream(stream, f"{place}/counts", f"{place}/checkpoint", ["sample"]).awaitTermination()
+    return rounded(evaluation.evaluated(spark, f"{place}/counts", ["sample"]), *MEASURES)
+
+
 @query("q_eval_strata", f"WITH {eval_sql(['sample'])} SELECT * FROM res")
 def q_eval_strata(spark, d):
     return rounded(metrics.evaluate(triple(spark, d), ["sample"]), *MEASURES)
