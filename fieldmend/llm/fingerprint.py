@@ -177,7 +177,7 @@ EDGE = ", part int, edge string, text string"
 def ordered(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text) in `n` ranges of about equal numbers of rows, a task each, in descending order: nulls last, equal ids by the
     text's digest, equal texts of one id by row."""
-    keyed = docs.select("doc_id", "text", F.md5("text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    keyed = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("key"), F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("key").desc(), F.col("row").desc()]
     return keyed.repartitionByRange(max(1, n), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
@@ -225,7 +225,7 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
             out.append((held[0], *[None] * 6, part, "last", held[1]))
         yield _batch(out, OUT + EDGE)
 
-    both = stored(ranges.mapInArrow(mark, OUT + EDGE), "fingerprints")
+    both = stored(ranges.mapInArrow(mark, OUT + EDGE), "fingerprints", "zstd")  # hex digits take half a byte
     columns = [c.split()[0] for c in OUT.split(", ")]
     firsts, lasts = (both.where(F.col("edge") == e).select("part", "doc_id", "text") for e in ("first", "last"))
     over = Window.orderBy("part")
