@@ -23,8 +23,10 @@ def folder(spark, tmp_path_factory):
     rng = np.random.default_rng(3)
     near = ["w" + " w".join(map(str, rng.integers(0, 40, 40))) for _ in range(12)]
     near += [" ".join([*t.split()[:-1], "x"]) for t in near[:6]]
-    docs = [(k, t, k) for k, t in enumerate(TEXTS + near)]
-    spark.createDataFrame(docs, "doc_id long, text string, n long").coalesce(2).write.parquet(f"{at}/documents.parquet")
+    docs = [(k, t, k, [None, "", "s", "t"][k % 4]) for k, t in enumerate(TEXTS + near)]
+    known = [(k, k % 2, int(k % 3 == 0)) for k in range(0, 40, 2)] + [(3, None, 1), (4, 1, 1), (None, 1, 1), (999, 1, 1)]
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, n long, source string").coalesce(2).write.parquet(f"{at}/documents.parquet")
     items = [(1, TEXTS[16]), (2, "b c"), (3, None), (4, "..."), (None, "c d e"), (5, "cöde"), (2, "b c")]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{at}/benchmark.parquet")
     pages = [(k, f"http://h{k % 3}.org/{k}", t) for k, t in enumerate(TEXTS + ["p" * 1000] * 3 + ["p" * 999] * 2)] + [(-1, None, "q" * 2000), (77, "http://[bad", "q" * 2000)]
@@ -41,7 +43,7 @@ def rows(found):
 def test_query_equals_sql(spark, folder, name, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     want = con.execute(sql.SQL[name])
     names = [c[0] for c in want.description]
