@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from fieldmend.operators import corruption, masks, metrics, sampling, statistics
+from fieldmend.operators import corruption, metrics, sampling, statistics
 from fieldmend.operators.knn import nearest
 from fieldmend.plans import fields
 from fieldmend.plans.graph_queries import FACES, edges_sql, triple, TRIPLE, u_sql
