@@ -9,8 +9,14 @@ Bit sampling: each of SLOTS slots looks at one step of the embedding. Of all ste
 one with the smallest hash under the slot, so texts of nearly equal lengths look at the same steps. A slot keeps eight
 bits of a hash of the GRAM characters from there on. The fingerprint is the slots as pairs of hex digits.
 
-Likeness of two fingerprints: the share of equal slots, less what chance gives, from 0 to 1. Banding: samples of
-slots as keys bring candidates together, which a check of likeness and of the texts' edit distance confirms.
+Likeness of two fingerprints: the share of equal slots, less what chance gives, from 0 to 1.
+
+near_copies: a walk over a whole text that has fallen out of step often stays so for as many steps again, so long texts with
+many edits have few slots in common. There walks begin anew at anchors: places whose gram's hash is the least of all
+within AROUND characters, which an edit elsewhere doesn't move. What a few steps lead to from each anchor are the text's
+features, and each slot takes the one with the least hash under it, so slots agree as often as texts share features,
+wherever these stand. Banding: samples of slots as keys bring candidates together, which a check of likeness and of the
+texts' edit distance confirms.
 
 Defined results: null texts are empty; empty texts have a fingerprint of their own; equal texts have equal
 fingerprints; repeated rows follow each other; other columns are passed over, whatever their names. The document that follows
@@ -34,14 +40,16 @@ from .jaccard import components, rooted
 from .shingles import mix
 
 PERIOD, CLASSES, SLOTS, GRAM = 2039, 64, 128, 6
-#: Keys of a document, and slots sampled for each.
-BANDS, BAND = 64, 3
+#: near_copies: keys of a document, and slots (of 16 bits) sampled for each.
+BANDS, BAND = 64, 2
+#: near_copies: an anchor's gram is the least so far on either side; steps of the walk from it at which a feature is taken.
+AROUND, REACH = 8, (4, 8, 12, 16)
 #: Steps that a sampler looks at in one go; characters of a range of documents at most, on average.
 CHUNK, SLICE_CHARS = 1 << 15, 64 << 20
 #: near_copies: documents of a bucket that are compared at once; how often a bucket is held against one document first.
 BLOCK, STARS = 1000, 2
-#: near_copies: the least likeness of fingerprints for texts to be compared; measured recall in the README.
-LEAST = 0.1
+#: near_copies: the least likeness of marks for texts to be compared, and edits of a linked pair by the longer text's length.
+LEAST, SHARE = 0.1, 0.05
 NEVER = np.iinfo(np.int64).max
 
 
@@ -149,14 +157,70 @@ class Fingerprinter:
         return self.of(points, np.concatenate((steps[:kept], rest)))
 
 
+def lowest_near(x: np.ndarray, around: int) -> np.ndarray:
+    """The least number within so many places of each."""
+    edge = np.full(around, np.iinfo(x.dtype).max, x.dtype)
+    low, size, want = np.concatenate((edge, x, edge)), 1, 2 * around + 1
+    while size < want:
+        more = min(size, want - size)
+        low = np.minimum(low[:-more], low[more:])
+        size += more
+    return low
+
+
+class Anchored:
+    """A text's mark: slots of 16 bits out of walks that begin at anchors."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.bits = Walk().bits
+        self.odd = mix(np.arange(1, GRAM + 1, dtype=np.uint64)) | np.uint64(1)
+        self.salts = mix(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(0x2545F491))
+        self.empty = bytes(2 * slots)
+
+    def features(self, points: np.ndarray) -> list[np.ndarray]:
+        """For each of REACH the distinct hashes of an anchor's gram and the gram that the walk from it leads to."""
+        n = len(points)
+        wide = np.concatenate((points, np.full(GRAM, 0xFFFFFFFF, np.uint32))).astype(np.uint64)
+        grams = np.zeros(n + 1, np.uint64)
+        for k in range(GRAM):
+            grams += wide[k : n + 1 + k] * self.odd[k]
+        grams = mix(grams)
+        kinds = ((wide[: n + 1] * np.uint64(0x9E3779B1)) >> np.uint64(26)).astype(np.int64) & (CLASSES - 1)
+        anchors = np.flatnonzero(grams[:n] == lowest_near(grams[:n], AROUND))
+        at, out = anchors.copy(), []
+        for step in range(REACH[-1] + 1):
+            if step in REACH:
+                out.append(np.unique(mix(grams[anchors] * np.uint64(3) + grams[at] + np.uint64(step))))
+            at = np.minimum(at + self.bits[step, kinds[at]], n)
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        points = code_points(text)
+        if not len(points):
+            return self.empty
+        least = np.full(len(self.salts), np.iinfo(np.uint64).max, np.uint64)
+        for v, found in enumerate(self.features(points)):
+            salts = self.salts[v :: len(REACH), None]
+            for at in range(0, len(found), CHUNK):
+                low = mix(found[None, at : at + CHUNK] ^ salts).min(axis=1)
+                least[v :: len(REACH)] = np.minimum(least[v :: len(REACH)], low)
+        return (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
 def slots_of(prints: list[str]) -> np.ndarray:
     """Fingerprints as rows of slots."""
     return np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1)
 
 
+def marks_of(marks: list[bytes]) -> np.ndarray:
+    """Marks as rows of slots."""
+    return np.frombuffer(b"".join(marks), "<u2").reshape(len(marks), -1)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The share of equal slots of each row, less what chance gives."""
-    return np.maximum(0.0, ((a == b).mean(axis=-1) - 1 / 256) / (255 / 256))
+    chance = 1 / (1 << 8 * a.itemsize)
+    return np.maximum(0.0, ((a == b).mean(axis=-1) - chance) / (1 - chance))
 
 
 def likeness(a: str, b: str) -> float:
@@ -254,33 +318,53 @@ def _batch(rows: list[tuple], schema: str = OUT) -> pa.RecordBatch:
 
 
 def edit_distance(a: str, b: str, most: int) -> int | None:
-    """Edits between two texts, or None if they are more than `most`: furthest reaching points by diagonal."""
-    x, y = code_points(a), code_points(b)
-    if abs(len(x) - len(y)) > most:
+    """Edits between two texts, or None if they are more than `most`: furthest reaching points, of all diagonals at once. Time
+    goes with the square of `most`, memory with `most` and the texts."""
+    goal = len(a) - len(b)
+    if abs(goal) > most:
         return None
-
-    def slide(i: int, j: int) -> int:
-        while i < len(x) and j < len(y):
-            size = min(256, len(x) - i, len(y) - j)
-            same = x[i : i + size] == y[j : j + size]
-            if same.all():
-                i, j = i + size, j + size
-            else:
-                return i + int(np.argmin(same))
-        return i
-
-    reach = {0: slide(0, 0)}
-    goal = len(x) - len(y)
+    # An end of its own for each text, which equals nothing.
+    x, y = (np.concatenate((code_points(t), np.array([end], np.uint32))) for t, end in ((a, 0x110000), (b, 0x110001)))
+    nx, ny = len(x) - 1, len(y) - 1
+
+    def slide(i: np.ndarray, d: np.ndarray) -> None:
+        """Moves points on along equal characters: all some way together, the few that go on in blocks."""
+        live = np.arange(len(i))
+        for _ in range(16):
+            live = live[x[i[live]] == y[i[live] - d[live]]]
+            if not len(live):
+                return
+            i[live] += 1
+        for k in live.tolist():
+            p, q, size = int(i[k]), int(i[k] - d[k]), 64
+            while True:
+                size = min(2 * size, nx - p, ny - q)
+                same = x[p : p + size] == y[q : q + size]
+                if size <= 0 or not same.all():
+                    i[k] = p + (int(np.argmin(same)) if size > 0 else 0)
+                    break
+                p, q = p + size, q + size
+
+    # Diagonals (place in a less place in b) from which the goal is in reach; -2: not yet come to.
+    low, high = -((most - goal) // 2), (most + goal) // 2
+    reach = np.full(high - low + 3, -2, np.int64)
+    diagonals = np.arange(low, high + 1)
+    reach[1 - low] = 0
+    first = reach[1 - low : 2 - low]
+    slide(first, np.zeros(1, np.int64))
     for edits in range(most + 1):
-        if reach.get(goal, -1) >= len(x):
+        if reach[goal - low + 1] >= nx:
             return edits
-        after = {}
-        for d in range(-edits - 1, edits + 2):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
-            i = min(i, len(x))
-            if i >= max(0, d) and i - d <= len(y):
-                after[d] = slide(i, i - d)
-        reach = after
+        lo, hi = max(low, -edits - 1) - low, min(high, edits + 1) - low
+        d = diagonals[lo : hi + 1]
+        here, less, more = (reach[lo + k : hi + 1 + k] for k in (1, 0, 2))
+        i = np.minimum(np.maximum(np.maximum(here, less) + 1, more), nx)
+        real = (i >= np.maximum(0, d)) & (i - d <= ny)
+        points, on = i[real], d[real]
+        slide(points, on)
+        i[:] = -2
+        i[real] = points
+        reach[lo + 1 : hi + 2] = i
     return None
 
 
@@ -290,7 +374,7 @@ def band_slots(slots: int, bands: int, band: int) -> list[list[int]]:
     return [sorted(rng.choice(slots, band, replace=False).tolist()) for _ in range(bands)]
 
 
-def near_copies(docs: DataFrame, least: float = LEAST, share: float = 0.1, slots: int = SLOTS, bands: int = BANDS, band: int = BAND, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = LEAST, share: float = SHARE, slots: int = SLOTS, bands: int = BANDS, band: int = BAND, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b, likeness), a < b: documents that agree in a sample of slots, whose likeness is `least`
     and whose edit distance is at most `share` of the longer text. Equal texts collapse first.
 
@@ -304,11 +388,11 @@ def near_copies(docs: DataFrame, least: float = LEAST, share: float = 0.1, slots
     texts = stored(docs.withColumn("h", F.sha2("text", 256)).join(reps, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
 
     def mark(batches):
-        make = Fingerprinter(slots)
+        make = Anchored(slots)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "mark"])
 
-    marks = stored(texts.mapInArrow(mark, "doc_id long, mark string"), "marks")
+    marks = stored(texts.mapInArrow(mark, "doc_id long, mark binary"), "marks")
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.substring("mark", 2 * i + 1, 2) for i in some)) for k, some in enumerate(band_slots(slots, bands, band))))
     links = None
     for k in range(STARS):
@@ -352,7 +436,7 @@ def _alike(least: float):
     def check(batches):
         for batch in batches:
             if batch.num_rows:
-                like = alike(*(slots_of(batch.column(k).to_pylist()) for k in (2, 3)))
+                like = alike(*(marks_of(batch.column(k).to_pylist()) for k in (2, 3)))
                 keep = np.flatnonzero(like >= least)
                 yield _pairs(*(batch.column(k).to_numpy()[keep] for k in (0, 1)), like[keep])
 
@@ -365,7 +449,7 @@ def _compared(least: float):
     def compare(table: pa.Table) -> pa.Table:
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         own, ids, comp = (table.column(c).to_numpy() for c in ("own", "doc_id", "comp"))
-        marks = slots_of(table.column("mark").to_pylist())
+        marks = marks_of(table.column("mark").to_pylist())
         right = np.flatnonzero(own == q)
         out = []
         for i in np.flatnonzero(own == p):

@@ -318,22 +318,69 @@ def test_fingerprint_equals_a_plain_walk():
         assert bytes.fromhex(make(text)) == bytes(want)
 
 
-def test_near_copies_recall(spark):
-    """Copies with up to two edits in a hundred characters: nine tenths are found; others stay apart."""
+@pytest.mark.parametrize("chars", [100, 300, 1500, 6000, 20000])
+def test_near_copies_recall(spark, chars):
+    """Copies with 1 to 5 edits in a hundred characters (substitutions, insertions, deletions): nine tenths at least are found at each
+    share; others stay apart."""
     rng = np.random.default_rng(13)
-    letters, rows = list("abcdefgh ijklmnop"), []
-    for k in range(60):
-        base = "".join(rng.choice(letters, int(rng.integers(300, 1600))))
+    words = ["".join(rng.choice(list("etaoinshrdlucm"), int(rng.integers(2, 9)))) for _ in range(2000)]
+    rows, each = [], 20
+    for k in range(3 * each):
+        base = " ".join(rng.choice(words, chars // 3))[:chars]
         copy = list(base)
-        for _ in range(int(rng.integers(1, 1 + len(base) // 50))):
+        for _ in range(chars * (1 + 2 * (k // each)) // 100):
             at = int(rng.integers(0, len(copy)))
-            copy[at : at + int(rng.integers(0, 2))] = list("XYZ"[: int(rng.integers(0, 3))])
+            copy[at : at + int(rng.integers(0, 2))] = list("xyzq"[int(rng.integers(0, 4))] * int(rng.integers(0, 2)))
         rows += [(2 * k, base), (2 * k + 1, "".join(copy))]
     rows += [(500, rows[0][1]), (501, None), (502, ""), (None, rows[0][1])]
     out = fingerprint.near_copy_classes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1))).collect()
     got = {r.doc_id: r.component_id for r in out}
     assert len(out) == len(rows) and got[500] == 0 and got[501] == got[502] == 501 and got[None] is None
-    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(60)) and sum(got[2 * k + 1] == 2 * k for k in range(60)) >= 54
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(3 * each))
+    for share in range(3):
+        assert sum(got[2 * k + 1] == 2 * k for k in range(share * each, (share + 1) * each)) >= 0.9 * each
+
+
+def test_near_copies_of_odd_tables(spark):
+    """No rows, only nulls, one text of two million characters beside its copy, and one of a single character."""
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert fingerprint.near_copy_classes(none).collect() == []
+    nulls = spark.createDataFrame([(None, None), (3, None), (3, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.component_id) for r in fingerprint.near_copy_classes(nulls).collect()) == [("3", 3), ("3", 3), ("None", None)]
+    rng = np.random.default_rng(15)
+    long = "".join(rng.choice(list("abcdefgh ij"), 2_000_000))
+    rows = [(1, long), (2, long[:700_000] + "inserted" + long[700_000:]), (3, "a" * 300_000), (4, "a" * 299_990), (5, "𝒳" * 40)]
+    out = fingerprint.near_copy_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
+
+
+def test_marks_equal_a_plain_search():
+    """Anchors by looking at every window, walks step by step, each slot's feature by looking at all."""
+    make = fingerprint.Anchored(8)
+    rng = np.random.default_rng(16)
+    for text in ["a", "ab" * 40, "".join(rng.choice(list("abc é𝒳\n"), 700)), "x" * 300]:
+        points = fingerprint.code_points(text).tolist()
+        n = len(points)
+        grams = []
+        for i in range(n + 1):
+            total = 0
+            for k in range(fingerprint.GRAM):
+                total += (points[i + k] if i + k < n else 0xFFFFFFFF) * int(make.odd[k])
+            grams.append(int(fingerprint.mix(np.array([total % (1 << 64)], np.uint64))[0]))
+        anchors = [i for i in range(n) if grams[i] == min(grams[max(0, i - fingerprint.AROUND) : min(n, i + fingerprint.AROUND + 1)])]
+        want = np.zeros(8, np.uint16)
+        for v, steps in enumerate(fingerprint.REACH):
+            features = set()
+            for i in anchors:
+                at = i
+                for step in range(steps):
+                    if at < n:
+                        at += int(make.bits[step, (points[at] * 0x9E3779B1 >> 26) % fingerprint.CLASSES])
+                features.add((grams[i] * 3 + grams[at] + steps) % (1 << 64))
+            found = fingerprint.mix(np.array(sorted(features), np.uint64))
+            for slot in range(v, 8, len(fingerprint.REACH)):
+                want[slot] = int(fingerprint.mix(found ^ make.salts[slot]).min()) & 0xFFFF
+        assert make(text) == want.astype("<u2").tobytes()
 
 
 def test_fingerprints_of_equal_ids_are_sliced(spark):
@@ -377,6 +424,15 @@ def test_near_copies_and_edit_distance(spark):
         a, b = ("".join(rng.choice(list("abc"), int(rng.integers(0, 12)))) for _ in range(2))
         d = edits(a, b)
         assert fingerprint.edit_distance(a, b, 12) == d and (d == 0 or fingerprint.edit_distance(a, b, d - 1) is None)
+    for _ in range(15):
+        # Long equal stretches: they are passed in blocks.
+        a = "".join(rng.choice(list("ab"), int(rng.integers(200, 500))))
+        b = list(a)
+        for at in rng.integers(0, len(b) - 1, int(rng.integers(0, 6))):
+            b[at : at + int(rng.integers(0, 2))] = "ab"[: int(rng.integers(0, 3))]
+        b = "".join(b)
+        d = edits(a, b)
+        assert fingerprint.edit_distance(a, b, 30) == d == fingerprint.edit_distance(b, a, d) and (d == 0 or fingerprint.edit_distance(a, b, d - 1) is None)
 
 
 @pytest.mark.parametrize("block", [1000, 7])
@@ -390,7 +446,8 @@ def test_near_copies_in_hot_buckets(spark, block):
             w = base.copy()
             w[rng.integers(0, 400, int(rng.integers(0, 12)))] = "X"
             rows.append((len(rows), "".join(w)))
-    make, keys = fingerprint.Fingerprinter(slots), fingerprint.band_slots(slots, 12, 1)
+    make, keys = fingerprint.Anchored(slots), fingerprint.band_slots(slots, 12, 1)
+    like = lambda a, b: float(fingerprint.alike(*fingerprint.marks_of([a, b])))
     marks = {d: make(t) for d, t in rows}
     # Keys of one slot: buckets hold many documents that are unlike their smallest doc_id.
     distinct = [(d, t) for k, (d, t) in enumerate(rows) if t not in [x[1] for x in rows[:k]]]
@@ -398,15 +455,15 @@ def test_near_copies_in_hot_buckets(spark, block):
     every = set()
     for i, (a, s) in enumerate(distinct):
         for b, t in distinct[i + 1 :]:
-            x, y = fingerprint.slots_of([marks[a], marks[b]])
-            if any((x[some] == y[some]).all() for some in keys) and fingerprint.likeness(marks[a], marks[b]) >= 0.7 and fingerprint.edit_distance(s, t, 20) is not None:
+            x, y = fingerprint.marks_of([marks[a], marks[b]])
+            if any((x[some] == y[some]).all() for some in keys) and like(marks[a], marks[b]) >= 0.7 and fingerprint.edit_distance(s, t, 20) is not None:
                 every.add((a, b))
                 low, high = sorted((root[a], root[b]))
                 root = {d: low if r == high else r for d, r in root.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     links = fingerprint.near_copies(docs, least=0.7, share=0.05, slots=slots, bands=12, band=1, block=block)
     got = {(r.a, r.b): r.likeness for r in links.collect()}
-    assert set(got) <= every and all(x == fingerprint.likeness(marks[a], marks[b]) for (a, b), x in got.items())
+    assert set(got) <= every and all(x == like(marks[a], marks[b]) for (a, b), x in got.items())
     tops = {r.node: r.root for r in jaccard.components(links.select("a", "b")).collect()}
     assert {d: tops.get(d, d) for d in root} == root and len(every) > 20
 
