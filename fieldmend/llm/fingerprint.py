@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches
-from .jaccard import components, rooted
+from .jaccard import chosen, components, rooted
 from .shingles import mix
 
 PERIOD, CLASSES, SLOTS, GRAM = 2039, 64, 128, 6
 #: near_copies: keys of a document, and slots (of 16 bits) sampled for each.
-BANDS, BAND = 64, 2
+BANDS, BAND = 32, 2
 #: near_copies: an anchor's gram is the least so far on either side; steps of the walk from it at which a feature is taken.
 AROUND, REACH = 8, (4, 8, 12, 16)
 #: Steps that a sampler looks at in one go; characters of a range of documents at most, on average.
@@ -378,37 +378,39 @@ def near_copies(docs: DataFrame, least: float = LEAST, share: float = SHARE, slo
     """Verified links (a, b, likeness), a < b: documents that agree in a sample of slots, whose likeness is `least`
     and whose edit distance is at most `share` of the longer text. Equal texts collapse first.
 
-    First each band bucket's documents are held against one of them: the smallest doc_id, then ones drawn by a hash,
-    so large groups of copies contract. Then all pairs of a bucket that are still in different components are
-    compared, in blocks of about `block` documents dealt by Spark. So the links leave out pairs within a component
-    but have the components that all pairs would give."""
+    First each band bucket's documents are held against one of them: the smallest doc_id, then ones drawn by a hash, and
+    of these each document's likest is verified, so large groups of copies contract. Then all pairs of a bucket that are
+    still in different components are compared, in blocks of about `block` documents dealt by Spark. So the links leave
+    out pairs within a component but have the components that all pairs would give. Buckets hold ids alone; marks and
+    texts are joined to pairs."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    reps = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    texts = stored(docs.withColumn("h", F.sha2("text", 256)).join(reps, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
 
     def mark(batches):
         make = Anchored(slots)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([make(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "h", "mark"])
 
-    marks = stored(texts.mapInArrow(mark, "doc_id long, mark binary"), "marks")
+    every = docs.withColumn("h", F.unhex(F.sha2("text", 256))).mapInArrow(mark, "doc_id long, h binary, mark binary")
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.substring("mark", 2 * i + 1, 2) for i in some)) for k, some in enumerate(band_slots(slots, bands, band))))
-    links = None
-    for k in range(STARS):
-        keyed = _placed(marks, links).withColumn("band", F.explode(keys))
-        order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
-        pivot = keyed.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("p_comp"), F.col("mark").alias("p_mark"))).alias("x")).select("band", "x.*")
-        apart = keyed.join(pivot, "band").where("comp <> p_comp").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"), "mark", "p_mark")
-        found = _verified(apart.dropDuplicates(["a", "b"]).mapInArrow(_alike(least), "a long, b long, likeness double"), texts, share)
-        links = found if links is None else stored(links.unionByName(found), "links")
-    keyed = _placed(marks, links).withColumn("band", F.explode(keys))
-    open_ = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = keyed.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    marks = stored(every.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark")).drop("h"), "marks")
+    keyed = marks.select("doc_id", F.explode(keys).alias("band"))
+    pivot = keyed.groupBy("band").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("hi")).where("p <> hi").select("band", "p")
+    shared = stored(keyed.join(pivot, "band"), "shared")
+    links = _near(docs, _likest(_marked_pairs(shared.where("doc_id <> p").select("p", "doc_id"), marks, least)), share)
+    for k in range(1, STARS):
+        placed = _placed(shared, links)
+        x = F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("p_comp"))).alias("x")
+        pivot = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), x).where("lo <> hi").select("band", "x.p", "x.p_comp")
+        apart = placed.join(pivot, "band").where("comp <> p_comp").select("p", "doc_id")
+        links = stored(links.unionByName(_near(docs, _likest(_marked_pairs(apart, marks, least)), share)), "links")
+    placed = _placed(shared, links)
+    open_ = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = placed.join(open_, "band").join(marks, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "comp", "mark")
     rest = dealt.groupBy("band", "p", "q").applyInArrow(_compared(least), "a long, b long, likeness double")
-    return links.unionByName(_verified(rest.dropDuplicates(["a", "b"]), texts, share))
+    return links.unionByName(_near(docs, rest, share))
 
 
 def near_copy_classes(docs: DataFrame, **options) -> DataFrame:
@@ -421,9 +423,20 @@ def near_copy_classes(docs: DataFrame, **options) -> DataFrame:
     return rooted(rows.select("doc_id"), "doc_id", roots, "component_id")
 
 
-def _placed(marks: DataFrame, links: DataFrame | None) -> DataFrame:
-    """marks with comp, the smallest doc_id of the component so far."""
-    return marks.withColumn("comp", F.col("doc_id")) if links is None else stored(rooted(marks, "doc_id", components(links), "comp"), "placed")
+def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """band, doc_id and comp, the smallest doc_id of the component so far, of shared."""
+    return stored(rooted(shared.select("band", "doc_id"), "doc_id", components(links.select("a", "b")), "comp"), "placed")
+
+
+def _marked_pairs(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of the pairs (p, doc_id) whose likeness is `least`."""
+    both = pairs.distinct().join(marks, "doc_id").join(marks.select(F.col("doc_id").alias("p"), F.col("mark").alias("p_mark")), "p")
+    return both.select(F.col("p").alias("a"), F.col("doc_id").alias("b"), "mark", "p_mark").mapInArrow(_alike(least), "a long, b long, likeness double")
+
+
+def _likest(pairs: DataFrame) -> DataFrame:
+    """Of each b the pair that is likest, the smallest a among equals."""
+    return pairs.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b", "x.likeness")
 
 
 def _pairs(a, b, like) -> pa.RecordBatch:
@@ -462,14 +475,17 @@ def _compared(least: float):
     return compare
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b, likeness) whose edit distance is at most `share` of the longer text."""
+def _near(docs: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b, likeness), as a < b, whose edit distance is at most `share` of the longer text."""
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
     pairs = stored(pairs, "pairs")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(chosen(docs, ids).dropDuplicates(["doc_id", "text"]), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches):
         for batch in batches:
             out = [(a, b, like) for a, b, like, s, t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True) if edit_distance(s, t, int(share * max(len(s), len(t)))) is not None]
             yield _pairs(*([o[k] for o in out] for k in range(3)))
 
-    return stored(both.select("a", "b", "likeness", "text_a", "text_b").mapInArrow(check, "a long, b long, likeness double"), "verified")
+    return stored(both.select("a", "b", "likeness", "text_a", "text_b").mapInArrow(check, "a long, b long, likeness double").dropDuplicates(["a", "b"]), "verified")
