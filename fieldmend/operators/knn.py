@@ -22,35 +22,70 @@ from pyspark.sql import functions as F
 from fieldmend.functions.geometry import axes
 from fieldmend.session import cut, small
 
-#: Points of a leaf, on average; most cuts of an axis and one more; distances held at once by a task.
-LEAF, PARTS, MATRIX = 1024, 128, 1 << 18
+#: Points of a leaf, on average; most cuts of an axis and one more; rows searched together; distances held at once by a task.
+LEAF, PARTS, BLOCK, MATRIX = 1024, 128, 64, 1 << 18
+#: A ball is taken by so much larger, for rounding.
+HAIR = 1e-9
 LISTS = {"d2": "array<double>", "dst": "array<long>", "vote": "array<long>"}
 FOUND = pa.schema([("id", pa.int64()), ("d2", pa.float64()), ("dst", pa.int64()), ("vote", pa.int64())])
 
 
 def k_nearest(src: np.ndarray, ids: np.ndarray, at: np.ndarray, dst: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and squared distance of each row's k nearest columns, by (distance, id) and but itself. dst ascend."""
+    """Row, column and squared distance of each row's k nearest columns, by (distance, id) and but itself. dst ascend.
+    Rows look at the columns around them on the longest axis; those whose k-th neighbour is as far as a column left out look
+    again, farther."""
     rows, cols, dist = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-    step = max(1, MATRIX // max(1, len(dst)))
-    own = np.searchsorted(dst, ids)
-    for a in range(0, len(src) if len(dst) else 0, step):
-        d2 = reduce(lambda s, t: s + t, [(src[a : a + step, j, None] - at[None, :, j]) ** 2 for j in range(src.shape[1])])
-        here = np.minimum(own[a : a + step], len(dst) - 1)
-        itself = np.flatnonzero(dst[here] == ids[a : a + step])
-        d2[itself, here[itself]] = np.inf
-        most = min(int(k[a : a + step].max()), len(dst))
-        if most < 1:
-            continue
-        bound = np.minimum(np.partition(d2, most - 1, axis=1)[:, most - 1], np.finfo(float).max)
-        r, c = np.nonzero(d2 <= bound[:, None])
-        v = d2[r, c]
-        order = np.lexsort((c, v, r))
-        r, c, v = r[order], c[order], v[order]
-        keep = np.arange(len(r)) - np.searchsorted(r, r) < k[a : a + step][r]
-        rows.append(r[keep] + a)
-        cols.append(c[keep])
-        dist.append(v[keep])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    n = len(dst)
+    if not n or not len(src) or k.max() < 1:
+        return rows[0], cols[0], dist[0]
+    own = np.minimum(np.searchsorted(dst, ids), n - 1)
+    mine = dst[own] == ids
+    axis = int(np.ptp(at, axis=0).argmax())
+    order = np.argsort(at[:, axis], kind="stable")
+    line, todo, reach = at[order, axis], np.argsort(src[:, axis], kind="stable"), 48 + 2 * int(k.max())
+    while len(todo):
+        late, begin = [], 0
+        while begin < len(todo):
+            size = BLOCK
+            while True:
+                row = todo[begin : begin + size]
+                low = max(0, np.searchsorted(line, src[row[0], axis]) - reach)
+                high = min(n, np.searchsorted(line, src[row[-1], axis], "right") + reach)
+                if size == 1 or len(row) * (high - low) <= MATRIX:
+                    break
+                size = max(1, min(len(row) // 2, MATRIX // (high - low)))
+            begin += len(row)
+            col = np.sort(order[low:high])
+            d2 = reduce(lambda s, t: s + t, [(src[row, j, None] - at[None, col, j]) ** 2 for j in range(src.shape[1])])
+            here = np.minimum(np.searchsorted(col, own[row]), len(col) - 1)
+            itself = np.flatnonzero(mine[row] & (col[here] == own[row]))
+            d2[itself, here[itself]] = np.inf
+            most = min(int(k[row].max()), len(col))
+            if most < 1:
+                continue
+            bound = np.partition(d2, most - 1, axis=1)[:, most - 1]
+            if high - low < n:
+                # Squares and sums of what isn't negative round alike, so no column left out is nearer than this.
+                gap = np.full(len(row), np.inf)
+                if low > 0:
+                    gap = (src[row, axis] - line[low - 1]) ** 2
+                if high < n:
+                    gap = np.minimum(gap, (line[high] - src[row, axis]) ** 2)
+                sure = bound < gap
+                late.append(row[~sure])
+                row, d2, bound = row[sure], d2[sure], bound[sure]
+            r, c = np.nonzero(d2 <= np.minimum(bound, np.finfo(float).max)[:, None])
+            v = d2[r, c]
+            by = np.lexsort((c, v, r))
+            r, c, v = r[by], c[by], v[by]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k[row][r]
+            rows.append(row[r[keep]])
+            cols.append(col[c[keep]])
+            dist.append(v[keep])
+        todo, reach = np.concatenate(late) if late else todo[:0], 4 * reach
+    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    by = np.argsort(r, kind="stable")
+    return r[by], c[by], v[by]
 
 
 def _ints(table: pa.Table, name: str) -> np.ndarray:
@@ -67,7 +102,8 @@ def _searched(left: pa.Table, right: pa.Table, names: tuple[str, ...]) -> tuple[
 
 
 def _finder(names: tuple[str, ...], lists: tuple[str, ...], keep: list[str]):
-    """The points of a leaf with their lists in it, and with r2, the squared distance of the k-th neighbour; infinite if there are fewer."""
+    """The points of a leaf with their lists in it, with r2, the squared distance of the k-th neighbour (infinite if there are fewer),
+    and fm_out: whether the ball of this size reaches beyond the leaf."""
 
     def find(leaf: pa.Table) -> pa.Table:
         leaf = leaf.sort_by("id")
@@ -75,8 +111,14 @@ def _finder(names: tuple[str, ...], lists: tuple[str, ...], keep: list[str]):
         far, count = np.zeros(len(leaf)), np.bincount(r, minlength=len(leaf))
         np.maximum.at(far, r, v)
         far[count < _ints(leaf, "k")] = np.inf
+        out_ = np.zeros(len(leaf), bool)
+        for a in names:
+            x = leaf.column(a).to_numpy()
+            r_ = np.sqrt(far) * (1 + HAIR) + np.abs(x) * 1e-15
+            out_ |= (x - r_ < leaf.column(f"fm_lo{a}").to_numpy()) | (x + r_ >= leaf.column(f"fm_hi{a}").to_numpy())
+        out_ &= _ints(leaf, "k") > 0
         offsets, at = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(c)
-        out = leaf.select(keep).append_column("r2", pa.array(far)).append_column("own", leaf.column("vote"))
+        out = leaf.select(keep).append_column("r2", pa.array(far)).append_column("fm_out", pa.array(out_)).append_column("own", leaf.column("vote"))
         for name in lists:
             items = pa.array(v) if name == "d2" else leaf.column({"dst": "id", "vote": "vote"}[name]).take(at).combine_chunks()
             out = out.append_column(name, pa.ListArray.from_arrays(offsets, items))
@@ -85,7 +127,7 @@ def _finder(names: tuple[str, ...], lists: tuple[str, ...], keep: list[str]):
     return find
 
 
-def _looker(names: tuple[str, ...]):
+def _looker(names: tuple[str, ...], keep: list[str]):
     """What points (left) find in a leaf (right) that their balls reach, no farther than r2; a row each."""
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -93,7 +135,7 @@ def _looker(names: tuple[str, ...]):
         r, c, v = _searched(left, right, names)
         near = v <= left.column("r2").to_numpy()[r]
         r, c, v = r[near], pa.array(c[near]), v[near]
-        found = left.take(pa.array(r)).select(["sample", "id", "k", "own"])
+        found = left.take(pa.array(r)).select(keep)
         for name, column in (("d2", pa.array(v)), ("dst", right.column("id").take(c)), ("vote", right.column("vote").take(c))):
             found = found.append_column(name, column)
         return found
@@ -135,7 +177,7 @@ class Leaves:
     """How each specimen is cut: a table of cuts for each level, an axis of a round, keyed by the parts of the levels above."""
 
     def __init__(self, points: DataFrame, names: tuple[str, ...], k: int):
-        self.leaf = max(LEAF, 8 * (k + 1))
+        self.leaf, self.names = max(LEAF, 8 * (k + 1)), names
         self.levels: list[tuple[str, str, list[str], DataFrame]] = []  # axis, name of the part, the parts above, table
         self.round = 0
         box = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(_quantiles(a).alias(f"q{a}") for a in names))
@@ -180,21 +222,19 @@ class Leaves:
             table = sized.groupBy(*keys).agg(_quantiles(a).alias("q"), F.max(f"p{a}").alias("p"))
             self.levels.append((a, part, keys, small(table.select(*keys, _cuts("q", F.col("p")).alias("cuts")))[0]))
 
-    def placed(self, df: DataFrame) -> DataFrame:
-        """df (sample and coordinates) with the number of its part on each level; 0 where a level leaves it whole."""
+    def placed(self, df: DataFrame, ends: bool = False) -> DataFrame:
+        """df (sample and coordinates) with the number of its part on each level; 0 where a level leaves it whole. With ends also
+        between which cuts of each axis the leaf lies, as fm_lo and fm_hi."""
+        if ends:
+            df = df.withColumns({f"fm_{e}{a}": F.lit(v) for a in self.names for e, v in (("lo", -math.inf), ("hi", math.inf))})
         for a, part, keys, table in self.levels:
-            df = df.join(table.withColumnRenamed("cuts", "fm_cuts"), keys, "left").withColumn(part, F.coalesce(_part("fm_cuts", F.col(a)), F.lit(0))).drop("fm_cuts")
+            df = df.join(table.withColumnRenamed("cuts", "fm_cuts"), keys, "left").withColumn(part, F.coalesce(_part("fm_cuts", F.col(a)), F.lit(0)))
+            if ends:
+                low, high = F.greatest(f"fm_lo{a}", F.get("fm_cuts", F.col(part) - 1)), F.least(f"fm_hi{a}", F.get("fm_cuts", F.col(part)))
+                df = df.withColumns({f"fm_lo{a}": low, f"fm_hi{a}": high})
+            df = df.drop("fm_cuts")
         return df
 
-    def marked(self, df: DataFrame) -> DataFrame:
-        """df (placed) with fm_out: whether the ball of squared radius r2 about a row reaches beyond its leaf."""
-        out = F.lit(False)
-        for a, part, keys, table in self.levels:
-            low, high = self._ball(a)
-            df = df.join(table.withColumnRenamed("cuts", f"fm_{part}"), keys, "left")
-            out = out | (F.coalesce(_part(f"fm_{part}", low), F.lit(0)) != F.col(part)) | (F.coalesce(_part(f"fm_{part}", high), F.lit(0)) != F.col(part))
-        return df.withColumn("fm_out", out).drop(*(f"fm_{part}" for _, part, _, _ in self.levels))
-
     def reached(self, df: DataFrame) -> DataFrame:
         """A row for each leaf that a ball of squared radius r2 about each row of df reaches, with the leaf's parts as to_."""
         for a, part, keys, table in self.levels:
@@ -207,27 +247,28 @@ class Leaves:
     @staticmethod
     def _ball(a: str) -> tuple[Column, Column]:
         """The ends of a ball on an axis; a hair more, for rounding."""
-        r = F.sqrt("r2") * (1 + 1e-9) + F.abs(F.col(a)) * 1e-15
+        r = F.sqrt("r2") * (1 + HAIR) + F.abs(F.col(a)) * 1e-15
         return F.col(a) - r, F.col(a) + r
 
 
-def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, ...], leaf: int) -> tuple[DataFrame, DataFrame | None]:
     """Points to search, and the lists of the others: of more than k + 1 points at one place those beyond the first
-    k + 1 have the first k as their neighbours."""
+    k + 1 have the first k as their neighbours. The others' leaf is of whole places of about `leaf` points, or a part of a larger one."""
     place = ["sample", *names]
-    heavy, rows = small(points.groupBy(*place).agg(F.count(F.lit(1)).alias("fm_n")).where(F.col("fm_n") > k + 1).select(*place))
-    if rows is not None and not rows:
+    heavy = cut(points.groupBy(*place).agg(F.count(F.lit(1)).alias("fm_n")).where(F.col("fm_n") > k + 1))
+    heap = heavy.agg(F.sum("fm_n")).first()[0]
+    if not heap:
         return points, None
-    marked = points.join(heavy.withColumn("fm_heavy", F.lit(True)), place, "left")
-    order = Window.partitionBy(*place).orderBy("id")
-    piled = marked.where("fm_heavy").drop("fm_heavy")
-    first = cut(piled.withColumn("fm_row", F.row_number().over(order)).where(F.col("fm_row") <= k + 1))
+    # The limit on the place's rows is kept in front of the shuffle too, so that a pile is in no task as a whole.
+    first = cut(points.withColumn("fm_row", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("fm_row") <= k + 1))
     items = F.array_sort(F.collect_list(F.when(F.col("fm_row") <= k, F.struct("id", "vote"))))
-    ends, _ = small(first.groupBy(*place).agg(F.max("id").alias("fm_last"), items.alias("fm_items")))
-    rest = piled.join(ends, place).where(F.col("id") > F.col("fm_last")).withColumn("fm_items", F.slice("fm_items", F.lit(1), F.col("k")))
-    each = {"d2": F.transform("fm_items", lambda x: F.lit(0.0)), "dst": F.transform("fm_items", lambda x: x["id"]), "vote": F.transform("fm_items", lambda x: x["vote"])}
-    rest = rest.select("sample", "id", F.col("vote").alias("own"), *(each[c].alias(c) for c in lists))
-    return marked.where("fm_heavy is null").drop("fm_heavy").unionByName(first.drop("fm_row")), rest
+    ends = first.groupBy(*place).agg(F.max("id").alias("fm_last"), items.alias("fm_items")).join(heavy, place)
+    dealt = F.concat_ws(".", F.lit("pile"), F.pmod(F.xxhash64(*place), F.lit(heap // leaf + 1)).cast("string"))
+    ends = small(cut(ends.select(*place, "fm_last", "fm_items", dealt.alias("leaf"), (F.col("fm_n") / leaf).cast("long").alias("fm_more"))))[0]
+    rest = points.join(ends, place).where(F.col("id") > F.col("fm_last")).withColumn("fm_items", F.slice("fm_items", F.lit(1), F.col("k")))
+    each = {"d2": F.transform("fm_items", lambda x: F.lit(0.0)), "dst": F.col("fm_items.id"), "vote": F.col("fm_items.vote")}
+    part = F.when(F.col("fm_more") < 2, F.col("leaf")).otherwise(F.concat_ws(".", "leaf", F.pmod(F.xxhash64("id"), F.col("fm_more")).cast("string")))
+    return first.drop("fm_row"), rest.select("sample", "id", F.col("vote").alias("own"), *(each[c].alias(c) for c in lists), part.alias("leaf"))
 
 
 def nearest_lists(
@@ -248,37 +289,35 @@ def nearest_lists(
     points = points.join(leaves.box.select("sample", "n"), "sample").withColumn("k", F.least(own_k, F.col("n") - 1).cast("int")).drop("n", "fm_k")
     rest = None
     if leaves.largest is None or leaves.largest > 8 * leaves.leaf:
-        points, rest = piles(points, names, k, lists)
+        points, rest = piles(points, names, k, lists, leaves.leaf)
     keys = leaves.keys
     parts = keys[1:]
     where = [F.concat_ws(".", *parts).alias("leaf")] if leaf else []
-    if rest is not None and leaf:
-        # Points of a pile all have the same neighbours; they are dealt over leaves of their own.
-        rest = rest.withColumn("leaf", F.concat(F.lit("pile."), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("string")))
+    if rest is not None and not leaf:
+        rest = rest.drop("leaf")
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # So many partitions, however few bytes: the work of a leaf grows with the square of its points.
-    placed = leaves.placed(points).repartition(n, *keys)
+    # So many partitions, however few bytes: the work of a leaf grows with its points.
+    placed = leaves.placed(points, ends=True).repartition(n, *keys)
     kept = ["sample", "id", "k", *names, *parts]
     kinds = "sample string, id long, k int, " + ", ".join(f"{a} double" for a in names) + "".join(f", {c} int" for c in parts)
     out = ", ".join(f"{c} {LISTS[c]}" for c in lists)
-    found = placed.groupBy(*keys).applyInArrow(_finder(names, lists, kept), f"{kinds}, r2 double, own long, {out}")
+    found = placed.groupBy(*keys).applyInArrow(_finder(names, lists, kept), f"{kinds}, r2 double, fm_out boolean, own long, {out}")
     if not parts:
         done = found.select("sample", "id", "own", *lists, *where)
         return done if rest is None else done.unionByName(rest)
-    found = leaves.marked(cut(found))
+    found = cut(found)
     inside = found.where(~F.col("fm_out")).select("sample", "id", "own", *lists, *where)
-    asked = leaves.reached(found.where("fm_out and k > 0").select("sample", "id", "k", "own", "r2", *names))
-    asked = asked.select("sample", "id", "k", "own", "r2", *names, *(F.col(f"to_{c}").alias(c) for c in parts))
+    carried = ["sample", "id", "k", "own", *(["leaf"] if leaf else [])]
+    asked = leaves.reached(found.where("fm_out").select("sample", "id", "k", "own", *where, "r2", *names))
+    asked = asked.select(*carried, "r2", *names, *(F.col(f"to_{c}").alias(c) for c in parts))
     # Names of their own, as both sides come from one frame.
-    there = placed.select(*(F.col(c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
-    more = asked.repartition(n, *keys).groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys))).applyInArrow(_looker(names), "sample string, id long, k int, own long, d2 double, dst long, vote long")
+    there = found.select(*(F.col("own" if c == "vote" else c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
+    more = asked.repartition(n, *keys).groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys)))
+    more = more.applyInArrow(_looker(names, carried), f"sample string, id long, k int, own long, {'leaf string, ' if leaf else ''}d2 double, dst long, vote long")
     item = F.struct("d2", "dst", "vote")
-    merged = more.groupBy("sample", "id").agg(F.first("own").alias("own"), F.slice(F.array_sort(F.collect_list(item)), 1, F.first("k")).alias("fm_items"))
-    if leaf:
-        merged = merged.join(found.where("fm_out and k > 0").select("sample", "id", *where), ["sample", "id"])
+    merged = more.groupBy("sample", "id").agg(F.first("own").alias("own"), *([F.first("leaf").alias("leaf")] if leaf else []), F.slice(F.array_sort(F.collect_list(item)), 1, F.first("k")).alias("fm_items"))
     merged = merged.select("sample", "id", "own", *(F.col("fm_items")[c].alias(c) for c in lists), *(["leaf"] if leaf else []))
-    alone = found.where("fm_out and k = 0").select("sample", "id", "own", *lists, *where)
-    done = inside.unionByName(merged).unionByName(alone)
+    done = inside.unionByName(merged)
     return done if rest is None else done.unionByName(rest)
 
 

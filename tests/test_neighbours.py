@@ -1,5 +1,7 @@
 """Exact neighbours and repair against small brute-force versions."""
 
+from functools import reduce as knn_reduce
+
 import numpy as np
 import pytest
 
@@ -119,3 +121,31 @@ def test_leaves_of_any_depth(spark, kind, monkeypatch):
         d = d[:, 0] + d[:, 1]
         want = [others[j] for j in np.lexsort((others, d))[:2]]
         assert [t for _, t in sorted(got[i])] == want
+
+
+@pytest.mark.parametrize("kind", ["plane", "strip", "ties"])
+def test_search_looks_around_each_point_only(kind, monkeypatch):
+    """Few of all pairs are measured, and what is found is what all pairs give."""
+    rng, seen = np.random.default_rng(2), []
+    at = {"plane": rng.random((1000, 2)), "strip": rng.random((1000, 2)) * [1, 300], "ties": np.round(rng.random((1000, 2)) * [8, 60])}[kind]
+    ids, k = np.sort(rng.choice(10_000, 1000, replace=False)), rng.integers(0, 8, 1000)
+    monkeypatch.setattr(knn, "reduce", lambda f, v: (seen.append(v[0].size), knn_reduce(f, v))[1])
+    r, c, v = knn.k_nearest(at, ids, at, ids, k)
+    monkeypatch.undo()
+    d2 = (at[:, None, 0] - at[None, :, 0]) ** 2 + (at[:, None, 1] - at[None, :, 1]) ** 2
+    np.fill_diagonal(d2, np.inf)
+    want = [(i, j) for i in range(1000) for j in np.lexsort((np.arange(1000), d2[i]))[: k[i]]]
+    assert list(zip(r.tolist(), c.tolist(), strict=True)) == want and np.array_equal(v, d2[r, c]) and sum(seen) < 400_000
+
+
+def test_piles_are_dealt_in_leaves_of_a_fair_size(spark, monkeypatch):
+    """Points beyond the first of their place share leaves with whole other places; a place larger than a leaf has several."""
+    monkeypatch.setattr(knn, "LEAF", 20)
+    rows = [("a", i, float(i % 100), float(i % 7), 1) for i in range(2100)] + [("a", 5000 + i, 3.5, 3.5, 2) for i in range(400)]
+    lists = knn.nearest_lists(spark.createDataFrame(rows, SCHEMA), 2, 1, carry="code", lists=("dst",), leaf=True).collect()
+    assert len(lists) == 2500 and all(len(r.dst) == 1 for r in lists)
+    leaves = {}
+    for r in lists:
+        if r.leaf.startswith("pile"):
+            leaves.setdefault(r.leaf, []).append(r.id)
+    assert len(leaves) < 200 and max(map(len, leaves.values())) < 100 and {r.dst[0] for r in lists if r.id > 5001} == {5000}
