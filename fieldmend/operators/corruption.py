@@ -3,6 +3,11 @@ row, so a corruption is the same however rows are dealt."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +55,16 @@ def select_preserving(
         F.min_by("id", F.struct(-F.col("fm_far"), "id")).alias("fm_anchor"), F.count_if("fm_first").alias("fm_in"), F.count(F.lit(1)).alias("fm_all"),
         F.max(open_).alias("fm_last"), F.count_if(F.col("fm_may") & ~F.col("fm_first")).alias("fm_rest"), F.max("fm_count").alias("fm_count"),
     )
-    groups = cut(groups)
+    changed = exchanged(placed.where("fm_may and not fm_first").select(*group, "id", "fm_rank"), cut(groups), by)
+    done = placed.join(changed, [*by, "sample", "id"], "left")
+    return done.select(*points.columns, F.coalesce("anchor", F.lit(False)).alias("anchor"), F.coalesce("fm_sel", "fm_first").alias("selected"))
+
+
+def exchanged(open_: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """anchor and fm_sel of the rows that are an anchor or whose selection changes, as groups that are selected as a whole give their
+    anchor back. open_: the rows behind the last one selected with their fm_rank, twice as many as there are groups at least;
+    groups: a row each with its anchor, rows, rows selected (fm_in), rows left (fm_rest) and the place of the last of these."""
+    group = [*by, "sample", "truth"]
     whole = F.col("fm_in") == F.col("fm_all")
     spare = F.greatest(F.least("fm_rest", F.col("fm_all") - F.col("fm_in") - 1), F.lit(0))
     totals = groups.groupBy(*by).agg(F.sum("fm_in").alias("fm_taken"), F.count_if(whole).alias("fm_back"), F.sum(spare).alias("fm_spare"), F.max("fm_count").alias("fm_want"), F.count(F.lit(1)).alias("fm_groups"))
@@ -58,15 +72,140 @@ def select_preserving(
     if totals.where("fm_taken < fm_want or fm_spare < fm_back").limit(1).count():
         raise ValueError(INFEASIBLE)
     # Behind the last one selected each group holds back one point, so these hold as many spare ones as are given back.
-    near = placed.where("fm_may and not fm_first").select(*group, "id", "fm_rank")
-    near = (near.join(totals, by) if by else near.crossJoin(totals)).where("fm_back > 0 and fm_rank <= fm_want + fm_back + fm_groups")
-    near = near.join(groups.select(*group, "fm_last"), group).where("fm_rank <> fm_last")
+    near = (open_.join(totals, by) if by else open_.crossJoin(totals)).where("fm_back > 0 and fm_rank <= fm_want + fm_back + fm_groups")
+    near = near.join(groups.select(*group, "fm_last"), group).where("not (fm_rank <=> fm_last)")
     near = near.withColumn("fm_row", F.row_number().over(Window.partitionBy(*by).orderBy("fm_rank"))).where("fm_row <= fm_back")
     changed = near.select(*by, "sample", "id", F.lit(False).alias("fm_is"), F.lit(True).alias("fm_sel"))
     held = groups.select(*by, "sample", F.col("fm_anchor").alias("id"), F.lit(True).alias("fm_is"), F.when(whole, False).alias("fm_sel"))
-    changed = changed.unionByName(held).groupBy(*by, "sample", "id").agg(F.bool_or("fm_is").alias("anchor"), F.bool_or("fm_sel").alias("fm_sel"))
-    done = placed.join(small(changed)[0], [*by, "sample", "id"], "left")
-    return done.select(*points.columns, F.coalesce("anchor", F.lit(False)).alias("anchor"), F.coalesce("fm_sel", "fm_first").alias("selected"))
+    return small(changed.unionByName(held).groupBy(*by, "sample", "id").agg(F.bool_or("fm_is").alias("anchor"), F.bool_or("fm_sel").alias("fm_sel")))[0]
+
+
+#: Bins of a unit of the square root of a key, bins in all (keys are at most 3), and counts that a task holds at once.
+BINS, ALL_BINS, HELD = 256, 512, 1 << 23
+
+
+class Keyed:
+    """The order in which scenarios take points, worked out in batches of points for one scenario after the other, so that a row for each
+    scenario and point is never shuffled, sorted or stored."""
+
+    def __init__(self, plan: list[dict], names: list[str], seed: int):
+        self.plan, self.names, self.seed = plan, names, seed
+
+    def keys(self, batch: pa.RecordBatch):
+        """Each scenario with its points' keys (those with the least are taken) and, for patches, their nearest centres."""
+        ids = [str(i).encode() for i in batch.column("id").to_pylist()]
+        edge = batch.column("fm_edge").to_numpy(zero_copy_only=False)
+        at = [batch.column(f"fm_{a}").to_numpy() for a in self.names]
+        for one in self.plan:
+            if one["mechanism"] in ("random", "boundary"):
+                # functions.rng.uniform of the scenario and the point: the first 52 bits of an md5.
+                head = f"{self.seed}:order:{one['scenario']}:".encode()
+                bits = np.frombuffer(b"".join([hashlib.md5(head + i, usedforsecurity=False).digest() for i in ids]), ">u8")[::2] >> 12
+                draw = bits.astype(np.int64) / float(1 << 52)
+                yield one, draw if one["mechanism"] == "random" else np.where(edge, draw, 1 + draw), None
+                continue
+            key, owner = np.full(len(ids), np.inf), np.zeros(len(ids), int)
+            for j, c in enumerate(one["fm_centres"]):
+                d2 = reduce(lambda p, q: p + q, [(x - c[f"fm_{a}"]) * (x - c[f"fm_{a}"]) for x, a in zip(at, self.names, strict=True)])
+                nearer = d2 < key
+                key[nearer], owner[nearer] = d2[nearer], j
+            yield one, key, owner
+
+    def counted(self, batches):
+        """Numbers of points by scenario, specimen, class and bin of the key."""
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for (sample, truth), counts in held.items():
+                at, bins = np.nonzero(counts)
+                scenario = np.array([one["scenario"] for one in self.plan], np.int32)[at]
+                yield pa.record_batch({
+                    "scenario": pa.array(scenario), "sample": pa.array([sample] * len(at), pa.string()), "truth": pa.array([truth] * len(at), pa.int32()), "fm_bin": pa.array(bins), "fm_c": pa.array(counts[at, bins]),
+                })
+            held.clear()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            pairs = list(zip(batch.column("sample").to_pylist(), batch.column("truth").to_pylist(), strict=True))
+            groups = {g: k for k, g in enumerate(dict.fromkeys(pairs))}
+            code = np.array([groups[g] for g in pairs]) * ALL_BINS
+            if held and (len(held.keys() | groups.keys())) * len(self.plan) * ALL_BINS > HELD:
+                yield from flush()
+            for g in groups:
+                held.setdefault(g, np.zeros((len(self.plan), ALL_BINS), np.int64))
+            for k, (_, key, _) in enumerate(self.keys(batch)):
+                counts = np.bincount(code + _bins(key), minlength=len(groups) * ALL_BINS).reshape(-1, ALL_BINS)
+                for g, i in groups.items():
+                    held[g][k] += counts[i]
+        yield from flush()
+
+    def within(self, batches, ends: dict[int, tuple[int, int]]):
+        """The points whose key lies in the bins from the first to the last of their scenario's ends."""
+        for batch in batches:
+            for one, key, _ in self.keys(batch):
+                low, high = ends[one["scenario"]]
+                at = np.flatnonzero((_bins(key) >= low) & (_bins(key) <= high))
+                if len(at):
+                    rows = batch.select(["sample", "truth", "id"]).take(pa.array(at))
+                    yield pa.record_batch({"scenario": pa.array(np.full(len(at), one["scenario"], np.int32)), **dict(zip(rows.schema.names, rows.columns, strict=True)), "fm_key": pa.array(key[at])})
+
+    def decided(self, batches, last: dict[int, tuple]):
+        """Every scenario's points with fm_first, whether they come no later than its last one (key, id and sample), and fm_new, the class
+        they then take, but for random ones."""
+        for batch in batches:
+            near = batch.column("fm_near").to_numpy()
+            for one, key, owner in self.keys(batch):
+                end = last.get(one["scenario"])
+                first = np.zeros(len(key), bool) if end is None else key < end[0]
+                for i in np.flatnonzero(key == end[0]) if end is not None else ():
+                    first[i] = (batch.column("id")[i].as_py(), batch.column("sample")[i].as_py()) <= end[1:]
+                new = near
+                if owner is not None:
+                    target = np.array([c["near"] for c in one["fm_centres"]])[owner]
+                    new = np.where(target == batch.column("truth").to_numpy(), near, target)
+                new = pa.nulls(len(key), pa.int32()) if one["mechanism"] == "random" else pa.array(new.astype(np.int32))
+                yield pa.record_batch({
+                    "scenario": pa.array(np.full(len(key), one["scenario"], np.int32)), "sample": batch.column("sample"), "id": batch.column("id"), "truth": batch.column("truth"), "fm_first": pa.array(first), "fm_new": new,
+                })
+
+
+def _bins(key: np.ndarray) -> np.ndarray:
+    return np.minimum(np.sqrt(key) * BINS, ALL_BINS - 1).astype(np.int64)
+
+
+def selected_by_key(points: DataFrame, keyed: Keyed, sizes: DataFrame, n: int) -> DataFrame:
+    """select_preserving for all scenarios of a plan, each with its fm_count: every row of scenario, sample, id and truth, with fm_new and
+    selected. Points are counted by bins of their keys, those in the bins about a scenario's last one selected are put in
+    order, and the key of that one tells all others. sizes: each specimen and class with its anchor; n: all points."""
+    spark, group = points.sparkSession, ["scenario", "sample", "truth"]
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    counts = cut(points.mapInArrow(keyed.counted, "scenario int, sample string, truth int, fm_bin long, fm_c long").groupBy(*group, "fm_bin").agg(F.sum("fm_c").alias("fm_c")))
+    wanted = F.broadcast(spark.createDataFrame([(one["scenario"], one["fm_count"]) for one in keyed.plan], "scenario int, fm_count long"))  # a row per scenario
+    upto = F.sum("fm_c").over(Window.partitionBy("scenario").orderBy("fm_bin"))
+    ends = counts.groupBy("scenario", "fm_bin").agg(F.sum("fm_c").alias("fm_c")).withColumn("fm_upto", upto).join(wanted, "scenario")
+    far = F.least(F.col("fm_count") + 2 * sizes.count(), F.lit(n))
+    ends = ends.groupBy("scenario").agg(
+        F.max("fm_count").alias("fm_count"), F.min(F.when(F.col("fm_upto") >= F.col("fm_count"), F.col("fm_bin"))).alias("fm_low"), F.min(F.when(F.col("fm_upto") >= far, F.col("fm_bin"))).alias("fm_high"),
+        F.coalesce(F.max(F.when(F.col("fm_upto") < F.col("fm_count"), F.col("fm_upto"))), F.lit(0)).alias("fm_before"),
+    )
+    ends, rows = small(ends)
+    reach = {r["scenario"]: (r["fm_low"], r["fm_high"]) for r in rows}
+    within = cut(points.mapInArrow(lambda it: keyed.within(it, reach), f"scenario int, sample string, truth int, id {kinds['id']}, fm_key double"))
+    near = ranked(within, F.col("fm_key"), F.col("id"), F.col("sample"), by=["scenario"], out="fm_rank").join(ends, "scenario").withColumn("fm_rank", F.col("fm_rank") + F.col("fm_before"))
+    left = F.col("fm_rank") > F.col("fm_count")
+    around = near.groupBy(*group).agg(F.count_if(~left).alias("fm_near"), F.max(F.when(left, F.col("fm_rank"))).alias("fm_last"))
+    groups = counts.join(ends, "scenario").groupBy(*group).agg(
+        F.sum("fm_c").alias("fm_all"), F.sum(F.when(F.col("fm_bin") < F.col("fm_low"), F.col("fm_c")).otherwise(0)).alias("fm_below"), F.max(F.col("fm_bin") > F.col("fm_high")).alias("fm_beyond"), F.max("fm_count").alias("fm_count")
+    )
+    groups = groups.join(around, group, "left").join(sizes, ["sample", "truth"])
+    chosen = F.col("fm_below") + F.coalesce("fm_near", F.lit(0))
+    # The last row of a group may lie behind those put in order.
+    groups = cut(groups.select(*group, "fm_anchor", "fm_all", "fm_count", chosen.alias("fm_in"), (F.col("fm_all") - chosen).alias("fm_rest"), F.when(~F.col("fm_beyond"), F.col("fm_last")).alias("fm_last")))
+    changed = exchanged(near.where(left).select(*group, "id", "fm_rank"), groups, ["scenario"]).select("scenario", "sample", "id", "fm_sel").where("fm_sel is not null")
+    last = {r["scenario"]: (r["fm_key"], r["id"], r["sample"]) for r in near.where(F.col("fm_rank") == F.col("fm_count")).select("scenario", "fm_key", "id", "sample").collect()}  # a row per scenario
+    done = points.mapInArrow(lambda it: keyed.decided(it, last), f"scenario int, sample string, id {kinds['id']}, truth int, fm_first boolean, fm_new int")
+    return done.join(small(changed)[0], ["scenario", "sample", "id"], "left").withColumn("selected", F.coalesce("fm_sel", "fm_first"))
 
 
 def other_class(seed: int, stream: str, classes: list[str], current: str, id_: str = "id") -> Column:
@@ -167,7 +306,7 @@ def corrupt_scenarios(points: DataFrame, design: DataFrame, classes: list[int],
     class; boundary: points at boundaries first, to the adjacent class; patch: points nearest to one of 16 centres first, to the
     class adjacent to that centre, or to their own adjacent one where that is theirs; region: the same with one centre.
 
-    All scenarios are one plan, keyed by scenario: points are crossed with the design, which is broadcast, so the number
+    All scenarios are one plan, keyed by scenario: each batch of points goes through the whole design, so the number
     of jobs doesn't depend on the number of scenarios. Centres are the first points in a hashed order, 16 for each scenario."""
     names = axes(dims)
     planned = design.select("scenario", "mechanism", "noise").withColumn("fm_slot", F.row_number().over(Window.orderBy("scenario")) - 1)  # some hundred rows
@@ -175,10 +314,10 @@ def corrupt_scenarios(points: DataFrame, design: DataFrame, classes: list[int],
     if rows is None:
         raise ValueError("a design has 20,000 scenarios at most")
     ends = points.agg(F.count(F.lit(1)).alias("fm_n"), *(f(a).alias(f"fm_{p}{a}") for a in names for p, f in (("lo", F.min), ("hi", F.max))))
-    ends = small(ends)[0]
+    ends, bounds = small(ends)
     scaled = points.crossJoin(ends)  # one row
     scaled = scaled.select(
-        "sample", "id", "truth", F.col("boundary").alias("fm_edge"), F.col("adjacent").alias("fm_near"), "fm_n", F.when(F.col("boundary"), 0.0).otherwise(1.0).alias("fm_depth"),
+        F.col("sample").cast("string").alias("sample"), "id", F.col("truth").cast("int").alias("truth"), F.col("boundary").alias("fm_edge"), F.col("adjacent").cast("int").alias("fm_near"), F.when(F.col("boundary"), 0.0).otherwise(1.0).alias("fm_depth"),
         *(((F.col(a) - F.col(f"fm_lo{a}")) / F.greatest(F.col(f"fm_hi{a}") - F.col(f"fm_lo{a}"), F.lit(2.220446049250313e-16))).alias(f"fm_{a}") for a in names),
     )
     scaled = cut(scaled)
@@ -188,17 +327,12 @@ def corrupt_scenarios(points: DataFrame, design: DataFrame, classes: list[int],
     k = F.when(F.col("mechanism") == "patch", PATCHES).when(F.col("mechanism") == "region", 1).otherwise(0)
     place = lambda j: F.get("fm_pool", ((F.col("fm_slot") * PATCHES + j) % F.size("fm_pool")).cast("int"))["c"]
     centres = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), place))
-    plan = small(planned.crossJoin(pool).select("scenario", "mechanism", "noise", centres.alias("fm_centres")))[0]
-    every = scaled.crossJoin(plan)  # a row per scenario, counted above
-    d2 = lambda c: sum(((F.col(f"fm_{a}") - c[f"fm_{a}"]) * (F.col(f"fm_{a}") - c[f"fm_{a}"]) for a in names), F.lit(0.0))
-    nearest = F.array_min(F.transform("fm_centres", lambda c, j: F.struct(d2(c).alias("d2"), j.alias("j"), c["near"].alias("near"))))
-    every = every.withColumn("fm_owner", nearest)
-    draw = uniform(seed, "order", "scenario", "id")
-    key = F.when(F.col("mechanism") == "random", draw).when(F.col("mechanism") == "boundary", F.when(F.col("fm_edge"), draw).otherwise(1 + draw)).otherwise(F.col("fm_owner.d2"))
-    every = every.select("scenario", "sample", "id", "truth", "mechanism", "noise", "fm_n", "fm_near", "fm_depth", key.alias("fm_key"), F.col("fm_owner.near").alias("fm_target"))
     count = F.least(F.col("fm_n") - 1, F.bround(F.col("noise") * F.col("fm_n")).cast("long"))
-    done = select_preserving(every, count, [F.col("fm_key"), F.col("id")], "fm_depth", by=["scenario"])
+    _, plan = small(planned.crossJoin(pool).crossJoin(ends).select("scenario", "mechanism", count.alias("fm_count"), centres.alias("fm_centres")))
+    if plan is None:
+        raise ValueError("a design's centres take 32 MB at most")
+    sizes = small(scaled.groupBy("sample", "truth").agg(F.min_by("id", F.struct(-F.col("fm_depth"), "id")).alias("fm_anchor")))[0]
+    done = selected_by_key(scaled, Keyed(plan, names, seed), sizes, bounds[0]["fm_n"])
     others = F.array_except(F.array(*map(F.lit, classes)), F.array("truth"))
     anywhere = F.element_at(others, pick(seed, "other", F.size(others), "scenario", "id") + 1)
-    new = F.when(F.col("mechanism") == "random", anywhere).when((F.col("mechanism") == "boundary") | (F.col("fm_target") == F.col("truth")), F.col("fm_near")).otherwise(F.col("fm_target"))
-    return done.select("scenario", "sample", "id", "truth", F.when(F.col("selected"), new).otherwise(F.col("truth")).alias("label"))
+    return done.select("scenario", "sample", "id", "truth", F.when(F.col("selected"), F.coalesce("fm_new", anywhere)).otherwise(F.col("truth")).alias("label"))

@@ -143,3 +143,18 @@ def test_evaluation_reads_rows_once(spark, tmp_path):
             assert got[s][name] == (None if value is None else pytest.approx(value)), name
     one = metrics.evaluate(spark.createDataFrame([("a", "a", "b")], "truth string, initial string, refined string")).first()
     assert (one.n, one.accuracy, one.ari, one.boundary_accuracy, one.damage_rate, one.error_reduction) == (1, 0.0, 1.0, None, 1.0, None)
+
+
+def test_scenarios_sort_only_rows_near_their_last_one(spark, monkeypatch):
+    """Of all rows of all scenarios one in ten at most is put in order, and what is selected is as if all were."""
+    points, design, sorted_ = field(spark, 1500), corruption.scenario_design(spark).where("scenario in (1, 27, 52, 58)"), []
+    monkeypatch.setattr(corruption, "ranked", lambda df, *a, **k: (sorted_.append(df.count()), sampling.ranked(df, *a, **k))[1])
+    done = corruption.corrupt_scenarios(points, design, [1, 2, 3, 4], 2, 5).collect()
+    assert len(done) == 4 * 1500 and 0 < sum(sorted_) <= 600
+    monkeypatch.setattr(corruption, "ranked", sampling.ranked)
+    for scenario, mechanism, noise in ((1, "random", 0.05), (52, "boundary", 0.4)):
+        assert design.where(f"scenario = {scenario} and mechanism = '{mechanism}' and noise = {noise}").count() == 1
+        draw = corruption.uniform(5, "order", F.lit(scenario), "id")
+        order = [draw if mechanism == "random" else F.when(F.col("boundary"), draw).otherwise(1 + draw), F.col("id")]
+        want = corruption.select_preserving(points.withColumn("far", F.when(F.col("boundary"), 0.0).otherwise(1.0)), round(noise * 1500), order, "far").where("selected")
+        assert {r.id for r in want.collect()} == {r.id for r in done if r.scenario == scenario and r.label != r.truth}
