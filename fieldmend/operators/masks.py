@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldmend.operators.metrics import evaluate, joined_on
 from fieldmend.operators.repair import repair
+from fieldmend.session import cut
 
 
 def axes_of(cells: DataFrame) -> list[str]:
@@ -134,10 +135,11 @@ def evaluate_cleaning(reference: DataFrame, initial: DataFrame, cleaned: DataFra
     names = axes_of(reference)
     keys = ["mask_id"]
     pick = lambda m, c: m.where("value is not null").select("mask_id", *names, F.col("value").cast("string").alias(c))
-    frame = pick(reference, "truth").join(pick(initial, "initial"), [*keys, *names]).join(pick(cleaned, "refined"), [*keys, *names])
+    # Each join of cells sorts them; cut, so that no task holds the sorts of all joins at once.
+    frame = cut(pick(reference, "truth").join(pick(initial, "initial"), [*keys, *names]).join(pick(cleaned, "refined"), [*keys, *names]))
     joint = lambda c: reference.select("mask_id", *names).join(frame.select("mask_id", *names, F.col(c).alias("value")), [*keys, *names], "left")
-    edge = class_boundary(joint("truth")).select("mask_id", *names, "boundary")
-    frame = frame.join(edge, [*keys, *names])
+    edge = cut(class_boundary(joint("truth")).select("mask_id", *names, "boundary"))
+    frame = cut(frame.join(edge, [*keys, *names]))
     base = evaluate(frame, keys, seconds)
     over = class_overlap(frame, keys)
     sums = over.groupBy(*keys).agg(
