@@ -49,10 +49,15 @@ def tiles(points: DataFrame, grid: DataFrame, dims: int, overlap: float = 0.15)
     """sample, tile, id, is_core: each point in the tile that is its own and in those whose halo it is in. Tiles are
     numbered from 1, the first axis fastest. A point is offered to its own tile and its neighbours only, so overlap
     is at most 1."""
+    return _dealt(points.select("sample", "id", *axes(dims)), grid, dims, overlap).select("sample", "tile", "id", "is_core")
+
+
+def _dealt(points: DataFrame, grid: DataFrame, dims: int, overlap: float) -> DataFrame:
+    """Whole rows of points with tile and is_core, as in tiles."""
     if not 0 <= overlap <= 1:
         raise ValueError(f"halos overlap by 0 to 1 of a tile, not {overlap}")
     names = axes(dims)
-    joined = points.select("sample", "id", *names).join(small(grid)[0], "sample")
+    joined = points.select("sample", *names, F.struct(*points.columns).alias("fm_row")).join(small(grid)[0], "sample")
     for a in names:
         here = F.least(F.greatest(F.floor((F.col(a) - F.col(f"lo{a}")) / F.col(f"w{a}")), F.lit(0)), F.col(f"c{a}") - 1)
         # Rounding in the division must not put a point beyond the edge that the tile is compared with.
@@ -65,16 +70,17 @@ def tiles(points: DataFrame, grid: DataFrame, dims: int, overlap: float = 0.15)
     for a in names:
         number, stride = number + F.col(f"t{a}") * stride, stride * F.col(f"c{a}")
     core = reduce(lambda p, q: p & q, [F.col(f"t{a}") == F.col(f"own{a}") for a in names])
-    return joined.select("sample", number.cast("int").alias("tile"), "id", core.alias("is_core"))
+    return joined.select("fm_row.*", number.cast("int").alias("tile"), core.alias("is_core"))
 
 
 def as_specimens(points: DataFrame, dims: int, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None) -> DataFrame:
     """points of each tile with its halo as specimens of their own (sample#tile), with of (the specimen), tile and is_core. A tile
-    with less than three points goes without its halo, one without a core not at all."""
-    dealt = tiles(points, layout(points, dims, target_size, counts), dims, overlap)
+    with less than three points goes without its halo, one without a core not at all. Points are dealt once, as many passes
+    over the tiles follow."""
+    dealt = cut(_dealt(points, layout(points, dims, target_size, counts), dims, overlap))
     lean, _ = small(tile_summary(dealt).where("halo_n < 3 or core_n = 0").select("sample", "tile", F.lit(True).alias("fm_lean")))
     dealt = dealt.join(lean, ["sample", "tile"], "left").where("is_core or fm_lean is null").drop("fm_lean")
-    return points.join(dealt, ["sample", "id"]).withColumn("of", F.col("sample")).withColumn("sample", F.concat_ws("#", "of", F.col("tile").cast("string")))
+    return dealt.where("id is not null").withColumn("of", F.col("sample")).withColumn("sample", F.concat_ws("#", "of", F.col("tile").cast("string")))
 
 
 def in_tiles(points: DataFrame, dims: int, refine, overlap: float = 0.15, target_size: int = 100_000, counts: list[int] | None = None) -> DataFrame:
@@ -95,7 +101,7 @@ def vote_in_tiles(
     sizes = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("classes"))
     number = F.lit(k) if k else automatic_neighbours(F.col("n"), F.col("classes"), half_even=True)
     wanted, _ = small(sizes.select(F.col("sample").alias("of"), number.alias("wanted")))
-    wide = cut(as_specimens(points, dims, overlap, target_size, counts).join(wanted, "of"))
+    wide = as_specimens(points, dims, overlap, target_size, counts).join(wanted, "of")
     lists = nearest_lists(wide, dims, "wanted", "code", ("d2", "dst"), leaf=True)
     done, _ = vote_in_leaves(lists, classes, settings)
     joined = wide.join(done, ["sample", "id"])

@@ -45,6 +45,20 @@ def test_a_tile_of_two_points_goes_without_its_halo(spark):
     assert sorted(seen) == ["a#1"] * 2 + ["a#2"] * 4
 
 
+def test_tiles_are_dealt_once(spark):
+    """What refine reads is worked out: no pass over it deals points to tiles again or joins them back to their rows."""
+    rows = [("a", i, float(i % 8), float(i // 8), 1 + i % 3, float(i)) for i in range(64)] + [("a", None, 1.5, 1.5, 1, -1.0)]
+    seen = []
+
+    def refine(frame):
+        seen.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return frame.withColumn("refined", F.col("code"))
+
+    done = tiles.in_tiles(spark.createDataFrame(rows, "sample string, id long, x double, y double, code int, cx double"), 2, refine, counts=[3, 2])
+    assert sorted((r.id, r.code, r.cx) for r in done.collect()) == [(i, 1 + i % 3, float(i)) for i in range(64)]
+    assert "Generate" not in seen[0] and "Join" not in seen[0]
+
+
 def test_distinct_choices_and_ratios(spark):
     rows = spark.createDataFrame([(1, 9.0, 9.0), (2, 9.0, 8.0), (3, None, 1.0)], "id int, p double, q double")
     assert [r.id for r in statistics.choose_distinct(rows, ["p", "q"]).orderBy("place").collect()] == [1, 2]
