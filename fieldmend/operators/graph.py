@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,16 +87,16 @@ POTTS_LIKE = VoteSettings(8, 0.56, 0.35, 0.10, False)
 
 def _foreign(leaf: pa.Table) -> pa.Table:
     """The points of other leaves that the points of a leaf vote by."""
-    ids = leaf.column("dst").combine_chunks().flatten().to_numpy()
-    away = np.setdiff1d(ids, leaf.column("id").to_numpy())
-    return pa.table({"sample": pa.repeat(leaf.column("sample")[0], len(away)), "id": pa.array(away, pa.int64()), "leaf": pa.repeat(leaf.column("leaf")[0], len(away))})
+    ids = pc.unique(leaf.column("dst").combine_chunks().flatten())
+    away = ids.filter(pc.invert(pc.is_in(ids, value_set=leaf.column("id").combine_chunks())))
+    return pa.table({"sample": pa.repeat(leaf.column("sample")[0], len(away)), "id": away, "leaf": pa.repeat(leaf.column("leaf")[0], len(away))})
 
 
 def _sweeper(s: VoteSettings):
     """One sweep over a leaf: its points with their neighbours (left), the labels of these and of itself (right)."""
 
     def sweep(leaf: pa.Table, labels: pa.Table) -> pa.Table:
-        labels, leaf = labels.rename_columns([c.removeprefix("o_") for c in labels.column_names]).sort_by("id"), leaf.sort_by("id")
+        labels = labels.rename_columns([c.removeprefix("o_") for c in labels.column_names]).sort_by("id")
         ids, code = labels.column("id").to_numpy(), labels.column("label").to_numpy()
         mine = np.searchsorted(ids, leaf.column("id").to_numpy())
         near = leaf.column("dst").combine_chunks()
@@ -137,13 +138,14 @@ def vote_in_leaves(lists: DataFrame, classes: int, settings: VoteSettings | None
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = cut(lists.select("sample", "leaf", "id", "own", "dst", *(["d2"] if s.weighted else [])))
     # Kept by the executors; what a lost one held is dealt again from the checkpoint. Only once it is there do plans know how
-    # it is dealt.
-    dealt = lists.drop("own").repartition(n, "sample", "leaf").persist()
+    # it is dealt, and that it is sorted.
+    dealt = lists.drop("own").repartition(n, "sample", "leaf").sortWithinPartitions("sample", "leaf").persist()
     dealt.count()
-    asked = dealt.groupBy("sample", "leaf").applyInArrow(_foreign, "sample string, id long, leaf string")
+    asked = dealt.select("sample", "leaf", "id", "dst").groupBy("sample", "leaf").applyInArrow(_foreign, "sample string, id long, leaf string")
     asked = asked.groupBy("sample", "id").agg(F.collect_list("leaf").alias("to"))
     state = lists.select("sample", "leaf", "id", F.col("own").cast("long").alias("label")).join(asked, ["sample", "id"], "left")
-    state = state.withColumn("to", F.coalesce("to", F.array().cast("array<string>")))
+    # A sweep reads it twice, for the point's own leaf and for others.
+    state = cut(state.withColumn("to", F.coalesce("to", F.array().cast("array<string>"))))
     weighted, changes = ["d2"] if s.weighted else [], []
     sweep = _sweeper(s)
     for _ in range(s.iterations):

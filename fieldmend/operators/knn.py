@@ -24,6 +24,8 @@ from fieldmend.session import cut, small
 
 #: Points of a leaf, on average; most cuts of an axis and one more; rows searched together; distances held at once by a task.
 LEAF, PARTS, BLOCK, MATRIX = 1024, 128, 64, 1 << 18
+#: Leaves of points of piles are so many times as large, as nothing is searched in them.
+PILES = 4
 #: A ball is taken by so much larger, for rounding.
 HAIR = 1e-9
 LISTS = {"d2": "array<double>", "dst": "array<long>", "vote": "array<long>"}

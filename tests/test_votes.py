@@ -74,6 +74,17 @@ def test_lists_stay_in_their_leaf(spark, monkeypatch):
     assert "Exchange" not in plan[plan.index("FlatMapCoGroupsInArrow") : plan.index("InMemoryTableScan")]
 
 
+def test_what_leaves_ask_for_is_worked_out_once(spark, monkeypatch):
+    """Which leaves a label goes to is no part of a sweep's plan, which would work it out twice."""
+    monkeypatch.setattr(knn, "LEAF", 20)
+    seen = []
+    monkeypatch.setattr(graph, "cut", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), _cut(df))[1])
+    from fieldmend.session import cut as _cut
+
+    graph.refine(spark.createDataFrame(field(300, 3, 2), SCHEMA), 2, 3, graph.VoteSettings(1), 5)
+    assert "FlatMapCoGroupsInArrow" in seen[-1] and "FlatMapGroupsInArrow" not in seen[-1] and "Join" not in seen[-1]
+
+
 def test_piles_vote(spark, monkeypatch):
     monkeypatch.setattr(knn, "LEAF", 20)
     rng = np.random.default_rng(4)
