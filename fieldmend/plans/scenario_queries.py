@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldmend.functions.rng import uniform
+from fieldmend.functions.rng import below
 from fieldmend.operators import corruption
 from fieldmend.operators.knn import nearest_lists
 from fieldmend.plans import fields
@@ -67,7 +67,7 @@ def q_scenario_summary(spark, d):
 def q_scenario_store(spark, d):
     """A wide matrix of 45 scenarios, written as one folder per scenario; scenario 17 read back by its name."""
     points = fields.orders(spark, d)
-    shifted = [F.when(uniform(6, f"s{k}", "id") < 0.2, F.col("code") % 3 + 1).otherwise(F.col("code")).cast("int").alias(f"s{k}") for k in range(1, 46)]
+    shifted = [F.when(below(6, f"s{k}", 0.2, "id"), F.col("code") % 3 + 1).otherwise(F.col("code")).cast("int").alias(f"s{k}") for k in range(1, 46)]
     design = spark.createDataFrame([(k, f"orders_{k:02d}") for k in range(1, 46)], "scenario int, scenario_id string")
     place = scratch(spark, "fields")
     stored.store_benchmark(place, "orders", points.withColumnRenamed("code", "truth"), design, points.select("sample", "id", *shifted))

@@ -84,16 +84,26 @@ def catalogue(fields: dict[str, DataFrame], scenarios: int = 60) -> DataFrame:
 def store_benchmark(folder: str, name: str, points: DataFrame, design: DataFrame, scenarios: DataFrame) -> None:
     """Writes a field: points (sample, id, coordinates, truth ..), the design (scenario, scenario_id ..) and its scenarios. These are either
     long (scenario, sample, id, label) or wide: sample, id and a column of labels for each number of a scenario, s1, s2 .. The
-    labels are written one folder per scenario, in files by ranges of scenario and id, so that a task writes a few files and
-    a scenario is read without the others."""
+    labels are written one folder per scenario, so that a scenario is read without the others. Long rows are dealt by ranges of
+    scenario and id; a wide matrix is read for each scenario with that one's column alone, in one job, and its rows are neither dealt
+    nor sorted (a matrix that is dear to work out should be stored before)."""
     place = f"{folder}/{ALIASES.get(name, name)}"
     points.write.mode("overwrite").parquet(f"{place}/points")
     design.coalesce(1).write.mode("overwrite").parquet(f"{place}/design")
-    if "scenario" not in scenarios.columns:
-        wide = [c for c in scenarios.columns if c not in ("sample", "id")]
-        scenarios = scenarios.unpivot(["sample", "id"], wide, "scenario", "label").withColumn("scenario", F.substring("scenario", 2, 9).cast("int"))
-    long = scenarios.select("scenario", "sample", "id", "label").repartitionByRange("scenario", "id")
-    long.write.mode("overwrite").partitionBy("scenario").parquet(f"{place}/scenarios")
+    if "scenario" in scenarios.columns:
+        long = scenarios.select("scenario", "sample", "id", "label").repartitionByRange("scenario", "id")
+        long.write.mode("overwrite").partitionBy("scenario").parquet(f"{place}/scenarios")
+        return
+    wide = [c for c in scenarios.columns if c not in ("sample", "id")]
+    each = [scenarios.select(F.lit(int(c[1:])).alias("scenario"), "sample", "id", F.col(c).alias("label")) for c in wide]
+    # A task has rows of one scenario, so one open file will do and Spark needn't sort by scenario.
+    conf, key = scenarios.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, "1")
+    try:
+        reduce(DataFrame.union, each).write.mode("overwrite").partitionBy("scenario").parquet(f"{place}/scenarios")
+    finally:
+        conf.set(key, before)
 
 
 def load_benchmark(spark: SparkSession, folder: str, name: str, scenario: int | str = 1) -> DataFrame:

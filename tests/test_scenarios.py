@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldmend.functions.rng import below, uniform
 from fieldmend.operators import corruption, metrics, sampling
 from fieldmend.sources import points as stored
 
@@ -105,6 +106,28 @@ def test_stored_scenarios_are_read_alone(spark, tmp_path):
             stored.load_benchmark(spark, str(tmp_path), name, scenario)
 
 
+def test_wide_scenarios_are_worked_out_once(spark, tmp_path):
+    """Each label of a wide matrix is worked out once and neither dealt nor sorted; the session's setting is as before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def label(code):
+        seen.add(1)
+        return code
+
+    points, key = field(spark), "spark.sql.maxConcurrentOutputFileWriters"
+    design, before = spark.createDataFrame([(k, f"s{k}") for k in (1, 2, 12)], "scenario int, scenario_id string"), spark.conf.get(key)
+    wide = points.select("sample", "id", *(label("truth").alias(f"s{k}") for k in (1, 2, 12)))
+    stored.store_benchmark(str(tmp_path), "crc", points, design, wide)
+    assert seen.value == 3 * 400 and spark.conf.get(key) == before
+    assert stored.load_benchmark(spark, str(tmp_path), "crc", "s12").where("label = truth").count() == 400
+
+
+@pytest.mark.parametrize("share", [0.0, 1e-300, 0.2, 0.5, 1 - 2**-52, 1 - 2**-53, 1.0, 2.0])
+def test_draws_below_a_share(spark, share):
+    assert spark.range(300).where(below(6, "s", share, "id") != (uniform(6, "s", "id") < share)).count() == 0
+
+
 @pytest.mark.parametrize("strata", [None, ["g"]])
 def test_resamples_of_large_tables_are_the_same(spark, monkeypatch, strata):
     df = skewed(spark, 120).select("g", F.concat(F.lit("k"), "id").alias("id"), "v")
