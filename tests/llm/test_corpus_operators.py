@@ -341,6 +341,25 @@ def test_near_copies_recall(spark, chars):
         assert sum(got[2 * k + 1] == 2 * k for k in range(share * each, (share + 1) * each)) >= 0.9 * each
 
 
+def test_near_copies_check_no_pair_of_far_lengths(spark, monkeypatch):
+    """Texts are fetched only for pairs whose lengths allow a link; of an id with several texts (60) all count."""
+    rng = np.random.default_rng(21)
+    base = "".join(rng.choice(list("etaoinshrdlucm "), 4000))
+    rows = [(k, base[: 2000 + 40 * k] + f" {k}") for k in range(50)] + [(60, "z" * 30), (60, base + "!"), (61, base + "?")]
+    length, taken, near = {}, [], fingerprint._near
+    for k, text in rows:
+        length.setdefault(k, []).append(len(text))
+    monkeypatch.setattr(fingerprint, "_near", lambda docs, pairs, share: (taken.extend(map(tuple, pairs.select("a", "b").collect())), near(docs, pairs, share))[1])
+    links = fingerprint.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=10).collect()
+    fits = lambda a, b: any(abs(m - n) <= int(0.05 * max(m, n)) for m in length[a] for n in length[b])
+    assert taken and all(fits(a, b) for a, b in taken if 60 not in (a, b)) and not all(fits(a, b) for a in range(50) for b in range(50))
+    root = {k: k for k in length}
+    for a, b in sorted((r.a, r.b) for r in links):
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    assert set(root.values()) == {0}
+
+
 def test_near_copies_of_odd_tables(spark):
     """No rows, only nulls, one text of two million characters beside its copy, and one of a single character."""
     none = spark.createDataFrame([], "doc_id long, text string")
