@@ -360,6 +360,39 @@ def test_near_copies_check_no_pair_of_far_lengths(spark, monkeypatch):
     assert set(root.values()) == {0}
 
 
+def test_near_copies_check_a_pair_once(spark, monkeypatch):
+    """Copies that are a little too far apart meet under many keys, but each pair comes to the last check of edits once."""
+    rng = np.random.default_rng(22)
+    words = ["".join(rng.choice(list("etaoinshrdlucm"), int(rng.integers(2, 9)))) for _ in range(500)]
+    base, rows = rng.choice(words, 150), []
+    for k in range(40):
+        copy = base.copy()
+        copy[rng.choice(150, 8, replace=False)] = rng.choice(words, 8)
+        rows.append((k, " ".join(copy)))
+    taken, near = [], fingerprint._near
+    monkeypatch.setattr(fingerprint, "_near", lambda docs, pairs, share: (taken.append([tuple(r) for r in pairs.select("a", "b").collect()]), near(docs, pairs, share))[1])
+    links = {(r.a, r.b) for r in fingerprint.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=15).collect()}
+    assert len(taken[-1]) == len(set(taken[-1])) > 300
+    assert all((edits(rows[a][1], rows[b][1]) <= int(0.05 * max(len(rows[a][1]), len(rows[b][1])))) == ((a, b) in links) for a, b in taken[-1][:20])
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 14])
+def test_edit_distances_of_many_pairs(monkeypatch, cells):
+    """Pairs with bounds and lengths of their own, worked out together, as each would be alone."""
+    monkeypatch.setattr(fingerprint, "CELLS", cells)
+    rng = np.random.default_rng(23)
+    left, right, most = [], [], []
+    for _ in range(300):
+        a = list(rng.choice(list("ab𝒳 "), int(rng.integers(0, 60))))
+        b = a.copy()
+        for at in rng.integers(0, len(b) + 1, int(rng.integers(0, 9))):
+            b[at : at + int(rng.integers(0, 2))] = list("abc"[: int(rng.integers(0, 3))])
+        left, right, most = [*left, "".join(a)], [*right, "".join(b)], [*most, int(rng.integers(0, 12))]
+    want = [d if (d := edits(a, b)) <= m else None for a, b, m in zip(left, right, most, strict=True)]
+    assert fingerprint.edit_distances(left, right, most) == want and want.count(None) > 20
+    assert fingerprint.edit_distances([], [], []) == []
+
+
 def test_near_copies_of_odd_tables(spark):
     """No rows, only nulls, one text of two million characters beside its copy, and one of a single character."""
     none = spark.createDataFrame([], "doc_id long, text string")
