@@ -4,6 +4,7 @@ points: sample, id, code; lists: sample, id, own, vote, as from knn.nearest_list
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmend.functions.geometry import axes
 from fieldmend.operators.knn import nearest_lists
 from fieldmend.session import cut
 
@@ -92,8 +94,9 @@ def _foreign(leaf: pa.Table) -> pa.Table:
     return pa.table({"sample": pa.repeat(leaf.column("sample")[0], len(away)), "id": away, "leaf": pa.repeat(leaf.column("leaf")[0], len(away))})
 
 
-def _sweeper(s: VoteSettings):
-    """One sweep over a leaf: its points with their neighbours (left), the labels of these and of itself (right)."""
+def _sweeper(s: VoteSettings, names: list[str]):
+    """One sweep over a leaf: its points with their neighbours (left), the labels of these and of itself (right), with the coordinates
+    that weights are worked out from."""
 
     def sweep(leaf: pa.Table, labels: pa.Table) -> pa.Table:
         labels = labels.rename_columns([c.removeprefix("o_") for c in labels.column_names]).sort_by("id")
@@ -104,7 +107,9 @@ def _sweeper(s: VoteSettings):
         dst = np.searchsorted(ids, near.flatten().to_numpy())
         w = np.ones(len(src))
         if s.weighted:
-            d2, band = leaf.column("d2").combine_chunks().flatten().to_numpy(), np.full(n, 1e-12)
+            places = [labels.column(a).to_numpy() for a in names]
+            # As in the search, so that distances are the same to the last digit.
+            d2, band = reduce(lambda p, q: p + q, [(at_[mine[src]] - at_[dst]) ** 2 for at_ in places]), np.full(n, 1e-12)
             np.maximum.at(band, src, d2)
             w = np.exp(-d2 / band[src])
         classes, at = np.unique(code, return_inverse=True)
@@ -124,38 +129,42 @@ def _sweeper(s: VoteSettings):
         take = wins & (total > 0) & (held / np.where(weight > 0, weight, 1.0) <= s.current_support) & (confidence >= s.consensus) & ((top - runner) / some >= s.margin)
         out = leaf.select(["sample", "leaf", "id"]).append_column("current", pa.array(code[mine], pa.int64()))
         out = out.append_column("next", pa.array(np.where(take, classes[best], code[mine]), pa.int64())).append_column("confidence", pa.array(confidence))
-        return out.append_column("to", labels.column("to").take(pa.array(mine)))
+        for c in [*names, "to"]:
+            out = out.append_column(c, labels.column(c).take(pa.array(mine)))
+        return out
 
     return sweep
 
 
 def vote_in_leaves(lists: DataFrame, classes: int, settings: VoteSettings | None = None) -> tuple[DataFrame, list[int]]:
-    """sample, id, refined, confidence (of the last sweep) and the number of changes of each sweep. lists: sample, id, own, d2,
-    dst, leaf, as from knn.nearest_lists. The lists are dealt by leaf once and stay where they are over all sweeps; a sweep
-    sends each point's label to its own leaf, and those that other leaves vote by to these too. Sweeps end when one changes
-    nothing."""
+    """sample, id, refined, confidence (of the last sweep) and the number of changes of each sweep. lists: sample, id, own, dst,
+    leaf and, for weights, coordinates, as from knn.nearest_lists. The lists are dealt by leaf once and stay where they are over
+    all sweeps; a sweep sends each point's label to its own leaf, and those that other leaves vote by to these too. Sweeps end when
+    one changes nothing. Distances are worked out from coordinates in each sweep, as they would be most of what the lists take."""
     s = (settings or VoteSettings()).checked(classes)
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = cut(lists.select("sample", "leaf", "id", "own", "dst", *(["d2"] if s.weighted else [])))
+    names = [a for a in axes(3) if a in lists.columns] if s.weighted else []
+    lists = cut(lists.select("sample", "leaf", "id", "own", *names, "dst"))
     # Kept by the executors; what a lost one held is dealt again from the checkpoint. Only once it is there do plans know how
     # it is dealt, and that it is sorted.
-    dealt = lists.drop("own").repartition(n, "sample", "leaf").sortWithinPartitions("sample", "leaf").persist()
+    dealt = lists.drop("own", *names).repartition(n, "sample", "leaf").sortWithinPartitions("sample", "leaf").persist()
     dealt.count()
     asked = dealt.select("sample", "leaf", "id", "dst").groupBy("sample", "leaf").applyInArrow(_foreign, "sample string, id long, leaf string")
     asked = asked.groupBy("sample", "id").agg(F.collect_list("leaf").alias("to"))
-    state = lists.select("sample", "leaf", "id", F.col("own").cast("long").alias("label")).join(asked, ["sample", "id"], "left")
+    state = lists.select("sample", "leaf", "id", F.col("own").cast("long").alias("label"), *names).join(asked, ["sample", "id"], "left")
     # A sweep reads it twice, for the point's own leaf and for others.
     state = cut(state.withColumn("to", F.coalesce("to", F.array().cast("array<string>"))))
-    weighted, changes = ["d2"] if s.weighted else [], []
-    sweep = _sweeper(s)
+    changes = []
+    sweep = _sweeper(s, names)
+    kinds = "sample string, leaf string, id long, current long, next long, confidence double, " + "".join(f"{a} double, " for a in names) + "to array<string>"
     for _ in range(s.iterations):
-        home = state.select("sample", "leaf", "id", "label", "to")
-        away = state.where(F.size("to") > 0).select("sample", F.explode("to").alias("leaf"), "id", "label", F.lit(None).cast("array<string>").alias("to"))
+        home = state.select("sample", "leaf", "id", "label", *names, "to")
+        away = state.where(F.size("to") > 0).select("sample", F.explode("to").alias("leaf"), "id", "label", *names, F.lit(None).cast("array<string>").alias("to"))
         sent = home.unionByName(away).select(*(F.col(c).alias(f"o_{c}") for c in home.columns))
-        swept = dealt.select("sample", "leaf", "id", "dst", *weighted).groupBy("sample", "leaf").cogroup(sent.groupBy("o_sample", "o_leaf"))
-        swept = cut(swept.applyInArrow(sweep, "sample string, leaf string, id long, current long, next long, confidence double, to array<string>"))
+        swept = dealt.select("sample", "leaf", "id", "dst").groupBy("sample", "leaf").cogroup(sent.groupBy("o_sample", "o_leaf"))
+        swept = cut(swept.applyInArrow(sweep, kinds))
         changes.append(swept.where("next <> current").count())
-        state = swept.select("sample", "leaf", "id", F.col("next").alias("label"), "to")
+        state = swept.select("sample", "leaf", "id", F.col("next").alias("label"), *names, "to")
         if not changes[-1]:
             break
     dealt.unpersist()
@@ -172,7 +181,7 @@ def refine(points: DataFrame, dims: int, classes: int, settings: VoteSettings |
     least = points.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct("n", "sample")).alias("least")).first()["least"]
     if least is not None and least["n"] < 3:
         raise ValueError(f"Specimen {least['sample']} has {least['n']} points; the vote takes three at least.")
-    done, changes = vote_in_leaves(nearest_lists(points, dims, k, "code", ("d2", "dst"), classes, leaf=True), classes, settings)
+    done, changes = vote_in_leaves(nearest_lists(points, dims, k, "code", ("dst",), classes, leaf=True, at=True), classes, settings)
     return points.join(done, ["sample", "id"]), changes
 
 

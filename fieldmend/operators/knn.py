@@ -270,17 +270,17 @@ def piles(points: DataFrame, names: tuple[str, ...], k: int, lists: tuple[str, .
     rest = points.join(ends, place).where(F.col("id") > F.col("fm_last")).withColumn("fm_items", F.slice("fm_items", F.lit(1), F.col("k")))
     each = {"d2": F.transform("fm_items", lambda x: F.lit(0.0)), "dst": F.col("fm_items.id"), "vote": F.col("fm_items.vote")}
     part = F.when(F.col("fm_more") < 2, F.col("leaf")).otherwise(F.concat_ws(".", "leaf", F.pmod(F.xxhash64("id"), F.col("fm_more")).cast("string")))
-    return first.drop("fm_row"), rest.select("sample", "id", F.col("vote").alias("own"), *(each[c].alias(c) for c in lists), part.alias("leaf"))
+    return first.drop("fm_row"), rest.select("sample", "id", F.col("vote").alias("own"), *names, *(each[c].alias(c) for c in lists), part.alias("leaf"))
 
 
 def nearest_lists(
-    points: DataFrame, dims: int, k: int | str | None, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote"), classes: int = 1, leaf: bool = False
+    points: DataFrame, dims: int, k: int | str | None, carry: str | None = None, lists: tuple[str, ...] = ("d2", "dst", "vote"), classes: int = 1, leaf: bool = False, at: bool = False
 ) -> DataFrame:
     """sample, id, own and lists: d2, dst and vote (or some of these) of the k nearest other points of the specimen by
     (d2, dst), as arrays; k is the specimen's size less one where that is smaller. Without k each specimen has its
     automatic number for so many classes; a text names a column of points that has it, MOST_NEIGHBOURS at most. carry names a
     whole-number column of points: of the point itself as own, of dst as vote. With leaf also the leaf that the point lies
-    in, as text."""
+    in, as text; with at also its coordinates."""
     names = axes(dims)
     own_k = automatic_neighbours(F.col("n"), classes) if k is None else F.col("fm_k") if isinstance(k, str) else F.lit(k)
     given = [F.col(k).alias("fm_k")] if isinstance(k, str) else []
@@ -294,9 +294,10 @@ def nearest_lists(
         points, rest = piles(points, names, k, lists, leaves.leaf)
     keys = leaves.keys
     parts = keys[1:]
-    where = [F.concat_ws(".", *parts).alias("leaf")] if leaf else []
-    if rest is not None and not leaf:
-        rest = rest.drop("leaf")
+    also = list(names) if at else []
+    where = ([F.concat_ws(".", *parts).alias("leaf")] if leaf else []) + also
+    if rest is not None:
+        rest = rest.select("sample", "id", "own", *lists, *(["leaf"] if leaf else []), *also)
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # So many partitions, however few bytes: the work of a leaf grows with its points.
     placed = leaves.placed(points, ends=True).repartition(n, *keys)
@@ -309,16 +310,17 @@ def nearest_lists(
         return done if rest is None else done.unionByName(rest)
     found = cut(found)
     inside = found.where(~F.col("fm_out")).select("sample", "id", "own", *lists, *where)
-    carried = ["sample", "id", "k", "own", *(["leaf"] if leaf else [])]
-    asked = leaves.reached(found.where("fm_out").select("sample", "id", "k", "own", *where, "r2", *names))
-    asked = asked.select(*carried, "r2", *names, *(F.col(f"to_{c}").alias(c) for c in parts))
+    carried = ["sample", "id", "k", "own", *(["leaf"] if leaf else []), *also]
+    unlike = [a for a in names if a not in also]
+    asked = leaves.reached(found.where("fm_out").select("sample", "id", "k", "own", *where, "r2", *unlike))
+    asked = asked.select(*carried, "r2", *unlike, *(F.col(f"to_{c}").alias(c) for c in parts))
     # Names of their own, as both sides come from one frame.
     there = found.select(*(F.col("own" if c == "vote" else c).alias(f"o_{c}") for c in ["id", "vote", *names, *keys]))
     more = asked.repartition(n, *keys).groupBy(*keys).cogroup(there.groupBy(*(f"o_{c}" for c in keys)))
-    more = more.applyInArrow(_looker(names, carried), f"sample string, id long, k int, own long, {'leaf string, ' if leaf else ''}d2 double, dst long, vote long")
+    more = more.applyInArrow(_looker(names, carried), f"sample string, id long, k int, own long, {'leaf string, ' if leaf else ''}{''.join(f'{a} double, ' for a in also)}d2 double, dst long, vote long")
     item = F.struct("d2", "dst", "vote")
-    merged = more.groupBy("sample", "id").agg(F.first("own").alias("own"), *([F.first("leaf").alias("leaf")] if leaf else []), F.slice(F.array_sort(F.collect_list(item)), 1, F.first("k")).alias("fm_items"))
-    merged = merged.select("sample", "id", "own", *(F.col("fm_items")[c].alias(c) for c in lists), *(["leaf"] if leaf else []))
+    merged = more.groupBy("sample", "id").agg(F.first("own").alias("own"), *(F.first(c).alias(c) for c in [*(["leaf"] if leaf else []), *also]), F.slice(F.array_sort(F.collect_list(item)), 1, F.first("k")).alias("fm_items"))
+    merged = merged.select("sample", "id", "own", *(F.col("fm_items")[c].alias(c) for c in lists), *(["leaf"] if leaf else []), *also)
     done = inside.unionByName(merged)
     return done if rest is None else done.unionByName(rest)
 

@@ -102,8 +102,8 @@ def vote_in_tiles(
     number = F.lit(k) if k else automatic_neighbours(F.col("n"), F.col("classes"), half_even=True)
     wanted, _ = small(sizes.select(F.col("sample").alias("of"), number.alias("wanted")))
     wide = as_specimens(points, dims, overlap, target_size, counts).join(wanted, "of")
-    lists = nearest_lists(wide, dims, "wanted", "code", ("d2", "dst"), leaf=True)
-    done, _ = vote_in_leaves(lists, classes, settings)
+    # No name for the lists, so that Spark may remove the search's checkpoint as soon as the vote has its own.
+    done, _ = vote_in_leaves(nearest_lists(wide, dims, "wanted", "code", ("dst",), leaf=True, at=True), classes, settings)
     joined = wide.join(done, ["sample", "id"])
     changed = F.count_if(F.col("is_core") & (F.col("refined") != F.col("code")))
     rows = joined.groupBy(F.col("of").alias("sample"), "tile").agg(F.count_if("is_core").alias("core_n"), F.count(F.lit(1)).alias("halo_n"), F.max("wanted").alias("wanted"), changed.alias("final_changes"))

@@ -85,6 +85,19 @@ def test_what_leaves_ask_for_is_worked_out_once(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in seen[-1] and "FlatMapGroupsInArrow" not in seen[-1] and "Join" not in seen[-1]
 
 
+def test_lists_are_stored_without_distances(spark, monkeypatch):
+    """Neither the search's checkpoint nor the vote's has the neighbours' distances; one of the vote's has the lists."""
+    from fieldmend.session import cut as _cut
+
+    monkeypatch.setattr(knn, "LEAF", 20)
+    searched, voted = [], []
+    monkeypatch.setattr(knn, "cut", lambda df: (searched.append(df.columns), _cut(df))[1])
+    monkeypatch.setattr(graph, "cut", lambda df: (voted.append(df.columns), _cut(df))[1])
+    graph.refine(spark.createDataFrame(field(300, 3, 2), SCHEMA), 2, 3, graph.VoteSettings(2), 5)
+    assert any("dst" in c for c in searched) and not any("d2" in c for c in searched)
+    assert sum("dst" in c for c in voted) == 1 and not any("d2" in c for c in voted)
+
+
 def test_piles_vote(spark, monkeypatch):
     monkeypatch.setattr(knn, "LEAF", 20)
     rng = np.random.default_rng(4)
